@@ -1,0 +1 @@
+"""Training-data operators: ten corpus operations that run as Spark jobs."""
