@@ -122,15 +122,17 @@ def figure_rules() -> list[Rule]:
     ]
 
 
-def planned(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected), by rejections per second on a sample of about ``sample_rows``.
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """About ``sample_rows`` rows, drawn before any figure is made of them."""
+    return docs.sample(fraction=min(1.0, sample_rows / max(1, docs.count())), seed=seed)
+
+
+def planned(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected), by rejections per second on the sample.
 
     The sample is evaluated on the executors; only a count and a time come back for each rule.
     """
-    total = rows.count()
-    if not total:
-        return [(r, 0.0, 0.0) for r in rules]
-    sample = rows.sample(fraction=min(1.0, sample_rows / total), seed=seed).persist()
+    sample = sample.persist()
     try:
         n = sample.count()
         found = []
@@ -153,10 +155,9 @@ def cascade(rows: DataFrame, rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the figures, base_failed, kept, rejected_by."""
-    rows = measure(docs)
-    order = [r for r, _, _ in planned(rows, rules or figure_rules(), sample_rows)]
+    order = [r for r, _, _ in planned(measure(sampled(docs, sample_rows)), rules or figure_rules())]
     return (
-        rows.withColumn("rejected_by", cascade(rows, order))
+        measure(docs).withColumn("rejected_by", cascade(rows, order))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
@@ -169,8 +170,9 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
 def keep(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that no rule rejects. No figure is made that no rule needs."""
     held = [c for c in docs.columns if c not in ("_t", "_w")]
-    rows = docs.select(*held, F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
-    order = [r for r, _, _ in planned(rows.select("_t", "_w"), rules or text_rules(), sample_rows)]
+    opened = lambda d: d.select(*held, F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
+    order = [r for r, _, _ in planned(opened(sampled(docs, sample_rows)).select("_t", "_w"), rules or text_rules())]
+    rows = opened(docs)
     return rows.where(cascade(rows, order).isNull()).select(*held)
 
 
