@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from llm import exact, quality
+from llm import bpe, exact, minhash, quality, secrets, toxicity
 
 
 def queries():
-    return {"op3_quality_rules": quality.op3_quality, "op5_exact_dedup": exact.op5_exact_dedup}
+    return {
+        "op2_secret_scan": secrets.op2_secrets,
+        "op3_quality_rules": quality.op3_quality,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_exact_dedup": exact.op5_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_minhash_near_dedup": minhash.op10_near_duplicates,
+    }
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality.OP3_SQL, "op5_exact_dedup": exact.OP5_SQL}
+    return {
+        "op3_quality_rules": quality.OP3_SQL,
+        "op5_exact_dedup": exact.OP5_SQL,
+        "op10_minhash_near_dedup": minhash.OP10_SQL,
+    }
