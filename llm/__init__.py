@@ -1 +1,8 @@
 """Training-data operators: ten corpus operations that run as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with the job: they need not find it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -188,8 +188,8 @@ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 f AS MATERIALIZED (SELECT g, count(*) AS f FROM s GROUP BY g),
 k AS MATERIALIZED (SELECT doc_id, g FROM (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.g) AS r FROM s JOIN f USING (g) JOIN n USING (doc_id)) WHERE r <= n - ceil(0.8 * n) + 1),
 c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id),
-p AS MATERIALIZED (SELECT x, y, count(*) AS both FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
-e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 80 * (a.n + b.n - both)),
+p AS MATERIALIZED (SELECT x, y, count(*) AS shared FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
 z AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, z.y FROM r JOIN z ON z.x = r.to_id)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id, r.doc_id = min(to_id) AS kept

@@ -145,7 +145,7 @@ def planned(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, flo
         sample.unpersist()
 
 
-def cascade(rows: DataFrame, rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule]) -> Column:
     """Name of the first rule that rejects the row, in the given order; null if none does."""
     chain = F.lit(None).cast("string")
     for r in reversed(rules):
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
     """doc_id, the figures, base_failed, kept, rejected_by."""
     order = [r for r, _, _ in planned(measure(sampled(docs, sample_rows)), rules or figure_rules())]
     return (
-        measure(docs).withColumn("rejected_by", cascade(rows, order))
+        measure(docs).withColumn("rejected_by", cascade(order))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
@@ -173,7 +173,7 @@ def keep(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SA
     opened = lambda d: d.select(*held, F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
     order = [r for r, _, _ in planned(opened(sampled(docs, sample_rows)).select("_t", "_w"), rules or text_rules())]
     rows = opened(docs)
-    return rows.where(cascade(rows, order).isNull()).select(*held)
+    return rows.where(cascade(order).isNull()).select(*held)
 
 
 def op3_quality(spark, sf_dir):
