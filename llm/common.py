@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def words_of(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver forget finished steps, so that Spark removes their shuffle files before the next large one."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from llm import bpe, exact, minhash, quality, secrets, toxicity
+from llm import bpe, chat, exact, lines, minhash, mixing, quality, secrets, toxicity
 
 
 def queries():
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_secret_scan": secrets.op2_secrets,
         "op3_quality_rules": quality.op3_quality,
         "op4_bpe": bpe.op4_bpe,
         "op5_exact_dedup": exact.op5_exact_dedup,
+        "op7_line_dedup": lines.op7_line_dedup,
+        "op8_chat_formatting": chat.op8_chat,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_near_dedup": minhash.op10_near_duplicates,
     }
@@ -20,5 +23,7 @@ def oracle_sql():
     return {
         "op3_quality_rules": quality.OP3_SQL,
         "op5_exact_dedup": exact.OP5_SQL,
+        "op7_line_dedup": lines.OP7_SQL,
+        "op8_chat_formatting": chat.OP8_SQL,
         "op10_minhash_near_dedup": minhash.OP10_SQL,
     }
