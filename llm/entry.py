@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, exact, lines, minhash, mixing, quality, secrets, toxicity
+from llm import bpe, chat, exact, lines, minhash, mixing, pitman_yor, quality, secrets, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_quality_rules": quality.op3_quality,
         "op4_bpe": bpe.op4_bpe,
         "op5_exact_dedup": exact.op5_exact_dedup,
+        "op6_lm_score": pitman_yor.op6_lm_score,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_chat_formatting": chat.op8_chat,
         "op9_toxicity": toxicity.op9_toxicity,
