@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from llm import bpe, chat, exact, lines, minhash, mixing, pitman_yor, quality, secrets, toxicity
 
 
@@ -17,6 +18,7 @@ def queries():
         "op8_chat_formatting": chat.op8_chat,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_near_dedup": minhash.op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 
