@@ -4,7 +4,7 @@
    bucket keys of its bands. One permutation fills BINS bins; empty bins are filled by optimal
    densification (each probes bins by its own hash sequence until it meets a filled one).
 2. Rows with equal sets are one node, pre-aggregated before the shuffle; only nodes are compared.
-3. In each bucket the smallest node is the star's centre. Every node is first checked against one
+3. In each bucket the node that meets most others in its buckets is the star's centre. Every node is first checked against one
    centre, then against the centres that it is not yet connected with.
 4. Buckets whose nodes are still not all connected are finished exactly: their pairs across different
    components are checked, so no candidate pair stays unchecked unless it is already connected.
@@ -32,6 +32,7 @@ from llm.shingles import WordHashes, mix, shingle_set
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+PARITY_BITS = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +63,16 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(mix(hashes + _ODD)).view(np.int64)), int(mix(hashes).sum(dtype=np.uint64).view(np.int64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: whether an odd number of the set's hashes fall on each.
+
+    Elements in both of two sets cancel out, so the exclusive-or of their parities has at most as many
+    bits as elements that only one of them has: a bound on the similarity that never errs.
+    """
+    at = (mix(hashes ^ _ODD) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """tag, doc_id, n, s1, s2, buckets: a row for each row of ``docs``, written to the shared folder."""
 
@@ -81,7 +92,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the given nodes (node, doc_id, s1, s2), from the texts of their documents."""
+    """(node, set, odd) of the given nodes (node, doc_id, s1, s2), from the texts of their documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -90,12 +101,12 @@ def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             for node, s1, s2, text in zip(b["node"], b["s1"], b["s2"], b["text"], strict=True):
                 s = shingle_set(text, size, cache)
                 if len(s) and set_hash(s) == (s1, s2):  # of rows that share a doc_id, the node's own
-                    out.append((node, s.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "set"])
+                    out.append((node, s.tobytes(), parities(s)))
+            yield pd.DataFrame(out, columns=["node", "set", "odd"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     found = nodes.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "s1", "s2", "text")
-    return stored(found.mapInPandas(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    return stored(found.mapInPandas(run, "node long, set binary, odd array<long>").dropDuplicates(["node"]), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,14 +132,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("tag").alias("node"), F.min("doc_id").alias("least"))
     nodes = stored(nodes, "nodes")
     keyed = rows.join(nodes.select(F.col("node").alias("tag")), "tag").select(F.col("tag").alias("node"), "n", F.explode("buckets").alias("bucket"))
-    stars = keyed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("held")).where("held > 1")
-    members = stored(
-        keyed.join(stars, "bucket").select("bucket", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")), "members"
-    )
+    # A group of near copies has a text that the others were made from: it meets more of them than they
+    # meet one another. So a bucket's centre is the node that shares its buckets with most others.
+    held = keyed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    crowded = stored(keyed.join(held, "bucket"), "crowded")
+    rank = crowded.groupBy("node").agg(F.sum("held").alias("rank"))
+    ranked = crowded.join(rank, "node").select("bucket", "node", "n", F.struct(F.col("rank"), (-F.col("node")).alias("at"), "n").alias("place"))
+    ranked = stored(ranked, "ranked")
+    centre = ranked.groupBy("bucket").agg(F.max("place").alias("top"))
+    members = stored(ranked.join(centre, "bucket").select("bucket", "node", "n", (-F.col("top.at")).alias("centre"), F.col("top.n").alias("centre_n"), F.col("top.rank").alias("rank")), "members")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes that allow the similarity
     edges = stored(
         members.where((F.col("node") != F.col("centre")) & alike("n", "centre_n"))
-        .groupBy(F.col("node").alias("v"), F.col("centre").alias("u")).agg(F.lit(1).alias("one")).select("u", "v"),
+        .groupBy(F.col("node").alias("v"), F.col("centre").alias("u")).agg(F.max("rank").alias("rank")),
         "edges",
     )
     own = rows.select(F.col("tag").alias("node"), "doc_id", "s1", "s2").join(members.select("node").distinct(), "node")
@@ -140,7 +156,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return pairs.join(a, "u", "left").join(b, "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
 
     # Each node's first centre, then the centres it isn't connected with yet.
-    first = edges.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = edges.groupBy("v").agg(F.max_by("u", F.struct("rank", "u")).alias("u")).select("u", "v")
     links = stored(confirmed(first, sets, percent), "links")
     label = stored(components(links), "label")
     rest = joined(edges.join(first, ["u", "v"], "left_anti"), label).where("cu <> cv").select("u", "v")
@@ -149,11 +165,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Buckets whose nodes aren't all connected: the pairs across components that no star has checked.
     here = members.join(label.select(F.col("u").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = stored(here.join(mixed, "bucket").select("bucket", "node", "n", "component", "centre"), "open")
+    odd = sets.select("node", "odd")
+    open_ = stored(here.join(mixed, "bucket").where("node <> centre").select("bucket", "node", "n", "component").join(odd, "node"), "open")
     if not open_.isEmpty():
-        x = open_.select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")).where(F.col("u") != F.col("centre"))
-        y = open_.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv")).where(F.col("v") != F.col("centre"))
-        pairs = x.join(y, "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & alike("nu", "nv"))
+        # Most pairs that only share a passage end here, at the bound on what one of them alone has.
+        words = range(PARITY_BITS // 64)
+        side = lambda k: open_.select("bucket", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}"), *[F.col("odd")[i].alias(f"{k}{i}") for i in words])
+        apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in words[1:]), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+        near = (100 + percent) * apart <= (100 - percent) * (F.col("nu") + F.col("nv"))
+        pairs = side("u").join(side("v"), "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & alike("nu", "nv") & near)
         pairs = pairs.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
         more = stored(confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
