@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from llm.common import documents, lower_ascii, stored, words_of
 
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
+TARGETS = {"clean": 0.80, "low": 0.10, "toxic": 0.10}
 SAMPLE_ROWS, MARKERS, STEPS, TOLERANCE = 5000, 32, 40, 1e-4
 # Runs that mark tables, symbols and shouting.
 RUNS = ("!!", " | ", "%%%", "###", "***", "$$$", "&&&")
