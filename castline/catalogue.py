@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+from castline import registry
 from castline.plans import slice as monthly
+from castline.queries import aggregates, selection, sets, windows  # noqa: F401  they register themselves
 
 
 def queries():
-    found = {}
-    for module in (monthly,):
-        found |= module.QUERIES
-    return found
+    return monthly.QUERIES | registry.QUERIES
 
 
 def oracle_sql():
-    found = {}
-    for module in (monthly,):
-        found |= module.SQL
-    return found
+    return monthly.SQL | registry.SQL
