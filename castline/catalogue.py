@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from castline import registry
 from castline.plans import slice as monthly
-from castline.queries import aggregates, ingest, scalars, selection, sets, windows  # noqa: F401  they register themselves
+from castline.queries import aggregates, ingest, scalars, selection, series, sets, streams, windows  # noqa: F401  they register themselves
 
 
 def queries():
