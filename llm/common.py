@@ -36,6 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``_row``, so that no column of the input can clash with a working column."""
+    return docs.select(F.struct("*").alias("_row"))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\x20\x09-\x0D]+`` of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

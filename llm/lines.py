@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BLANKS, documents, released, stored
+from llm.common import BLANKS, documents, packed, released, stored
 from llm.components import components
 
 MIN_CHARS, EDITS = 20, 2
@@ -189,11 +189,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     gone = line_classes(docs, min_chars, edits).where("NOT kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
     gone = stored(gone, "gone")
     released(docs.sparkSession)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left")
-    lines = F.split("text", "\n")
+    joined = packed(docs).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")), "left")
+    whole = F.col("_row.text")
+    lines = F.split(whole, "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_gone").isNull() | whole.isNull(), whole).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark, sf_dir):

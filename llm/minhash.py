@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, stored
+from llm.common import documents, packed, stored
 from llm.components import components
 from llm.shingles import WordHashes, mix, shingle_set
 
@@ -193,7 +193,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     verdict = stored(near_duplicates(docs, size, percent), "verdict").where("doc_id IS NOT NULL")
     gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone_id"))
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    left = packed(docs).join(gone, F.col("_row.doc_id") == F.col("_gone_id"), "left_anti").select("_row.*")
     return left if verdict.groupBy("doc_id").count().where("count > 1").isEmpty() else left.dropDuplicates()
 
 

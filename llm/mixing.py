@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, lower_ascii, stored, words_of
+from llm.common import documents, lower_ascii, packed, stored, words_of
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.80, "low": 0.10, "toxic": 0.10}
@@ -150,12 +150,11 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     """``docs`` with each row written as often as its rate asks: the whole part, and once more with the
     probability of the rest (by a hash of doc_id). Under "repeat" every row is written at least once."""
     rates = mixed(docs, labels, targets, budget).groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(rates, docs["doc_id"].eqNullSafe(F.col("_id")))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    joined = packed(docs).join(rates, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    chance = F.pmod(F.xxhash64("_row.doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     times = F.floor(F.col("_rate") + chance).cast("int")
     times = F.greatest(times, F.lit(1)) if budget == "repeat" else times
-    copies = joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*docs.columns)
+    return joined.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op1_mixing(spark, sf_dir):

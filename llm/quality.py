@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, words_of
+from llm.common import documents, packed, words_of
 
 WINDOW = 8
 SAMPLE_ROWS = 1000
@@ -169,11 +169,9 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that no rule rejects. No figure is made that no rule needs."""
-    held = [c for c in docs.columns if c not in ("_t", "_w")]
-    opened = lambda d: d.select(*held, F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
+    opened = lambda d: packed(d).select("_row", F.coalesce(F.col("_row.text"), F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
     order = [r for r, _, _ in planned(opened(sampled(docs, sample_rows)).select("_t", "_w"), rules or text_rules())]
-    rows = opened(docs)
-    return rows.where(cascade(order).isNull()).select(*held)
+    return opened(docs).where(cascade(order).isNull()).select("_row.*")
 
 
 def op3_quality(spark, sf_dir):
