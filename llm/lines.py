@@ -11,7 +11,7 @@ the first occurrence (by doc_id, then position) stays.
    multi-match-aware window allows.
 2. Keys with several lines are found by aggregation (least and largest line, least indexed line), so a
    key that many lines share is folded before the shuffle. Its least indexed line is the star's centre.
-3. Pairs are verified by banded bit-parallel edit distance, after what both begin and end with is cut
+3. Pairs whose letter counts allow it (an exact bound) are verified by banded bit-parallel edit distance, after what both begin and end with is cut
    off. Keys whose lines are not all connected after that are finished pair by pair across components.
 
 Defined results: a null text stays null, an empty one empty; a text that loses every line becomes
@@ -28,6 +28,7 @@ from llm.common import BLANKS, documents, packed, released, stored
 from llm.components import components
 
 MIN_CHARS, EDITS = 20, 2
+LETTERS = "etaonisrhldu cmg"
 
 
 def _once(value: Column, body) -> Column:
@@ -99,6 +100,21 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, False).otherwise(_once(chars(a), lambda x: _once(chars(b), lambda y: trimmed(x, y))))
 
 
+def letter_counts(line: Column) -> list[Column]:
+    """How often each of LETTERS occurs, as columns l0, l1, ...
+
+    An edit changes these by two in all at most (a substitution takes one letter and adds another), so
+    lines within ``edits`` edits differ by 2 * edits at most: a bound that never errs.
+    """
+    return [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))).alias(f"l{i}") for i, x in enumerate(LETTERS)]
+
+
+def close(a: str, b: str, edits: int) -> Column:
+    """Whether the letter counts in columns ``a``0.. and ``b``0.. allow ``edits`` edits."""
+    apart = [F.abs(F.col(f"{a}{i}") - F.col(f"{b}{i}")) for i in range(len(LETTERS))]
+    return sum(apart[1:], apart[0]) <= 2 * edits
+
+
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     """(start, size) of a segment, 0-based, of an even cut of ``length`` characters into edits + 1."""
     parts = edits + 1
@@ -107,9 +123,8 @@ def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return base * number + F.greatest(F.lit(0), F.lit(number - parts) + longer), base + F.when(F.lit(number) >= parts - longer, 1).otherwise(0)
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """Array of (key, indexed): the line's own segments, and the substrings with which it probes."""
-    n = F.char_length(line)
+def segment_keys(line: Column, n: Column, edits: int) -> Column:
+    """Array of (key, indexed): the line's own segments, and the substrings with which it probes. ``n`` is its length."""
     found = []
     for number in range(edits + 1):
         start, size = _segment(n, number, edits)
@@ -137,22 +152,30 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def alike(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """(lid, component) of the lines that are within ``edits`` edits of another text; other lines are left out."""
+    # The small sides below grow with the corpus, so they are merged and not broadcast at any size.
     spark = docs.sparkSession
     lines = occurrences(docs, min_chars).select("line", "lid")
-    keyed = lines.select("lid", F.explode(segment_keys(F.col("line"), edits)).alias("_k")).select("lid", "_k.key", "_k.indexed").where("key IS NOT NULL")
+    keyed = lines.withColumn("n", F.char_length("line")).select("lid", segment_keys(F.col("line"), F.col("n"), edits).alias("_a"))
+    # The filter of the array also keeps its long expression out of generated code, which would outgrow the compiler.
+    keyed = keyed.select("lid", F.explode(F.filter("_a", lambda k: k["key"].isNotNull())).alias("_k")).select("lid", "_k.key", "_k.indexed")
     stars = keyed.groupBy("key").agg(
         F.min(F.when(F.col("indexed"), F.col("lid"))).alias("centre"), F.min("lid").alias("lo"), F.max("lid").alias("hi")
     )
-    stars = stored(stars.where("centre IS NOT NULL AND lo <> hi").select("key", "centre"), "stars")
+    stars = stored(stars.where("centre IS NOT NULL AND lo <> hi").select("key", "centre"), "stars").hint("merge")
     released(spark)
     members = stored(keyed.join(stars, "key").groupBy("key", "lid", "centre").agg(F.max("indexed").alias("indexed")), "members")
     released(spark)
-    texts = stored(lines.join(members.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")), "texts")
+    texts = stored(lines.join(members.select("lid").distinct().hint("merge"), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")).select("lid", "line", *letter_counts(F.col("line"))), "texts")
     released(spark)
 
+    counts = lambda k: [F.col(f"l{i}").alias(f"{k}{i}") for i in range(len(LETTERS))]
+
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs within ``edits``; letter counts are compared before the texts are fetched."""
+        side = lambda k: texts.select(F.col("lid").alias(k), *counts(k))
+        near = pairs.join(side("u"), "u").join(side("v"), "v").where(close("u", "v", edits)).select("u", "v")
         a, b = texts.select(F.col("lid").alias("u"), F.col("line").alias("a")), texts.select(F.col("lid").alias("v"), F.col("line").alias("b"))
-        return pairs.join(a, "u").join(b, "v").where(within(F.col("a"), F.col("b"), edits)).select("u", "v")
+        return near.join(a, "u").join(b, "v").where(within(F.col("a"), F.col("b"), edits)).select("u", "v")
 
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     once = lambda p: p.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
@@ -160,10 +183,11 @@ def alike(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
     label = stored(components(links), "label")
     here = members.join(label.select(F.col("u").alias("lid"), "component"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(here.join(mixed, "key").where("lid <> centre").select("key", "lid", "indexed", "component"), "rest")
-    x = rest.where("indexed").select("key", F.col("lid").alias("u"), F.col("component").alias("cu"))
-    y = rest.select("key", F.col("lid").alias("v"), F.col("component").alias("cv"))
-    more = stored(confirmed(once(x.join(y, "key").where("cu <> cv").select(*pair("u", "v")))), "links")
+    open_ = here.join(mixed, "key").where("lid <> centre").select("key", "lid", "indexed", "component")
+    rest = stored(open_.join(texts.drop("line"), "lid"), "rest")
+    x = rest.where("indexed").select("key", F.col("lid").alias("u"), F.col("component").alias("cu"), *counts("x"))
+    y = rest.select("key", F.col("lid").alias("v"), F.col("component").alias("cv"), *counts("y"))
+    more = stored(confirmed(once(x.join(y, ["key"]).where((F.col("cu") != F.col("cv")) & close("x", "y", edits)).select(*pair("u", "v")))), "links")
     if not more.isEmpty():
         label = stored(components(links.unionByName(more)), "label")
     return label.select(F.col("u").alias("lid"), "component")
@@ -187,7 +211,7 @@ def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """``docs`` with each text left with the lines that stay; all columns and rows are kept."""
     gone = line_classes(docs, min_chars, edits).where("NOT kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
-    gone = stored(gone, "gone")
+    gone = stored(gone, "gone").hint("merge")
     released(docs.sparkSession)
     joined = packed(docs).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")), "left")
     whole = F.col("_row.text")
