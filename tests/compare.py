@@ -5,12 +5,13 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 from castline.bridge import TABLES
 
 
 def _plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, float):
         return f"{v:.9g}"
