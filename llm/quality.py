@@ -104,7 +104,7 @@ def text_rules() -> list[Rule]:
         Rule("symbols", symbols(t) > 0.1 * n),
         Rule("shouting", (_count(t, "!!") > 0.1 * n) | (shouted > 0.4 * F.char_length(t))),
         Rule("word_length", (F.char_length(t) > 16 * n) | (F.char_length(t) < 3 * n)),
-        Rule("repeated_lines", duplicate_lines(t) > 0.3 * F.size(F.split(t, "\n"))),
+        Rule("repeated_lines", duplicate_lines(t) > 0.5 * F.size(F.split(t, "\n"))),
     ]
 
 
@@ -117,7 +117,7 @@ def figure_rules() -> list[Rule]:
         Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
         Rule("symbols", F.col("n_symbols") > 0.1 * n),
         Rule("word_length", (F.col("word_chars") > 15 * n) | (F.col("word_chars") < 2 * n)),
-        Rule("repeated_lines", F.col("n_dup_lines") > 0.3 * F.size(F.split(F.coalesce(t, F.lit("")), "\n"))),
+        Rule("repeated_lines", F.col("n_dup_lines") > 0.5 * F.size(F.split(F.coalesce(t, F.lit("")), "\n"))),
         Rule("shouting", _count(F.coalesce(t, F.lit("")), "!!") > 0.1 * n),
     ]
 
@@ -193,6 +193,6 @@ m AS (SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(te
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > 0.1 * n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
-    OR n_dup_lines > 0.3 * n_lines OR shouts > 0.1 * n_words) AS kept
+    OR n_dup_lines > 0.5 * n_lines OR shouts > 0.1 * n_words) AS kept
 FROM m
 """
