@@ -223,9 +223,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
 
 def op7_line_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    lines = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), "\n")).cast("long")
+    whole = F.coalesce("text", F.lit(""))
+    lines = lambda c: (F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return dedup_lines(docs).select(
-        "doc_id", lines(F.col("text")).alias("n_lines"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
+        "doc_id", lines(whole).alias("n_lines"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 
