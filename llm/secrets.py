@@ -2,23 +2,27 @@ r"""Secrets in texts and in what the texts encode.
 
 Each text is the first layer of a worklist. A layer is scanned for the three base kinds; then every
 encoded run in it (percent escapes, \u and \x escapes, base64, and compressed bytes within base64) is
-decoded into a further layer, until no new layer appears. A layer whose content was met before in the
-same text is not opened again, which ends cycles. Every layer carries, for each of its characters, the
-span of the original text that it came from, so a match is reported where its encoded form lies.
-Percent and backslash escapes are mapped to the character, base64 to the group of four, a compressed
-layer to its whole run.
+decoded into a further layer, until no new layer appears. A layer with the content of one that it was
+decoded from is scanned but not opened, which ends cycles; content that stands at several places is
+reported at each. Every layer carries, for each of its characters, the span of the original text that
+it came from, so a match is reported where its encoded form lies. Percent and backslash escapes are
+mapped to the character, base64 to the group of four, a compressed layer to its run from its header on.
+
+A base64 run is one of either alphabet, since both have the same values. Other characters of the
+alphabet may stand before it, so it is read in all four steps, and each readable part of the bytes is a
+layer (a part without matches or encoded runs is left out). A run wrapped over lines is read as a whole and line by line.
 
 A compressed run is opened to at most MAX_LAYER bytes at a time: a longer one is scanned in windows
 of that size which overlap by OVERLAP, so nothing is skipped and memory stays bounded.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; bytes that
-are not UTF-8 text are not a layer; an empty table gives an empty result; other columns are ignored.
+are not UTF-8 text are not a layer; ``n_layers`` counts different contents; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -43,9 +47,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
-_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}")
+_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Lines of a run and its last, shorter one.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{20,}+)*+)(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)?={0,2}"
+)
+_WORDS_AFTER = re.compile(r"[ \t]+[^ \t\r\n]")
+_IN_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: No shorter text holds a secret or an encoded one.
+LEAST_TEXT = 15
+_TEXT = re.compile(
+    rb"(?:[\t\n\r\x20-\x7f]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++"
+)
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -145,50 +162,75 @@ def _unpacked(raw: bytes) -> Iterator[str]:
         return
 
 
+def _runs(text: str) -> Iterator[np.ndarray]:
+    """The places of the characters of each base64 run, padding included."""
+    for m in _BASE64.finditer(text):
+        yield np.arange(m.start(), m.end())
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        # A shorter last line before other words may be a word itself, so the run is read without it too.
+        unsure = m.end(1) < m.end() and text[m.end() - 1] != "=" and _WORDS_AFTER.match(text, m.end())
+        for end in (m.end(1), m.end()) if unsure else (m.end(),):
+            if "\n" in text[m.start() : end]:
+                yield np.concatenate([np.arange(x.start(), x.end()) for x in _IN_RUN.finditer(text, m.start(), end)])
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers that base64 runs of ``layer`` hold, compressed or not."""
     starts, ends = layer.bounds()
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        padded = run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4)
-        try:
-            raw = base64.b64decode(padded, validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if (text := _readable(raw)) is not None:
-            size = np.array([len(c.encode("utf-8")) for c in text], np.int64)
-            stop = np.cumsum(size)
-            first, last = (stop - size) // 3 * 4, np.minimum((stop - 1) // 3 * 4 + 4, m.end() - m.start())
-            yield Layer(text, starts[m.start() + first], ends[m.start() + last - 1])
-            continue
-        for text in _unpacked(raw):
-            n = len(text)
-            yield Layer(text, np.full(n, starts[m.start()]), np.full(n, ends[m.end() - 1]))
+    for at in _runs(layer.text):
+        whole = layer.text[at[0] : at[-1] + 1]
+        if len(whole) > len(at):
+            whole = "".join(_IN_RUN.findall(whole))
+        whole = whole.rstrip("=").replace("-", "+").replace("_", "/")
+        for step in range(4):
+            run = whole[step:]
+            if len(run) % 4 == 1:
+                run = run[:-1]
+            raw = base64.b64decode(run + "=" * (-len(run) % 4))
+            for m in _TEXT.finditer(raw):
+                if m.end() - m.start() < LEAST_TEXT:
+                    continue
+                text = m.group().decode("utf-8")
+                if m.end() - m.start() < len(raw) and not base_spans(text) and not _HINT.search(text):
+                    continue
+                size = np.ones(len(text), np.int64) if text.isascii() else np.array([len(c.encode("utf-8")) for c in text], np.int64)
+                stop = m.start() + np.cumsum(size)
+                first, last = step + (stop - size) // 3 * 4, np.minimum(step + (stop - 1) // 3 * 4 + 4, len(at))
+                yield Layer(text, starts[at[first]], ends[at[last - 1]])
+            for m in _PACKED.finditer(raw):
+                for text in _unpacked(raw[m.start() :]):
+                    n = len(text)
+                    yield Layer(text, np.full(n, starts[at[step + m.start() // 3 * 4]]), np.full(n, ends[at[-1]]))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """(base spans, all spans, layers opened beside the text itself)."""
+    """(base spans, all spans, different contents beside the text itself)."""
     base = base_spans(text)
     if not _HINT.search(text):
         return base, base, 0
-    spans, seen, work = set(base), {hashlib.sha1(text.encode("utf-8", "replace")).digest()}, [Layer(text)]
-    layers = 0
+    digest = lambda raw: hashlib.sha1(raw).digest()
+    mark = digest(text.encode("utf-8", "replace"))
+    spans, seen, work = set(base), set(), [(Layer(text), frozenset([mark]))]
+    held = {mark: base}  # base spans by content
     while work:
-        layer = work.pop()
+        layer, above = work.pop()
         further = [unescaped(layer)] if ("%" in layer.text or "\\" in layer.text) else []
         for found in [*further, *unwrapped(layer)]:
-            if found is None or (mark := hashlib.sha1(found.text.encode("utf-8", "replace")).digest()) in seen:
+            if found is None:
+                continue
+            mark = digest(found.text.encode("utf-8", "replace"))
+            place = (mark, digest(found.starts.tobytes()), digest(found.ends.tobytes()))
+            if place in seen:  # the same content from the same characters, by another way
                 continue
-            seen.add(mark)
-            layers += 1
-            for start, kind, end in base_spans(found.text):
+            seen.add(place)
+            if mark not in held:
+                held[mark] = base_spans(found.text)
+            for start, kind, end in held[mark]:
                 a, b = found.origin(start, end)
                 spans.add((a, kind, b))
-            if _HINT.search(found.text):
-                work.append(found)
-    return base, sorted(spans), layers
+            if mark not in above and _HINT.search(found.text):
+                work.append((found, above | {mark}))
+    return base, sorted(spans), len(held) - 1
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -85,6 +85,34 @@ def test_cycles_end_and_large_layers_are_read_in_windows(monkeypatch):
     assert secrets.scan(base64.b64encode(raw).decode())[1]
 
 
+def _found(text):
+    return [text[a:b] for a, k, b in secrets.scan(text)[1] if k == 0]
+
+
+def test_every_occurrence_of_an_encoded_secret_is_found():
+    for form in (base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode()):
+        assert len(_found(f"{form} and {form}")) == 2
+        twice = base64.b64encode(f"{form} and {form}".encode()).decode()
+        assert len(_found(f"{twice} and {twice}")) == 4
+
+
+def test_braced_escapes_are_opened():
+    form = "".join(f"\\u{{{ord(c):x}}}" for c in SECRET)
+    assert _found(f"only {form} here") == [form.removesuffix("\\u{22}")]  # the match ends before the quotation mark
+
+
+def test_base64_in_the_other_alphabet_out_of_step_and_wrapped():
+    late = base64.urlsafe_b64encode(("lorem ipsum dolor sit ~~~???>>>" + SECRET).encode()).decode()
+    assert late.find("-") > 20 and len(_found(late)) == 1
+    form = base64.b64encode(SECRET.encode()).decode()
+    for before in ("a", "ab", "abc", "data/", "k_", "/api/v1/"):
+        assert _found(f"x {before}{form} y") == [form]
+    run = base64.b64encode(("lorem ipsum dolor sit amet " + SECRET + " consetetur" * 3).encode()).decode()
+    for width, gap in ((24, "\n"), (30, "\r\n  "), (64, "\n\t")):
+        text = gap.join(run[i : i + width] for i in range(0, len(run), width))
+        assert any(len(x.replace("\r", "").replace("\n", "").replace(" ", "").replace("\t", "")) >= 36 for x in _found(f"head\n{text}\nafter the run"))
+
+
 def test_secrets_on_edges(edge, empty):
     got = secrets.secrets(edge).collect()
     assert len(got) == 11 and all(r.spans == "" for r in got if r.doc_id in (1, 2, 3))
