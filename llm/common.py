@@ -41,6 +41,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """tag, ``_row``: each row with a number of its own, written once, so that what is found of a row goes back to it whatever its doc_id."""
+    return stored(packed(docs).select(F.monotonically_increasing_id().alias("tag"), "_row"), "numbered")
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """tag, doc_id, text of numbered rows."""
+    return rows.select("tag", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\x20\x09-\x0D]+`` of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

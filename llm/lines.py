@@ -3,7 +3,7 @@ r"""Line dedup by a segment-partition edit join, in DataFrame functions only.
 Lines are the \n-split parts of a text, compared without the blanks around them. Lines of at least
 MIN_CHARS code points take part; shorter ones always stay. Two lines are alike if at most ``edits``
 single-character edits turn one into the other; alikeness is closed transitively, and of each class
-the first occurrence (by doc_id, then position) stays.
+the first occurrence (by doc_id, then row, then position) stays.
 
 1. A line is cut into edits + 1 even segments. Two lines within ``edits`` edits share a segment, at a
    place that the lengths bound: each line is indexed by (length, segment number, segment) and probes
@@ -15,8 +15,9 @@ the first occurrence (by doc_id, then position) stays.
    off. Keys whose lines are not all connected after that are finished pair by pair across components.
 
 Defined results: a null text stays null, an empty one empty; a text that loses every line becomes
-empty; rows that share a doc_id count as one document; rows without a doc_id share one that sorts
-first; other columns are kept as they are; an empty table gives an empty result.
+empty; each row is a document, whether or not others share its doc_id, and takes its verdicts by a row
+number; rows without a doc_id sort first; other columns are kept as they are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BLANKS, documents, packed, released, stored
+from llm.common import BLANKS, documents, numbered, released, stored, texts_of
 from llm.components import components
 
 MIN_CHARS, EDITS = 20, 2
@@ -144,9 +145,9 @@ def segment_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line (trimmed), lid (64-bit hash of it), for the lines that take part."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = split.select("doc_id", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line")).where(F.char_length("line") >= min_chars)
+    """tag, doc_id, pos, line (trimmed), lid (64-bit hash of it), for the lines that take part."""
+    split = docs.select("tag", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = split.select("tag", "doc_id", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line")).where(F.char_length("line") >= min_chars)
     return lines.withColumn("lid", F.xxhash64("line"))
 
 
@@ -194,26 +195,32 @@ def alike(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
 
 
 def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """doc_id, pos, group_size, kept: every occurrence of the lines that take part."""
-    label = alike(docs, min_chars, edits)
-    rows = occurrences(docs, min_chars).select("doc_id", "pos", "lid", F.unhex(F.md5("line")).alias("digest"))
+    """tag, doc_id, pos, group_size, kept: every occurrence of the lines that take part."""
+    return _classes(texts_of(numbered(docs)), min_chars, edits)
+
+
+def _classes(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """``line_classes`` of (tag, doc_id, text)."""
+    label = alike(texts, min_chars, edits)
+    rows = occurrences(texts, min_chars).select("tag", "doc_id", "pos", "lid", F.unhex(F.md5("line")).alias("digest"))
     # Equal lines are one class by their digest; alike ones by their component.
     classed = rows.join(label, "lid", "left").select(
-        "doc_id", "pos", F.when(F.col("component").isNotNull(), F.unhex(F.hex("component"))).otherwise(F.col("digest")).alias("class")
+        "tag", "doc_id", "pos", F.when(F.col("component").isNotNull(), F.unhex(F.hex("component"))).otherwise(F.col("digest")).alias("class")
     )
     classed = stored(classed, "classed")
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
     found = classed.join(firsts, "class", "left")
-    first = F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
-    return found.select("doc_id", "pos", F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("first").isNull() | first).alias("kept"))
+    first = (F.col("tag") == F.col("first.tag")) & (F.col("pos") == F.col("first.pos"))
+    return found.select("tag", "doc_id", "pos", F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("first").isNull() | first).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """``docs`` with each text left with the lines that stay; all columns and rows are kept."""
-    gone = line_classes(docs, min_chars, edits).where("NOT kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
+    rows = numbered(docs)
+    gone = _classes(texts_of(rows), min_chars, edits).where("NOT kept").groupBy("tag").agg(F.collect_set("pos").alias("_gone"))
     gone = stored(gone, "gone").hint("merge")
     released(docs.sparkSession)
-    joined = packed(docs).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")), "left")
+    joined = rows.join(gone, "tag", "left")
     whole = F.col("_row.text")
     lines = F.split(whole, "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))

@@ -13,8 +13,9 @@
 A pair at similarity 0.8 shares no band with a probability of about (1 - 0.8**4)**32 = 5e-8.
 
 Defined results: a text without words has an empty set and is linked with nothing; rows with equal
-sets, repeated rows included, are in one component; a null doc_id never is a component's id unless all
-its rows have none (``kept`` is then false); an empty table gives an empty result; other columns are ignored.
+sets, repeated rows included, are in one component; rows are told apart by a row number, so that those
+without a doc_id, or with the same one, have verdicts of their own; a null doc_id never is a component's
+id unless all its rows have none (``kept`` is then false); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, packed, stored
+from llm.common import documents, numbered, stored, texts_of
 from llm.components import components
 from llm.shingles import WordHashes, mix, shingle_set
 
@@ -73,8 +74,8 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """tag, doc_id, n, s1, s2, buckets: a row for each row of ``docs``, written to the shared folder."""
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """tag, doc_id, n, s1, s2, buckets: a row for each (tag, doc_id, text), written to the shared folder."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -85,28 +86,26 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 out.append((len(s), *set_hash(s), bucket_keys(signature(s)).tolist()) if len(s) else (0, 0, 0, []))
             yield pd.concat([b[["tag", "doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "s1", "s2", "buckets"])], axis=1)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("tag"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    kind = dict(texts.dtypes)["doc_id"]
+    rows = texts.select("tag", F.col("doc_id").cast("string").alias("doc_id"), "text")
     made = rows.mapInPandas(run, "tag long, doc_id string, n long, s1 long, s2 long, buckets array<long>")
     return stored(made.withColumn("doc_id", F.col("doc_id").cast(kind)), "sketches")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set, odd) of the given nodes (node, doc_id, s1, s2), from the texts of their documents."""
+def node_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, set, odd) of the given nodes (node), from the texts of their rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
             out = []
-            for node, s1, s2, text in zip(b["node"], b["s1"], b["s2"], b["text"], strict=True):
+            for node, text in zip(b["node"], b["text"], strict=True):
                 s = shingle_set(text, size, cache)
-                if len(s) and set_hash(s) == (s1, s2):  # of rows that share a doc_id, the node's own
-                    out.append((node, s.tobytes(), parities(s)))
+                out.append((node, s.tobytes(), parities(s)))
             yield pd.DataFrame(out, columns=["node", "set", "odd"])
 
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    found = nodes.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "s1", "s2", "text")
-    return stored(found.mapInPandas(run, "node long, set binary, odd array<long>").dropDuplicates(["node"]), "sets")
+    found = nodes.join(texts.select(F.col("tag").alias("node"), "text"), "node")
+    return stored(found.mapInPandas(run, "node long, set binary, odd array<long>"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,8 +127,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
-    rows = sketches(docs, size)
-    nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("tag").alias("node"), F.min("doc_id").alias("least"))
+    return verdicts(texts_of(numbered(docs)), size, percent).drop("tag", "first")
+
+
+def verdicts(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """tag, doc_id, n_shingles, component_id, kept, first: one row for each (tag, doc_id, text).
+
+    ``first`` is the tag of the component's first row, by doc_id (rows without one last) and tag; null for a text without words.
+    """
+    rows = sketches(texts, size)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("least")
+    nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("tag").alias("node"), least)
     nodes = stored(nodes, "nodes")
     keyed = rows.join(nodes.select(F.col("node").alias("tag")), "tag").select(F.col("tag").alias("node"), "n", F.explode("buckets").alias("bucket"))
     # A group of near copies has a text that the others were made from: it meets more of them than they
@@ -147,8 +155,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .groupBy(F.col("node").alias("v"), F.col("centre").alias("u")).agg(F.max("rank").alias("rank")),
         "edges",
     )
-    own = rows.select(F.col("tag").alias("node"), "doc_id", "s1", "s2").join(members.select("node").distinct(), "node")
-    sets = node_sets(docs, own, size)
+    sets = node_sets(texts, members.select("node").distinct(), size)
 
     def joined(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs with the component of both ends; a node without links is its own."""
@@ -179,22 +186,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not more.isEmpty():
             label = stored(components(links.unionByName(more)), "label")
     named = nodes.join(label.select(F.col("u").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("s1", "s2", "n", "component_id")
+    ids = named.groupBy("component").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(ids, "component").select("s1", "s2", "n", F.col("least.doc_id").alias("component_id"), F.col("least.tag").alias("first"))
     out = rows.join(named, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return out.select("tag", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "first")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without those that follow the first of their component.
 
-    Rows without a doc_id stay; rows that repeat in every column are written once.
+    Rows without a doc_id follow those with one. Texts without words stay, but rows of them that repeat in every column are written once.
     """
-    verdict = stored(near_duplicates(docs, size, percent), "verdict").where("doc_id IS NOT NULL")
-    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone_id"))
-    left = packed(docs).join(gone, F.col("_row.doc_id") == F.col("_gone_id"), "left_anti").select("_row.*")
-    return left if verdict.groupBy("doc_id").count().where("count > 1").isEmpty() else left.dropDuplicates()
+    rows = numbered(docs)
+    verdict = stored(verdicts(texts_of(rows), size, percent), "verdict")
+    left = rows.join(verdict.where("tag <> first").select("tag"), "tag", "left_anti").select("_row.*")
+    blank = verdict.where("first IS NULL").groupBy("doc_id").count()
+    return left if blank.where("count > 1").isEmpty() else left.dropDuplicates()
 
 
 def op10_near_duplicates(spark, sf_dir):

@@ -341,6 +341,17 @@ def test_line_dedup_on_edges(edge, empty):
     assert by[None].count("\n") == 1 and by[5] == by[6] == ""  # the row without a doc_id stands first
 
 
+def test_lines_are_taken_out_of_their_own_row_only(spark):
+    """Rows without a doc_id and rows that share one are documents of their own."""
+    copy = "this line stands in several of the texts"
+    own = lambda k: f"{k * 7919} a line that only text {k} has {k * 104729}"
+    for ids in ([None] * 6, [3] * 6, [None, 3, None, 3, 4, None]):
+        texts = ["\n".join([own(4 * k), own(4 * k + 1), copy if k % 2 else own(4 * k + 2), own(4 * k + 3)]) for k in range(6)]
+        got = [r.text for r in lines.dedup_lines(_docs(spark, zip(ids, texts, strict=True))).collect()]
+        found = Counter(x for t in got for x in t.split("\n"))
+        assert found == Counter({x for t in texts for x in t.split("\n")})
+
+
 # Chat --------------------------------------------------------------------------------------------
 
 
@@ -458,6 +469,14 @@ def test_near_duplicates_on_edges(edge, empty):
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 8]
 
 
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    base = " ".join(f"w{k}" for k in range(200))
+    other, third = " ".join(f"v{k}" for k in range(200)), " ".join(f"u{k}" for k in range(200))
+    got = minhash.keep_one(_docs(spark, [(1, base), (7, base + " tail"), (7, other), (None, third), (None, third + " tail"), (None, "alone"), (9, base)])).collect()
+    left = Counter((r.doc_id, r.text.split()[0]) for r in got)
+    assert left == {(1, "w0"): 1, (7, "v0"): 1, (None, "u0"): 1, (None, "alone"): 1}
+
+
 # Mixing ------------------------------------------------------------------------------------------
 
 
