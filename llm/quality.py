@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, packed, words_of
+from llm.common import BLANKS, documents, packed, words_of
 
 WINDOW = 8
 SAMPLE_ROWS = 1000
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 1000
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a condition on the text column ``_t`` and the words column ``_w``."""
+    """``rejects`` is a condition on the columns of ``measure``, or on a text ``_t`` and its words ``_w``."""
 
     name: str
     rejects: Column
@@ -85,7 +85,7 @@ def measure(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.col("_t").alias("text"),
             F.size("_w").cast("long").alias("n_words"),
-            F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            word_chars(text).alias("word_chars"),
             symbols(text).alias("n_symbols"),
             duplicate_lines(text).alias("n_dup_lines"),
             repeated_words(F.col("_w")).alias("n_repeat_words"),
@@ -93,33 +93,33 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def text_rules() -> list[Rule]:
-    """The rules on a text ``_t`` (never null) and its words ``_w``. Base: few_words and repeated_words."""
-    t, w = F.col("_t"), F.col("_w")
-    n = F.size(w)
-    shouted = F.char_length(t) - F.char_length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+def word_chars(text: Column) -> Column:
+    """Characters that are not blanks."""
+    return F.char_length(F.translate(text, BLANKS, "")).cast("long")
+
+
+def _rules(n: Column, repeat_words: Column, n_symbols: Column, chars: Column, dup_lines: Column, text: Column) -> list[Rule]:
+    """The one list of rules, on figures or on the expressions that make them. Base: few_words and repeated_words."""
     return [
         Rule("few_words", n < 20),
-        Rule("repeated_words", 100 * repeated_words(w) > 30 * n),
-        Rule("symbols", symbols(t) > 0.1 * n),
-        Rule("shouting", (_count(t, "!!") > 0.1 * n) | (shouted > 0.4 * F.char_length(t))),
-        Rule("word_length", (F.char_length(t) > 16 * n) | (F.char_length(t) < 3 * n)),
-        Rule("repeated_lines", duplicate_lines(t) > 0.5 * F.size(F.split(t, "\n"))),
+        Rule("repeated_words", 100 * repeat_words > 30 * n),
+        Rule("symbols", n_symbols > 0.1 * n),
+        Rule("shouting", _count(text, "!!") > 0.1 * n),
+        Rule("word_length", (chars > 15 * n) | (chars < 2 * n)),
+        Rule("repeated_lines", dup_lines > 0.5 * F.size(F.split(text, "\n"))),
     ]
 
 
+def text_rules() -> list[Rule]:
+    """The rules on a text ``_t`` (never null) and its words ``_w``."""
+    t, w = F.col("_t"), F.col("_w")
+    return _rules(F.size(w), repeated_words(w), symbols(t), word_chars(t), duplicate_lines(t), t)
+
+
 def figure_rules() -> list[Rule]:
-    """The same base rules and line and symbol rules on figures that ``measure`` has made."""
-    n = F.col("n_words")
-    t = F.col("text")
-    return [
-        Rule("few_words", n < 20),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
-        Rule("symbols", F.col("n_symbols") > 0.1 * n),
-        Rule("word_length", (F.col("word_chars") > 15 * n) | (F.col("word_chars") < 2 * n)),
-        Rule("repeated_lines", F.col("n_dup_lines") > 0.5 * F.size(F.split(F.coalesce(t, F.lit("")), "\n"))),
-        Rule("shouting", _count(F.coalesce(t, F.lit("")), "!!") > 0.1 * n),
-    ]
+    """The same rules on figures that ``measure`` has made."""
+    figures = [F.col(c) for c in ("n_words", "n_repeat_words", "n_symbols", "word_chars", "n_dup_lines")]
+    return _rules(*figures, F.coalesce(F.col("text"), F.lit("")))
 
 
 def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:

@@ -147,6 +147,14 @@ def test_cascade_order_changes_no_verdict_and_keeps_columns(edge, empty):
     assert quality.keep(edge).columns == edge.columns and quality.keep(empty).count() == 0
 
 
+def test_keep_returns_the_rows_that_judge_keeps(spark):
+    plain = [f"word{k}" for k in range(40)]
+    texts = [" ".join(plain), (" " * 60).join(plain), " ".join(plain).upper(), "\n\t\t\t".join(plain), "a b " + " ".join("xyzuvwrst"[k % 9] for k in range(0, 60, 7)), " ".join(plain) + " !!" * 9, "# " * 9 + " ".join(plain), "x" * 900 + " ".join(plain)]
+    docs = _docs(spark, enumerate(texts))
+    judged = {r.doc_id for r in quality.judge(docs).collect() if r.kept}
+    assert {r.doc_id for r in quality.keep(docs).collect()} == judged == {0, 1, 2, 3}
+
+
 def test_rules_with_more_rejections_a_second_come_first(edge):
     order = quality.planned(quality.measure(edge), quality.figure_rules())
     worth = [share / max(s, 1e-6) for _, s, share in order]
