@@ -1,18 +1,21 @@
 r"""Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines are the \n-split parts of a text, compared without the blanks around them. Lines of at least
-MIN_CHARS code points take part; shorter ones always stay. Two lines are alike if at most ``edits``
-single-character edits turn one into the other; alikeness is closed transitively, and of each class
-the first occurrence (by doc_id, then row, then position) stays.
-
-1. A line is cut into edits + 1 even segments. Two lines within ``edits`` edits share a segment, at a
-   place that the lengths bound: each line is indexed by (length, segment number, segment) and probes
-   the indexes of its own and the next shorter lengths, only with the substrings that the
-   multi-match-aware window allows.
-2. Keys with several lines are found by aggregation (least and largest line, least indexed line), so a
+Lines are the \n-split parts of a text, compared without the blanks around them; blank lines always
+stay. Two lines are alike if single-character edits turn one into the other, at most ``edits`` of them
+and at most one for each EVERY characters of the shorter line (so very short lines must be equal).
+Alikeness is closed transitively, and of each class the first occurrence (by doc_id, then row, then
+position) stays.
+
+1. Distinct lines are found by their whole text and numbered, so no hash stands for a line.
+2. A line of ``n`` characters is cut into edits + 1 even segments (as many edits as its length allows).
+   Two lines within that many edits share a segment, at a place that the lengths bound: each line is
+   indexed by (length, segment number, segment) and probes the indexes of its own and the next shorter
+   lengths, only with the substrings that the multi-match-aware window allows.
+3. Keys with several lines are found by aggregation (least and largest line, least indexed line), so a
    key that many lines share is folded before the shuffle. Its least indexed line is the star's centre.
-3. Pairs whose letter counts allow it (an exact bound) are verified by banded bit-parallel edit distance, after what both begin and end with is cut
-   off. Keys whose lines are not all connected after that are finished pair by pair across components.
+4. Pairs whose letter counts allow it (an exact bound) are verified by banded bit-parallel edit
+   distance, after what both begin and end with is cut off. Keys whose lines are not all connected
+   after that are finished pair by pair across components.
 
 Defined results: a null text stays null, an empty one empty; a text that loses every line becomes
 empty; each row is a document, whether or not others share its doc_id, and takes its verdicts by a row
@@ -22,13 +25,15 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BLANKS, documents, numbered, released, stored, texts_of
+from llm.common import BLANKS, documents, emptied, numbered, released, stored, texts_of
 from llm.components import components
 
-MIN_CHARS, EDITS = 20, 2
+EDITS, EVERY = 2, 10
 LETTERS = "etaonisrhldu cmg"
 
 
@@ -116,67 +121,80 @@ def close(a: str, b: str, edits: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * edits
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """(start, size) of a segment, 0-based, of an even cut of ``length`` characters into edits + 1."""
-    parts = edits + 1
-    base = F.floor(length / parts).cast("int")
-    longer = length - base * parts  # so many of the last segments have one more
-    return base * number + F.greatest(F.lit(0), F.lit(number - parts) + longer), base + F.when(F.lit(number) >= parts - longer, 1).otherwise(0)
-
-
-def segment_keys(line: Column, n: Column, edits: int) -> Column:
-    """Array of (key, indexed): the line's own segments, and the substrings with which it probes. ``n`` is its length."""
-    found = []
-    for number in range(edits + 1):
-        start, size = _segment(n, number, edits)
-        found.append(F.struct(F.xxhash64(n, F.lit(number), F.substring(line, start + 1, size)).alias("key"), F.lit(True).alias("indexed")))
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for number in range(edits + 1):
-            start, size = _segment(length, number, edits)
-            low, high = max(-number, shorter - (edits - number)), min(number, shorter + (edits - number))
-            for off in range(low, high + 1):
-                if shorter == 0 and off == 0:
-                    continue  # the line's own segment, indexed above
-                at = start + off
-                key = F.xxhash64(length, F.lit(number), F.substring(line, at + 1, size))
-                found.append(F.struct(F.when((at >= 0) & (at + size <= n), key).alias("key"), F.lit(False).alias("indexed")))
-    return F.array(*found)
-
-
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """tag, doc_id, pos, line (trimmed), lid (64-bit hash of it), for the lines that take part."""
-    split = docs.select("tag", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = split.select("tag", "doc_id", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line")).where(F.char_length("line") >= min_chars)
-    return lines.withColumn("lid", F.xxhash64("line"))
-
-
-def alike(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """(lid, component) of the lines that are within ``edits`` edits of another text; other lines are left out."""
+def allowed(shorter: Column, edits: int) -> Column:
+    """How many edits a pair may be apart whose shorter line has so many characters."""
+    return F.least(F.lit(edits), F.floor(shorter / EVERY).cast("int"))
+
+
+def windows(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, shorter by, segment number, offset) of every segment (0, 0) and probe, for 1 to ``edits`` edits."""
+    return [
+        (k, less, number, off)
+        for k in range(1, edits + 1) for less in range(k + 1) for number in range(k + 1)
+        for off in range(max(-number, less - (k - number)), min(number, less + (k - number)) + 1)
+    ]
+
+
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """lid, key, indexed: the segments of each (lid, line, n), and the substrings with which it probes.
+
+    A segment of an even cut into parts begins at base * number, and later by as many of the last
+    segments, one character longer, as lie before it.
+    """
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(w, ("k", "less", "number", "off"), strict=True)]) for w in windows(edits)])
+    at = lines.where(F.col("n") >= EVERY).select("lid", "line", "n", F.explode(table).alias("w")).select("lid", "line", "n", "w.*")
+    at = at.withColumn("m", F.col("n") - F.col("less")).where(F.col("k") == allowed(F.col("m"), edits))
+    at = at.withColumn("base", F.expr("cast(m div (k + 1) AS int)")).withColumn("plain", F.expr("k + 1 - m % (k + 1)"))
+    at = at.withColumn("size", F.col("base") + F.when(F.col("number") >= F.col("plain"), 1).otherwise(0))
+    at = at.withColumn("at", F.col("base") * F.col("number") + F.greatest(F.lit(0), F.col("number") - F.col("plain")) + F.col("off"))
+    at = at.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    key = F.xxhash64("m", "number", F.substring(F.col("line"), F.col("at") + 1, F.col("size")))
+    return at.select("lid", key.alias("key"), ((F.col("less") == 0) & (F.col("off") == 0)).alias("indexed"))
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """The other columns of ``texts``, pos, line: every line that is not blank, without the blanks around it."""
+    rest = [c for c in texts.columns if c != "text"]
+    split = texts.select(*rest, F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return split.select(*rest, "pos", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
+
+
+def _digest(line: str) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+
+
+def distinct_lines(texts: DataFrame) -> DataFrame:
+    """lid, line, n, copies: each line once, with a number of its own."""
+    lines = occurrences(texts.select("text")).groupBy("line").agg(F.count("*").alias("copies"))
+    return stored(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("n"), "copies"), "lines")
+
+
+def alike(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(lid, component) of the distinct lines that are alike to another; other lines are left out."""
     # The small sides below grow with the corpus, so they are merged and not broadcast at any size.
-    spark = docs.sparkSession
-    lines = occurrences(docs, min_chars).select("line", "lid")
-    keyed = lines.withColumn("n", F.char_length("line")).select("lid", segment_keys(F.col("line"), F.col("n"), edits).alias("_a"))
-    # The filter of the array also keeps its long expression out of generated code, which would outgrow the compiler.
-    keyed = keyed.select("lid", F.explode(F.filter("_a", lambda k: k["key"].isNotNull())).alias("_k")).select("lid", "_k.key", "_k.indexed")
+    spark = lines.sparkSession
+    keyed = segment_keys(lines, edits)
     stars = keyed.groupBy("key").agg(
         F.min(F.when(F.col("indexed"), F.col("lid"))).alias("centre"), F.min("lid").alias("lo"), F.max("lid").alias("hi")
     )
     stars = stored(stars.where("centre IS NOT NULL AND lo <> hi").select("key", "centre"), "stars").hint("merge")
     released(spark)
-    members = stored(keyed.join(stars, "key").groupBy("key", "lid", "centre").agg(F.max("indexed").alias("indexed")), "members")
+    members = stored(keyed.join(stars, "key"), "members")
     released(spark)
-    texts = stored(lines.join(members.select("lid").distinct().hint("merge"), "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")).select("lid", "line", *letter_counts(F.col("line"))), "texts")
+    wanted = members.select("lid").distinct().hint("merge")
+    texts = stored(lines.join(wanted, "lid", "left_semi").select("lid", "line", "n", *letter_counts(F.col("line"))), "texts")
     released(spark)
 
     counts = lambda k: [F.col(f"l{i}").alias(f"{k}{i}") for i in range(len(LETTERS))]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs within ``edits``; letter counts are compared before the texts are fetched."""
+        """Pairs within the edits their length allows; letter counts are compared before the texts are fetched."""
         side = lambda k: texts.select(F.col("lid").alias(k), *counts(k))
         near = pairs.join(side("u"), "u").join(side("v"), "v").where(close("u", "v", edits)).select("u", "v")
-        a, b = texts.select(F.col("lid").alias("u"), F.col("line").alias("a")), texts.select(F.col("lid").alias("v"), F.col("line").alias("b"))
-        return near.join(a, "u").join(b, "v").where(within(F.col("a"), F.col("b"), edits)).select("u", "v")
+        side = lambda k, c: texts.select(F.col("lid").alias(k), F.col("line").alias(c), F.col("n").alias(f"n{c}"))
+        full = near.join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("k", allowed(F.least("na", "nb"), edits))
+        ways = [(F.col("k") == k) & within(F.col("a"), F.col("b"), k) for k in range(1, edits + 1)]
+        return full.where(functools.reduce(Column.__or__, ways, F.lit(False))).select("u", "v")
 
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     once = lambda p: p.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
@@ -185,46 +203,65 @@ def alike(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
     here = members.join(label.select(F.col("u").alias("lid"), "component"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = here.join(mixed, "key").where("lid <> centre").select("key", "lid", "indexed", "component")
-    rest = stored(open_.join(texts.drop("line"), "lid"), "rest")
+    rest = stored(open_.join(texts.drop("line", "n"), "lid"), "rest")
     x = rest.where("indexed").select("key", F.col("lid").alias("u"), F.col("component").alias("cu"), *counts("x"))
     y = rest.select("key", F.col("lid").alias("v"), F.col("component").alias("cv"), *counts("y"))
     more = stored(confirmed(once(x.join(y, ["key"]).where((F.col("cu") != F.col("cv")) & close("x", "y", edits)).select(*pair("u", "v")))), "links")
     if not more.isEmpty():
         label = stored(components(links.unionByName(more)), "label")
+    for done in (stars, members, texts, rest):
+        emptied(done)
     return label.select(F.col("u").alias("lid"), "component")
 
 
-def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """tag, doc_id, pos, group_size, kept: every occurrence of the lines that take part."""
-    return _classes(texts_of(numbered(docs)), min_chars, edits)
+def classes(texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h1, h2, class: the lines (by a 128-bit hash) that occur more than once or are alike to another."""
+    lines = distinct_lines(texts)
+    released(texts.sparkSession)
+    found = lines.join(alike(lines, edits).hint("merge"), "lid", "left").where("copies > 1 OR component IS NOT NULL")
+    found = stored(found.select(*_digest("line"), F.coalesce("component", "lid").alias("class")), "classes")
+    emptied(lines)
+    released(texts.sparkSession)
+    return found
 
 
-def _classes(texts: DataFrame, min_chars: int, edits: int) -> DataFrame:
-    """``line_classes`` of (tag, doc_id, text)."""
-    label = alike(texts, min_chars, edits)
-    rows = occurrences(texts, min_chars).select("tag", "doc_id", "pos", "lid", F.unhex(F.md5("line")).alias("digest"))
-    # Equal lines are one class by their digest; alike ones by their component.
-    classed = rows.join(label, "lid", "left").select(
-        "tag", "doc_id", "pos", F.when(F.col("component").isNotNull(), F.unhex(F.hex("component"))).otherwise(F.col("digest")).alias("class")
-    )
-    classed = stored(classed, "classed")
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
-    found = classed.join(firsts, "class", "left")
-    first = (F.col("tag") == F.col("first.tag")) & (F.col("pos") == F.col("first.pos"))
-    return found.select("tag", "doc_id", "pos", F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("first").isNull() | first).alias("kept"))
+def classed(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """tag, doc_id, pos, class: the occurrences whose class has more than one."""
+    at = occurrences(texts).select("tag", "doc_id", "pos", *_digest("line"))
+    return stored(at.join(found.hint("merge"), ["h1", "h2"]).select("tag", "doc_id", "pos", "class"), "classed")
+
+
+def firsts(rows: DataFrame) -> DataFrame:
+    """class, group_size and the first occurrence's doc_id, tag and pos."""
+    got = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("_f"), F.count("*").alias("group_size"))
+    return got.select("class", "group_size", "_f.*")
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """tag, doc_id, pos, group_size, kept: every line that is not blank."""
+    texts = texts_of(numbered(docs))
+    rows = classed(texts, classes(texts, edits))
+    first = firsts(rows)
+    sized = rows.join(first.select("class", "group_size"), "class").select("tag", "pos", "group_size")
+    sized = sized.join(first.select("tag", "pos", F.lit(True).alias("_first")), ["tag", "pos"], "left")
+    out = occurrences(texts).select("tag", "doc_id", "pos").join(sized, ["tag", "pos"], "left")
+    return out.select("tag", "doc_id", "pos", F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("group_size").isNull() | F.col("_first").isNotNull()).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with each text left with the lines that stay; all columns and rows are kept."""
+    found = classes(docs.select("text"), edits)
     rows = numbered(docs)
-    gone = _classes(texts_of(rows), min_chars, edits).where("NOT kept").groupBy("tag").agg(F.collect_set("pos").alias("_gone"))
-    gone = stored(gone, "gone").hint("merge")
+    at = classed(texts_of(rows), found)
+    # What is first in its class is taken out row by row, so no class is gathered in one task.
+    marked = at.select("tag", "pos", F.lit(False).alias("first")).unionByName(firsts(at).select("tag", "pos", F.lit(True).alias("first")))
+    gone = marked.groupBy("tag").agg(F.array_except(F.collect_set("pos"), F.collect_set(F.when(F.col("first"), F.col("pos")))).alias("_gone"))
+    gone = stored(gone.where(F.size("_gone") > 0), "gone").hint("merge")
     released(docs.sparkSession)
     joined = rows.join(gone, "tag", "left")
     whole = F.col("_row.text")
-    lines = F.split(whole, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_gone").isNull() | whole.isNull(), whole).otherwise(F.array_join(left, "\n"))
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
+    text = F.when(F.col("_gone").isNull() | whole.isNull(), whole).otherwise(_once(F.split(whole, "\n"), lambda lines: F.array_join(left(lines), "\n")))
     return joined.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
@@ -241,13 +278,13 @@ def op7_line_dedup(spark, sf_dir):
 OP7_SQL = r"""
 WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 o AS MATERIALIZED (SELECT doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-d AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS k, length(line) AS n FROM (SELECT DISTINCT line FROM o WHERE length(line) >= 20)),
-g AS MATERIALIZED (SELECT k, line, n, unnest([0, 1, 2]) AS s FROM d),
+d AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS k, length(line) AS n FROM (SELECT DISTINCT line FROM o WHERE line <> '')),
+g AS MATERIALIZED (SELECT k, line, n, unnest([0, 1, 2]) AS s FROM d WHERE n >= 10),
 x AS MATERIALIZED (SELECT k, n, s, substr(line, 1 + s * (n // 3), n // 3) AS piece, s * (n // 3) AS at FROM g),
-y AS MATERIALIZED (SELECT k, line, n, unnest([0, 1, 2]) AS less FROM d),
+y AS MATERIALIZED (SELECT k, line, n, unnest([0, 1, 2]) AS less FROM d WHERE n >= 10),
 z AS MATERIALIZED (SELECT k, n - less AS m, s, substr(line, 1 + s * ((n - less) // 3) + off, (n - less) // 3) AS piece FROM y, (SELECT unnest([0, 1, 2]) AS s), (SELECT unnest([-2, -1, 0, 1, 2]) AS off) WHERE s * ((n - less) // 3) + off >= 0),
 c AS MATERIALIZED (SELECT DISTINCT x.k AS a, z.k AS b FROM x JOIN z ON x.n = z.m AND x.s = z.s AND x.piece = z.piece AND x.k <> z.k),
-e AS MATERIALIZED (SELECT a, b FROM c JOIN d p ON p.k = a JOIN d q ON q.k = b WHERE levenshtein(p.line, q.line) <= 2),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN d p ON p.k = a JOIN d q ON q.k = b WHERE levenshtein(p.line, q.line) <= least(2, p.n // 10)),
 w AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS k, a AS t FROM w UNION SELECT r.k, w.b FROM r JOIN w ON w.a = r.t),
 q AS MATERIALIZED (SELECT k, min(t) AS c FROM r GROUP BY k),

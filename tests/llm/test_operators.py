@@ -308,7 +308,7 @@ def test_bit_parallel_distance_against_brute_force(spark, edits):
 def _kept_lines(texts, edits):
     """First line of each class of alike lines, by brute force."""
     at = [(d, k, x.strip(" \t\n\x0b\x0c\r")) for d, t in texts for k, x in enumerate((t or "").split("\n"))]
-    at = [x for x in at if len(x[2]) >= lines.MIN_CHARS]
+    at = [x for x in at if x[2]]
     forms = sorted({x[2] for x in at})
     root = {f: f for f in forms}
 
@@ -318,7 +318,8 @@ def _kept_lines(texts, edits):
         return f
 
     for a, b in itertools.combinations(forms, 2):
-        if abs(len(a) - len(b)) <= edits and _distance(a, b) <= edits:
+        k = min(edits, min(len(a), len(b)) // lines.EVERY)
+        if abs(len(a) - len(b)) <= k and _distance(a, b) <= k:
             root[find(a)] = find(b)
     first = {}
     for d, k, x in sorted(at):
@@ -327,7 +328,7 @@ def _kept_lines(texts, edits):
 
 
 def test_line_classes_against_brute_force(spark):
-    rng, base = random.Random(8), ["a line about rivers and fish", "another line about the sea ice", "short", "a line about rivers and fishing"]
+    rng, base = random.Random(8), ["a line about rivers and fish", "another line about the sea ice", "short", "a line about rivers and fishing", "ten letters", "nineteen characters", "twenty characters it", " "]
     texts = []
     for d in range(25):
         out = []
@@ -345,7 +346,7 @@ def test_line_dedup_on_edges(edge, empty):
     got = lines.dedup_lines(edge)
     assert got.columns == edge.columns and lines.dedup_lines(empty).count() == 0
     by = {r.doc_id: r.text for r in got.collect()}
-    assert got.count() == 11 and by[1] is None and by[2] == "" and by[8] == by[9] == "one"
+    assert got.count() == 11 and by[1] is None and by[2] == "" and by[8] == "one" and by[9] == ""
     assert by[None].count("\n") == 1 and by[5] == by[6] == ""  # the row without a doc_id stands first
 
 
@@ -530,7 +531,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path, codec):
         elif name == "line_dedup":
             kept = _kept_lines([(d, r.text) for d, r in rows.items()], lines.EDITS)
             for d, r in rows.items():
-                want = [x for k, x in enumerate(r.text.split("\n")) if len(x.strip(" \t\n\x0b\x0c\r")) < lines.MIN_CHARS or (d, k) in kept]
+                want = [x for k, x in enumerate(r.text.split("\n")) if not x.strip(" \t\n\x0b\x0c\r") or (d, k) in kept]
                 assert after[d].text == "\n".join(want)
         elif name == "near_dedup":
             firsts = _components({d: r.text for d, r in rows.items()}, 5, 80)
