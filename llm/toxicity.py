@@ -1,18 +1,17 @@
 """Toxicity from subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word is the mean of the embeddings of its hashed character n-grams (of 3 to 5 bytes, with its ends)
-and of the word itself, so a misspelling that training never saw shares most vectors with its
-neighbours. A passage of PASSAGE words is the mean of its words, and the softmax sees passages: a few
-toxic words in a long text are not averaged away. A text's score is that of its most toxic passage.
-In training, a text's passages are pooled with weights that sharpen towards the largest.
-
-The model is fitted on a bounded sample: at most ``rows`` labelled rows of label 1 and of label 0
-(those with the least hash of doc_id) and at most ``passages_per_text`` passages of each, spread evenly. Words
-met in under MIN_TEXTS texts of the sample teach nothing, as they only identify texts. The
-share of each class among all labelled training rows then sets the bias. The model has a fixed size
-(BUCKETS x DIM), so it is broadcast. Every whole text is scored.
-
-Defined results: null and blank texts get the score of an empty passage; without labels of both
+A word is the mean of the embeddings of its hashed character n-grams (3 to 5 bytes, its ends included)
+and of nothing else, so a misspelling that training never saw shares most vectors with its neighbours.
+The softmax sees words, and a text is as toxic as its most toxic word: a few toxic words in a long text
+are not averaged away. In training a text's words are pooled with weights that sharpen towards the
+largest, and in every epoch a share of the n-grams is left out, so that no single one carries a word.
+
+The model is fitted on a bounded sample of rows: at most ``rows`` labelled rows of label 1 and of label
+0 (those with the least hash of doc_id), whole texts and all their words. The share of each class among
+all labelled training rows then sets the bias. The model has a fixed size (BUCKETS x DIM), so it is
+broadcast. Every whole text is scored.
+
+Defined results: null and blank texts get the score of a word without n-grams; without labels of both
 classes every score is the smoothed share of label 1; labels that repeat count once, by majority; a
 null doc_id is not held out and has no label; other columns are ignored.
 """
@@ -20,8 +19,8 @@ null doc_id is not held out and has no label; other columns are ignored.
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,10 +31,8 @@ from llm.common import documents
 
 BUCKETS, DIM = 1 << 16, 8
 SIZES = (3, 4, 5)
-PASSAGE = 16
-ROWS_TOXIC, ROWS_OTHER, PASSAGES_PER_TEXT = 1500, 3000, 40
-MIN_TEXTS, DECAY = 5, 1e-5
-EPOCHS, RATE = 60, 0.05
+ROWS_TOXIC, ROWS_OTHER = 1500, 3000
+EPOCHS, RATE, DECAY, DROPPED, SHARPNESS = 60, 0.05, 1e-5, 0.3, 4.0
 THRESHOLD = 0.7
 
 
@@ -44,83 +41,81 @@ def words(text: str | None) -> list[bytes]:
 
 
 def subwords(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every subword, where each word's subwords begin), word by word."""
+    """(bucket of every n-gram, number of its word), word by word; a word has at least one."""
     raw = np.frombuffer(b"".join(b"<" + w + b">" for w in ws), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, ws), np.int64, len(ws)) + 2
     word = np.repeat(np.arange(len(ws)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(raw))  # bytes to the end of the word
-    owner, bucket, h, longest = [], [], np.zeros(len(raw), np.uint64), max(SIZES)
-    for n in range(1, longest + 1):
+    owner, bucket, h = [], [], np.zeros(len(raw), np.uint64)
+    for n in range(1, max(SIZES) + 1):
         h[: len(raw) - n + 1] = (h[: len(raw) - n + 1] + raw[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if n in SIZES:
             ok = np.flatnonzero(left >= n)
             owner.append(word[ok])
             bucket.append((h[ok] >> np.uint64(20)) % np.uint64(BUCKETS))
-    whole = np.add.reduceat(raw * (np.arange(len(raw), dtype=np.uint64) - np.repeat(np.cumsum(size) - size, size).astype(np.uint64) + np.uint64(3)) ** np.uint64(3), np.cumsum(size) - size)
-    owner.append(np.arange(len(ws)))
-    bucket.append((whole * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(BUCKETS))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    return bucket[order], np.searchsorted(owner[order], np.arange(len(ws)))
-
-
-def _mean(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, begin, axis=0) / count[:, None]
-
-
-def fit(texts: list[str | None], labels: np.ndarray, passages_per_text: int = PASSAGES_PER_TEXT, min_texts: int = MIN_TEXTS, epochs: int = EPOCHS, decay: float = DECAY, seed: int = 3):
+    return bucket[order], owner[order]
+
+
+@dataclass
+class Bags:
+    """Texts as bags of distinct words, words as bags of n-grams; texts without words are left out."""
+
+    flat: np.ndarray  # the words of each text, text by text
+    size: np.ndarray  # how many words each text has
+    sub: np.ndarray
+    owner: np.ndarray
+    n_words: int
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> tuple[Bags, np.ndarray]:
+        """(bags, which texts they are)."""
+        each = [sorted(set(words(t))) for t in texts]
+        ids = {w: k for k, w in enumerate(sorted(set().union(*each)))}
+        at = np.flatnonzero([bool(ws) for ws in each])
+        size = np.array([len(each[k]) for k in at], np.int64)
+        flat = np.fromiter((ids[w] for k in at for w in each[k]), np.int64, size.sum())
+        sub, owner = subwords(list(ids)) if ids else (np.empty(0, np.int64),) * 2
+        return cls(flat, size, sub, owner, len(ids)), at
+
+
+def step(emb: np.ndarray, w: np.ndarray, bias: np.ndarray, bags: Bags, y: np.ndarray, live: np.ndarray, sharp: float):
+    """Gradients of the mean log loss by (emb, w, bias), with the pooling weights held.
+
+    ``live`` marks the n-grams that take part. The softmax is linear, so a word's margin is the mean of
+    its n-grams' margins, and the sums over n-grams need one number each instead of a vector.
+    """
+    apart = w[:, 1] - w[:, 0]
+    n_live = np.maximum(np.bincount(bags.owner, live, bags.n_words), 1)
+    margin = np.bincount(bags.owner, (emb @ apart)[bags.sub] * live, bags.n_words) / n_live + bias[1] - bias[0]
+    first = np.cumsum(bags.size) - bags.size
+    m = margin[bags.flat]
+    a = np.exp(sharp * (m - np.repeat(np.maximum.reduceat(m, first), bags.size)))
+    a /= np.repeat(np.add.reduceat(a, first), bags.size)
+    pooled = np.add.reduceat(a * m, first)
+    err = (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - y) / len(y)
+    by_word = np.bincount(bags.flat, a * np.repeat(err, bags.size), bags.n_words)
+    by_gram = np.bincount(bags.sub, (by_word / n_live)[bags.owner] * live, BUCKETS)
+    gw = emb.T @ by_gram
+    return np.outer(by_gram, apart), np.stack([-gw, gw], axis=1), np.array([-by_word.sum(), by_word.sum()])
+
+
+def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, decay: float = DECAY, seed: int = 3):
     """(embeddings, weights, bias): full-batch Adam on embeddings and softmax together."""
-    texts_of = Counter()
-    for t in texts:
-        texts_of.update(set(words(t)))
-    ids = {w: k for k, w in enumerate(sorted(w for w, n in texts_of.items() if n >= min_texts))}
-    if not ids:
+    bags, at = Bags.of(texts)
+    if not len(at):
         return np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2)), np.zeros(2)
-    of, text_of, length = [], [], []
-    for k, t in enumerate(texts):
-        ws = words(t)
-        cut = [ws[i : i + PASSAGE] for i in range(0, len(ws), PASSAGE)]
-        for p in cut[:: max(1, -(-len(cut) // passages_per_text))]:
-            if known := [ids[w] for w in p if w in ids]:
-                of.append(known)
-                text_of.append(k)
-                length.append(len(p))
-    sub, sub_at = subwords(list(ids))
-    n_sub = np.diff(np.append(sub_at, len(sub)))
-    size = np.fromiter(map(len, of), np.int64, len(of))
-    at, flat, text_of = np.cumsum(size) - size, np.concatenate([np.asarray(p) for p in of]), np.asarray(text_of)
-    by_word = np.argsort(flat, kind="stable")
-    word_at = np.searchsorted(flat[by_word], np.arange(len(ids)))
-    passage = np.repeat(np.arange(len(of)), size)[by_word]
-    by_sub = np.argsort(sub, kind="stable")
-    seen, seen_at = np.unique(sub[by_sub], return_index=True)
-    word_of = np.repeat(np.arange(len(ids)), n_sub)[by_sub]
-    length = np.asarray(length, np.float64)
-    first = np.flatnonzero(np.append(True, text_of[1:] != text_of[:-1]))
-    y, rng = labels[text_of[first]].astype(np.float64), np.random.default_rng(seed)
+    y, rng = np.asarray(labels, np.float64)[at], np.random.default_rng(seed)
     emb, w, bias = np.zeros((BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    seen = np.unique(bags.sub)
     emb[seen] = rng.normal(0, 0.1, (len(seen), DIM))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, w, bias)]
-    counts = np.diff(np.append(first, len(text_of)))
     for epoch in range(epochs):
-        vec = _mean(emb[sub], sub_at, n_sub)
-        pas = _mean(vec[flat], at, length)
-        z = pas @ w + bias
-        margin = z[:, 1] - z[:, 0]
-        sharp = 4.0 * epoch / epochs
-        top = np.repeat(np.maximum.reduceat(margin, first), counts)
-        a = np.exp(sharp * (margin - top))
-        a /= np.repeat(np.add.reduceat(a, first), counts)
-        pooled = np.add.reduceat(a * margin, first)
-        err = (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - y) / len(y)
-        g = a * np.repeat(err, counts)
-        gz = np.stack([-g, g], axis=1)
-        gp = (gz @ w.T) / length[:, None]
-        gw = np.add.reduceat(gp[passage], word_at, axis=0) / n_sub[:, None]
-        ge = np.zeros_like(emb)
-        ge[seen] = np.add.reduceat(gw[word_of], seen_at, axis=0)
-        for k, (x, d) in enumerate(((emb, ge + decay * emb), (w, pas.T @ gz + decay * w), (bias, gz.sum(axis=0)))):
+        live = (rng.random(len(bags.sub), np.float32) >= DROPPED).astype(np.float64)
+        ge, gw, gb = step(emb, w, bias, bags, y, live, SHARPNESS * (epoch + 1) / epochs)
+        for k, (x, d) in enumerate(((emb, ge + decay * emb), (w, gw + decay * w), (bias, gb))):
             m, v = state[k]
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -140,23 +135,18 @@ class Scorer:
         new = [w for w in ws if w not in self.known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            ids, at = subwords(part)
-            values = np.add.reduceat(self.table[ids], at) / np.diff(np.append(at, len(ids)))
+            sub, owner = subwords(part)
+            values = np.bincount(owner, self.table[sub], len(part)) / np.bincount(owner, minlength=len(part))
             self.known.update(zip(part, values.tolist(), strict=True))
 
     def __call__(self, texts: list[list[bytes]]) -> list[float]:
         if len(self.known) > 500_000:
             self.known.clear()
-        self.learn(set().union(*texts))
-        out = []
-        for ws in texts:
-            z = 0.0
-            if ws:
-                total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws)))])
-                n = min(PASSAGE, len(ws))
-                z = float((total[n:] - total[:-n]).max()) / n
-            out.append(1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40))))
-        return out
+        each = [set(ws) for ws in texts]
+        self.learn(set().union(*each))
+        value = self.known.__getitem__
+        z = np.array([max(map(value, ws), default=0.0) for ws in each]) + self.bias
+        return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
 def held_out(doc_id: Column, modulus: int = 3) -> Column:
@@ -164,7 +154,7 @@ def held_out(doc_id: Column, modulus: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TOXIC, ROWS_OTHER), passages_per_text: int = PASSAGES_PER_TEXT):
+def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TOXIC, ROWS_OTHER)):
     """(model bytes or None, share of label 1 among the labelled training rows)."""
     gold = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
@@ -184,7 +174,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TO
         y = got["y"].to_numpy()
         if len(np.unique(y)) < 2:
             return
-        emb, w, bias = fit(list(got["text"]), y, passages_per_text)
+        emb, w, bias = fit(list(got["text"]), y)
         np.savez(out := io.BytesIO(), emb=emb, w=w, bias=bias, odds=np.log((y == 1).sum() / (y == 0).sum()))
         yield pd.DataFrame({"model": [out.getvalue()]})
 
@@ -192,9 +182,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TO
     return (bytes(made[0]["model"]) if made else None), prior
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TOXIC, ROWS_OTHER), passages_per_text: int = PASSAGES_PER_TEXT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TOXIC, ROWS_OTHER)) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
-    model, prior = trained(docs, labels, rows, passages_per_text)
+    model, prior = trained(docs, labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast((model, prior))
 
     @F.pandas_udf("double")

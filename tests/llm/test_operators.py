@@ -402,6 +402,36 @@ def test_unseen_misspellings_share_subwords():
     assert p[0] < 0.3 and min(p[1:]) > 0.5
 
 
+def test_gradients_and_scores_against_brute_force():
+    rng, texts, y = np.random.default_rng(1), ["ab cde ab", None, "cde fghij é", " ", "fghij kl"], np.array([1.0, 0, 0, 1, 1])
+    bags, at = toxicity.Bags.of(texts)
+    emb, w, bias = rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)), rng.normal(size=(toxicity.DIM, 2)), rng.normal(size=2)
+    live = (rng.random(len(bags.sub)) > 0.3).astype(float)
+    ids = sorted({x for t in texts for x in toxicity.words(t)})
+    grams = {x: [(b, on) for b, o, on in zip(bags.sub, bags.owner, live, strict=True) if ids[o] == x] for x in ids}
+    assert at.tolist() == [0, 2, 4] and all(len(grams[x]) == sum(max(0, len(x) + 3 - n) for n in toxicity.SIZES) for x in ids)
+    vec = {x: sum((emb[b] * on for b, on in g), np.zeros(toxicity.DIM)) / max(1, sum(on for _, on in g)) for x, g in grams.items()}
+    z = {x: vec[x] @ w + bias for x in ids}
+    ge, gw, gb = np.zeros_like(emb), np.zeros_like(w), np.zeros(2)
+    for k in at:
+        ws = sorted(set(toxicity.words(texts[k])))
+        a = np.exp([2.0 * (z[x][1] - z[x][0]) for x in ws])
+        a /= a.sum()
+        logits = sum(p * z[x] for p, x in zip(a, ws, strict=True))
+        soft = np.exp(logits) / np.exp(logits).sum()
+        err = (soft - np.array([1 - y[k], y[k]])) / 3
+        for p, x in zip(a, ws, strict=True):
+            gw += np.outer(vec[x], p * err)
+            gb += p * err
+            for b, on in grams[x]:
+                ge[b] += on * (w @ (p * err)) / max(1, sum(q for _, q in grams[x]))
+    got = toxicity.step(emb, w, bias, bags, y[at], live, 2.0)
+    assert all(np.allclose(g, s, atol=1e-9) for g, s in zip(got, (ge, gw, gb), strict=True))
+    table = emb @ (w[:, 1] - w[:, 0])
+    want = [max((np.mean([table[b] for b, _ in grams[x]]) for x in toxicity.words(t)), default=0.0) + bias[1] - bias[0] + 0.5 for t in texts]
+    assert np.allclose(toxicity.Scorer(emb, w, bias, 0.5)([toxicity.words(t) for t in texts]), 1 / (1 + np.exp(-np.array(want))))
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
