@@ -1,7 +1,7 @@
 r"""Secrets in texts and in what the texts encode.
 
 Each text is the first layer of a worklist. A layer is scanned for the three base kinds; then every
-encoded run in it (percent escapes, \u and \x escapes, base64, and compressed bytes within base64) is
+encoded run in it (percent escapes, \u, \U and \x escapes, base64, and compressed bytes within base64 or escapes) is
 decoded into a further layer, until no new layer appears. A layer with the content of one that it was
 decoded from is scanned but not opened, which ends cycles; content that stands at several places is
 reported at each. Every layer carries, for each of its characters, the span of the original text that
@@ -12,11 +12,12 @@ A base64 run is one of either alphabet, since both have the same values. Other c
 alphabet may stand before it, so it is read in all four steps, and each readable part of the bytes is a
 layer (a part without matches or encoded runs is left out). A run wrapped over lines is read as a whole and line by line.
 
-A compressed run is opened to at most MAX_LAYER bytes at a time: a longer one is scanned in windows
-of that size which overlap by OVERLAP, so nothing is skipped and memory stays bounded.
+A compressed run (of one or more members) is opened MAX_LAYER bytes at a time. A longer one is scanned
+in windows that overlap by OVERLAP bytes, and by more where an encoded run would be cut: a window only
+begins at a blank between two words of a line. Of decoded bytes every part that is UTF-8 text is read.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned alike; bytes that
-are not UTF-8 text are not a layer; ``n_layers`` counts different contents; an empty table gives an empty
+are not UTF-8 text are left out of a layer; ``n_layers`` counts different contents; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -47,8 +48,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
-_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}")
-_ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
+_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}")
+_ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Lines of a run and its last, shorter one.
 _WRAPPED = re.compile(
@@ -62,6 +63,9 @@ _TEXT = re.compile(
     rb"(?:[\t\n\r\x20-\x7f]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++"
 )
+_INNER_BLANK = re.compile(rb"[^\s][ \t][^\s]")
+_PRINTED = re.compile(r"[!-~]+")
+_BYTE = re.compile(r"(?:%|\\x)[08-9A-Fa-f][0-9A-Fa-f]")
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 
 
@@ -91,8 +95,8 @@ class Layer:
 
 def _escape(run: str) -> tuple[str, list[int]] | None:
     """Decoded text of an escaped run, and how many characters of the run each decoded one takes."""
-    if run.startswith("\\u{"):
-        code = int(run[3:-1], 16)
+    if run.startswith(("\\u{", "\\U")):
+        code = int(run[2:].strip("{}"), 16)
         return (chr(code), [len(run)]) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
     if run.startswith("\\u"):
         units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
@@ -126,40 +130,65 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), np.concatenate([*a, starts[last:]]), np.concatenate([*b, ends[last:]]))
 
 
-def _readable(raw: bytes, final: bool = True) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if final or len(raw) - e.start > 3:
-            return None
-        text = raw[: e.start].decode("utf-8")
-    odd = sum(1 for c in text[:4096] if c < " " and c not in "\t\n\r")
-    return text if text and odd == 0 else None
+def _opener(raw: bytes):
+    """A decompressor for bytes that begin like a compressed run; None for others."""
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=128 << 20)
+    return None
+
+
+def _begin(data: bytes) -> int:
+    """Where the next window begins: at the last blank within a line that is OVERLAP bytes or more before the end."""
+    end = max(0, len(data) - OVERLAP)
+    while end > 0:
+        start = max(0, end - OVERLAP)
+        if found := [m.start() + 1 for m in _INNER_BLANK.finditer(data, start, end)]:
+            return found[-1]
+        end = start + 2 if start else 0
+    return 0
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """The parts of ``raw`` that are text and long enough for a secret."""
+    for m in _TEXT.finditer(raw):
+        if m.end() - m.start() >= LEAST_TEXT:
+            yield m.group().decode("utf-8")
 
 
 def _unpacked(raw: bytes) -> Iterator[str]:
-    """Texts of a compressed run: one, or overlapping windows if it is long. Nothing if it is not compressed."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        opener = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor(memlimit=128 << 20)
-    else:
-        return
-    held, data = b"", raw
+    """Texts of a compressed run, window by window. Nothing if it is not compressed."""
+    opener, held, data, size = _opener(raw), b"", raw, 0
     try:
-        while not opener.eof:
+        while opener:
             got = opener.decompress(data, MAX_LAYER)
-            data = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
-            if not got and not data:
-                break
-            if (text := _readable(held + got, opener.eof)) is None:
-                return
-            yield text
-            held = text[-OVERLAP:].encode("utf-8") if len(got) >= MAX_LAYER else b""
+            if opener.eof:
+                data = opener.unused_data
+                opener = _opener(data)
+            else:
+                data = getattr(opener, "unconsumed_tail", b"")
+                if not got and not data:
+                    break
+            held, size = held + got, size + len(got)
+            if opener and size >= MAX_LAYER:
+                yield from _texts(held)
+                held, size = held[_begin(held) :], 0
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return
+        pass
+    yield from _texts(held)
+
+
+def _escaped_bytes(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of each word whose percent or \\x escapes begin a compressed run."""
+    for m in _PRINTED.finditer(text):
+        if not _BYTE.search(m.group()):
+            continue
+        raw = re.sub(rb"(?:%|\\x)([0-9A-Fa-f]{2})", lambda x: bytes([int(x.group(1), 16)]), m.group().encode("ascii"))
+        for packed in _PACKED.finditer(raw):
+            yield m.start(), m.end(), raw[packed.start() :]
 
 
 def _runs(text: str) -> Iterator[np.ndarray]:
@@ -175,8 +204,11 @@ def _runs(text: str) -> Iterator[np.ndarray]:
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
-    """The layers that base64 runs of ``layer`` hold, compressed or not."""
+    """The layers that base64 runs of ``layer`` hold, compressed or not, and escaped words hold compressed."""
     starts, ends = layer.bounds()
+    for a, b, raw in _escaped_bytes(layer.text) if ("%" in layer.text or "\\x" in layer.text) else ():
+        for text in _unpacked(raw):
+            yield Layer(text, np.full(len(text), starts[a]), np.full(len(text), ends[b - 1]))
     for at in _runs(layer.text):
         whole = layer.text[at[0] : at[-1] + 1]
         if len(whole) > len(at):
