@@ -11,6 +11,12 @@ Places and prefix hashes are running figures of a sorted table that is cut into
 window runs within a block, and sums over a conversation's blocks carry them on. So no task holds a
 conversation whole, however long it is.
 
+A conversation is rendered as one text. ``turns_per_part`` gives it in parts of so many turns instead,
+for conversations too long for one row; the parts joined in order are the same text.
+
+What a role or text holds cannot pass for a marker: each ``<|`` in it is written ``<||``, and reading
+``<||`` back as ``<|`` gives the original.
+
 Defined results: turns are ordered by turn, then role and text, nulls first; repeated rows are turns
 of their own; a null role is ``user``, a null text is empty; rows without a conv_id are one
 conversation; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +32,8 @@ from llm.common import stored
 
 # The markers of the rendered form.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
-TURNS_PER_PART = 64
+#: Turns that are joined at a time on the way to the whole text.
+TURNS_AT_ONCE = 64
 
 
 def placed(turns: DataFrame) -> DataFrame:
@@ -66,19 +73,29 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return whole.join(proper, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"), "n_copies")
 
 
-def rendered(turns: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """conv_id, part, n_turns, n_copies, rendered: the maximal conversations, in parts of bounded length.
+def escaped(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
+def _joined(rows: DataFrame, by: list[str], place: str, piece: str) -> DataFrame:
+    """``by``, n_turns, n_copies, piece: the pieces of each group in the order of ``place``."""
+    made = rows.groupBy(*by).agg(F.max("n_turns").alias("n_turns"), F.max("n_copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct(place, piece))).alias("_p"))
+    return made.select(*by, "n_turns", "n_copies", F.array_join(F.transform("_p", lambda x: x[piece]), "").alias("piece"))
+
+
+def rendered(turns: DataFrame, turns_per_part: int | None = None) -> DataFrame:
+    """conv_id, n_turns, n_copies, rendered: the maximal conversations, whole.
 
-    Joining a conversation's parts in order gives its whole rendered text.
+    With ``turns_per_part`` also part, from 0, and ``rendered`` is the part's.
     """
     prefixes = stored(placed(turns), "prefixes")
     kept = maximal(prefixes).withColumnRenamed("conv_id", "_c")
-    piece = F.concat(F.lit(OPEN), "role", F.lit(MIDDLE), "text", F.lit(CLOSE)).alias("piece")
+    piece = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(MIDDLE), escaped(F.col("text")), F.lit(CLOSE)).alias("piece")
     rows = prefixes.join(kept, prefixes["conv_id"].eqNullSafe(F.col("_c"))).select(
-        "conv_id", F.floor((F.col("place") - 1) / turns_per_part).cast("long").alias("part"), "place", "n_turns", "n_copies", piece
+        "conv_id", F.floor((F.col("place") - 1) / (turns_per_part or TURNS_AT_ONCE)).cast("long").alias("part"), "place", "n_turns", "n_copies", piece
     )
-    made = rows.groupBy("conv_id", "part").agg(F.max("n_turns").alias("n_turns"), F.max("n_copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("_p"))
-    return made.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.transform("_p", lambda x: x["piece"]), "").alias("rendered"))
+    parts = _joined(rows, ["conv_id", "part"], "place", "piece")
+    return (parts if turns_per_part else _joined(parts, ["conv_id"], "part", "piece")).withColumnRenamed("piece", "rendered")
 
 
 def op8_chat(spark, sf_dir):
@@ -86,11 +103,11 @@ def op8_chat(spark, sf_dir):
 
 
 OP8_SQL = """
-WITH p AS (SELECT conv_id, turn, row_number() OVER w AS place, string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER w AS prefix
+WITH p AS (SELECT conv_id, turn, row_number() OVER w AS place, string_agg('<|im_start|>' || replace(coalesce(role, 'user'), '<|', '<||') || chr(10) || replace(coalesce(text, ''), '<|', '<||') || '<|im_end|>' || chr(10), '') OVER w AS prefix
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
 n AS (SELECT conv_id, max(place) AS n_turns FROM p GROUP BY conv_id),
 m AS (SELECT p.*, n_turns FROM p JOIN n USING (conv_id)),
 f AS (SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM m WHERE place = n_turns GROUP BY prefix, n_turns)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n_turns AS BIGINT) AS n_turns, n_copies, prefix AS rendered FROM f
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, n_copies, prefix AS rendered FROM f
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.place < m.n_turns AND m.place = f.n_turns AND m.prefix = f.prefix)
 """
