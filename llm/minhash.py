@@ -197,13 +197,11 @@ def verdicts(texts: DataFrame, size: int, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without those that follow the first of their component.
 
-    Rows without a doc_id follow those with one. Texts without words stay, but rows of them that repeat in every column are written once.
+    Rows without a doc_id follow those with one. Texts without words are linked with nothing and all stay.
     """
     rows = numbered(docs)
-    verdict = stored(verdicts(texts_of(rows), size, percent), "verdict")
-    left = rows.join(verdict.where("tag <> first").select("tag"), "tag", "left_anti").select("_row.*")
-    blank = verdict.where("first IS NULL").groupBy("doc_id").count()
-    return left if blank.where("count > 1").isEmpty() else left.dropDuplicates()
+    gone = stored(verdicts(texts_of(rows), size, percent).where("tag <> first").select("tag"), "gone").hint("merge")
+    return rows.join(gone, "tag", "left_anti").select("_row.*")
 
 
 def op10_near_duplicates(spark, sf_dir):
