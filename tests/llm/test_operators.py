@@ -275,7 +275,7 @@ def test_exact_dedup_also_with_colliding_keys_and_small_buckets(spark, edge, emp
     texts = [(k, f"text {k % 17} " * (k % 5)) for k in range(120)]
     for docs in (_docs(spark, texts), edge):
         held = [(r.doc_id, r.text or "") for r in docs.collect()]
-        got = exact.dedup(docs, key, capacity=2, max_depth=6).collect()
+        got = exact.dedup(docs, key, capacity=2).collect()
         assert len(got) == len(held) and sum(r.kept for r in got) == len({t for _, t in held})
         by = {}
         for d, t in held:
@@ -286,11 +286,15 @@ def test_exact_dedup_also_with_colliding_keys_and_small_buckets(spark, edge, emp
     assert exact.dedup(empty, key).count() == 0
 
 
-def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    leaves = exact.directory(entries, capacity=300, max_depth=8)
-    placed = entries.withColumn("fine", F.shiftrightunsigned("h", 56)).join(leaves, "fine").groupBy("depth", "bucket").count()
-    assert placed.agg(F.max("count")).first()[0] <= 300 and placed.count() > 8
+@pytest.mark.parametrize("step", [3, 14])
+def test_directory_splits_overfull_buckets(spark, monkeypatch, step):
+    monkeypatch.setattr(exact, "STEP", step)
+    keys = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    for skewed in (keys, keys.select((F.col("h") % 1000).alias("h")).distinct()):
+        leaves = exact.directory(skewed, capacity=300)
+        sizes = exact.placed(skewed, leaves).groupBy("depth", "bucket").count()
+        assert sizes.agg(F.max("count")).first()[0] <= 300 and sizes.agg(F.sum("count")).first()[0] == skewed.count()
+        assert sizes.join(leaves, ["depth", "bucket"]).count() == sizes.count() > 2
 
 
 # Language model ----------------------------------------------------------------------------------
