@@ -288,28 +288,3 @@ def _(t):
   (CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END) AS slot FROM b_profiles""")
 def _(t):
     return t.profiles.select("profile_id", F.concat(F.date_format("observed_at", "yyyy-MM"), F.lit("/"), tile_key(F.col("longitude"), F.col("latitude"))).alias("slot"))
-
-
-@query("src_parts", "SELECT profile_id, level_index, pressure, temperature, salinity FROM b_levels WHERE temperature_data_mode = 'R'")
-def _(t):
-    return t.levels.where("temperature_data_mode = 'R'").select("profile_id", "level_index", *VARIABLES)
-
-
-@query("src_members", "SELECT profile_id, profile_hash, platform_number, observed_at FROM b_profiles WHERE observed_at >= TIMESTAMP '1996-01-01' AND observed_at < TIMESTAMP '1996-07-01' AND cycle_number % 3 = 0")
-def _(t):
-    """Profiles of the plan that are in a slot's manifest (here: array of members for each month, exploded)."""
-    member = F.struct("profile_id", "profile_hash")
-    manifest = t.profiles.where("cycle_number % 3 = 0").groupBy("observation_month", tile_key(F.col("longitude"), F.col("latitude")).alias("tile")).agg(F.collect_list(member).alias("members"))
-    listed = manifest.select(F.explode("members").alias("m")).select("m.*")
-    return t.profiles.where((F.col("observed_at") >= _ts("1996-01-01")) & (F.col("observed_at") < _ts("1996-07-01"))).join(listed, ["profile_id", "profile_hash"], "left_semi").select("profile_id", "profile_hash", "platform_number", "observed_at")
-
-
-@query("sink_export", "SELECT profile_id, observed_at, longitude, latitude, level_index, p, t, s FROM b_sel WHERE observed_at >= TIMESTAMP '1997-01-01' AND observed_at < TIMESTAMP '1997-03-01' AND p BETWEEN 0 AND 2000")
-def _(t):
-    rows = t.selected().where((F.col("observed_at") >= _ts("1997-01-01")) & (F.col("observed_at") < _ts("1997-03-01")) & F.col("p").between(0, 2000))
-    return rows.select("profile_id", "observed_at", "longitude", "latitude", "level_index", "p", "t", "s").orderBy("observed_at", "profile_id", "level_index")
-
-
-@query("sink_manifest", "SELECT count(*) AS row_count, count(DISTINCT profile_id) AS profiles, min(observed_at) AS first_at, max(observed_at) AS last_at FROM b_sel WHERE p BETWEEN 0 AND 2000")
-def _(t):
-    return t.selected().where(F.col("p").between(0, 2000)).agg(F.count("*").alias("row_count"), F.countDistinct("profile_id").alias("profiles"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"))

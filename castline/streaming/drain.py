@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, or one of our own where the cluster names none."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from castline.scratch import new_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +18,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     Appended rows go to a Parquet sink, exactly once. A complete result replaces the one before.
     """
     spark = stream.sparkSession
-    out, marks = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("stream", "marks"))
+    out, marks = new_path(spark, "stream"), new_path(spark, "marks")
     writer = stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", out).start()
