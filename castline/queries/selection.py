@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions.geo import distance_sql, geo_distance, in_bbox, tile_key, within_km
+from castline.operators.regions import in_regions
 from castline.functions.qc import VARIABLES, qc_code, qc_value, raw_columns
 from castline.registry import Tables, query, r6
 
@@ -135,10 +136,13 @@ def _(t):
         F.count("*").alias("n"), F.countDistinct("profile_id").alias("profiles"))
 
 
-@query("j_parts_members", "SELECT m.profile_hash, count(*) AS n FROM b_delivered l JOIN b_profiles m ON l.profile_id = m.profile_id WHERE m.direction = 'A' GROUP BY 1")
+@query("j_parts_members", "SELECT m.profile_hash, count(*) AS n FROM b_delivered l JOIN b_profiles m ON l.profile_id = m.profile_id WHERE m.direction = 'A' AND m.cycle_number % 4 <> 0 GROUP BY 1")
 def _(t):
+    """Part rows of the content that is current: joined by id and hash, so rows of an older content drop out."""
+    older = F.when(F.col("cycle_number") % 4 == 0, F.md5("profile_hash")).otherwise(F.col("profile_hash"))
+    parts = t.delivered.select("profile_id").join(t.profiles.select("profile_id", older.alias("profile_hash")), "profile_id")
     members = t.profiles.where("direction = 'A'").select("profile_id", "profile_hash")
-    return t.delivered.select("profile_id").join(members, "profile_id").groupBy("profile_hash").agg(F.count("*").alias("n"))
+    return parts.join(members, ["profile_id", "profile_hash"]).groupBy("profile_hash").agg(F.count("*").alias("n"))
 
 
 @query("j_floats_profiles", "SELECT c_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
@@ -204,22 +208,6 @@ EDGES = [(n, *map(float, a), *map(float, b)) for n, rings in _RINGS.items() for
 _EDGE_SQL = ", ".join(f"('{n}', {x1}e0, {y1}e0, {x2}e0, {y2}e0)" for n, x1, y1, x2, y2 in EDGES)
 
 
-def in_regions(points, edges):
-    """(profile_id, region) of points in a region, edges included: crossing parity over all rings, or on an edge.
-
-    ``edges`` is a table of polygon edges, small by nature, and broadcast by Spark's own size check.
-    """
-    x, y = F.col("longitude"), F.col("latitude")
-    boxes = edges.groupBy("region").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
-    near = points.join(boxes, x.between(F.col("w"), F.col("e")) & y.between(F.col("s"), F.col("n"))).select("profile_id", "longitude", "latitude", "region")
-    both = near.join(edges, "region")
-    crossed = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
-    cross = (x - F.col("x1")) * (F.col("y2") - F.col("y1")) - (y - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    on = (cross == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    found = both.groupBy("profile_id", "region").agg(F.count_if(F.coalesce(crossed, F.lit(False))).alias("crossings"), F.bool_or(on).alias("on_edge"))
-    return found.where((F.col("crossings") % 2 == 1) | F.col("on_edge")).select("profile_id", "region")
-
-
 _IN_REGION = f"""WITH e AS (SELECT * FROM (VALUES {_EDGE_SQL}) v(region, x1, y1, x2, y2)),
 c AS (SELECT profile_id, region, sum(CASE WHEN (y1 > latitude) <> (y2 > latitude) AND longitude < x1 + (latitude - y1) * (x2 - x1) / nullif(y2 - y1, 0) THEN 1 ELSE 0 END) AS k,
   bool_or((longitude - x1) * (y2 - y1) - (latitude - y1) * (x2 - x1) = 0 AND longitude BETWEEN least(x1, x2) AND greatest(x1, x2) AND latitude BETWEEN least(y1, y2) AND greatest(y1, y2)) AS o

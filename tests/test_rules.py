@@ -109,3 +109,38 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+# Plans -------------------------------------------------------------------------------------------
+
+
+def test_a_plan_lists_every_violation_together():
+    from castline.plans import document
+
+    good = {"time_range": {"start": "2025-01-01T00:00:00Z", "end": "2025-02-01T00:00:00Z"}, "geography": {"kind": "bbox", "west": 40, "south": -10, "east": 60, "north": 10},
+            "variables": ["salinity", "temperature", "salinity"], "operation": {"kind": "aggregate", "metrics": ["mean"], "group_by": ["month"]}}
+    assert document.violations(good) == []
+    assert document.canonical(good)["variables"] == ["temperature", "salinity"] and document.canonical(good)["operation"]["unit"] == "profile"
+    same = good | {"time_range": {"start": "2025-01-01T05:30:00+05:30", "end": "2025-02-01T00:00:00+00:00"}, "variables": ["temperature", "salinity"], "qc_policy": "science_ready", "presentation": {"kind": "table"}}
+    assert document.plan_sha256(good) == document.plan_sha256(same) != document.plan_sha256(good | {"qc_policy": "mode_selected"})
+    bad = good | {"geography": {"kind": "bbox", "west": 40, "south": 10, "east": 40, "north": 10}, "depth_dbar": {"min": 50, "max": 20}, "qc_policy": "raw", "presentation": {"kind": "map", "bins": 5},
+                  "operation": {"kind": "aggregate", "metrics": ["mean", "mean"], "group_by": ["depth_bin", "depth_bin"]}}
+    assert sorted(document.violations(bad)) == sorted([
+        ("depth_dbar", "invalid_depth_range"), ("geography", "invalid_geography"), ("geography", "invalid_geography"), ("qc_policy", "operation_variable_mismatch"), ("presentation.kind", "operation_variable_mismatch"),
+        ("presentation.bins", "invalid_value"), ("operation.metrics", "invalid_value"), ("operation.group_by", "invalid_value"), ("operation.depth_bin_size", "invalid_value"),
+    ])
+    form = document.violations({"variables": ["oxygen"], "geography": {"kind": "circle"}, "operation": {"kind": "aggregate", "metrics": ["mode"]}, "sql": "drop"})
+    assert set(form) == {("sql", "unknown_field"), ("variables", "unknown_variable"), ("time_range", "missing_field"), ("geography", "invalid_value"), ("operation.metrics", "unknown_function")}
+    assert document.violations(good | {"time_range": {"start": "2025-01-01T00:00:00", "end": "2025-02-01T00:00:00Z"}}) == [("time_range.start", "invalid_time_range")]
+    with pytest.raises(document.PlanError):
+        document.plan_sha256(bad)
+
+
+def test_tiles_of_a_triangle_and_of_a_region_within_a_tile(spark):
+    from castline.operators.regions import region_tiles
+
+    ring = lambda name, pts: [(name, *map(float, a), *map(float, b)) for a, b in zip(pts, [*pts[1:], pts[0]], strict=True)]
+    edges = ring("tri", [(0, 0), (30, 0), (0, 30)]) + ring("small", [(42, 2), (44, 2), (43, 5)]) + ring("wide", [(60, 0), (100, 0), (100, 30), (60, 30)])
+    got = {tuple(r) for r in region_tiles(spark.createDataFrame(edges, "region string, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert {x for x in got if x[0] == "small"} == {("small", 40, 0)}
+    assert ("wide", 80, 10) in got and ("tri", 10, 10) in got and ("tri", 20, 20) not in got and ("tri", 20, 10) in got
