@@ -290,15 +290,6 @@ def _(t):
     return made.withColumn("verdict", F.when(F.col("warm_p95") <= 100, "PASS").otherwise("FAIL"))
 
 
-@query("agg_agreement", """WITH a AS (SELECT strftime(observed_at,'%Y-%m') AS m, avg(t) AS x FROM b_sel GROUP BY 1), b AS (SELECT strftime(observed_at,'%Y-%m') AS m, sum(t) / count(t) AS x FROM b_sel GROUP BY 1)
- SELECT count(*) AS cells, count(*) FILTER (abs(a.x - b.x) / greatest(abs(a.x), abs(b.x), 1e-300) <= 1e-9) AS agreeing FROM a JOIN b USING (m)""")
-def _(t):
-    rows = t.selected().groupBy(F.date_format("observed_at", "yyyy-MM").alias("m"))
-    a, b = rows.agg(F.avg("t").alias("x")), rows.agg((F.sum("t") / F.count("t")).alias("y"))
-    off = F.abs(F.col("x") - F.col("y")) / F.greatest(F.abs("x"), F.abs("y"), F.lit(1e-300))
-    return a.join(b, "m").agg(F.count("*").alias("cells"), F.count_if(off <= 1e-9).alias("agreeing"))
-
-
 @query("agg_witness", "SELECT bool_or(direction = 'A') AS ascending, bool_or(direction = 'D') AS descending, bool_or(direction = 'U') AS unknown, bool_or(cycle_number = 399) AS last_cycle, bool_or(longitude = 120) AS outer_edge FROM b_profiles")
 def _(t):
     d = F.col("direction")

@@ -26,14 +26,6 @@ def _(t):
     return t.profiles.select("profile_id", outcome.alias("outcome"))
 
 
-@query("ing_warning_policy", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'exclude' WHEN event_type = 'view' THEN 'inform' ELSE 'quarantine' END AS action FROM events")
-def _(t):
-    warnings = F.array("event_type")
-    other = F.size(F.array_except(warnings, F.array(F.lit("click"), F.lit("view")))) > 0
-    action = F.when(other, "quarantine").when(F.array_contains(warnings, "click"), "exclude").otherwise("inform")
-    return t.events.select("event_id", action.alias("action"))
-
-
 @query("ing_dedupe", """WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT (l_partkey, l_suppkey, l_extendedprice)) AS forms FROM lineitem GROUP BY 1, 2)
  SELECT l_orderkey, l_linenumber, n, CASE WHEN forms > 1 THEN 'conflict' WHEN n > 1 THEN 'identical_duplicate' ELSE 'single' END AS outcome FROM g""")
 def _(t):
@@ -237,18 +229,6 @@ def _(t):
     return index.join(stored, "k", "full").agg(F.count_if(a & b).alias("matched"), F.count_if(~b).alias("index_only"), F.count_if(~a).alias("stored_only"))
 
 
-@query("j_explode_check", "SELECT l_orderkey, count(*) AS levels, 0::BIGINT AS differing FROM lineitem GROUP BY 1")
-def _(t):
-    """Level arrays of the canonical content against the typed rows, field by field."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = t.lineitem.withColumn("i", F.row_number().over(w) - 1).select("l_orderkey", "i", "l_partkey", "l_extendedprice")
-    content = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", "l_partkey", "l_extendedprice"))).alias("c"))
-    listed = content.select("l_orderkey", F.posexplode("c").alias("i", "x")).select("l_orderkey", "i", F.col("x.l_partkey").alias("pk"), F.col("x.l_extendedprice").alias("price"))
-    both = rows.join(listed, ["l_orderkey", "i"], "full")
-    same = F.col("l_partkey").eqNullSafe(F.col("pk")) & F.col("l_extendedprice").eqNullSafe(F.col("price"))
-    return both.groupBy("l_orderkey").agg(F.count("*").alias("levels"), F.count_if(~same).alias("differing"))
-
-
 @query("ing_owner_tile_counts", "SELECT (CASE WHEN longitude = 120 THEN 110 ELSE CAST(floor((longitude - 20) / 10) * 10 + 20 AS INT) END) || '_' || (CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END) AS tile, count(*) AS n FROM b_profiles GROUP BY 1")
 def _(t):
     return t.profiles.groupBy(tile_key(F.col("longitude"), F.col("latitude")).alias("tile")).agg(F.count("*").alias("n"))

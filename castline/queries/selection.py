@@ -190,11 +190,11 @@ def _(t):
 _NEAR = distance_sql("q.longitude", "q.latitude", "p.longitude", "p.latitude")
 
 
-@query("j_radius", f"SELECT q.profile_id AS query_id, count(*) AS n FROM b_profiles q JOIN b_profiles p ON q.observation_month = p.observation_month AND {_NEAR} <= 300000 WHERE q.cycle_number = 9 GROUP BY 1")
+@query("j_radius", f"SELECT q.profile_id AS query_id, count(*) AS n FROM b_profiles q JOIN b_profiles p ON q.observation_month = p.observation_month AND {_NEAR} <= 300000 WHERE CAST(q.profile_id AS BIGINT) % 50 = 0 GROUP BY 1")
 def _(t):
-    """Profiles of the same month within 300 km of each query profile: an equi join on month and 5-degree cells of the neighbourhood."""
+    """Profiles of the same month within 300 km of each query profile (every id divisible by 50): an equi join on month and 5-degree cells of the neighbourhood."""
     cell = lambda c: F.floor(F.col(c) / 5).cast("int")
-    q = t.profiles.where("cycle_number = 9").select(F.col("profile_id").alias("query_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "observation_month", cell("latitude").alias("cy"), cell("longitude").alias("cx"))
+    q = t.profiles.where(F.col("profile_id").cast("long") % 50 == 0).select(F.col("profile_id").alias("query_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "observation_month", cell("latitude").alias("cy"), cell("longitude").alias("cx"))
     # 300 km is under 5 degrees of latitude, and under 6 of longitude up to 60 degrees: two cells either way.
     q = q.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).withColumn("cx", F.explode(F.sequence(F.col("cx") - 2, F.col("cx") + 2)))
     p = t.profiles.select("longitude", "latitude", "observation_month", cell("latitude").alias("cy"), cell("longitude").alias("cx"))
