@@ -108,13 +108,6 @@ def _(t):
     return p.select("conv_id", "turn", (~loose).alias("grounded"))
 
 
-@query("str_classify", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^(the|in|to|of)\\b') THEN 'greeting' WHEN regexp_matches(lower(text), '\\b(is|was)\\b') THEN 'help' ELSE 'query' END AS kind FROM conversations WHERE role = 'user'")
-def _(t):
-    low = F.lower("text")
-    kind = F.when(low.rlike(r"^(the|in|to|of)\b"), "greeting").when(low.rlike(r"\b(is|was)\b"), "help").otherwise("query")
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", kind.alias("kind"))
-
-
 @query("str_tokens", f"SELECT conv_id, turn, list_aggregate(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {STOP_WORDS}), 'string_agg', ' ') AS tokens FROM conversations WHERE lang_ok(text)".replace("WHERE lang_ok(text)", r"WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"))
 def _(t):
     joined = F.array_join(tokens(F.col("text")), " ")
