@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning of their own for retrieval.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "was", "were", "what", "which", "with")
+TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
 def numbers(text: Column) -> Column:
@@ -15,8 +16,8 @@ def numbers(text: Column) -> Column:
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Lower-case words of ASCII letters and digits without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    """Lower-case words of ASCII letters and digits, with dots and hyphens inside, without stop words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
     return F.filter(found, lambda x: ~x.isin(*stop))
 
 

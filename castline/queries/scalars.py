@@ -1,11 +1,13 @@
-"""Scalar functions over the driver tables: dates, strings, numbers, arrays, maps, JSON, geometry, retrieval."""
+"""Scalar functions over the driver tables: dates, strings, numbers, arrays, maps, JSON, geometry."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from castline.functions.text import STOP_WORDS, label, numbers, tokens, url_clean
+from castline.functions import numeric
+from castline.operators import payload
+from castline.functions.text import STOP_WORDS, TOKEN, label, numbers, tokens, url_clean
 from castline.registry import query, r6
 
 
@@ -74,11 +76,12 @@ def _(t):
     return t.pages.select("page_id", url_clean(F.col("url")).alias("url"))
 
 
-@query("str_qc_normalise", "SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS qc, l_linenumber % 4 = 0 AS unknown FROM lineitem")
+@query("str_qc_normalise", "SELECT l_orderkey, CASE WHEN l_linenumber % 4 IN (0, 1) THEN NULL ELSE CAST(l_linenumber AS VARCHAR) END AS qc, l_linenumber % 4 = 0 AS unknown FROM lineitem")
 def _(t):
-    raw = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("x"), F.col("l_linenumber").cast("string"))).otherwise(F.col("l_linenumber").cast("string"))
-    ok = raw.rlike("^[0-9]$")
-    return t.lineitem.select("l_orderkey", F.when(ok, raw).alias("qc"), (~ok).alias("unknown"))
+    """A digit is a code, an empty text is none, anything else is unknown."""
+    digit = F.col("l_linenumber").cast("string")
+    code, unknown = payload.qc_normalised(F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("x"), digit)).when(F.col("l_linenumber") % 4 == 1, "").otherwise(digit))
+    return t.lineitem.select("l_orderkey", code.alias("qc"), unknown.alias("unknown"))
 
 
 @query("str_bounded", "SELECT doc_id, text <> '' AND strlen(text) <= 2000 AS ok FROM documents")
@@ -108,7 +111,7 @@ def _(t):
     return p.select("conv_id", "turn", (~loose).alias("grounded"))
 
 
-@query("str_tokens", f"SELECT conv_id, turn, list_aggregate(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {STOP_WORDS}), 'string_agg', ' ') AS tokens FROM conversations WHERE lang_ok(text)".replace("WHERE lang_ok(text)", r"WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"))
+@query("str_tokens", f"SELECT conv_id, turn, list_aggregate(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: x NOT IN {STOP_WORDS}), 'string_agg', ' ') AS tokens FROM conversations WHERE lang_ok(text)".replace("WHERE lang_ok(text)", r"WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"))
 def _(t):
     joined = F.array_join(tokens(F.col("text")), " ")
     return t.conversations.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", F.nullif(joined, F.lit("")).alias("tokens"))
@@ -116,25 +119,23 @@ def _(t):
 
 @query("num_fill", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS value, CASE WHEN o_orderkey % 10 = 0 THEN 'fill' END AS reason FROM orders")
 def _(t):
-    raw = F.when(F.col("o_orderkey") % 10 == 0, 99999.0).otherwise(F.col("o_totalprice"))
-    fill = raw == 99999.0
-    return t.orders.select("o_orderkey", F.when(~fill, raw).alias("value"), F.when(fill, "fill").alias("reason"))
+    value, reason = numeric.filled(F.when(F.col("o_orderkey") % 10 == 0, numeric.FILL).otherwise(F.col("o_totalprice")))
+    return t.orders.select("o_orderkey", value.alias("value"), reason.alias("reason"))
 
 
-@query("num_nonfinite", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN NULL ELSE o_totalprice END AS value FROM orders")
+@query("num_nonfinite", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN NULL ELSE o_totalprice END AS value FROM orders")
 def _(t):
-    """The four quoted spellings become null."""
-    spelled = F.get(F.array(*[F.lit(x) for x in ("NaN", "Infinity", "-Infinity", "nan")]), (F.col("o_orderkey") % 5).cast("int"))
-    text = F.coalesce(spelled, F.col("o_totalprice").cast("string"))
-    return t.orders.select("o_orderkey", F.when(~text.isin("NaN", "nan", "Infinity", "-Infinity"), text.try_cast("double")).alias("value"))
+    """Every spelling of a value that is no number becomes null."""
+    spelled = F.get(F.array(*map(F.lit, numeric.NONFINITE)), (F.col("o_orderkey") % 7).cast("int"))
+    return t.orders.select("o_orderkey", numeric.number(F.coalesce(spelled, F.col("o_totalprice").cast("string"))).alias("value"))
 
 
-@query("num_exact", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS value, false AS rounded FROM lineitem")
+@query("num_exact", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS value, l_linenumber % 2 = 0 AS rounded FROM lineitem")
 def _(t):
-    """Decimal text to double; ``rounded`` tells a text that the double does not hold exactly to its places."""
-    text = F.format_string("%.2f", F.col("l_extendedprice"))
-    value = text.try_cast("double")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", value.alias("value"), (value.cast("decimal(38,2)") != text.cast("decimal(38,2)")).alias("rounded"))
+    """Decimal text to double; ``rounded`` tells a text with places that the double does not hold."""
+    text = F.concat(F.format_string("%.2f", F.col("l_extendedprice")), F.when(F.col("l_linenumber") % 2 == 0, "000000000000001").otherwise(""))
+    value, rounded = numeric.exact(text)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(value, 2).alias("value"), rounded.alias("rounded"))
 
 
 @query("geo_circle_box", "SELECT profile_id, round(latitude - degrees(500 / 6371.0088e0), 6) AS south, round(least(90, latitude + degrees(500 / 6371.0088e0)), 6) AS north, round(longitude - degrees(asin(least(1, sin(500 / 6371.0088e0) / cos(radians(latitude))))), 6) AS west FROM b_profiles")
@@ -189,54 +190,3 @@ def _(t):
 @query("hash_content", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
-# Retrieval ---------------------------------------------------------------------------------------
-
-
-def cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-_COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
-
-
-@query("rt_cosine", "SELECT label, round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_transform(embedding, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END) AS DOUBLE[]))), 6) AS mean FROM embeddings GROUP BY label")
-def _(t):
-    half = F.transform("embedding", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0).cast("float")))
-    return t.embeddings.select("label", cosine(F.col("embedding"), half).alias("c")).groupBy("label").agg(r6(F.avg("c"), "mean"))
-
-
-def search(queries, docs, k: int):
-    """The k best of ``docs`` for each query by cosine, ties by id.
-
-    Every query meets every document, as asked. Documents stay where they are; the queries, a stated set, go
-    to each task in blocks, and each task keeps k rows for a query before the shuffle.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = docs.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("e"), F.spark_partition_id().alias("part")).crossJoin(q)
-    scored = rows.where("doc <> query_id").select("query_id", "doc", "part", cosine(F.col("q"), F.col("e")).alias("score"))
-    order = lambda w: w.orderBy(F.desc("score"), "doc")
-    local = scored.withColumn("r", F.row_number().over(order(W.partitionBy("query_id", "part")))).where(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(order(W.partitionBy("query_id")))).where(F.col("rank") <= k).select("query_id", "doc", "rank", F.round(F.col("score"), 6).alias("score"))
-
-
-@query("rt_search", f"SELECT query_id, doc, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5".replace("round(score, 6)", "round(score,  6)"))
-def _(t):
-    return search(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 5)
-
-
-@query("rt_holdout", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND lower(trim(text)) NOT IN (SELECT lower(trim(text)) FROM conversations WHERE role = 'user' AND conv_id % 2 = 0)")
-def _(t):
-    norm = lambda df: df.withColumn("norm", F.lower(F.trim("text")))
-    users = norm(t.conversations.where("role = 'user'"))
-    return users.join(users.where("conv_id % 2 = 0").select("norm"), "norm", "left_anti").select("conv_id", "turn")
-
-
-@query("rt_hash_embed", "WITH g AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), b AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 768 AS bucket, CASE WHEN CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM g) SELECT item_id, bucket, CAST(sum(s) AS BIGINT) AS v FROM b GROUP BY 1, 2")
-def _(t):
-    """Words hashed to signed buckets, as sparse rows."""
-    w = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
-    part = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
-    return w.select("item_id", (part(1) % 768).alias("bucket"), F.when(part(9) % 2 == 0, 1).otherwise(-1).alias("s")).groupBy("item_id", "bucket").agg(F.sum("s").alias("v"))

@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions.geo import distance_sql, geo_distance, in_bbox, tile_key, within_km
+from castline.functions.numeric import finite
 from castline.operators.regions import in_regions
+from castline.operators.retrieval import valid_now
 from castline.functions.qc import VARIABLES, qc_code, qc_value, raw_columns
 from castline.registry import Tables, query, r6
 
@@ -40,10 +42,9 @@ def _(t):
     return t.profiles.where((F.col("observed_at") >= _ts("1997-03-01")) & (F.col("observed_at") < _ts("1997-06-01"))).select("profile_id", "observed_at")
 
 
-@query("f_source", "SELECT event_type, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY event_type")
+@query("f_source", "SELECT doc_id, source FROM documents WHERE source = 'src3'")
 def _(t):
-    least = t.events.agg(F.min("event_type").alias("_least"))
-    return t.events.join(F.broadcast(least), F.col("event_type") == F.col("_least")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return t.documents.where(F.col("source") == "src3").select("doc_id", "source")
 
 
 @query("f_depth", "SELECT profile_id, level_index, p, t FROM b_sel WHERE p BETWEEN 200 AND 1000")
@@ -108,11 +109,11 @@ def _(t):
     return t.selected("mode_selected").where((F.col("cycle_number") == 7) & F.col("p").between(0, 1500)).select("profile_id", "level_index", "p", "t", "s")
 
 
-@query("p_sanitize", "SELECT CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_totalprice END AS price, o_totalprice > 200000 AS dropped, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("p_sanitize", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 10 > 308 THEN NULL ELSE 1 END AS kept, l_quantity * 10 > 308 AS dropped FROM lineitem")
 def _(t):
-    value = F.when(F.col("o_totalprice") > 200000, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
-    bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return t.orders.select(F.when(bad, None).otherwise(value).alias("price"), bad.alias("dropped")).groupBy("price", "dropped").agg(F.count("*").alias("n"))
+    """Numbers that are not finite become null and are counted: here powers of ten beyond the range of a double."""
+    value = finite(F.pow(F.lit(10.0), F.col("l_quantity") * 10))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(value.isNotNull(), 1).alias("kept"), value.isNull().alias("dropped"))
 
 
 @query("p_units", "SELECT v AS variable, CASE v WHEN 'pressure' THEN 'dbar' WHEN 'temperature' THEN 'degree_C' ELSE '1' END AS unit, count(*) AS n FROM b_levels, (SELECT unnest(['pressure','temperature','salinity']) AS v) GROUP BY 1, 2")
@@ -122,12 +123,13 @@ def _(t):
     return long.groupBy("variable").agg(F.count("*").alias("n")).join(F.broadcast(units), "variable").select("variable", "unit", "n")
 
 
-@query("f_valid_now", "SELECT doc_id, lang FROM documents WHERE (doc_id % 3 <> 0 OR doc_id > 500) AND lang IN ('en', 'de')")
+@query("f_valid_now", """SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderdate <= TIMESTAMP '1997-06-01' AND (o_orderstatus = 'O' OR o_orderdate + to_days(CAST(o_custkey % 900 AS INT)) > TIMESTAMP '1997-06-01')""")
 def _(t):
-    return t.documents.where(((F.col("doc_id") % 3 != 0) | (F.col("doc_id") > 500)) & F.col("lang").isin("en", "de")).select("doc_id", "lang")
-
-
-# Joins -------------------------------------------------------------------------------------------
+    """Orders as documents: open ones have no end, urgent ones are not public."""
+    at = F.col("o_orderdate").cast("timestamp")
+    until = F.when(F.col("o_orderstatus") != "O", F.timestamp_micros(F.unix_micros(at) + F.col("o_custkey") % 900 * 86_400_000_000))
+    docs = t.orders.select("o_orderkey", at.alias("valid_from"), until.alias("valid_until"), F.when(F.col("o_orderpriority") == "1-URGENT", "internal").otherwise("public").alias("scope"))
+    return valid_now(docs, F.lit("1997-06-01").cast("timestamp")).select("o_orderkey")
 
 
 @query("j_levels_profiles", "SELECT CAST(m.observation_month AS VARCHAR) AS observation_month, count(*) AS n, count(DISTINCT l.profile_id) AS profiles FROM b_levels l JOIN b_profiles m ON l.profile_id = m.profile_id GROUP BY 1")
