@@ -35,3 +35,18 @@ def qc_code(var: str) -> Column:
 def raw_columns(var: str, present: list[str]) -> list[Column]:
     """The stored columns of ``var`` among ``present``, in stored order."""
     return [F.col(c) for c in present if c == var or c.startswith(f"{var}_")]
+
+
+# What a value may be, and the spellings of units.
+PLAUSIBLE = {"pressure": (-5, 12000), "temperature": (-5, 50), "salinity": (0, 50)}
+UNIT_SPELLINGS = {"dbar": "dbar", "decibar": "dbar", "degree_C": "degree_C", "degree_Celsius": "degree_C", "degC": "degree_C", "psu": "1", "PSU": "1", "1": "1"}
+
+
+def implausible() -> Column:
+    """Names of the variables (columns) whose value lies outside its range."""
+    return F.array_compact(F.array(*[F.when(~F.col(v).between(*ends), v) for v, ends in PLAUSIBLE.items()]))
+
+
+def canonical_unit(spelling: Column) -> Column:
+    """Canonical unit of a spelling; null if nobody knows it."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in UNIT_SPELLINGS.items() for x in pair]), spelling)

@@ -134,3 +134,49 @@ def sarima_grid(series: DataFrame, keys: list[str], orders: list[tuple]) -> Data
     scored = grid.repartition(parallel).select(*keys, F.array_join("order", ",").alias("order"), aicc("y", "order").alias("aicc"))
     w = W.partitionBy(*keys).orderBy("aicc", "order")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
+def naive_widths(series: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, w80, w95, size: linear quantiles of the centred absolute seasonal differences, and the months of the series."""
+    e = numbered(series, keys).withColumn("e", F.col("y") - F.lag("y", SEASON).over(W.partitionBy(*keys).orderBy("i"))).where("e IS NOT NULL")
+    off = e.join(e.groupBy(*keys).agg(F.avg("e").alias("mean")), keys).withColumn("x", F.abs(F.col("e") - F.col("mean")))
+    return off.groupBy(*keys).agg(F.percentile("x", F.lit(0.8)).alias("w80"), F.percentile("x", F.lit(0.95)).alias("w95"), (F.count("*") + SEASON).alias("size"))
+
+
+def seasonal_naive(series: DataFrame, keys: list[str], horizons: int = HORIZONS) -> DataFrame:
+    """keys, h, point, low80, high80, low95, high95: the value a season before, with empirical intervals."""
+    y, ahead = numbered(series, keys).select(*keys, "i", "y"), naive_widths(series, keys)
+    ahead = ahead.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizons))).alias("h")).withColumn("i", (F.col("size") - SEASON + (F.col("h") - 1) % SEASON).cast("int"))
+    rows = ahead.join(y, [*keys, "i"])
+    end = lambda w, sign, name: (F.col("y") + sign * F.col(w)).alias(name)
+    return rows.select(*keys, "h", F.col("y").alias("point"), end("w80", -1, "low80"), end("w80", 1, "high80"), end("w95", -1, "low95"), end("w95", 1, "high95"))
+
+
+def best_candidates(scores: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
+    """The n best of each series by AICc, fewer parameters first, then by name (column ``candidate``), with their rank."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("aicc").asc_nulls_last(), "parameters", "candidate"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def lag_candidates(series: DataFrame, keys: list[str], lags: range) -> DataFrame:
+    """keys, candidate, parameters, aicc: for each lag the model that repeats the value so many months before.
+
+    A lag counts as so many parameters; the likelihood is that of normal differences.
+    """
+    w = W.partitionBy(*keys).orderBy("i")
+    y = numbered(series, keys)
+    y = y.select(*keys, "y", *[F.lag("y", k).over(w).alias(f"_l{k}") for k in lags])
+    gaps = F.array(*[F.struct(F.lit(k).alias("candidate"), (F.col("y") - F.col(f"_l{k}")).alias("e")) for k in lags])
+    each = y.select(*keys, F.explode(gaps).alias("g")).select(*keys, "g.*").where("e IS NOT NULL")
+    fit = each.groupBy(*keys, "candidate").agg(F.count("*").alias("n"), F.avg(F.col("e") * F.col("e")).alias("v"))
+    k = F.col("candidate") + 1
+    aicc = F.col("n") * F.log("v") + 2 * k + 2 * k * (k + 1) / (F.col("n") - k - 1)
+    return fit.where(F.col("n") > k + 1).select(*keys, "candidate", k.alias("parameters"), aicc.alias("aicc"))
+
+
+def report(verdicts: DataFrame, errors: DataFrame, keys: list[str], horizons: int = HORIZONS) -> DataFrame:
+    """Evaluation table: verdict, number of forecasts, and MASE at each horizon as columns mase_h1, ...; refused series have their reason and no figures."""
+    wide = errors.groupBy(*keys).agg(F.sum("n").alias("forecasts"), *[F.max(F.when(F.col("h") == h, F.col("mase"))).alias(f"mase_h{h}") for h in range(1, horizons + 1)])
+    ok = F.col("verdict") == "ok"
+    shown = [F.when(ok, F.col(c)).alias(c) for c in ("forecasts", *[f"mase_h{h}" for h in range(1, horizons + 1)])]
+    return verdicts.join(wide, keys, "left").select(*keys, F.when(ok, "forecast").otherwise("refused").alias("status"), F.when(~ok, F.col("verdict")).alias("reason"), *shown)

@@ -10,7 +10,7 @@ from castline.operators.aggregate import aggregate, key
 from castline.registry import query, r6
 
 _METRICS = ("mean", "count", "min", "max", "stddev", "median")
-_M_SQL = "round(avg({v}),6) AS {n}_mean, count({v}) AS {n}_count, round(min({v}),6) AS {n}_min, round(max({v}),6) AS {n}_max, round(stddev_samp({v}),6) AS {n}_stddev, round(quantile_cont({v},0.5),6) AS {n}_median"
+_M_SQL = "round(avg({v}) + 1e-9, 6) AS {n}_mean, count({v}) AS {n}_count, round(min({v}) + 1e-9, 6) AS {n}_min, round(max({v}) + 1e-9, 6) AS {n}_max, round(stddev_samp({v}) + 1e-9, 6) AS {n}_stddev, round(quantile_cont({v},0.5) + 1e-9, 6) AS {n}_median"
 _KEYS = {"month": "strftime(observed_at,'%Y-%m')", "day": "strftime(observed_at,'%Y-%m-%d')", "profile": "profile_id", "float": "platform_number", "depth_bin": "floor(p/100)*100e0", "region": "'Envelope'"}
 
 
@@ -96,7 +96,7 @@ def _(t):
         F.count("*").alias("occurrences"), F.sum("n").alias("levels"), F.count_if(F.col("n").isNull()).alias("unknown"))
 
 
-@query("agg_payloads", "SELECT event_type, user_id % 4 AS disposition, count(*) AS attempts, round(sum(value), 6) AS bytes FROM events GROUP BY 1, 2")
+@query("agg_payloads", "SELECT event_type, user_id % 4 AS disposition, count(*) AS attempts, round(sum(value) + 1e-9, 6) AS bytes FROM events GROUP BY 1, 2")
 def _(t):
     return t.events.groupBy("event_type", (F.col("user_id") % 4).alias("disposition")).agg(F.count("*").alias("attempts"), r6(F.sum("value"), "bytes"))
 
@@ -158,7 +158,7 @@ def _(t):
     return t.delivered.select("profile_id").join(heads, "profile_id").groupBy("observation_month").agg(F.count("*").alias("levels"), (F.count("*") * 240).alias("bytes"))
 
 
-@query("agg_progress", "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS rest, round(avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0 END), 6) AS ratio FROM events GROUP BY 1")
+@query("agg_progress", "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS rest, round(avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0 END) + 1e-9, 6) AS ratio FROM events GROUP BY 1")
 def _(t):
     click = F.col("event_type") == "click"
     return t.events.groupBy("user_id").agg(F.count_if(click).alias("clicks"), F.count_if(~click).alias("rest"), r6(F.avg(F.when(click, 1.0).otherwise(0.0)), "ratio"))
@@ -175,7 +175,7 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("parts")).where("parts >= 6")
 
 
-@query("agg_level_depth", "SELECT direction, count(*) AS profiles, CAST(sum(n) AS BIGINT) AS levels, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT m.profile_id, direction, count(*) AS n FROM b_profiles m JOIN b_delivered l ON l.profile_id = m.profile_id GROUP BY ALL) GROUP BY 1")
+@query("agg_level_depth", "SELECT direction, count(*) AS profiles, CAST(sum(n) AS BIGINT) AS levels, round(avg(n) + 1e-9, 6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT m.profile_id, direction, count(*) AS n FROM b_profiles m JOIN b_delivered l ON l.profile_id = m.profile_id GROUP BY ALL) GROUP BY 1")
 def _(t):
     n = t.delivered.groupBy("profile_id").agg(F.count("*").alias("n")).join(t.profiles.select("profile_id", "direction"), "profile_id")
     return n.groupBy("direction").agg(F.count("*").alias("profiles"), F.sum("n").alias("levels"), r6(F.avg("n"), "mean"), F.min("n").alias("least"), F.max("n").alias("most"))
@@ -197,7 +197,7 @@ def _(t):
     return each.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("agg_summary_stats", " UNION ALL ".join(f"SELECT '{c}' AS col, round(min({c}),6) AS lo, round(max({c}),6) AS hi, round(avg({c}),6) AS mean, count({c}) AS n FROM b_sel" for c in "pts"))
+@query("agg_summary_stats", " UNION ALL ".join(f"SELECT '{c}' AS col, round(min({c}) + 1e-9, 6) AS lo, round(max({c}) + 1e-9, 6) AS hi, round(avg({c}) + 1e-9, 6) AS mean, count({c}) AS n FROM b_sel" for c in "pts"))
 def _(t):
     long = t.selected().select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("x")) for c in "pts"])).alias("r")).select("r.*")
     return long.groupBy("col").agg(r6(F.min("x"), "lo"), r6(F.max("x"), "hi"), r6(F.avg("x"), "mean"), F.count("x").alias("n"))
@@ -219,7 +219,7 @@ def _(t):
 
 
 @query("agg_map_clusters", """SELECT CAST(floor((longitude + 180) / 360 * 4096 / 36) AS BIGINT) AS cx, CAST(floor((1 - ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / pi()) / 2 * 4096 / 36) AS BIGINT) AS cy,
-  count(*) AS n, round(avg(longitude), 6) AS lon, round(avg(latitude), 6) AS lat FROM b_profiles GROUP BY 1, 2""")
+  count(*) AS n, round(avg(longitude) + 1e-9, 6) AS lon, round(avg(latitude) + 1e-9, 6) AS lat FROM b_profiles GROUP BY 1, 2""")
 def _(t):
     """Web-Mercator cells of 36 px at zoom 4 (256 px tiles)."""
     lat = F.radians("latitude")
@@ -228,7 +228,7 @@ def _(t):
     return t.profiles.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("n"), r6(F.avg("longitude"), "lon"), r6(F.avg("latitude"), "lat"))
 
 
-@query("agg_series_chart", "SELECT direction AS series, strftime(observed_at, '%Y-%m') AS x, 'temperature' AS metric, round(avg(t), 6) AS y FROM b_sel GROUP BY 1, 2 UNION ALL SELECT direction, strftime(observed_at, '%Y-%m'), 'salinity', round(avg(s), 6) FROM b_sel GROUP BY 1, 2")
+@query("agg_series_chart", "SELECT direction AS series, strftime(observed_at, '%Y-%m') AS x, 'temperature' AS metric, round(avg(t) + 1e-9, 6) AS y FROM b_sel GROUP BY 1, 2 UNION ALL SELECT direction, strftime(observed_at, '%Y-%m'), 'salinity', round(avg(s) + 1e-9, 6) FROM b_sel GROUP BY 1, 2")
 def _(t):
     long = t.selected().select(F.col("direction").alias("series"), F.date_format("observed_at", "yyyy-MM").alias("x"), F.explode(F.array(F.struct(F.lit("temperature").alias("metric"), F.col("t").alias("v")), F.struct(F.lit("salinity").alias("metric"), F.col("s").alias("v")))).alias("r"))
     return long.groupBy("series", "x", "r.metric").agg(r6(F.avg("r.v"), "y"))
@@ -254,7 +254,7 @@ def _(t):
     return joined.select("event_id", F.round(F.col("value") * F.coalesce("price", F.lit(0.01)), 9).alias("cost"), F.col("price").isNull().alias("by_default"))
 
 
-@query("agg_eval_rates", "SELECT lang, round(avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0 END), 6) AS exact, round(avg(CASE WHEN toxic = 0 THEN 1e0 ELSE 0 END), 6) AS clean, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("agg_eval_rates", "SELECT lang, round(avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0 END) + 1e-9, 6) AS exact, round(avg(CASE WHEN toxic = 0 THEN 1e0 ELSE 0 END) + 1e-9, 6) AS clean, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def _(t):
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(r6(rate(F.col("quality") == 1), "exact"), r6(rate(F.col("toxic") == 0), "clean"), F.count("*").alias("n"))

@@ -6,7 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions.geo import tile_key
+from castline.functions.qc import canonical_unit, implausible
+from castline.operators import matching
+from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
+from castline.sinks.writers import digest
 
 
 
@@ -61,22 +65,6 @@ def _(t):
     return j.select("cand", F.coalesce("by_id", "by_natural").alias("matched"), action.alias("action"))
 
 
-def revision_outcome(stored_hash, new_hash, stored, new):
-    """Outcome of a delivered revision (map of component to long) against the stored one; a null hash means no stored row."""
-    same = stored_hash == new_hash
-    keys = F.array_sort(F.map_keys(stored)) == F.array_sort(F.map_keys(new))
-    step = F.map_values(F.map_zip_with(new, stored, lambda _, a, b: a - b))
-    equal, up, down = (F.forall(step, f) for f in (lambda d: d == 0, lambda d: d >= 0, lambda d: d <= 0))
-    by_hash = lambda yes, no: F.when(same, yes).otherwise(no)
-    ordered = F.when(equal, by_hash("noop", "revision_conflict")).when(up, by_hash("revision_only", "newer")).when(down, F.lit("stale_skip"))
-    return (
-        F.when(stored_hash.isNull(), "insert")
-        .when(stored.isNull() & new.isNull(), by_hash("noop", "revision_conflict"))
-        .when(stored.isNotNull() & new.isNotNull() & keys, F.coalesce(ordered, by_hash("unordered_noop", "revision_conflict")))
-        .otherwise(by_hash("unordered_noop", "revision_conflict"))
-    )
-
-
 @query("ing_revision", """WITH r AS (SELECT o_orderkey, o_orderkey % 9 AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS sh, o_orderpriority AS pr FROM orders),
  z AS (SELECT *, CASE WHEN pr LIKE '%HIGH%' THEN coalesce(sh, o_orderkey::VARCHAR) ELSE 'x' END AS nh FROM r)
  SELECT o_orderkey, CASE WHEN sh IS NULL THEN 'insert' WHEN k = 0 THEN CASE WHEN sh = nh THEN 'noop' ELSE 'revision_conflict' END WHEN k = 1 THEN CASE WHEN sh = nh THEN 'unordered_noop' ELSE 'revision_conflict' END
@@ -92,14 +80,22 @@ def _(t):
     return t.orders.select("o_orderkey", revision_outcome(sh, nh, stored, new).alias("outcome"))
 
 
-@query("ing_merge", """WITH c AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'), s AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0)
- SELECT coalesce(c.k, s.k) AS k, round(coalesce(c.v, s.v), 2) AS v, CASE WHEN s.k IS NULL THEN 'insert' WHEN c.k IS NULL THEN 'keep' ELSE 'newer' END AS outcome FROM c FULL JOIN s ON c.k = s.k""")
+_NEXT = """WITH s AS (SELECT o_custkey AS k, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS r, CAST(round(sum(o_totalprice)) AS BIGINT) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_custkey % 5 <> 0 GROUP BY 1),
+ c AS (SELECT o_custkey AS k, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS r, CAST(round(sum(o_totalprice)) AS BIGINT) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' AND o_custkey % 7 <> 0 GROUP BY 1),
+ j AS (SELECT coalesce(s.k, c.k) AS k, s.n AS sn, s.r AS sr, s.v AS sv, c.n AS cn, c.r AS cr, c.v AS cv FROM s FULL JOIN c ON s.k = c.k),
+ o AS (SELECT *, CASE WHEN cn IS NULL THEN 'keep' WHEN sn IS NULL THEN 'insert' WHEN cr = sr THEN CASE WHEN cn = sn THEN 'noop' ELSE 'revision_conflict' END WHEN cr > sr THEN CASE WHEN cn = sn THEN 'revision_only' ELSE 'newer' END ELSE 'stale_skip' END AS outcome FROM j)"""
+
+
+@query("ing_merge", f"{_NEXT} SELECT k, outcome, CASE WHEN outcome IN ('insert', 'newer', 'revision_only') THEN cr ELSE sr END AS revision, CASE WHEN outcome IN ('insert', 'newer') THEN cv ELSE sv END AS content FROM o")
 def _(t):
-    """Next state of the store: candidates replace or enter, other rows stay."""
-    cand = t.orders.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp")).select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 2).alias("new"))
-    stored = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("old"))
-    outcome = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "keep").otherwise("newer")
-    return cand.join(stored, "k", "full").select("k", F.round(F.coalesce("new", "old"), 2).alias("v"), outcome.alias("outcome"))
+    """Next state of the store: a row's content follows its revision, its levels are replaced whole or not at all."""
+    def side(df):
+        made = df.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("r"), F.round(F.sum("o_totalprice")).cast("long").alias("content"))
+        return made.select("k", F.col("n").cast("string").alias("hash"), F.create_map(F.lit("core"), F.col("r")).alias("revision"), "content")
+
+    stored = side(t.orders.where("o_orderdate < TIMESTAMP '1998-01-01' AND o_custkey % 5 <> 0"))
+    new = side(t.orders.where("o_orderdate >= TIMESTAMP '1997-06-01' AND o_custkey % 7 <> 0"))
+    return merge_batch(stored, new, "k").select("k", "outcome", F.col("revision")["core"].alias("revision"), "content")
 
 
 @query("ing_moved", """WITH m AS (SELECT profile_id, floor((longitude - 20) / 10) AS old_slot, floor((least(119, longitude + 4) - 20) / 10) AS new_slot FROM b_profiles WHERE longitude < 120)
@@ -112,9 +108,11 @@ def _(t):
     return m.select(F.explode(both).alias("e")).groupBy("e.slot", "e.kind").agg(F.count("*").alias("n"))
 
 
-@query("ing_plausible", "SELECT profile_id, level_index, p NOT BETWEEN -5 AND 1500 AS p_out, t NOT BETWEEN 2 AND 28 AS t_out FROM b_delivered")
+@query("ing_plausible", "SELECT profile_id, level_index, concat_ws(',', CASE WHEN p * 7 NOT BETWEEN -5 AND 12000 THEN 'pressure' END, CASE WHEN t * 2 - 6 NOT BETWEEN -5 AND 50 THEN 'temperature' END, CASE WHEN s * 1.5 NOT BETWEEN 0 AND 50 THEN 'salinity' END) AS implausible FROM b_delivered")
 def _(t):
-    return t.delivered.select("profile_id", "level_index", (~F.col("p").between(-5, 1500)).alias("p_out"), (~F.col("t").between(2, 28)).alias("t_out"))
+    """Values beyond what a sensor in the sea can see. Delivered values are stretched so that some are."""
+    rows = t.delivered.select("profile_id", "level_index", (F.col("p") * 7).alias("pressure"), (F.col("t") * 2 - 6).alias("temperature"), (F.col("s") * 1.5).alias("salinity"))
+    return rows.select("profile_id", "level_index", F.array_join(implausible(), ",").alias("implausible"))
 
 
 @query("ing_flags", """WITH f AS (SELECT profile_id, level_index, p, p_qc, row_number() OVER (PARTITION BY profile_id, p ORDER BY level_index) > 1 AS rep, p < lag(p) OVER (PARTITION BY profile_id ORDER BY level_index) AS dec FROM b_delivered)
@@ -132,11 +130,15 @@ def _(t):
     return rows.select("profile_id", "level_index", F.array_join(flags, ",").alias("flags"))
 
 
-@query("ing_units", "SELECT p_type, CASE lower(substr(p_type, 1, 3)) WHEN 'sma' THEN 'dbar' WHEN 'lar' THEN 'degree_C' ELSE NULL END AS unit, count(*) AS n FROM part GROUP BY 1, 2")
+@query("ing_units", """WITH l AS (SELECT l_orderkey, CASE l_linenumber % 5 WHEN 0 THEN 'decibar' WHEN 1 THEN 'dbar' WHEN 2 THEN 'degree_Celsius' WHEN 3 THEN 'psu' ELSE CASE WHEN l_suppkey % 3 = 0 THEN 'furlong' ELSE 'degree_C' END END AS spelling FROM lineitem)
+ SELECT l_orderkey, bool_or(spelling = 'furlong') AS rejected, count(*) FILTER (spelling IN ('decibar', 'dbar')) AS dbar, count(*) FILTER (spelling IN ('degree_Celsius', 'degree_C')) AS degrees, count(*) FILTER (spelling = 'psu') AS ones FROM l GROUP BY 1""")
 def _(t):
-    """Spelling to canonical unit by a map; unknown spellings have none."""
-    known = F.create_map(F.lit("sma"), F.lit("dbar"), F.lit("lar"), F.lit("degree_C"))
-    return t.part.groupBy("p_type", F.try_element_at(known, F.lower(F.substring("p_type", 1, 3))).alias("unit")).agg(F.count("*").alias("n"))
+    """Spellings to canonical units; a value in a unit that nobody knows rejects its whole profile."""
+    k = F.col("l_linenumber") % 5
+    spelling = F.when(k == 0, "decibar").when(k == 1, "dbar").when(k == 2, "degree_Celsius").when(k == 3, "psu").when(F.col("l_suppkey") % 3 == 0, "furlong").otherwise("degree_C")
+    unit = canonical_unit(spelling)
+    return t.lineitem.withColumn("unit", unit).groupBy("l_orderkey").agg(
+        F.bool_or(F.col("unit").isNull()).alias("rejected"), F.count_if(F.col("unit") == "dbar").alias("dbar"), F.count_if(F.col("unit") == "degree_C").alias("degrees"), F.count_if(F.col("unit") == "1").alias("ones"))
 
 
 @query("ing_variant_place", "SELECT profile_id, level_index, temperature, temperature_adjusted FROM b_levels")
@@ -179,23 +181,37 @@ def _(t):
     return rows.join(newest, ["l_orderkey", "l_linenumber", "l_shipdate"], "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("ing_receipts", "SELECT observation_month::VARCHAR AS month, direction, CASE WHEN count(*) FILTER (cycle_number % 2 = 0) = 0 THEN 'empty_verified' WHEN count(*) FILTER (cycle_number % 2 = 0) < count(*) THEN 'partial' ELSE 'complete' END AS stored_disposition, count(*) AS fetched FROM b_profiles GROUP BY 1, 2")
+@query("ing_receipts", """SELECT CAST(observation_month AS VARCHAR) AS month, direction, count(*) AS fetched, count(*) FILTER (levels IS NOT NULL) AS stored, CASE WHEN count(*) FILTER (levels IS NOT NULL) = 0 THEN 'empty_verified' ELSE 'stored' END AS stored_disposition,
+ CASE WHEN count(*) FILTER (levels IS NOT NULL) < count(*) THEN 'fetched_with_losses' ELSE 'fetched' END AS fetch_disposition FROM b_profiles m LEFT JOIN (SELECT profile_id, count(*) AS levels FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id GROUP BY 1, 2""")
 def _(t):
-    stored = F.count_if(F.col("cycle_number") % 2 == 0)
-    made = t.profiles.groupBy(F.col("observation_month").cast("string").alias("month"), "direction").agg(stored.alias("s"), F.count("*").alias("fetched"))
-    return made.select("month", "direction", F.when(F.col("s") == 0, "empty_verified").when(F.col("s") < F.col("fetched"), "partial").otherwise("complete").alias("stored_disposition"), "fetched")
+    """What was fetched for each slot, and what of it has levels in the store."""
+    levels = t.delivered.groupBy("profile_id").agg(F.count("*").alias("levels"))
+    made = t.profiles.join(levels, "profile_id", "left").groupBy(F.col("observation_month").cast("string").alias("month"), "direction").agg(F.count("*").alias("fetched"), F.count("levels").alias("stored"))
+    return made.withColumns({
+        "stored_disposition": F.when(F.col("stored") == 0, "empty_verified").otherwise("stored"), "fetch_disposition": F.when(F.col("stored") < F.col("fetched"), "fetched_with_losses").otherwise("fetched"),
+    })
+
+
+_RECEIPTS = """WITH q AS (SELECT DISTINCT o_custkey AS slot, TIMESTAMP '1996-01-01' AS a, TIMESTAMP '1997-01-01' AS b FROM orders),
+ r AS (SELECT o_custkey AS slot, greatest(o_orderdate, TIMESTAMP '1996-01-01') AS s, least(o_orderdate + to_days(CAST(90 + o_orderkey % 300 AS INT)), TIMESTAMP '1997-01-01') AS e, o_orderstatus AS st FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderdate + to_days(CAST(90 + o_orderkey % 300 AS INT)) > TIMESTAMP '1996-01-01'),
+ w AS (SELECT *, coalesce(max(e) OVER (PARTITION BY slot ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1996-01-01') AS before FROM r),
+ g AS (SELECT slot, bool_or(s > before) OR max(e) < TIMESTAMP '1997-01-01' AS gap, bool_or(st = 'F') AS held, bool_or(st = 'O') AS verified FROM w GROUP BY 1)"""
 
 
-@query("ing_coverage", """WITH months AS (SELECT DISTINCT observation_month AS m FROM b_profiles), grid AS (SELECT m, x FROM months, (SELECT unnest(range(10)) AS x)),
- have AS (SELECT observation_month AS m, least(9, floor((longitude - 20) / 10)) AS x, count(*) AS n, max(latitude) AS top FROM b_profiles GROUP BY 1, 2)
- SELECT CAST(g.m AS VARCHAR) AS month, g.x AS tile, CASE WHEN n IS NULL THEN 'fetch_coverage' WHEN n < 5 THEN 'missing_active_generation' WHEN top < 0 THEN 'stored_empty_not_verified' ELSE 'covered' END AS state FROM grid g LEFT JOIN have h ON h.m = g.m AND h.x = g.x""")
+@query("ing_coverage", f"{_RECEIPTS} SELECT q.slot, CASE WHEN gap IS NULL OR gap THEN 'fetch_coverage' WHEN held THEN 'covered' WHEN verified THEN 'empty_verified' ELSE 'stored_empty_not_verified' END AS state FROM q LEFT JOIN g ON g.slot = q.slot")
 def _(t):
-    """State of every month and tile of the grid."""
-    grid = t.profiles.select("observation_month").distinct().select("observation_month", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("tile"))
-    tile = F.least(F.lit(9).cast("long"), F.floor((F.col("longitude") - 20) / 10))
-    have = t.profiles.groupBy("observation_month", tile.alias("tile")).agg(F.count("*").alias("n"), F.max("latitude").alias("top"))
-    state = F.when(F.col("n").isNull(), "fetch_coverage").when(F.col("n") < 5, "missing_active_generation").when(F.col("top") < 0, "stored_empty_not_verified").otherwise("covered")
-    return grid.join(have, ["observation_month", "tile"], "left").select(F.col("observation_month").cast("string").alias("month"), "tile", state.alias("state"))
+    """State of every slot over a year: its receipts' intervals are clipped to the request, and their union must leave no gap.
+
+    Slots are platforms; an order is a receipt from its date on, and its status tells what the store holds.
+    """
+    at, day = F.col("o_orderdate").cast("timestamp"), 86_400_000_000
+    receipts = t.orders.select(F.col("o_custkey").alias("slot"), at.alias("start"), F.timestamp_micros(F.unix_micros(at) + (F.col("o_orderkey") % 300 + 90) * day).alias("end"), "o_orderstatus")
+    requests = t.orders.select(F.col("o_custkey").alias("slot")).distinct().withColumns({"req_start": F.lit("1996-01-01").cast("timestamp"), "req_end": F.lit("1997-01-01").cast("timestamp")})
+    pieces = matching.interval_overlap(receipts, requests).select("slot", F.col("clip_start").alias("start"), F.col("clip_end").alias("end"), "req_start", "req_end", "o_orderstatus")
+    held = pieces.groupBy("slot").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("held"), F.bool_or(F.col("o_orderstatus") == "O").alias("verified"))
+    known = matching.interval_gaps(pieces.drop("o_orderstatus"), ["slot"]).join(held, "slot")
+    state = F.when(F.coalesce("gap", F.lit(True)), "fetch_coverage").when(F.col("held"), "covered").when(F.col("verified"), "empty_verified").otherwise("stored_empty_not_verified")
+    return requests.select("slot").join(known, "slot", "left").select("slot", state.alias("state"))
 
 
 @query("ing_fetch_plan", """WITH days AS (SELECT CAST(date_part('year', o_orderdate) * 12 + date_part('month', o_orderdate) - 1 AS BIGINT) AS m, count(*) FILTER (o_orderstatus = 'P') AS n FROM orders GROUP BY 1),
@@ -214,19 +230,26 @@ def _(t):
     return t.profiles.where("latitude > 20").groupBy("direction").agg(F.min("observation_month").cast("string").alias("first_month"), F.max("observation_month").cast("string").alias("last_month"), F.countDistinct(tile).alias("tiles"))
 
 
-@query("ing_no_change", "SELECT (SELECT count(*) FROM orders) = (SELECT count(*) FROM b_profiles) AS same_count, (SELECT sum(o_orderkey) FROM orders) = (SELECT sum(CAST(profile_id AS BIGINT)) FROM b_profiles) AS same_keys")
+@query("ing_no_change", "SELECT 'levels' AS part, count(*) AS n_before, count(*) AS n_after, true AS same FROM lineitem UNION ALL SELECT 'profiles', count(*), count(*) FILTER (o_orderkey % 1000 <> 7), count(*) = count(*) FILTER (o_orderkey % 1000 <> 7) FROM orders")
 def _(t):
-    a = t.orders.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("k"))
-    b = t.profiles.agg(F.count("*").alias("m"), F.sum(F.col("profile_id").cast("long")).alias("j"))
-    return a.crossJoin(b).select((F.col("n") == F.col("m")).alias("same_count"), (F.col("k") == F.col("j")).alias("same_keys"))  # one row each
+    """Counts and digests before and after a rerun: the levels are the same rows in another order, of the profiles some are lost."""
+    def compared(part, before, after):
+        a, b = digest(before).select(F.struct("*").alias("a")), digest(after).select(F.struct("*").alias("b"))
+        return a.join(b, how="cross").select(F.lit(part).alias("part"), F.col("a.n").alias("n_before"), F.col("b.n").alias("n_after"), (F.col("a") == F.col("b")).alias("same"))  # one row each
+
+    return compared("levels", t.lineitem, t.lineitem.repartition("l_partkey")).unionByName(compared("profiles", t.orders, t.orders.where("o_orderkey % 1000 <> 7")))
 
 
-@query("ing_index_match", r"SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (b.k IS NULL) AS index_only, count(*) FILTER (a.k IS NULL) AS stored_only FROM (SELECT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') b ON a.k = b.k")
+@query("ing_index_match", "SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (b.k IS NULL) AS index_only, count(*) FILTER (a.k IS NULL) AS stored_only FROM (SELECT o_custkey || '_' || o_orderkey % 400 AS k FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey || '_' || o_orderkey % 400 AS k FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) b ON a.k = b.k")
 def _(t):
-    index = t.customer.select(F.regexp_extract("c_name", "([0-9]+)$", 1).cast("long").alias("k")).withColumn("a", F.lit(1))
-    stored = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct().withColumn("b", F.lit(1))
-    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
-    return index.join(stored, "k", "full").agg(F.count_if(a & b).alias("matched"), F.count_if(~b).alias("index_only"), F.count_if(~a).alias("stored_only"))
+    """Identities in the file names of an index against the stored ones: platform and cycle."""
+    name = F.concat(F.lit("R"), F.col("o_custkey").cast("string"), F.lit("_"), F.lpad((F.col("o_orderkey") % 400).cast("string"), 3, "0"), F.lit("D.nc"))
+    index = t.orders.where("o_orderdate < TIMESTAMP '1999-01-01'").select(name.alias("file"))
+    part = lambda k: F.regexp_extract("file", r"^[A-Z]?(\d+)_(\d+)([A-Z]?)\.nc$", k)
+    a = index.select(F.concat_ws("_", part(1), part(2).cast("int").cast("string")).alias("k")).distinct().withColumn("a", F.lit(1))
+    b = t.orders.where("o_orderstatus <> 'P'").select(F.concat_ws("_", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 400).cast("string")).alias("k")).distinct().withColumn("b", F.lit(1))
+    x, y = F.col("a").isNotNull(), F.col("b").isNotNull()
+    return a.join(b, "k", "full").agg(F.count_if(x & y).alias("matched"), F.count_if(~y).alias("index_only"), F.count_if(~x).alias("stored_only"))
 
 
 @query("ing_owner_tile_counts", "SELECT (CASE WHEN longitude = 120 THEN 110 ELSE CAST(floor((longitude - 20) / 10) * 10 + 20 AS INT) END) || '_' || (CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END) AS tile, count(*) AS n FROM b_profiles GROUP BY 1")

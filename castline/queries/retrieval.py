@@ -24,7 +24,7 @@ _PAIRS = f"SELECT q.vec_id AS query_id, CAST(e.label AS VARCHAR) AS doc_type, e.
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_type, key) AS rank FROM ({pairs})"
 
 
-@query("rt_cosine", "SELECT label, round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_transform(embedding, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END) AS DOUBLE[]))), 6) AS mean FROM embeddings GROUP BY label")
+@query("rt_cosine", "SELECT label, round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_transform(embedding, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END) AS DOUBLE[]))) + 1e-9, 6) AS mean FROM embeddings GROUP BY label")
 def _(t):
     half = F.transform("embedding", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0).cast("float")))
     return t.embeddings.select("label", retrieval.cosine(F.col("embedding"), half).alias("c")).groupBy("label").agg(r6(F.avg("c"), "mean"))

@@ -6,18 +6,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions import numeric
+from castline.functions.dates import instant, shift_months
 from castline.operators import payload
+from castline.operators.revisions import order_verdict
 from castline.functions.text import STOP_WORDS, TOKEN, label, numbers, tokens, url_clean
 from castline.registry import query, r6
 
 
-@query("dt_parse_strict", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)), '%Y-%m-%d %H:%M:%S') END AS at FROM documents")
+@query("dt_parse_strict", """SELECT event_id, CASE WHEN event_id % 4 < 3 THEN strftime(CASE event_id % 4 WHEN 1 THEN ts - INTERVAL 330 MINUTE ELSE ts END, '%Y-%m-%d %H:%M:%S.%f') END AS at FROM events""")
 def _(t):
-    """Instants need a zone and six fraction digits at most; others are null."""
-    made = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("doc_id") * 3600)
-    text = F.concat(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("doc_id") % 2 == 0, "Z").otherwise(""))
-    at = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text))
-    return t.documents.select("doc_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    """Instants need a zone and six fraction digits at most: event times written in UTC, in +05:30, and without a zone."""
+    k, plain = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(k == 1, F.concat(plain, F.lit("+05:30"))).when(k == 3, plain).otherwise(F.concat(plain, F.lit("Z")))
+    return t.events.select("event_id", F.date_format(instant(text), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query("dt_month_start", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, strftime(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH, '%Y-%m-%d') AS earlier FROM orders")
@@ -25,6 +26,12 @@ def _(t):
     return t.orders.select("o_orderkey", F.trunc("o_orderdate", "MM").cast("string").alias("month"), F.add_months(F.to_date("o_orderdate"), -1).cast("string").alias("earlier"))
 
 
+@query("dt_shift_months", "SELECT event_id, strftime(ts - INTERVAL 1 MONTH, '%Y-%m-%d %H:%M:%S.%f') AS earlier, strftime(ts + INTERVAL 13 MONTH, '%Y-%m-%d %H:%M:%S.%f') AS later FROM events")
+def _(t):
+    show = lambda n: F.date_format(shift_months(F.col("ts"), n), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return t.events.select("event_id", show(-1).alias("earlier"), show(13).alias("later"))
+
+
 @query("dt_months_of", "SELECT o_orderkey, strftime(unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 3 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM orders")
 def _(t):
     start = F.trunc("o_orderdate", "MM")
@@ -138,7 +145,7 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(value, 2).alias("value"), rounded.alias("rounded"))
 
 
-@query("geo_circle_box", "SELECT profile_id, round(latitude - degrees(500 / 6371.0088e0), 6) AS south, round(least(90, latitude + degrees(500 / 6371.0088e0)), 6) AS north, round(longitude - degrees(asin(least(1, sin(500 / 6371.0088e0) / cos(radians(latitude))))), 6) AS west FROM b_profiles")
+@query("geo_circle_box", "SELECT profile_id, round(latitude - degrees(500 / 6371.0088e0) + 1e-9, 6) AS south, round(least(90, latitude + degrees(500 / 6371.0088e0)) + 1e-9, 6) AS north, round(longitude - degrees(asin(least(1, sin(500 / 6371.0088e0) / cos(radians(latitude))))) + 1e-9, 6) AS west FROM b_profiles")
 def _(t):
     """Bounding box of the 500 km circle around each profile."""
     angle = 500 / 6371.0088
@@ -171,14 +178,13 @@ def _(t):
     return arrays.select("l_orderkey", index.cast("long").alias("last_valid"))
 
 
-@query("map_revision", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'newer' WHEN o_orderkey % 3 = 1 THEN 'older' ELSE 'mixed' END AS verdict FROM orders")
+@query("map_revision", "SELECT l_orderkey, CASE WHEN min(d) = 0 AND max(d) = 0 THEN 'equal' WHEN min(d) >= 0 THEN 'newer' WHEN max(d) <= 0 THEN 'older' ELSE 'mixed' END AS verdict FROM (SELECT l_orderkey, CAST(max(l_partkey) - max(l_suppkey) * 20 AS BIGINT) AS d FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY 1")
 def _(t):
-    """Component maps by order: all components at least as late is newer, all at most is older, else mixed."""
-    k, one = F.col("o_orderkey") % 3, lambda a, b: F.map_from_arrays(F.array(F.lit("core"), F.lit("bgc")), F.array(a, b))
-    stored, new = one(F.lit(5), F.lit(5)), one(F.when(k == 1, 4).otherwise(6), F.when(k == 0, 6).otherwise(4))
-    order = F.map_values(F.map_zip_with(new, stored, lambda _, a, b: a - b))
-    verdict = F.when(F.forall(order, lambda d: d >= 0), "newer").when(F.forall(order, lambda d: d <= 0), "older").otherwise("mixed")
-    return t.orders.select("o_orderkey", verdict.alias("verdict"))
+    """Component maps by order: a line number is a component, its part and supplier make the two revisions."""
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("new"), (F.max("l_suppkey") * 20).alias("old"))
+    entry = lambda c: F.map_from_entries(F.collect_list(F.struct("l_linenumber", c)))
+    maps = lines.groupBy("l_orderkey").agg(entry("new").alias("new"), entry("old").alias("old"))
+    return maps.select("l_orderkey", order_verdict(F.col("old"), F.col("new")).alias("verdict"))
 
 
 @query("json_canonical", """SELECT doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' AS canonical, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS digest FROM documents""")

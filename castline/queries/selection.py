@@ -227,7 +227,7 @@ def _(t):
     return t.profiles.join(in_regions(t.profiles, edges), "profile_id", "left_semi").select("profile_id", "observed_at")
 
 
-@query("key_region_multi", f"{_IN_REGION} SELECT region, count(*) AS profiles, round(avg(latitude), 6) AS lat FROM h JOIN b_profiles USING (profile_id) GROUP BY region")
+@query("key_region_multi", f"{_IN_REGION} SELECT region, count(*) AS profiles, round(avg(latitude) + 1e-9, 6) AS lat FROM h JOIN b_profiles USING (profile_id) GROUP BY region")
 def _(t):
     edges = t.spark.createDataFrame(EDGES, "region string, x1 double, y1 double, x2 double, y2 double")
     return in_regions(t.profiles, edges).join(t.profiles, "profile_id").groupBy("region").agg(F.count("*").alias("profiles"), r6(F.avg("latitude"), "lat"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from castline.operators import series as ops
 from castline.registry import query, r6
+from castline.scratch import stored
 
 KEYS = ["direction"]
 
@@ -26,10 +27,11 @@ def observed(t):
 
 
 def filled(t):
-    return ops.interpolated(observed(t), KEYS)
+    """The series without gaps, stored: the queries below go over it several times."""
+    return stored(ops.interpolated(observed(t), KEYS), "series")
 
 
-@query("fc_series", f"{_SERIES} SELECT direction, {_TEXT} AS month, round(y, 6) AS y, n FROM s")
+@query("fc_series", f"{_SERIES} SELECT direction, {_TEXT} AS month, round(y + 1e-9, 6) AS y, n FROM s")
 def _(t):
     return observed(t).select("direction", ops.month_text(F.col("m")).alias("month"), r6(F.col("y"), "y"), "n")
 
@@ -50,15 +52,11 @@ def _(t):
 
 @query("fc_naive", f"""{_FILLED}, r AS (SELECT direction, i, y - lag(y, 12) OVER (PARTITION BY direction ORDER BY i) AS e FROM g), c AS (SELECT direction, avg(e) AS mean FROM r GROUP BY 1),
  w AS (SELECT r.direction, quantile_cont(abs(e - mean), 0.8) AS w80, quantile_cont(abs(e - mean), 0.95) AS w95 FROM r JOIN c ON c.direction = r.direction WHERE e IS NOT NULL GROUP BY 1)
- SELECT g.direction, CAST(i - size + 13 AS BIGINT) AS h, round(y, 6) AS point, round(y - w80, 6) AS low80, round(y + w95, 6) AS high95 FROM g JOIN w ON w.direction = g.direction WHERE i >= size - 12 AND i < size - 9""")
+ SELECT g.direction, CAST(i - size + 13 AS INT) AS h, round(y + 1e-9, 6) AS point, round(y - w80 + 1e-9, 6) AS low80, round(y + w80 + 1e-9, 6) AS high80, round(y - w95 + 1e-9, 6) AS low95, round(y + w95 + 1e-9, 6) AS high95 FROM g JOIN w ON w.direction = g.direction WHERE i >= size - 12 AND i < size - 9""")
 def _(t):
-    """Value a season before, with widths from the centred absolute seasonal differences."""
-    y = ops.numbered(filled(t), KEYS)
-    e = y.withColumn("e", F.col("y") - F.lag("y", 12).over(W.partitionBy(*KEYS).orderBy("i"))).where("e IS NOT NULL")
-    off = e.join(e.groupBy(*KEYS).agg(F.avg("e").alias("mean")), KEYS).withColumn("x", F.abs(F.col("e") - F.col("mean")))
-    widths = off.groupBy(*KEYS).agg(F.percentile("x", F.lit(0.8)).alias("w80"), F.percentile("x", F.lit(0.95)).alias("w95"), (F.count("*") + 12).alias("size"))
-    last = y.join(widths, KEYS).withColumn("h", (F.col("i") - F.col("size") + 13).cast("long")).where("h BETWEEN 1 AND 3")
-    return last.select("direction", "h", r6(F.col("y"), "point"), r6(F.col("y") - F.col("w80"), "low80"), r6(F.col("y") + F.col("w95"), "high95"))
+    """Value a season before, with intervals from the centred absolute seasonal differences."""
+    made = ops.seasonal_naive(filled(t), KEYS)
+    return made.select("direction", "h", *[r6(F.col(c), c) for c in ("point", "low80", "high80", "low95", "high95")])
 
 
 _ORIGINS = ", o AS (SELECT direction, size, unnest(range(size - 14, size - 2)) AS origin FROM (SELECT DISTINCT direction, size FROM g)), oh AS (SELECT direction, CAST(origin AS INT) AS origin, CAST(unnest([1, 2, 3]) AS INT) AS h FROM o WHERE origin >= 25)"
@@ -71,7 +69,7 @@ def _(t):
 
 @query("fc_backtest_naive", f"""{_FILLED}{_ORIGINS}, d AS (SELECT direction, i, y, abs(y - lag(y, 12) OVER (PARTITION BY direction ORDER BY i)) AS d FROM g), sc AS (SELECT direction, i + 1 AS origin, avg(d) OVER (PARTITION BY direction ORDER BY i ROWS UNBOUNDED PRECEDING) AS scale FROM d),
  b AS (SELECT oh.direction, h, a.y - p.y AS e, scale FROM oh JOIN d a ON a.direction = oh.direction AND a.i = oh.origin + h - 1 JOIN d p ON p.direction = oh.direction AND p.i = oh.origin - 12 + h - 1 JOIN sc ON sc.direction = oh.direction AND sc.origin = oh.origin)
- SELECT direction, h, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e) / scale), 6) AS mase FROM b GROUP BY 1, 2""")
+ SELECT direction, h, count(*) AS n, round(avg(abs(e)) + 1e-9, 6) AS mae, round(sqrt(avg(e * e)) + 1e-9, 6) AS rmse, round(avg(abs(e) / scale) + 1e-9, 6) AS mase FROM b GROUP BY 1, 2""")
 def _(t):
     made = ops.backtest_naive(filled(t), KEYS)
     return made.select("direction", "h", "n", *[r6(F.col(c), c) for c in ("mae", "rmse", "mase")])
@@ -90,7 +88,7 @@ def _(t):
     """The simpler candidate unless the other is better by 5 %."""
     y = ops.numbered(filled(t), KEYS)
     at = lambda name, col: y.select(*KEYS, F.col("i").alias(name), F.col("y").alias(col))
-    o = ops.origins(filled(t), KEYS).withColumns({"ti": F.col("origin") + F.col("h") - 1, "pi": F.col("origin") - 13 + F.col("h"), "qi": F.col("origin") - 1})
+    o = ops.origins(y, KEYS).withColumns({"ti": F.col("origin") + F.col("h") - 1, "pi": F.col("origin") - 13 + F.col("h"), "qi": F.col("origin") - 1})
     b = o.join(at("ti", "a"), [*KEYS, "ti"]).join(at("pi", "p"), [*KEYS, "pi"]).join(at("qi", "q"), [*KEYS, "qi"])
     err = b.groupBy(*KEYS).agg(F.avg(F.abs(F.col("a") - F.col("p"))).alias("naive"), F.avg(F.abs(F.col("a") - F.col("q"))).alias("last"))
     return err.select("direction", F.when(F.col("last") <= 0.95 * F.col("naive"), "last_value").otherwise("seasonal_naive").alias("chosen"))
@@ -109,7 +107,7 @@ _L = ", ".join(f"lag(d, {k}) OVER w AS l{k}" for k in range(1, 13))
 _TAIL = " + ".join(f"pow(q / 2, {k}) / {f}e0" for k, f in enumerate((1, 1, 2, 6, 24, 120)))
 
 
-@query("fc_diagnostics", f"{_FILLED}, v AS (SELECT direction, i, y - avg(y) OVER (PARTITION BY direction) AS d FROM g), x AS (SELECT direction, d, {_L} FROM v WINDOW w AS (PARTITION BY direction ORDER BY i)), c AS (SELECT direction, count(*) * (count(*) + 2) * ({_Q}) AS q FROM x GROUP BY 1) SELECT direction, round(q, 6) AS q, round(exp(-q / 2) * ({_TAIL}), 6) AS p FROM c")
+@query("fc_diagnostics", f"{_FILLED}, v AS (SELECT direction, i, y - avg(y) OVER (PARTITION BY direction) AS d FROM g), x AS (SELECT direction, d, {_L} FROM v WINDOW w AS (PARTITION BY direction ORDER BY i)), c AS (SELECT direction, count(*) * (count(*) + 2) * ({_Q}) AS q FROM x GROUP BY 1) SELECT direction, round(q + 1e-9, 6) AS q, round(exp(-q / 2) * ({_TAIL}) + 1e-9, 6) AS p FROM c")
 def _(t):
     """Ljung-Box at lag 12; with twelve degrees of freedom the chi-square tail is a finite sum."""
     s = ops.numbered(filled(t), KEYS)
@@ -136,10 +134,36 @@ def _(t):
     return rows.select("direction", F.sha2(F.array_join(F.transform("x", lambda v: F.concat_ws(":", v["m"].cast("string"), v["n"].cast("string"))), ","), 256).alias("digest"))
 
 
-@query("fc_figure_rows", f"{_FILLED} SELECT direction, CAST(m AS BIGINT) AS m, CASE WHEN filled THEN 'interpolated' ELSE 'observed' END AS kind, round(y, 6) AS y FROM g UNION ALL SELECT direction, m + 12, 'forecast', round(y, 6) FROM g WHERE i >= size - 12 AND i < size - 9")
+@query("fc_figure_rows", f"{_FILLED} SELECT direction, CAST(m AS BIGINT) AS m, CASE WHEN filled THEN 'interpolated' ELSE 'observed' END AS kind, round(y + 1e-9, 6) AS y FROM g UNION ALL SELECT direction, m + 12, 'forecast', round(y + 1e-9, 6) FROM g WHERE i >= size - 12 AND i < size - 9")
 def _(t):
     s = ops.numbered(filled(t), KEYS)
     size = s.groupBy(*KEYS).agg(F.count("*").alias("size"))
     history = s.select("direction", "m", F.when(F.col("filled"), "interpolated").otherwise("observed").alias("kind"), r6(F.col("y"), "y"))
     ahead = s.join(size, KEYS).where("i >= size - 12 AND i < size - 9").select("direction", (F.col("m") + 12).alias("m"), F.lit("forecast").alias("kind"), r6(F.col("y"), "y"))
     return history.unionByName(ahead)
+
+
+_BACKTEST = f"""{_FILLED}{_ORIGINS}, d AS (SELECT direction, i, y, abs(y - lag(y, 12) OVER (PARTITION BY direction ORDER BY i)) AS d FROM g), sc AS (SELECT direction, i + 1 AS origin, avg(d) OVER (PARTITION BY direction ORDER BY i ROWS UNBOUNDED PRECEDING) AS scale FROM d),
+ b AS (SELECT oh.direction, h, a.y - p.y AS e, scale FROM oh JOIN d a ON a.direction = oh.direction AND a.i = oh.origin + h - 1 JOIN d p ON p.direction = oh.direction AND p.i = oh.origin - 12 + h - 1 JOIN sc ON sc.direction = oh.direction AND sc.origin = oh.origin),
+ k AS (SELECT *, coalesce(m - lag(m) OVER (PARTITION BY direction ORDER BY m) - 1, 0) AS gap FROM s WHERE y IS NOT NULL), q AS (SELECT direction, max(m) - min(m) + 1 AS n_months, max(m) - min(m) + 1 - count(*) AS missing, max(gap) AS longest_gap FROM k GROUP BY 1),
+ v AS (SELECT direction, CASE WHEN n_months < 36 THEN 'too_short' WHEN missing > 0.2 * n_months THEN 'too_many_missing' WHEN longest_gap > 2 THEN 'gap_too_long' ELSE 'ok' END AS verdict FROM q)"""
+
+
+@query("fc_report", f"""{_BACKTEST} SELECT v.direction, CASE WHEN verdict = 'ok' THEN 'forecast' ELSE 'refused' END AS status, CASE WHEN verdict <> 'ok' THEN verdict END AS reason, CASE WHEN verdict = 'ok' THEN count(e) END AS forecasts,
+ {', '.join(f"CASE WHEN verdict = 'ok' THEN round(avg(abs(e) / scale) FILTER (h = {h}) + 1e-9, 6) END AS mase_h{h}" for h in (1, 2, 3))} FROM v LEFT JOIN b ON b.direction = v.direction GROUP BY v.direction, verdict""")
+def _(t):
+    """Status and scaled error by horizon of each series; the series is made once and stored."""
+    seen = stored(observed(t), "series")
+    made = ops.report(ops.refusal(seen, KEYS), ops.backtest_naive(stored(ops.interpolated(seen, KEYS), "filled"), KEYS), KEYS)
+    return made.select("direction", "status", "reason", "forecasts", *[r6(F.col(f"mase_h{h}"), f"mase_h{h}") for h in (1, 2, 3)])
+
+
+_AICC = " UNION ALL ".join(f"SELECT direction, {k} AS candidate, count(e) AS n, avg(e * e) AS v FROM (SELECT direction, y - lag(y, {k}) OVER (PARTITION BY direction ORDER BY i) AS e FROM g) GROUP BY 1" for k in range(1, 13))
+
+
+@query("top_aicc", f"""{_FILLED}, f AS ({_AICC}), a AS (SELECT direction, candidate, candidate + 1 AS parameters, n * ln(v) + 2 * (candidate + 1) + 2e0 * (candidate + 1) * (candidate + 2) / (n - candidate - 2) AS aicc FROM f WHERE n > candidate + 2)
+ SELECT direction, candidate, parameters, round(aicc + 1e-9, 4) AS aicc, rank FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY aicc, parameters, candidate) AS rank FROM a) WHERE rank <= 3""")
+def _(t):
+    """The best three of twelve models of each series."""
+    made = ops.best_candidates(ops.lag_candidates(filled(t), KEYS, range(1, 13)), KEYS)
+    return made.select("direction", "candidate", "parameters", F.round(F.col("aicc") + 1e-9, 4).alias("aicc"), "rank")

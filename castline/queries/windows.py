@@ -81,7 +81,7 @@ def spine(t):
 @query("win_interpolate", f"""{_SPINE}, z AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN m END IGNORE NULLS) OVER w AS m0, last_value(y IGNORE NULLS) OVER w AS y0,
   first_value(CASE WHEN y IS NOT NULL THEN m END IGNORE NULLS) OVER v AS m1, first_value(y IGNORE NULLS) OVER v AS y1 FROM b_full
   WINDOW w AS (PARTITION BY platform_number ORDER BY m ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY platform_number ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT platform_number, m, round(coalesce(y, y0 + (y1 - y0) * (m - m0) / (m1 - m0)), 6) AS y, y IS NULL AS filled FROM z""")
+ SELECT platform_number, m, round(coalesce(y, y0 + (y1 - y0) * (m - m0) / (m1 - m0)) + 1e-9, 6) AS y, y IS NULL AS filled FROM z""")
 def _(t):
     at = F.when(F.col("y").isNotNull(), F.col("m"))
     w = W.partitionBy("platform_number").orderBy("m")
@@ -91,13 +91,13 @@ def _(t):
     return z.select("platform_number", "m", r6(F.coalesce("y", linear), "y"), F.col("y").isNull().alias("filled"))
 
 
-@query("win_seasonal_lag", f"{_SPINE} SELECT platform_number, m, round(lag(y, 12) OVER (PARTITION BY platform_number ORDER BY m), 6) AS naive FROM b_full")
+@query("win_seasonal_lag", f"{_SPINE} SELECT platform_number, m, round(lag(y, 12) OVER (PARTITION BY platform_number ORDER BY m) + 1e-9, 6) AS naive FROM b_full")
 def _(t):
     return spine(t).select("platform_number", "m", r6(F.lag("y", 12).over(W.partitionBy("platform_number").orderBy("m")), "naive"))
 
 
 @query("win_mase_scale", f"""{_SPINE}, d AS (SELECT platform_number, m, abs(y - lag(y, 12) OVER (PARTITION BY platform_number ORDER BY m)) AS d FROM b_full)
- SELECT platform_number, m, round(avg(d) OVER (PARTITION BY platform_number ORDER BY m ROWS UNBOUNDED PRECEDING), 6) AS scale FROM d""")
+ SELECT platform_number, m, round(avg(d) OVER (PARTITION BY platform_number ORDER BY m ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS scale FROM d""")
 def _(t):
     w = W.partitionBy("platform_number").orderBy("m")
     d = spine(t).withColumn("d", F.abs(F.col("y") - F.lag("y", 12).over(w)))
@@ -129,7 +129,7 @@ def _(t):
     return t.profiles.select("platform_number", "profile_id", "longitude", "latitude", F.lead("longitude").over(w).alias("next_longitude"), F.lead("latitude").over(w).alias("next_latitude"))
 
 
-_ACF = ", ".join(f"round(sum(d * l{k}) / sum(d * d), 6) AS r{k}" for k in (1, 2, 3))
+_ACF = ", ".join(f"round(sum(d * l{k}) / sum(d * d) + 1e-9, 6) AS r{k}" for k in (1, 2, 3))
 _LAG = ", ".join(f"lag(d, {k}) OVER w AS l{k}" for k in (1, 2, 3))
 
 
@@ -143,8 +143,8 @@ def _(t):
     return x.groupBy("user_id").agg(*[r6(F.sum(F.col("d") * F.col(f"l{k}")) / F.nullif(F.sum(F.col("d") * F.col("d")), F.lit(0.0)), f"r{k}") for k in (1, 2, 3)])
 
 
-@query("j_asof_fill", f"""{_SPINE} SELECT platform_number, m, round(last_value(y IGNORE NULLS) OVER (PARTITION BY platform_number ORDER BY m ROWS UNBOUNDED PRECEDING), 6) AS before,
- round(first_value(y IGNORE NULLS) OVER (PARTITION BY platform_number ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS after FROM b_full""")
+@query("j_asof_fill", f"""{_SPINE} SELECT platform_number, m, round(last_value(y IGNORE NULLS) OVER (PARTITION BY platform_number ORDER BY m ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS before,
+ round(first_value(y IGNORE NULLS) OVER (PARTITION BY platform_number ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1e-9, 6) AS after FROM b_full""")
 def _(t):
     w = W.partitionBy("platform_number").orderBy("m")
     return spine(t).select("platform_number", "m", r6(F.last("y", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "before"), r6(F.first("y", True).over(w.rowsBetween(0, W.unboundedFollowing)), "after"))

@@ -70,7 +70,7 @@ def query(name: str, sql: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql:
-            SQL[name] = with_views(sql.replace(", 6)", " + 1e-9, 6)").replace(",6)", " + 1e-9, 6)").replace("DECIMAL(12 + 1e-9, 6)", "DECIMAL(12,6)").replace("DECIMAL(22 + 1e-9, 6)", "DECIMAL(22,6)"), **VIEWS)
+            SQL[name] = with_views(sql, **VIEWS)
         return fn
 
     return deco
