@@ -329,17 +329,60 @@ def test_predictive_probabilities_sum_to_one(spark):
     history, shape = pitman_yor.fitted(buckets, len(frequent) + 2)
     totals, parents = history[-1], 0.0
     for r in buckets.toPandas().itertuples(index=False):
-        b = pitman_yor.Bucket(r.b, r.n_words, r.word, r.context, r.count)
+        b = pitman_yor.Bucket(r.own, r.word, r.context, r.count)
         *_, (_, customers, root) = b.replay(history[:-1], shape)
         parents += b.parent(customers, root, totals, shape)[b.words > 0].sum()
     unknown = (pitman_yor.ROOT_STRENGTH + shape["root_discount"] * totals["root_tables"]) / (shape["types"] + 1) / (pitman_yor.ROOT_STRENGTH + totals["root_customers"])
     assert parents + unknown == pytest.approx(1.0, abs=1e-9)
 
 
-def test_seating_keeps_its_bounds():
-    rng, count = np.random.default_rng(0), np.array([0, 1, 2, 50, 100_000])
-    t = pitman_yor.seated(count, np.full(5, 0.5), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= count).all() and (t[1:] >= 1).all() and t[4] > t[3]
+def test_a_restaurant_sums_to_one_over_its_words_and_the_rest(spark):
+    docs = _docs(spark, [(k, " ".join(f"w{(k * j) % 9}" for j in range(30))) for k in range(40)])
+    frequent = pitman_yor.contexts(docs, 1e-3)
+    rows = pitman_yor.grouped(docs, frequent, 4, 500)
+    buckets = pitman_yor.merged(rows.where("kind = 'l'").select("g", "b", "x", "y", "z"))
+    history, shape = pitman_yor.fitted(buckets, len(frequent) + 2)
+    after, mass, parents = history[-1], Counter(), Counter()
+    for r in buckets.toPandas().itertuples(index=False):
+        b = pitman_yor.Bucket(r.own, r.word, r.context, r.count)
+        *_, (tables, customers, root) = b.replay(history[:-1], shape)
+        parent = b.parent(customers, root, after, shape)[b.word]
+        own = (np.maximum(b.count - shape["discount"] * tables, 0) + (pitman_yor.STRENGTH + shape["discount"] * after["tables"][b.context]) * parent) / (pitman_yor.STRENGTH + shape["customers"][b.context])
+        for c, m, q, n in zip(b.context, own, parent, b.count, strict=True):
+            if n > 0:
+                mass[c] += m
+                parents[c] += q
+    for c in set(mass) - {pitman_yor.NONE}:  # words never seen after the context share its strength by the parent
+        unseen = (pitman_yor.STRENGTH + shape["discount"] * after["tables"][c]) / (pitman_yor.STRENGTH + shape["customers"][c]) * (1 - parents[c])
+        assert mass[c] + unseen == pytest.approx(1.0, abs=1e-9)
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in pitman_yor.scored(docs.repartition(n), tokens=size).collect()} for n, size in ((2, 5_000), (23, 60_000)))
+    assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_seating_against_one_customer_at_a_time():
+    rng = np.random.default_rng(0)
+    count = np.append(rng.integers(0, 120, 200), [0, 1, 100_000])
+    strength, parent, key = rng.uniform(1, 50, 203), rng.uniform(0.001, 0.5, 203), rng.integers(0, 2**63, 203).astype(np.uint64)
+    got = pitman_yor.seated(count, strength, parent, 0.6, key)
+    for k in range(202):
+        t = min(1, count[k])
+        for i in range(1, count[k]):
+            new = (strength[k] + 0.6 * t) * parent[k]
+            t += pitman_yor.uniform(key[k : k + 1], i)[0] < new / (i - 0.6 * t + new)
+        assert got[k] == t
+    many = [pitman_yor.seated(np.array([3000]), np.array([5.0]), np.array([0.1]), 0.6, np.array([s], np.uint64))[0] for s in range(200)]
+    slow = []
+    for s in range(60):
+        r, t = np.random.default_rng(s), 1
+        for i in range(1, 3000):
+            new = (5.0 + 0.6 * t) * 0.1
+            t += r.random() < new / (i - 0.6 * t + new)
+        slow.append(t)
+    assert abs(np.mean(many) - np.mean(slow)) < 4 * (np.std(slow) / 60**0.5 + np.std(many) / 200**0.5) and got[202] <= count[202]
 
 
 def test_language_model_on_edges(edge, empty):
