@@ -161,7 +161,7 @@ def _(t):
 _AICC = " UNION ALL ".join(f"SELECT direction, {k} AS candidate, count(e) AS n, avg(e * e) AS v FROM (SELECT direction, y - lag(y, {k}) OVER (PARTITION BY direction ORDER BY i) AS e FROM g) GROUP BY 1" for k in range(1, 13))
 
 
-@query("top_aicc", f"""{_FILLED}, f AS ({_AICC}), a AS (SELECT direction, candidate, candidate + 1 AS parameters, n * ln(v) + 2 * (candidate + 1) + 2e0 * (candidate + 1) * (candidate + 2) / (n - candidate - 2) AS aicc FROM f WHERE n > candidate + 2)
+@query("top_aicc", f"""{_FILLED}, ff AS ({_AICC}), a AS (SELECT direction, candidate, candidate + 1 AS parameters, n * ln(v) + 2 * (candidate + 1) + 2e0 * (candidate + 1) * (candidate + 2) / (n - candidate - 2) AS aicc FROM ff WHERE n > candidate + 2)
  SELECT direction, candidate, parameters, round(aicc + 1e-9, 4) AS aicc, rank FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY aicc, parameters, candidate) AS rank FROM a) WHERE rank <= 3""")
 def _(t):
     """The best three of twelve models of each series."""
