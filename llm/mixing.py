@@ -1,19 +1,23 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
-1. A classifier is fitted on the labelled table: naive Bayes over whether a text contains each of a
-   few markers. Markers are the words whose presence differs most between domains in a bounded sample
-   of labelled rows (``SAMPLE_ROWS``, those with the least hash of doc_id) and punctuation runs; their
-   counts by domain are then taken over all labelled rows.
+1. A classifier is fitted on the labelled table, all of its rows: naive Bayes over the presence of
+   features. A text's features are its distinct words, as blanks delimit them, in lower case, and bins of its
+   shape (share of distinct words for its length, share of marks, mean length of a word). Of the features
+   in LEAST_TEXTS or more labelled texts those that differ most between a domain and the rest (chi-square)
+   make the model, FEATURES of them at most, which bounds what is broadcast.
 2. It gives every document a posterior over the domains, so a document counts towards several, and its
-   tokens times its posterior are its expected tokens by domain.
+   tokens times its posterior are its expected tokens by domain. Features of one text are not independent,
+   so their evidence counts by the power SHARPNESS.
 3. Nonnegative rates, one for each document, are fitted by accelerated projected gradient least squares: the
    expected tokens by domain, summed over documents at their rates, are to match the targets. A step
    is one distributed aggregation to one number for each domain; rates are a function of these
    numbers, so no rate is kept between steps. Residuals are weighted by the domain's own mass and
-   steps by a document's size, which makes the problem well conditioned.
+   steps by a document's size, which makes the problem well conditioned. Steps go on until the targets are met
+   to TOLERANCE, or until STEPS of them no longer bring them nearer, which is told as a warning.
 
 ``budget`` says what the targets are shares of: "same" keeps the number of tokens, "repeat" takes the
-least number of tokens at which no domain has to shrink, so documents are repeated but none is lost.
+least number of tokens at which no domain has to shrink, so documents are repeated but none is lost. The
+targets are an input; TARGETS are those of a corpus that is to be mostly clean, whatever it holds now.
 
 Domains come from ``labels``: toxic (1 in toxic), else low (0 in quality), else clean.
 
@@ -26,17 +30,18 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, lower_ascii, packed, stored, words_of
+from llm.common import documents, lower_ascii, numbered, stored, words_of
 
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.80, "low": 0.10, "toxic": 0.10}
-SAMPLE_ROWS, MARKERS, STEPS, TOLERANCE = 5000, 32, 40, 1e-4
-# Runs that mark tables, symbols and shouting.
-RUNS = ("!!", " | ", "%%%", "###", "***", "$$$", "&&&")
+TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
+FEATURES, LEAST_TEXTS, SHARPNESS = 512, 5, 0.5
+STEPS, TOLERANCE = 200, 1e-4
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -45,55 +50,55 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return each.where("toxic IS NOT NULL OR quality IS NOT NULL").select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("domain"))
 
 
-def markers(docs: DataFrame, gold: DataFrame, rows: int = SAMPLE_ROWS, count: int = MARKERS) -> list[str]:
-    """Words of the sample whose presence differs most between a domain and the rest; at most ``count``."""
-    picked = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    bare = lambda w: F.regexp_replace(w, "^[\\p{Punct}]+|[\\p{Punct}]+$", "")
-    seen = sample.select("doc_id", "domain", F.explode(F.transform(words_of(lower_ascii(F.col("text"))), bare)).alias("word")).where(F.char_length("word") >= 4).distinct()
-    sizes = {r["domain"]: r["n"] for r in picked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return []
-    total = sum(sizes.values())
-    by = seen.groupBy("word").agg(F.count("*").alias("all"), *[F.count_if(F.col("domain") == d).alias(f"n{d}") for d in sizes])
-    gaps = [F.abs(F.col(f"n{d}") / n - (F.col("all") - F.col(f"n{d}")) / max(1, total - n)) for d, n in sizes.items()]
-    best = by.select("word", (F.greatest(*gaps) if len(gaps) > 1 else gaps[0]).alias("gap"))
-    return [r["word"] for r in best.orderBy(F.desc("gap"), "word").limit(count).collect()]
-
-
-def fitted(docs: DataFrame, gold: DataFrame, found: list[str]) -> list[tuple[float, list[float], list[float]]]:
-    """For each domain (log prior, log odds of presence and absence of each marker), from all labelled rows."""
+def featured(docs: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns, n_tokens, features: an array of distinct strings for each row of ``docs`` (with ``text``)."""
     low = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    flags = [F.contains(low, F.lit(m)) for m in found]
-    rows = docs.select("doc_id", *[f.alias(f"f{i}") for i, f in enumerate(flags)]).join(gold, "doc_id")
-    got = {r["domain"]: r for r in rows.groupBy("domain").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"f{i}")).alias(f"c{i}") for i in range(len(found))]).collect()}
-    total = sum(r["n"] for r in got.values())
-    out = []
-    for d in range(len(DOMAINS)):
-        n = got[d]["n"] if d in got else 0
-        share = [((got[d][f"c{i}"] if d in got else 0) + 0.5) / (n + 1) for i in range(len(found))]
-        prior = math.log(n / total) if n else (0.0 if not total and d == 0 else -1e9)
-        out.append((prior, [math.log(s) for s in share], [math.log(1 - s) for s in share]))
-    return out
-
-
-def memberships(docs: DataFrame, model: list[tuple[float, list[float], list[float]]], found: list[str]) -> DataFrame:
-    """doc_id, n_tokens, p0..: the posterior of each domain."""
-    rows = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("double").alias("n_tokens"), lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
-    rows = rows.select("doc_id", "n_tokens", *[F.contains("_t", F.lit(m)).alias(f"_f{i}") for i, m in enumerate(found)])
-
-    def score(prior: float, yes: list[float], no: list[float]) -> Column:
-        s = F.lit(prior + sum(no))
-        for i in range(len(found)):
-            s = s + F.when(F.col(f"_f{i}"), yes[i] - no[i]).otherwise(0.0)
-        return s
-
-    logs = rows.select("doc_id", "n_tokens", *[score(*m).alias(f"s{d}") for d, m in enumerate(model)])
-    names = [f"s{d}" for d in range(len(model))]
-    logs = logs.withColumn("_top", F.greatest(*names))
-    logs = logs.select("doc_id", "n_tokens", *[F.exp(F.greatest(F.col(s) - F.col("_top"), F.lit(-700.0))).alias(s) for s in names])
+    rows = docs.select(*kept, low.alias("_t"), words_of(low).alias("_w"))
+    rows = rows.select(*kept, "_t", F.size("_w").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
+    n = F.greatest(F.col("n_tokens"), F.lit(1))
+    chars, marks = F.char_length("_t"), F.octet_length("_t") - F.octet_length(F.translate("_t", MARKS, ""))
+    shape = lambda name, *parts: F.concat_ws(":", F.lit(f" {name}"), *[F.floor(x).cast("string") for x in parts])  # noqa: E731  no word has a blank
+    bins = F.array(shape("distinct", F.log2(n), 8 * F.size("_d") / n), shape("marks", F.least(20 * marks / n, F.lit(40))), shape("length", F.least(chars / n, F.lit(30))))
+    return rows.select(*kept, "n_tokens", F.concat("_d", bins).alias("features"))
+
+
+def model(docs: DataFrame, gold: DataFrame, count: int = FEATURES, least: int = LEAST_TEXTS) -> tuple[list[float], DataFrame]:
+    """(log prior of each domain without any feature, table feature, e0, e1, ..): what a feature adds to each domain's log odds."""
+    spark, k = docs.sparkSession, len(DOMAINS)
+    held = stored(featured(docs.select("doc_id", "text").join(gold, "doc_id"), "domain"), "labelled")
+    sizes = {r["domain"]: r["n"] for r in held.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    n = [sizes.get(d, 0) for d in range(k)]
+    prior = [math.log(x / total) if x else (0.0 if not total and d == 0 else -1e9) for d, x in enumerate(n)]
+    if len(sizes) < 2:
+        return prior, spark.createDataFrame([], f"feature string, {', '.join(f'e{d} double' for d in range(k))}")
+    seen = held.select("domain", F.explode("features").alias("feature"))
+    by = seen.groupBy("feature").agg(F.count("*").alias("all"), *[F.count_if(F.col("domain") == d).alias(f"n{d}") for d in range(k)]).where(F.col("all") >= least)
+
+    def chi(d: int) -> Column:
+        a, rest = F.col(f"n{d}"), F.col("all") - F.col(f"n{d}")
+        off = a * (total - n[d]) - rest * n[d]
+        return F.lit(float(total)) * off * off / (F.lit(float(max(1, n[d] * (total - n[d])))) * F.col("all") * F.greatest(total - F.col("all"), F.lit(1)))
+
+    best = by.withColumn("chi", F.greatest(*[chi(d) for d in sizes])).orderBy(F.desc("chi"), "feature").limit(count)
+    share = [(F.col(f"n{d}") + 0.5) / (n[d] + 1) for d in range(k)]
+    log_yes, log_no = [F.log(x) for x in share], [F.log(1 - x) for x in share]
+    made = stored(best.select("feature", *[(y - z).alias(f"e{d}") for d, (y, z) in enumerate(zip(log_yes, log_no, strict=True))], *[z.alias(f"z{d}") for d, z in enumerate(log_no)]), "model")
+    none = made.agg(*[F.sum(f"z{d}").alias(f"z{d}") for d in range(k)]).first()
+    return [p + SHARPNESS * (none[f"z{d}"] or 0.0) for d, p in enumerate(prior)], made.drop(*[f"z{d}" for d in range(k)])
+
+
+def memberships(docs: DataFrame, prior: list[float], table: DataFrame) -> DataFrame:
+    """tag, doc_id, n_tokens, p0..: the posterior of each domain, for each (tag, doc_id, text). The model has at most FEATURES rows and is broadcast."""
+    names = [f"s{d}" for d in range(len(prior))]
+    rows = featured(docs, "tag", "doc_id")
+    hits = rows.select("tag", "doc_id", "n_tokens", F.explode("features").alias("feature")).join(F.broadcast(table), "feature", "left")
+    sums = hits.groupBy("tag", "doc_id", "n_tokens").agg(*[(p + SHARPNESS * F.coalesce(F.sum(f"e{d}"), F.lit(0.0))).alias(s) for d, (p, s) in enumerate(zip(prior, names, strict=True))])
+    top = F.greatest(*names)
+    logs = sums.select("tag", "doc_id", F.col("n_tokens").cast("double").alias("n_tokens"), *[F.exp(F.greatest(F.col(s) - top, F.lit(-700.0))).alias(s) for s in names])
     whole = sum((F.col(s) for s in names[1:]), F.col(names[0]))
-    return logs.select("doc_id", "n_tokens", *[(F.col(s) / whole).alias(f"p{d}") for d, s in enumerate(names)])
+    # Rounded, so that posteriors do not differ by the order in which their evidence was added up.
+    return logs.select("tag", "doc_id", "n_tokens", *[F.round(F.col(s) / whole, 6).alias(f"p{d}") for d, s in enumerate(names)])
 
 
 def rate(steps: list[list[float]], domains: int) -> Column:
@@ -114,44 +119,60 @@ def rate(steps: list[list[float]], domains: int) -> Column:
     return F.aggregate(table, one, step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: str = "same", steps: int = STEPS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, n_tokens, p_clean, p_low, p_toxic, rate: one row for each row of ``docs``."""
+def rated(rows: DataFrame, targets: dict[str, float] | None, budget: str, steps: int) -> DataFrame:
+    """``rows`` (n_tokens, p0..) with ``rate``."""
     targets = targets or TARGETS
     if budget not in ("same", "repeat"):
         raise ValueError(f"unknown budget {budget!r}")
-    weights = [targets.get(d, 0.0) / sum(targets.values()) for d in DOMAINS]
-    k, gold = len(DOMAINS), domain_of(labels)
-    found = [*RUNS, *markers(docs, gold, sample_rows)]
-    rows = stored(memberships(docs, fitted(docs, gold, found), found), "memberships")
-
+    weights, k = [targets.get(d, 0.0) / sum(targets.values()) for d in DOMAINS], len(DOMAINS)
     # Rates depend on the posterior alone, so documents of equal posterior are one row of the fit.
     alike = stored(rows.groupBy(*[f"p{d}" for d in range(k)]).agg(F.sum("n_tokens").alias("n_tokens")), "posteriors")
 
-    def masses(r: Column) -> list[float]:
-        got = alike.withColumn("_r", r).agg(*[F.sum(F.col("n_tokens") * F.col(f"p{d}") * F.col("_r")).alias(f"m{d}") for d in range(k)]).first()
-        return [float(got[f"m{d}"] or 0.0) for d in range(k)]
+    def masses(r: Column) -> tuple[list[float], list[float]]:
+        """Expected tokens by domain at the rates, and at the points where the next gradient is taken."""
+        sums = [F.sum(F.col("n_tokens") * F.col(f"p{d}") * F.col("_r")[at]).alias(f"{at}{d}") for at in "ry" for d in range(k)]
+        got = alike.withColumn("_r", r).agg(*sums).first()
+        return tuple([float(got[f"{at}{d}"] or 0.0) for d in range(k)] for at in "ry")
 
-    start = masses(F.lit(1.0))
+    start, _ = masses(rate([], k))
     total = sum(start)
     if budget == "repeat":
         total = max((m / w for m, w in zip(start, weights, strict=True) if w > 0), default=total)
-    aims, done, now = [w * total for w in weights], [], start
-    for t in range(steps):
-        off = [n - a for n, a in zip(now, aims, strict=True)]
-        if not total or max(abs(o) for o in off) <= TOLERANCE * total:
+    aims, done, here, ahead, best, since = [w * total for w in weights], [], start, start, float("inf"), 0
+    while total:
+        worst = max(abs(n - a) for n, a in zip(here, aims, strict=True)) / total
+        best, since = (worst, 0) if worst < 0.999 * best else (best, since + 1)
+        if worst <= TOLERANCE:
+            break
+        if len(done) >= steps or since >= 20:
+            warnings.warn(f"targets are missed by {worst:.4f} of all tokens after {len(done)} steps", stacklevel=3)
             break
-        done.append([*(o / m if m > 0 else 0.0 for o, m in zip(off, start, strict=True)), t / (t + 3)])
-        now = masses(rate(done, k)["y"])
-    r = F.when(F.col("n_tokens") > 0, rate(done, k)["r"]).otherwise(1.0)
-    return rows.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col(f"p{d}").alias(f"p_{name}") for d, name in enumerate(DOMAINS)], r.alias("rate"))
-
-
-def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: str = "repeat") -> DataFrame:
-    """``docs`` with each row written as often as its rate asks: the whole part, and once more with the
-    probability of the rest (by a hash of doc_id). Under "repeat" every row is written at least once."""
-    rates = mixed(docs, labels, targets, budget).groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
-    joined = packed(docs).join(rates, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
-    chance = F.pmod(F.xxhash64("_row.doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+        t = len(done)
+        done.append([*((n - a) / m if m > 0 else 0.0 for n, a, m in zip(ahead, aims, start, strict=True)), t / (t + 3)])
+        here, ahead = masses(rate(done, k))
+    return rows.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(done, k)["r"]).otherwise(1.0))
+
+
+def _rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, budget: str, steps: int) -> DataFrame:
+    """tag, doc_id, n_tokens, p0.., rate: one row for each (tag, doc_id, text)."""
+    rows = stored(memberships(docs, *model(docs, domain_of(labels))), "memberships")
+    return rated(rows, targets, budget, steps)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: str = "same", steps: int = STEPS) -> DataFrame:
+    """doc_id, n_tokens, p_clean, p_low, p_toxic, rate: one row for each row of ``docs``."""
+    rows = _rates(docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text"), labels, targets, budget, steps)
+    return rows.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col(f"p{d}").alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
+
+
+def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: str = "repeat", steps: int = STEPS) -> DataFrame:
+    """``docs`` with each row written as often as its own rate asks: the whole part, and once more with the
+    probability of the rest (by a hash of doc_id and text). Under "repeat" every row is written at least once."""
+    rows = numbered(docs)
+    texts = rows.select("tag", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    rates = _rates(texts, labels, targets, budget, steps).select("tag", F.col("rate").alias("_rate")).hint("merge")
+    joined = rows.join(rates, "tag")
+    chance = F.pmod(F.xxhash64("_row.doc_id", "_row.text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     times = F.floor(F.col("_rate") + chance).cast("int")
     times = F.greatest(times, F.lit(1)) if budget == "repeat" else times
     return joined.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
