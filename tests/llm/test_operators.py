@@ -645,14 +645,69 @@ def test_expected_tokens_match_the_targets(spark, budget):
     rows = mixing.mixed(docs, gold, budget=budget).toPandas()
     mass = {d: (rows["n_tokens"] * rows[f"p_{d}"] * rows["rate"]).sum() for d in mixing.DOMAINS}
     total = sum(mass.values())
-    assert (rows["rate"] >= 0).all() and rows[[f"p_{d}" for d in mixing.DOMAINS]].sum(axis=1).round(9).eq(1).all()
-    assert all(mass[d] / total == pytest.approx(mixing.TARGETS[d], abs=0.01) for d in mixing.DOMAINS)
+    assert (rows["rate"] >= 0).all() and (rows[[f"p_{d}" for d in mixing.DOMAINS]].sum(axis=1) - 1).abs().max() < 3e-6
+    assert all(mass[d] / total == pytest.approx(mixing.TARGETS[d], abs=0.002) for d in mixing.DOMAINS)
     out = mixing.resampled(docs, gold, budget=budget)
     assert out.columns == docs.columns
     if budget == "repeat":
         assert out.select("doc_id").distinct().count() == docs.count()
 
 
+def test_posteriors_and_rates_against_brute_force(spark):
+    rng, domain, texts = random.Random(6), {}, []
+    for d in range(90):
+        domain[d] = d % 3
+        texts.append((d, " ".join(rng.choice([f"w{rng.randint(0, 20)}", f"{'abc'[d % 3]}{rng.randint(0, 2)}", "x!!"]) for _ in range(rng.randint(5, 40)))))
+    docs = _docs(spark, texts)
+    gold = spark.createDataFrame([(d, 0 if domain[d] == 1 else 1, int(domain[d] == 2)) for d in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mixed(docs, gold).collect()}
+
+    def features(t):
+        w = t.lower().split()
+        n, u = len(w), list(dict.fromkeys(w))
+        marks = sum(c in mixing.MARKS for c in t)
+        return set(u) | {f" distinct:{int(np.floor(np.log2(n)))}:{8 * len(u) // n}", f" marks:{min(20 * marks // n, 40)}", f" length:{min(len(t) // n, 30)}"}
+
+    held = {d: features(t) for d, t in texts}
+    n = [sum(domain[d] == y for d in range(60)) for y in range(3)]
+    count = Counter((f, domain[d]) for d in range(60) for f in held[d])
+    every = {f: sum(count[f, y] for y in range(3)) for f in {f for f, _ in count}}
+    chi = {}
+    for f, m in every.items():
+        if m >= mixing.LEAST_TEXTS:
+            chi[f] = max(60 * (count[f, y] * (60 - n[y]) - (m - count[f, y]) * n[y]) ** 2 / (n[y] * (60 - n[y]) * m * max(60 - m, 1)) for y in range(3))
+    chosen = sorted(chi, key=lambda f: (-chi[f], f))[: mixing.FEATURES]
+    p = []
+    for d, _ in texts:
+        s = np.array([np.log(n[y] / 60) + mixing.SHARPNESS * sum(np.log(q if f in held[d] else 1 - q) for f in chosen for q in [(count[f, y] + 0.5) / (n[y] + 1)]) for y in range(3)])
+        p.append(np.exp(s - s.max()) / np.exp(s - s.max()).sum())
+    p, size = np.round(np.array(p), 6), np.array([len(t.split()) for _, t in texts], float)
+    assert np.abs(p - np.array([[got[d].p_clean, got[d].p_low, got[d].p_toxic] for d, _ in texts])).max() < 2e-6
+    aims, start = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS]) * size.sum(), size @ p
+    r = y = np.ones(90)
+    for t in range(mixing.STEPS):  # the same least squares, by dense gradient steps
+        if np.abs((size * r) @ p - aims).max() <= mixing.TOLERANCE * size.sum():
+            break
+        after = np.maximum(0, y - p @ (((size * y) @ p - aims) / start))
+        r, y = after, after + t / (t + 3) * (after - r)
+    assert np.abs(r - np.array([got[d].rate for d, _ in texts])).max() < 1e-3 and np.abs((size * r) @ p - aims).max() < 2e-3 * size.sum()
+
+
+def test_domains_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.held_out(F.col("doc_id"))
+    got = mixing.mixed(docs, labels.where(~out)).join(mixing.domain_of(labels), "doc_id").where(out).toPandas()
+    guess = got[["p_clean", "p_low", "p_toxic"]].to_numpy().argmax(axis=1)
+    recall = [(guess[got["domain"] == d] == d).mean() for d in range(3)]
+    assert (guess == got["domain"]).mean() > 0.8 and recall[2] > 0.7, recall
+
+
+def test_rows_of_one_doc_id_have_rates_of_their_own(spark, labels):
+    docs = _docs(spark, [(7, "one text of words"), (7, ""), (None, "another text"), (None, None), (7, "one text of words")])
+    assert mixing.resampled(docs, labels).select("doc_id", "text").distinct().count() == 4
+
+
 def test_mixing_on_edges(edge, empty, labels):
     assert mixing.mixed(edge, labels).count() == 11 and mixing.mixed(empty, labels).count() == 0
     assert {r.rate for r in mixing.mixed(edge, labels).collect() if r.n_tokens == 0} == {1.0}
