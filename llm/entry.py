@@ -1,8 +1,7 @@
-"""The queries of this subpackage, and their SQL where SQL can express them."""
+"""The queries of this subpackage, and their SQL where SQL can express them; the pipeline is in corpus_pipeline.py."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from llm import bpe, chat, exact, lines, minhash, mixing, pitman_yor, quality, secrets, toxicity
 
 
@@ -18,7 +17,6 @@ def queries():
         "op8_chat_formatting": chat.op8_chat,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_near_dedup": minhash.op10_near_duplicates,
-        "pipeline": corpus_pipeline.run,
     }
 
 
