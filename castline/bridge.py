@@ -22,7 +22,7 @@ PROFILES = """SELECT CAST(o_orderkey AS STRING) AS profile_id, CAST(o_custkey AS
 FROM orders"""
 
 DELIVERED = """SELECT CAST(l_orderkey AS STRING) AS profile_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS level_index,
+  row_number() OVER (PARTITION BY CAST(l_orderkey AS STRING) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS level_index,
   CASE l_returnflag WHEN 'N' THEN 'R' WHEN 'A' THEN 'A' ELSE 'D' END AS data_mode,
   l_quantity * 40 AS p, l_extendedprice / 3500e0 AS t, 30 + l_discount * 50 AS s,
   CAST(1 + l_partkey % 5 AS STRING) AS p_qc, CAST(1 + l_suppkey % 4 AS STRING) AS t_qc, CAST(1 + l_linenumber % 3 AS STRING) AS s_qc

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def in_regions(points, edges):
     """(profile_id, region) of points in a region, edges included: crossing parity over all rings, or on an edge.
 
-    ``edges`` is a table of polygon edges, small by nature, and broadcast by Spark's own size check.
+    Points meet regions by the 10-degree cell they lie in, an equi join, and then the regions' edges.
     """
     x, y = F.col("longitude"), F.col("latitude")
-    boxes = edges.groupBy("region").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
-    near = points.join(boxes, x.between(F.col("w"), F.col("e")) & y.between(F.col("s"), F.col("n"))).select("profile_id", "longitude", "latitude", "region")
+    cell = lambda c: (F.floor(c / 10) * 10).cast("long")
+    placed = points.select("profile_id", "longitude", "latitude", cell(x).alias("west"), cell(y).alias("south"))
+    near = placed.join(region_tiles(edges), ["west", "south"]).select("profile_id", "longitude", "latitude", "region")
     both = near.join(edges, "region")
     crossed = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
     cross = (x - F.col("x1")) * (F.col("y2") - F.col("y1")) - (y - F.col("y1")) * (F.col("x2") - F.col("x1"))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from castline.functions.qc import VARIABLES, qc_code, qc_value
 from castline.operators.aggregate import aggregate, key
+from castline.operators.quantiles import quantiles
 from castline.registry import query, r6
 
 _METRICS = ("mean", "count", "min", "max", "stddev", "median")
-_M_SQL = "round(avg({v}) + 1e-9, 6) AS {n}_mean, count({v}) AS {n}_count, round(min({v}) + 1e-9, 6) AS {n}_min, round(max({v}) + 1e-9, 6) AS {n}_max, round(stddev_samp({v}) + 1e-9, 6) AS {n}_stddev, round(quantile_cont({v},0.5) + 1e-9, 6) AS {n}_median"
+_M_SQL = {
+    "mean": "round(avg({v}) + 1e-9, 6)", "count": "count({v})", "min": "round(min({v}) + 1e-9, 6)", "max": "round(max({v}) + 1e-9, 6)",
+    "stddev": "round(stddev_samp({v}) + 1e-9, 6)", "median": "round(quantile_cont({v}, 0.5) + 1e-9, 6)",
+}
 _KEYS = {"month": "strftime(observed_at,'%Y-%m')", "day": "strftime(observed_at,'%Y-%m-%d')", "profile": "profile_id", "float": "platform_number", "depth_bin": "floor(p/100)*100e0", "region": "'Envelope'"}
 
 
@@ -18,7 +22,7 @@ def _aggregate_query(name: str, keys: tuple[str, ...], unit: str, band: tuple[in
     cols = {k: v.replace("100", str(bin_size)) if k == "depth_bin" else v for k, v in _KEYS.items()}
     where = f"WHERE p BETWEEN {band[0]} AND {band[1]}" if band else ""
     sel, names = ", ".join(f"{cols[k]} AS {k}" for k in keys), ", ".join(keys)
-    parts = [x for x in _M_SQL.replace("{v}", "t").replace("{n}", "temperature").split(", ") if any(x.endswith(f"_{m}") for m in metrics)] if metrics != _METRICS else [_M_SQL.format(v="t", n="temperature")]
+    parts = [f"{_M_SQL[m].format(v='t')} AS temperature_{m}" for m in metrics]
     if unit == "measurement":
         sql = f"SELECT {sel}, {', '.join(parts)} FROM b_sel {where} GROUP BY ALL"
     else:
@@ -269,25 +273,20 @@ def _(t):
 
 @query("agg_percentile_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return quantiles(t.events, ["event_type"], "value", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})
 
 
 @query("agg_percentile_index", "SELECT event_type, max(value) FILTER (r - 1 = CAST(round_even(0.9e0 * (n - 1), 0) AS BIGINT)) AS p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
 def _(t):
-    """Value at index round(0.9 * (n - 1)), half to even, by a count and a rank and not by a gathered array."""
-    n = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    ranked = t.events.select("event_type", "value", F.row_number().over(W.partitionBy("event_type").orderBy("value", "event_id")).alias("r"))
-    at = ranked.join(F.broadcast(n), "event_type").where(F.col("r") - 1 == F.bround(0.9 * (F.col("n") - 1), 0).cast("long"))
-    return at.select("event_type", F.col("value").alias("p90"))
+    """Value at index round(0.9 * (n - 1)), half to even."""
+    return quantiles(t.events, ["event_type"], "value", {"p90": ("index", 0.9)})
 
 
 @query("agg_latency_table", "SELECT event_type, max(value) FILTER (event_id % 10 = 0) AS cold, quantile_disc(value, 0.5) FILTER (event_id % 10 <> 0) AS warm_p50, quantile_disc(value, 0.95) FILTER (event_id % 10 <> 0) AS warm_p95, CASE WHEN quantile_disc(value, 0.95) FILTER (event_id % 10 <> 0) <= 100 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events GROUP BY 1")
 def _(t):
-    warm = F.when(F.col("event_id") % 10 != 0, F.col("value"))
-    made = t.events.withColumn("warm", warm).groupBy("event_type").agg(
-        F.max(F.when(F.col("event_id") % 10 == 0, F.col("value"))).alias("cold"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY warm)").alias("warm_p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY warm)").alias("warm_p95"))
-    return made.withColumn("verdict", F.when(F.col("warm_p95") <= 100, "PASS").otherwise("FAIL"))
+    cold = t.events.groupBy("event_type").agg(F.max(F.when(F.col("event_id") % 10 == 0, F.col("value"))).alias("cold"))
+    warm = quantiles(t.events.where("event_id % 10 <> 0"), ["event_type"], "value", {"warm_p50": ("nearest", 0.5), "warm_p95": ("nearest", 0.95)})
+    return cold.join(warm, "event_type", "left").withColumn("verdict", F.when(F.col("warm_p95") <= 100, "PASS").otherwise("FAIL"))
 
 
 @query("agg_witness", "SELECT bool_or(direction = 'A') AS ascending, bool_or(direction = 'D') AS descending, bool_or(direction = 'U') AS unknown, bool_or(cycle_number = 399) AS last_cycle, bool_or(longitude = 120) AS outer_edge FROM b_profiles")

@@ -164,12 +164,15 @@ def _(t):
     return made.select("chunk", "profiles", F.when(F.col("profiles") > 190, "profile_cap").when(F.col("total") > 3.5e7, "level_cap").otherwise("ok").alias("verdict"))
 
 
-@query("ing_manifest", f"SELECT {_SLOT} AS slot, count(*) AS n, string_agg(profile_id || ':' || profile_hash, ',' ORDER BY profile_id) AS members FROM b_profiles GROUP BY 1")
+@query("ing_manifest", f"""SELECT CAST(observation_month AS VARCHAR) || '/' || w || '_' || s AS slot, count(*) AS n, CAST(sum(levels) AS BIGINT) AS levels, string_agg(profile_id || ':' || profile_hash || ':' || levels, ',' ORDER BY profile_id) AS members
+ FROM (SELECT m.*, CASE WHEN longitude = 120 THEN 110 ELSE CAST(floor((longitude - 20) / 10) * 10 + 20 AS INT) END AS w, CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END AS s, levels
+  FROM b_profiles m JOIN (SELECT profile_id, count(*) AS levels FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id) GROUP BY 1""")
 def _(t):
-    """Members of each month and direction, sorted by id. A slot is a month of a tile, bounded by nature."""
-    slot = F.concat(F.col("observation_month").cast("string"), "direction")
-    made = t.profiles.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("profile_id", "profile_hash"))).alias("m"))
-    return made.select("slot", "n", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["profile_id"], x["profile_hash"])), ",").alias("members"))
+    """Members of each slot (a month of a tile) with their levels, sorted by id. A slot is bounded by nature."""
+    levels = t.delivered.groupBy("profile_id").agg(F.count("*").alias("levels"))
+    slot = F.concat_ws("/", F.col("observation_month").cast("string"), tile_key(F.col("longitude"), F.col("latitude")))
+    made = t.profiles.join(levels, "profile_id").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.sum("levels").alias("levels"), F.array_sort(F.collect_list(F.struct("profile_id", "profile_hash", "levels"))).alias("m"))
+    return made.select("slot", "n", "levels", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["profile_id"], x["profile_hash"], x["levels"].cast("string"))), ",").alias("members"))
 
 
 @query("ing_compact", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC) AS r FROM lineitem) WHERE r = 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 4)")

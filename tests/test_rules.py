@@ -144,3 +144,21 @@ def test_tiles_of_a_triangle_and_of_a_region_within_a_tile(spark):
     got = {tuple(r) for r in region_tiles(spark.createDataFrame(edges, "region string, x1 double, y1 double, x2 double, y2 double")).collect()}
     assert {x for x in got if x[0] == "small"} == {("small", 40, 0)}
     assert ("wide", 80, 10) in got and ("tri", 10, 10) in got and ("tri", 20, 20) not in got and ("tri", 20, 10) in got
+
+
+@pytest.mark.parametrize("accuracy", [4, 10_000])
+def test_quantiles_of_groups_against_sorted_values(spark, monkeypatch, accuracy):
+    """Also where the brackets are wide, with ties, nulls and a null key."""
+    from castline.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 300).astype(float), "c": np.array([7.0]), None: rng.normal(size=40)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    wanted = {"m": ("linear", 0.5), "q": ("linear", 0.95), "n": ("nearest", 0.8), "i": ("index", 0.9)}
+    got = {r.k: r for r in q.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", wanted).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        s, n = np.sort(vs), len(vs)
+        assert got[k].m == pytest.approx(np.quantile(s, 0.5)) and got[k].q == pytest.approx(np.quantile(s, 0.95))
+        assert got[k].n == s[max(0, math.ceil(n * 0.8) - 1)] and got[k].i == s[round(0.9 * (n - 1))]
