@@ -58,7 +58,8 @@ def cuts(raw: bytes) -> list[int]:
 
 
 # ASCII marks that no contraction or special token holds.
-_MARKS = re.escape(b".,;:!?#$%&*+-/=@^_~()[]{}\"`\\")
+MARKS = ".,;:!?#$%&*+-/=@^_~()[]{}\"`\\"
+_MARKS = re.escape(MARKS.encode())
 _TRAILING = re.compile(rb"(?<=[a-z0-9])([" + _MARKS + rb"]+)(?=[\x20\x09-\x0D]|\Z)")
 _WIDE = re.compile("[^\x00-\u02ff]")
 
@@ -93,6 +94,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if any(probe(f"word{m}") != probe(f"word {m}") for m in MARKS) or probe("Word WORD") != probe("word word"):
+            raise ValueError("marks behind a word must be pieces of their own, and case must not matter")
         self.vocabulary = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], object)
         suffix = spec["model"]["end_of_word_suffix"]
         self.last = np.array([t.endswith(suffix) for t in self.vocabulary])
