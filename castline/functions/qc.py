@@ -50,3 +50,9 @@ def implausible() -> Column:
 def canonical_unit(spelling: Column) -> Column:
     """Canonical unit of a spelling; null if nobody knows it."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in UNIT_SPELLINGS.items() for x in pair]), spelling)
+
+
+def place_variant(var: str, value: Column, code: Column, mode: Column) -> list[Column]:
+    """The stored columns of a delivered value and its QC: the original in mode R, the adjusted ones in A and D, null elsewhere."""
+    real, delayed = mode == "R", mode.isin("A", "D")
+    return [F.when(real, value).alias(var), F.when(delayed, value).alias(f"{var}_adjusted"), F.when(real, code).alias(f"{var}_qc"), F.when(delayed, code).alias(f"{var}_adjusted_qc"), mode.alias(f"{var}_data_mode")]

@@ -258,19 +258,6 @@ def _(t):
     return joined.select("event_id", F.round(F.col("value") * F.coalesce("price", F.lit(0.01)), 9).alias("cost"), F.col("price").isNull().alias("by_default"))
 
 
-@query("agg_eval_rates", "SELECT lang, round(avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0 END) + 1e-9, 6) AS exact, round(avg(CASE WHEN toxic = 0 THEN 1e0 ELSE 0 END) + 1e-9, 6) AS clean, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def _(t):
-    rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(r6(rate(F.col("quality") == 1), "exact"), r6(rate(F.col("toxic") == 0), "clean"), F.count("*").alias("n"))
-
-
-@query("agg_eval_score", "SELECT doc_id, (n_chars > 500) = (quality = 1) AS kind_ok, (lang = 'en') = (toxic = 0) AS lang_ok, CASE WHEN (n_chars > 500) <> (quality = 1) THEN 'kind' WHEN (lang = 'en') <> (toxic = 0) THEN 'lang' END AS first_wrong FROM labels JOIN documents USING (doc_id)")
-def _(t):
-    both = t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id")
-    kind, lang = (F.col("n_chars") > 500).eqNullSafe(F.col("quality") == 1), (F.col("lang") == "en").eqNullSafe(F.col("toxic") == 0)
-    return both.select("doc_id", kind.alias("kind_ok"), lang.alias("lang_ok"), F.when(~kind, "kind").when(~lang, "lang").alias("first_wrong"))
-
-
 @query("agg_percentile_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(t):
     return quantiles(t.events, ["event_type"], "value", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})

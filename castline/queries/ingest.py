@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions.geo import tile_key
-from castline.functions.qc import canonical_unit, implausible
+from castline.functions.qc import canonical_unit, implausible, place_variant
 from castline.operators import matching
 from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
@@ -141,11 +141,12 @@ def _(t):
         F.bool_or(F.col("unit").isNull()).alias("rejected"), F.count_if(F.col("unit") == "dbar").alias("dbar"), F.count_if(F.col("unit") == "degree_C").alias("degrees"), F.count_if(F.col("unit") == "1").alias("ones"))
 
 
-@query("ing_variant_place", "SELECT profile_id, level_index, temperature, temperature_adjusted FROM b_levels")
+@query("ing_variant_place", """SELECT profile_id, level_index, CASE WHEN m = 'R' THEN t END AS temperature, CASE WHEN m IN ('A', 'D') THEN t END AS temperature_adjusted, CASE WHEN m = 'R' THEN t_qc END AS temperature_qc, CASE WHEN m IN ('A', 'D') THEN t_qc END AS temperature_adjusted_qc, m AS temperature_data_mode
+ FROM (SELECT *, CASE WHEN level_index % 9 = 4 THEN 'X' ELSE data_mode END AS m FROM b_delivered)""")
 def _(t):
-    """The delivered value goes to the original in mode R and to the adjusted column in A and D."""
-    d, mode = t.delivered, F.col("data_mode")
-    return d.select("profile_id", "level_index", F.when(mode == "R", F.col("t")).alias("temperature"), F.when(mode != "R", F.col("t")).alias("temperature_adjusted"))
+    """The delivered value goes to the original in mode R and to the adjusted column in A and D; other modes deliver nothing."""
+    mode = F.when(F.col("level_index") % 9 == 4, "X").otherwise(F.col("data_mode"))
+    return t.delivered.select("profile_id", "level_index", *place_variant("temperature", F.col("t"), F.col("t_qc"), mode))
 
 
 _SLOT = "CAST(observation_month AS VARCHAR) || direction"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from castline.functions import phrases
+from castline.operators.evaluation import rates, score
 from castline.registry import query
 
 # A profile's id chooses the form of its question and the numbers in it.
@@ -93,3 +94,29 @@ def _(t):
     """A sentence for each month's rows."""
     stats = t.selected().groupBy(F.date_format("observed_at", "yyyy-MM").alias("month")).agg(F.count("t").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     return stats.select("month", phrases.range_sentence(F.lit("mean temperature"), F.lit("degrees C"), F.col("n"), F.col("lo"), F.col("hi")).alias("sentence"))
+
+
+_KIND = "CASE k % 10 WHEN 6 THEN 'greeting' WHEN 8 THEN 'help' ELSE 'query' END"
+_DEPTH = "CASE k % 10 WHEN 0 THEN CAST(k % 300 AS DOUBLE) WHEN 1 THEN 0e0 WHEN 2 THEN CAST(k % 900 + 1 AS DOUBLE) WHEN 7 THEN greatest(0e0, k % 900 - 50e0) WHEN 9 THEN 0e0 END"
+_SCORED = f"""WITH i AS (SELECT profile_id, k % 10 AS form, {_KIND} AS kind, {_DEPTH} AS low, k FROM {_Q}),
+ o AS (SELECT profile_id, form, kind = CASE WHEN k % 7 = 0 THEN 'query' ELSE kind END AS kind_ok, low IS NOT DISTINCT FROM floor(low / 10) * 10 AS low_ok FROM i)"""
+
+
+def _evaluated(t):
+    """Questions as read against gold in which every seventh kind is a slip and depths are to the next ten."""
+    low, _ = phrases.depth_band(F.col("low"))
+    read = _low(t).select("profile_id", "k", phrases.classify(F.col("text")).alias("kind"), low.alias("depth"))
+    gold = read.select("profile_id", F.when(F.col("k") % 7 == 0, "query").otherwise(F.col("kind")).alias("kind"), (F.floor(F.col("depth") / 10) * 10).cast("double").alias("depth"))
+    return score(read, gold, "profile_id", ["kind", "depth"])
+
+
+@query("agg_eval_score", f"{_SCORED} SELECT profile_id, kind_ok, low_ok AS depth_ok, kind_ok AND low_ok AS exact, CASE WHEN NOT kind_ok THEN 'kind' WHEN NOT low_ok THEN 'depth' END AS first_wrong FROM o")
+def _(t):
+    return _evaluated(t)
+
+
+@query("agg_eval_rates", f"{_SCORED} SELECT form, count(*) AS n, round(avg(CASE WHEN kind_ok AND low_ok THEN 1e0 ELSE 0 END) + 1e-9, 6) AS exact, round(avg(CASE WHEN kind_ok THEN 1e0 ELSE 0 END) + 1e-9, 6) AS kind, round(avg(CASE WHEN low_ok THEN 1e0 ELSE 0 END) + 1e-9, 6) AS depth FROM o GROUP BY 1")
+def _(t):
+    """Rates by the form of the question."""
+    made = rates(_evaluated(t).withColumn("form", F.col("profile_id").cast("long") % 10), ["form"], ["kind", "depth"])
+    return made.select("form", "n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("exact", "kind", "depth")])

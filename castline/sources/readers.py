@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from castline.functions.geo import in_bbox, tile_key
 from castline.functions.numeric import number
-from castline.functions.qc import VARIABLES
+from castline.functions.qc import VARIABLES, place_variant
 
 VARIANT = ("{v}", "{v}_adjusted", "{v}_qc", "{v}_adjusted_qc", "{v}_data_mode")
 #: The 17 columns of a level part that queries read.
@@ -102,11 +102,7 @@ def flatten_profiles(docs: DataFrame, column: str = "json") -> DataFrame:
     arrays = {n: F.coalesce(F.col("by_name")[n], F.array().cast("array<string>")) for v in VARIABLES for n in (v, f"{v}_argoqc")}
     zipped = F.arrays_zip(*[a.alias(n) for n, a in arrays.items()])
     rows = parsed(docs, column).select(F.col("_id").alias("profile_id"), "modes", F.posexplode(zipped).alias("level_index", "x"))
-    out = []
-    for v in VARIABLES:
-        mode, value, qc = F.col("modes")[v], number(F.col("x")[v]), F.col("x")[f"{v}_argoqc"]
-        real, delayed = mode == "R", mode.isin("A", "D")
-        out += [F.when(real, value).alias(v), F.when(delayed, value).alias(f"{v}_adjusted"), F.when(real, qc).alias(f"{v}_qc"), F.when(delayed, qc).alias(f"{v}_adjusted_qc"), mode.alias(f"{v}_data_mode")]
+    out = [c for v in VARIABLES for c in place_variant(v, number(F.col("x")[v]), F.col("x")[f"{v}_argoqc"], F.col("modes")[v])]
     return rows.select("profile_id", "level_index", *out)
 
 
