@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A series needs so many months, and may lack this share and this long a run.
 LEAST_MONTHS, MOST_MISSING, LONGEST_GAP = 36, 0.2, 2
 FOLDS, HORIZONS, SEASON, LEAST_TRAINING = 12, 3, 12, 25
+# A model is taken if its error is so much of the baseline's at most, and its residual is centred to such a share of its spread.
+BETTER, CENTRED = 0.95, 0.1
 
 
 def month_number(at: Column) -> Column:
@@ -159,19 +161,21 @@ def best_candidates(scores: DataFrame, keys: list[str], n: int = 3) -> DataFrame
 
 
 def lag_candidates(series: DataFrame, keys: list[str], lags: range) -> DataFrame:
-    """keys, candidate, parameters, aicc: for each lag the model that repeats the value so many months before.
+    """keys, candidate, parameters, aicc, error, passes: for each lag the model that repeats the value so many months before.
 
-    A lag counts as so many parameters; the likelihood is that of normal differences.
+    A lag counts as so many parameters; the likelihood is that of normal differences. ``error`` is the mean
+    absolute difference, ``passes`` whether the differences are centred.
     """
     w = W.partitionBy(*keys).orderBy("i")
     y = numbered(series, keys)
     y = y.select(*keys, "y", *[F.lag("y", k).over(w).alias(f"_l{k}") for k in lags])
     gaps = F.array(*[F.struct(F.lit(k).alias("candidate"), (F.col("y") - F.col(f"_l{k}")).alias("e")) for k in lags])
     each = y.select(*keys, F.explode(gaps).alias("g")).select(*keys, "g.*").where("e IS NOT NULL")
-    fit = each.groupBy(*keys, "candidate").agg(F.count("*").alias("n"), F.avg(F.col("e") * F.col("e")).alias("v"))
+    centred = F.abs(F.avg("e")) <= CENTRED * F.stddev_samp("e")
+    fit = each.groupBy(*keys, "candidate").agg(F.count("*").alias("n"), F.avg(F.col("e") * F.col("e")).alias("v"), F.avg(F.abs("e")).alias("error"), centred.alias("passes"))
     k = F.col("candidate") + 1
     aicc = F.col("n") * F.log("v") + 2 * k + 2 * k * (k + 1) / (F.col("n") - k - 1)
-    return fit.where(F.col("n") > k + 1).select(*keys, "candidate", k.alias("parameters"), aicc.alias("aicc"))
+    return fit.where(F.col("n") > k + 1).select(*keys, "candidate", k.alias("parameters"), aicc.alias("aicc"), "error", "passes")
 
 
 def report(verdicts: DataFrame, errors: DataFrame, keys: list[str], horizons: int = HORIZONS) -> DataFrame:
@@ -180,3 +184,16 @@ def report(verdicts: DataFrame, errors: DataFrame, keys: list[str], horizons: in
     ok = F.col("verdict") == "ok"
     shown = [F.when(ok, F.col(c)).alias(c) for c in ("forecasts", *[f"mase_h{h}" for h in range(1, horizons + 1)])]
     return verdicts.join(wide, keys, "left").select(*keys, F.when(ok, "forecast").otherwise("refused").alias("status"), F.when(~ok, F.col("verdict")).alias("reason"), *shown)
+
+
+def select_model(scores: DataFrame, keys: list[str], baseline: int) -> DataFrame:
+    """keys, chosen, status: the simplest candidate (fewest parameters, then least error) that beats the baseline by 5 % and passes; else the baseline, as experimental."""
+    base = scores.where(F.col("candidate") == baseline).select(*keys, F.col("error").alias("_b"))
+    good = scores.join(base, keys).where((F.col("candidate") != baseline) & F.col("passes") & (F.col("error") <= BETTER * F.col("_b")))
+    best = good.groupBy(*keys).agg(F.min_by("candidate", F.struct("parameters", "error")).alias("_c"))
+    return base.join(best, keys, "left").select(*keys, F.coalesce("_c", F.lit(baseline)).alias("chosen"), F.when(F.col("_c").isNull(), "experimental").otherwise("selected").alias("status"))
+
+
+def diverged(point: Column, top: Column) -> Column:
+    """Whether a point forecast is beyond a thousand times the largest value seen: a miss, not a forecast."""
+    return F.abs(point) > 1000 * (top + 1)

@@ -82,24 +82,12 @@ def _(t):
     return ops.sarima_grid(filled(t), KEYS, orders).select("direction", "order", F.round("aicc", 3).alias("aicc"), "rank")
 
 
-@query("fc_select", f"""{_FILLED}{_ORIGINS}, d AS (SELECT direction, i, y FROM g), b AS (SELECT oh.direction, h, abs(a.y - p.y) AS naive, abs(a.y - q.y) AS last FROM oh JOIN d a ON a.direction = oh.direction AND a.i = oh.origin + h - 1
- JOIN d p ON p.direction = oh.direction AND p.i = oh.origin - 12 + h - 1 JOIN d q ON q.direction = oh.direction AND q.i = oh.origin - 1) SELECT direction, CASE WHEN avg(last) <= 0.95 * avg(naive) THEN 'last_value' ELSE 'seasonal_naive' END AS chosen FROM b GROUP BY 1""")
-def _(t):
-    """The simpler candidate unless the other is better by 5 %."""
-    y = ops.numbered(filled(t), KEYS)
-    at = lambda name, col: y.select(*KEYS, F.col("i").alias(name), F.col("y").alias(col))
-    o = ops.origins(y, KEYS).withColumns({"ti": F.col("origin") + F.col("h") - 1, "pi": F.col("origin") - 13 + F.col("h"), "qi": F.col("origin") - 1})
-    b = o.join(at("ti", "a"), [*KEYS, "ti"]).join(at("pi", "p"), [*KEYS, "pi"]).join(at("qi", "q"), [*KEYS, "qi"])
-    err = b.groupBy(*KEYS).agg(F.avg(F.abs(F.col("a") - F.col("p"))).alias("naive"), F.avg(F.abs(F.col("a") - F.col("q"))).alias("last"))
-    return err.select("direction", F.when(F.col("last") <= 0.95 * F.col("naive"), "last_value").otherwise("seasonal_naive").alias("chosen"))
-
-
 @query("fc_divergence", f"{_FILLED}, x AS (SELECT direction, max(abs(y)) AS top FROM g GROUP BY 1) SELECT g.direction, m, abs(y * CASE WHEN m % 17 = 0 THEN 1e6 ELSE 1 END) > 1000 * (top + 1) AS diverged FROM g JOIN x ON x.direction = g.direction")
 def _(t):
     s = filled(t)
     top = s.groupBy(*KEYS).agg(F.max(F.abs("y")).alias("top"))
     point = F.col("y") * F.when(F.col("m") % 17 == 0, 1e6).otherwise(1.0)
-    return s.join(top, KEYS).select("direction", "m", (F.abs(point) > 1000 * (F.col("top") + 1)).alias("diverged"))
+    return s.join(top, KEYS).select("direction", "m", ops.diverged(point, F.col("top")).alias("diverged"))
 
 
 _Q = " + ".join(f"pow(sum(d * l{k}) / sum(d * d), 2) / (count(*) - {k})" for k in range(1, 13))
@@ -167,3 +155,14 @@ def _(t):
     """The best three of twelve models of each series."""
     made = ops.best_candidates(ops.lag_candidates(filled(t), KEYS, range(1, 13)), KEYS)
     return made.select("direction", "candidate", "parameters", F.round(F.col("aicc") + 1e-9, 4).alias("aicc"), "rank")
+
+
+_FITS = " UNION ALL ".join(f"SELECT direction, {k} AS candidate, avg(abs(e)) AS error, abs(avg(e)) <= 0.1 * stddev_samp(e) AS passes FROM (SELECT direction, y - lag(y, {k}) OVER (PARTITION BY direction ORDER BY i) AS e FROM g) GROUP BY 1" for k in range(1, 13))
+
+
+@query("fc_select", f"""{_FILLED}, ff AS ({_FITS}), bb AS (SELECT direction, error AS b FROM ff WHERE candidate = 12),
+ cc AS (SELECT ff.direction, min(candidate) AS c FROM ff JOIN bb ON bb.direction = ff.direction WHERE candidate <> 12 AND passes AND error <= 0.95 * b GROUP BY 1)
+ SELECT bb.direction, CAST(coalesce(c, 12) AS INT) AS chosen, CASE WHEN c IS NULL THEN 'experimental' ELSE 'selected' END AS status FROM bb LEFT JOIN cc ON cc.direction = bb.direction""")
+def _(t):
+    """Of eleven lags the shortest that is 5 % better than the season before and has a centred residual."""
+    return ops.select_model(ops.lag_candidates(filled(t), KEYS, range(1, 13)), KEYS, 12)
