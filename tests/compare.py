@@ -1,25 +1,30 @@
-"""Holds a query against its SQL twin on DuckDB."""
+"""Holds a query against its SQL twin on DuckDB: values to nine significant digits, null apart from NaN."""
 
 from __future__ import annotations
 
+import datetime
+import math
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 
 from castline.bridge import TABLES
 
 
 def _plain(v):
-    if v is None or v is pd.NA or v != v:
+    if v is None:
         return "null"
     if isinstance(v, float):
-        return f"{v:.9g}"
-    return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, (str, bytes)) else str(v)
+        return "nan" if math.isnan(v) else f"{v:.9g}"
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    return str([_plain(x) for x in v]) if isinstance(v, (list, tuple)) else str(v)
 
 
-def rows(df) -> list[tuple]:
-    return sorted(tuple(_plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+def rows(table) -> list[tuple]:
+    """Sorted rows of an Arrow table, columns by name."""
+    columns = [table.column(n).to_pylist() for n in sorted(table.column_names)]
+    return sorted(tuple(map(_plain, r)) for r in zip(*columns, strict=True))
 
 
 def expected(sql: str, sf_dir: str):
@@ -28,10 +33,10 @@ def expected(sql: str, sf_dir: str):
     for t in TABLES:
         if Path(f"{sf_dir}/{t}.parquet").exists():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    return con.execute(sql).df()
+    return con.execute(sql).to_arrow_table()
 
 
 def check(query, sql: str, spark, sf_dir: str) -> None:
-    got, want = query(spark, sf_dir).toPandas(), expected(sql, sf_dir)
-    assert sorted(got.columns) == sorted(want.columns)
+    got, want = query(spark, sf_dir).toArrow(), expected(sql, sf_dir)
+    assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
