@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by soft membership, in DataFrame functions only.
+"""Mixing sources to target weights by soft membership, in DataFrame functions (the driver only inverts a matrix of the domains).
 
 1. A classifier is fitted on the labelled table, all of its rows: naive Bayes over the presence of
    features. A text's features are its distinct words, as blanks delimit them, in lower case, and bins of its
@@ -11,8 +11,9 @@
 3. Nonnegative rates, one for each document, are fitted by accelerated projected gradient least squares: the
    expected tokens by domain, summed over documents at their rates, are to match the targets. A step
    is one distributed aggregation to one number for each domain; rates are a function of these
-   numbers, so no rate is kept between steps. Residuals are weighted by the domain's own mass and
-   steps by a document's size, which makes the problem well conditioned. Steps go on until the targets are met
+   numbers, so no rate is kept between steps. Steps are weighted by a document's size and preconditioned
+   by the domains' Gram matrix (k x k, one more aggregation), so that only the bound at zero makes more than one
+   needed. Steps go on until the targets are met
    to TOLERANCE, or until STEPS of them no longer bring them nearer, which is told as a warning.
 
 ``budget`` says what the targets are shares of: "same" keeps the number of tokens, "repeat" takes the
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,9 @@ def rated(rows: DataFrame, targets: dict[str, float] | None, budget: str, steps:
         got = alike.withColumn("_r", r).agg(*sums).first()
         return tuple([float(got[f"{at}{d}"] or 0.0) for d in range(k)] for at in "ry")
 
+    pairs = [(a, b) for a in range(k) for b in range(k)]
+    gram = alike.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{a}") * F.col(f"p{b}")).alias(f"g{a}{b}") for a, b in pairs]).first()
+    inverse = np.linalg.pinv(np.array([[float(gram[f"g{a}{b}"] or 0.0) for b in range(k)] for a in range(k)]), rcond=1e-9)
     start, _ = masses(rate([], k))
     total = sum(start)
     if budget == "repeat":
@@ -148,7 +153,7 @@ def rated(rows: DataFrame, targets: dict[str, float] | None, budget: str, steps:
             warnings.warn(f"targets are missed by {worst:.4f} of all tokens after {len(done)} steps", stacklevel=3)
             break
         t = len(done)
-        done.append([*((n - a) / m if m > 0 else 0.0 for n, a, m in zip(ahead, aims, start, strict=True)), t / (t + 3)])
+        done.append([*(inverse @ (np.array(ahead) - np.array(aims))).tolist(), t / (t + 3)])
         here, ahead = masses(rate(done, k))
     return rows.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(done, k)["r"]).otherwise(1.0))
 
