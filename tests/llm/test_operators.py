@@ -683,12 +683,12 @@ def test_posteriors_and_rates_against_brute_force(spark):
         p.append(np.exp(s - s.max()) / np.exp(s - s.max()).sum())
     p, size = np.round(np.array(p), 6), np.array([len(t.split()) for _, t in texts], float)
     assert np.abs(p - np.array([[got[d].p_clean, got[d].p_low, got[d].p_toxic] for d, _ in texts])).max() < 2e-6
-    aims, start = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS]) * size.sum(), size @ p
+    aims, inverse = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS]) * size.sum(), np.linalg.pinv((p.T * size) @ p, rcond=1e-9)
     r = y = np.ones(90)
     for t in range(mixing.STEPS):  # the same least squares, by dense gradient steps
         if np.abs((size * r) @ p - aims).max() <= mixing.TOLERANCE * size.sum():
             break
-        after = np.maximum(0, y - p @ (((size * y) @ p - aims) / start))
+        after = np.maximum(0, y - p @ (inverse @ ((size * y) @ p - aims)))
         r, y = after, after + t / (t + 3) * (after - r)
     assert np.abs(r - np.array([got[d].rate for d, _ in texts])).max() < 1e-3 and np.abs((size * r) @ p - aims).max() < 2e-3 * size.sum()
 
