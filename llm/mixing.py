@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions (the driver only inverts a matrix of the domains).
 
-1. A classifier is fitted on the labelled table, all of its rows: naive Bayes over the presence of
+1. A classifier is fitted on the labelled table (LABELLED_ROWS of its rows at most, whole texts): naive Bayes over the presence of
    features. A text's features are its distinct words, as blanks delimit them, in lower case, and bins of its
    shape (share of distinct words for its length, share of marks, mean length of a word). Of the features
    in LEAST_TEXTS or more labelled texts those that differ most between a domain and the rest (chi-square)
@@ -37,11 +37,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, lower_ascii, numbered, stored, words_of
+from llm.common import documents, numbered, stored, words_of
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
-FEATURES, LEAST_TEXTS, SHARPNESS = 512, 5, 0.5
+FEATURES, LEAST_TEXTS, SHARPNESS = 128, 5, 0.5
+#: Labelled rows that the classifier is fitted on at most, those with the least hash of doc_id.
+LABELLED_ROWS = 8000
 STEPS, TOLERANCE = 200, 1e-4
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -54,7 +56,7 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 def featured(docs: DataFrame, *kept: str) -> DataFrame:
     """``kept`` columns, n_tokens, features: an array of distinct strings for each row of ``docs`` (with ``text``)."""
-    low = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(*kept, low.alias("_t"), words_of(low).alias("_w"))
     rows = rows.select(*kept, "_t", F.size("_w").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
     n = F.greatest(F.col("n_tokens"), F.lit(1))
@@ -64,10 +66,11 @@ def featured(docs: DataFrame, *kept: str) -> DataFrame:
     return rows.select(*kept, "n_tokens", F.concat("_d", bins).alias("features"))
 
 
-def model(docs: DataFrame, gold: DataFrame, count: int = FEATURES, least: int = LEAST_TEXTS) -> tuple[list[float], DataFrame]:
+def model(docs: DataFrame, gold: DataFrame, count: int = FEATURES, least: int = LEAST_TEXTS, rows: int = LABELLED_ROWS) -> tuple[list[float], DataFrame]:
     """(log prior of each domain without any feature, table feature, e0, e1, ..): what a feature adds to each domain's log odds."""
     spark, k = docs.sparkSession, len(DOMAINS)
-    held = stored(featured(docs.select("doc_id", "text").join(gold, "doc_id"), "domain"), "labelled")
+    picked = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    held = stored(featured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "domain"), "labelled")
     sizes = {r["domain"]: r["n"] for r in held.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     n = [sizes.get(d, 0) for d in range(k)]
@@ -91,11 +94,20 @@ def model(docs: DataFrame, gold: DataFrame, count: int = FEATURES, least: int =
 
 
 def memberships(docs: DataFrame, prior: list[float], table: DataFrame) -> DataFrame:
-    """tag, doc_id, n_tokens, p0..: the posterior of each domain, for each (tag, doc_id, text). The model has at most FEATURES rows and is broadcast."""
+    """tag, doc_id, n_tokens, p0..: the posterior of each domain, for each (tag, doc_id, text). The model, FEATURES rows at most, is part of the plan."""
     names = [f"s{d}" for d in range(len(prior))]
     rows = featured(docs, "tag", "doc_id")
-    hits = rows.select("tag", "doc_id", "n_tokens", F.explode("features").alias("feature")).join(F.broadcast(table), "feature", "left")
-    sums = hits.groupBy("tag", "doc_id", "n_tokens").agg(*[(p + SHARPNESS * F.coalesce(F.sum(f"e{d}"), F.lit(0.0))).alias(s) for d, (p, s) in enumerate(zip(prior, names, strict=True))])
+    held = table.orderBy("feature").collect()
+    if held:
+        known = F.array(*[F.lit(r["feature"]) for r in held])
+        adds = [F.array(*[F.lit(r[f"e{d}"]) for r in held]) for d in range(len(prior))]
+        none = F.struct(*[F.lit(0.0).alias(s) for s in names])
+        places = F.transform(F.array_intersect("features", known), lambda w: F.array_position(known, w).cast("int"))
+        found = F.aggregate(places, none, lambda acc, i: F.struct(*[(acc[s] + F.element_at(e, i)).alias(s) for s, e in zip(names, adds, strict=True)]))
+        # Written before anything refers to it twice: the plan would otherwise make it anew for each reference.
+        sums = stored(rows.select("tag", "doc_id", "n_tokens", found.alias("_s")), "evidence").select("tag", "doc_id", "n_tokens", *[(p + SHARPNESS * F.col(f"_s.{s}")).alias(s) for p, s in zip(prior, names, strict=True)])
+    else:
+        sums = rows.select("tag", "doc_id", "n_tokens", *[F.lit(p).alias(s) for p, s in zip(prior, names, strict=True)])
     top = F.greatest(*names)
     logs = sums.select("tag", "doc_id", F.col("n_tokens").cast("double").alias("n_tokens"), *[F.exp(F.greatest(F.col(s) - top, F.lit(-700.0))).alias(s) for s in names])
     whole = sum((F.col(s) for s in names[1:]), F.col(names[0]))
@@ -160,7 +172,7 @@ def rated(rows: DataFrame, targets: dict[str, float] | None, budget: str, steps:
 
 def _rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, budget: str, steps: int) -> DataFrame:
     """tag, doc_id, n_tokens, p0.., rate: one row for each (tag, doc_id, text)."""
-    rows = stored(memberships(docs, *model(docs, domain_of(labels))), "memberships")
+    rows = memberships(docs, *model(docs, domain_of(labels)))
     return rated(rows, targets, budget, steps)
 
 
