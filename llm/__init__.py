@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operations that run as Spark jobs."""
+"""Training-data operators: thirteen corpus operations that run as Spark jobs."""
 
 import sys
 

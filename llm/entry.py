@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, exact, licenses, lines, minhash, mixing, pitman_yor, quality, secrets, spelling, toxicity
+from llm import bpe, chat, collocations, exact, licenses, lines, minhash, mixing, pitman_yor, quality, secrets, spelling, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_chat_formatting": chat.op8_chat,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_near_dedup": minhash.op10_near_duplicates,
+        "op11_collocations": collocations.op11_collocations,
         "op12_spelling_variants": spelling.op12_spelling,
         "op13_license_scan": licenses.op13_licenses,
     }
@@ -29,6 +30,7 @@ def oracle_sql():
         "op7_line_dedup": lines.OP7_SQL,
         "op8_chat_formatting": chat.OP8_SQL,
         "op10_minhash_near_dedup": minhash.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
         "op12_spelling_variants": spelling.OP12_SQL,
         "op13_license_scan": licenses.OP13_SQL,
     }
