@@ -233,9 +233,11 @@ def counted(docs: DataFrame, least: int = LEAST, trigger: int = TRIGGER) -> tupl
     return totals, frequent, pairs.unionByName(triples)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE_PERCENT, top: int = TOP, trigger: int = TRIGGER) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
-    totals, words, phrases = counted(docs, least, trigger)
+def scored(words: DataFrame, phrases: DataFrame, inside: int = INSIDE_PERCENT) -> DataFrame:
+    """lang, phrase, a, l, r, score of the pairs and triples in ``phrases`` that no longer one takes the place of.
+
+    ``words`` and ``phrases`` are (lang, phrase, n) and hold every part of a phrase.
+    """
     counts = words.unionByName(phrases)
     split = F.split("phrase", " ")
     size = F.size(split)
@@ -250,7 +252,13 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE_PERCE
     longer = phrases.where(F.size(F.split("phrase", " ")) == 3).select("lang", "n", F.explode(F.array(part(F.lit(1), F.lit(2)), part(F.lit(2), F.lit(2)))).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
-    rows = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)).alias("_s"))
+    return kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+
+
+def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE_PERCENT, top: int = TOP, trigger: int = TRIGGER) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
+    totals, words, phrases = counted(docs, least, trigger)
+    rows = scored(words, phrases, inside).withColumn("_s", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     first = ranked(ranked(rows, "lang", "_s").drop("rank", "_s"), "lang")
