@@ -8,6 +8,7 @@ as a WITH prefix, for the SQL checks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -36,6 +37,9 @@ LEVELS = "SELECT profile_id, level_index,\n  " + ",\n  ".join(
     for v, c in _VARIABLES
 ) + "\nFROM b_delivered"
 
+#: Positions all over the globe, as the profiles' lie within one envelope.
+GLOBE = "SELECT profile_id, observation_month, ((CAST(profile_id AS BIGINT) * 7919) % 36001) / 100e0 - 180 AS longitude, ((CAST(profile_id AS BIGINT) * 104729) % 18001) / 100e0 - 90 AS latitude FROM b_profiles"
+
 VIEWS = {"b_profiles": PROFILES, "b_delivered": DELIVERED, "b_levels": LEVELS}
 
 
@@ -51,6 +55,12 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"profiles": profiles, "delivered": delivered, "levels": levels}
 
 
+def globe(t) -> DataFrame:
+    """GLOBE over the profiles of ``t``."""
+    k = F.col("profile_id").cast("long")
+    return t.profiles.select("profile_id", "observation_month", ((k * 7919) % 36001 / 100.0 - 180).alias("longitude"), ((k * 104729) % 18001 / 100.0 - 90).alias("latitude"))
+
+
 def with_views(sql: str, **more: str) -> str:
     """``sql`` behind a WITH prefix that defines the bridge views that it names."""
     views, used = VIEWS | more, []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +27,66 @@ def in_bbox(west: float, south: float, east: float, north: float, lon: str = "lo
     return inside & F.col(lat).between(south, north)
 
 
+def circle(lat: Column, km: Column) -> tuple[Column, Column, Column]:
+    """(south, north, reach) of the box around a circle on the sphere: latitudes, and degrees of longitude either side.
+
+    A circle that holds a pole reaches all the way round, 180 degrees.
+    """
+    height = F.degrees(km / SPHERE_KM)
+    south, north = F.greatest(lat - height, F.lit(-90.0)), F.least(lat + height, F.lit(90.0))
+    wide = F.degrees(km / (SPHERE_KM * F.cos(F.radians(F.greatest(F.abs(south), F.abs(north))))))
+    pole = (south <= -90 + 1e-9) | (north >= 90 - 1e-9)
+    return south, north, F.when(pole, 180.0).otherwise(F.least(wide, F.lit(180.0)))
+
+
+def circle_boxes(lon: Column, lat: Column, km: Column) -> Column:
+    """Array of boxes (west, south, east, north) around a circle: two where it crosses 180 degrees."""
+    south, north, reach = circle(lat, km)
+    box = lambda west, east: F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    low, high, west, east = F.lit(-180.0), F.lit(180.0), lon - reach, lon + reach
+    return (
+        F.when(reach >= 180, F.array(box(low, high)))
+        .when(west < low, F.array(box(west + 360, high), box(low, east)))
+        .when(east > high, F.array(box(west, high), box(low, east - 360)))
+        .otherwise(F.array(box(west, east)))
+    )
+
+
+def near(lon: Column, lat: Column, km: Column, x: str = "longitude", y: str = "latitude") -> Column:
+    """Within a geodesic distance of (lon, lat), behind a box that a scan can use where these are literals.
+
+    The box is a hundredth wider than the sphere's, as a degree of the ellipsoid is up to 0.6 % shorter than one of the sphere.
+    """
+    south, north, reach = circle(lat, km * 1.01)
+    px, py = F.col(x), F.col(y)
+    around = (reach >= 180) | px.between(lon - reach, lon + reach) | (px >= lon - reach + 360) | (px <= lon + reach - 360)
+    return py.between(south, north) & around & (geo_distance(px, py, lon, lat) <= km * 1000)
+
+
 def within_km(lon: float, lat: float, km: float) -> Column:
-    """Within a geodesic distance of a point, behind a bounding box that the scan can use."""
-    pad = km / 111.0 + 0.1
-    narrow = max(0.02, abs(math.cos(math.radians(min(89.0, abs(lat) + pad)))))
-    box = F.col("latitude").between(lat - pad, lat + pad) & F.col("longitude").between(lon - pad / narrow, lon + pad / narrow)
-    return box & (geo_distance(F.col("longitude"), F.col("latitude"), F.lit(lon), F.lit(lat)) <= km * 1000)
+    """Within a geodesic distance of one point."""
+    return near(F.lit(float(lon)), F.lit(float(lat)), F.lit(float(km)))
+
+
+# The envelope of the tiles (west, south, east, north), and the side of a tile.
+ENVELOPE, TILE = (20, -60, 120, 30), 10
+
+
+def tiles_of_boxes(boxes: Column) -> Column:
+    """Array of tiles (west, south) that meet any of the boxes; the envelope's outer edges belong to its last tiles."""
+    west, south, east, north = ENVELOPE
+
+    def steps(low: Column, high: Column, first: int, last: int) -> Column:
+        at = lambda v: F.least(F.greatest(F.floor((v - first) / TILE), F.lit(0)), F.lit((last - first) // TILE - 1))
+        return F.transform(F.sequence(at(low), at(high)), lambda k: (k * TILE + first).cast("long"))
+
+    def of(b: Column) -> Column:
+        apart = (b["east"] < west) | (b["west"] > east) | (b["north"] < south) | (b["south"] > north)
+        columns, rows = steps(b["west"], b["east"], west, east), steps(b["south"], b["north"], south, north)
+        cells = F.flatten(F.transform(columns, lambda x: F.transform(rows, lambda y: F.struct(x.alias("west"), y.alias("south")))))
+        return F.when(~apart, cells).otherwise(F.array().cast("array<struct<west:bigint,south:bigint>>"))
+
+    return F.array_distinct(F.flatten(F.transform(boxes, of)))
 
 
 def tile_key(lon: Column, lat: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castline.functions.geo import circle_boxes, near
+
 
 def in_regions(points, edges):
     """(profile_id, region) of points in a region, edges included: crossing parity over all rings, or on an edge.
@@ -45,3 +47,18 @@ def region_tiles(edges: DataFrame, size: int = 10) -> DataFrame:
     up = ((F.col("y1") > y[0]) != (F.col("y2") > y[0])) & (x[0] < F.col("x1") + (y[0] - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
     found = cells.join(edges, "region").groupBy("region", "west", "south").agg(F.bool_or(meets).alias("meets"), F.count_if(F.coalesce(up, F.lit(False))).alias("up"))
     return found.where(F.col("meets") | (F.col("up") % 2 == 1)).select("region", "west", "south")
+
+
+def near_pairs(queries: DataFrame, points: DataFrame, km: float, same: tuple[str, ...] = (), size: int = 5) -> DataFrame:
+    """``queries`` (x, y, ...) with each of ``points`` (longitude, latitude, ...) within ``km`` and equal in the columns ``same``.
+
+    An equi join on cells of ``size`` degrees: a point is in one cell, a query in all cells of the boxes around its circle,
+    on both sides of 180 degrees and all round a pole. Columns of the two sides must differ but for ``same``.
+    """
+    boxes = F.explode(circle_boxes(F.col("x"), F.col("y"), F.lit(km * 1.01))).alias("_b")
+    cell = lambda v: F.floor(v / size).cast("int")
+    steps = lambda a, b: F.explode(F.sequence(cell(F.col(f"_b.{a}")), cell(F.col(f"_b.{b}"))))
+    placed = queries.select("*", boxes).withColumn("_cx", steps("west", "east")).withColumn("_cy", steps("south", "north")).drop("_b").distinct()
+    held = points.select("*", cell(F.col("longitude")).alias("_cx"), cell(F.col("latitude")).alias("_cy"))
+    found = placed.join(held, [*same, "_cx", "_cy"]).drop("_cx", "_cy")
+    return found.where(near(F.col("x"), F.col("y"), F.lit(km)))

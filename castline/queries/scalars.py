@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions import numeric
+from castline.bridge import GLOBE, globe
 from castline.functions.dates import instant, shift_months
+from castline.functions.geo import circle_boxes, tiles_of_boxes
 from castline.operators import payload
 from castline.operators.revisions import order_verdict
 from castline.functions.text import STOP_WORDS, TOKEN, label, numbers, tokens, url_clean
@@ -145,20 +147,28 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(value, 2).alias("value"), rounded.alias("rounded"))
 
 
-@query("geo_circle_box", "SELECT profile_id, round(latitude - degrees(500 / 6371.0088e0) + 1e-9, 6) AS south, round(least(90, latitude + degrees(500 / 6371.0088e0)) + 1e-9, 6) AS north, round(longitude - degrees(asin(least(1, sin(500 / 6371.0088e0) / cos(radians(latitude))))) + 1e-9, 6) AS west FROM b_profiles")
+_REACH = "greatest(abs(greatest(latitude - degrees(900 / 6371.0088e0), -90)), abs(least(latitude + degrees(900 / 6371.0088e0), 90)))"
+_BOXES = f"""WITH g AS ({GLOBE}), c AS (SELECT profile_id, longitude AS x, greatest(latitude - degrees(900 / 6371.0088e0), -90) AS south, least(latitude + degrees(900 / 6371.0088e0), 90) AS north,
+ CASE WHEN {_REACH} >= 90 - 1e-9 THEN 180 ELSE least(180, degrees(900 / (6371.0088e0 * cos(radians({_REACH}))))) END AS d FROM g),
+ b AS (SELECT profile_id, south, north, CASE WHEN d >= 180 THEN -180 ELSE greatest(x - d, -180) END AS west, CASE WHEN d >= 180 THEN 180 ELSE least(x + d, 180) END AS east FROM c
+  UNION ALL SELECT profile_id, south, north, x - d + 360, 180 FROM c WHERE d < 180 AND x - d < -180 UNION ALL SELECT profile_id, south, north, -180, x + d - 360 FROM c WHERE d < 180 AND x - d >= -180 AND x + d > 180)"""
+
+
+def _boxed(t):
+    return globe(t).select("profile_id", circle_boxes(F.col("longitude"), F.col("latitude"), F.lit(900.0)).alias("boxes"))
+
+
+@query("geo_circle_box", f"{_BOXES} SELECT profile_id, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in ('west', 'south', 'east', 'north'))} FROM b")
 def _(t):
-    """Bounding box of the 500 km circle around each profile."""
-    angle = 500 / 6371.0088
-    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(angle)) / F.cos(F.radians("latitude")))))
-    return t.profiles.select("profile_id", r6(F.col("latitude") - F.degrees(F.lit(angle)), "south"), r6(F.least(F.lit(90.0), F.col("latitude") + F.degrees(F.lit(angle))), "north"), r6(F.col("longitude") - wide, "west"))
+    """Boxes of the 900 km circle around points all over the globe: two across 180 degrees, one all round at a pole."""
+    return _boxed(t).select("profile_id", F.explode("boxes").alias("b")).select("profile_id", *[r6(F.col(f"b.{c}"), c) for c in ("west", "south", "east", "north")])
 
 
-@query("geo_tiles_of_box", "SELECT profile_id, 20 + 10 * x AS west FROM b_profiles, (SELECT unnest(range(10)) AS x) WHERE 20 + 10 * x < longitude + 7 AND 30 + 10 * x > longitude - 7")
+@query("geo_tiles_of_box", f"""{_BOXES} SELECT DISTINCT profile_id, CAST(20 + 10 * x AS BIGINT) AS west, CAST(10 * y - 60 AS BIGINT) AS south FROM b, (SELECT unnest(range(10)) AS x), (SELECT unnest(range(9)) AS y)
+ WHERE east >= 20 + 10 * x AND (west < 30 + 10 * x OR (x = 9 AND west <= 120)) AND north >= 10 * y - 60 AND (b.south < 10 * y - 50 OR (y = 8 AND b.south <= 30))""")
 def _(t):
-    """Columns of tiles that a box of 7 degrees either side meets, clamped to the grid."""
-    low = F.greatest(F.lit(0), F.floor((F.col("longitude") - 27) / 10))
-    high = F.least(F.lit(9), F.ceil((F.col("longitude") - 13) / 10) - 1)
-    return t.profiles.select("profile_id", F.explode(F.sequence(low, high)).alias("x")).select("profile_id", (F.col("x") * 10 + 20).alias("west"))
+    """Tiles of the grid that a circle's boxes meet, clamped to its envelope."""
+    return _boxed(t).select("profile_id", F.explode(tiles_of_boxes(F.col("boxes"))).alias("c")).select("profile_id", "c.west", "c.south")
 
 
 @query("arr_zip_levels", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem")

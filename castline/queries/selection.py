@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from castline.bridge import GLOBE, globe
 from castline.functions.geo import distance_sql, geo_distance, in_bbox, tile_key, within_km
 from castline.functions.numeric import finite
-from castline.operators.regions import in_regions
+from castline.operators.regions import in_regions, near_pairs
 from castline.operators.retrieval import valid_now
 from castline.functions.qc import VARIABLES, qc_code, qc_value, raw_columns
 from castline.registry import Tables, query, r6
@@ -194,14 +198,30 @@ _NEAR = distance_sql("q.longitude", "q.latitude", "p.longitude", "p.latitude")
 
 @query("j_radius", f"SELECT q.profile_id AS query_id, count(*) AS n FROM b_profiles q JOIN b_profiles p ON q.observation_month = p.observation_month AND {_NEAR} <= 300000 WHERE CAST(q.profile_id AS BIGINT) % 50 = 0 GROUP BY 1")
 def _(t):
-    """Profiles of the same month within 300 km of each query profile (every id divisible by 50): an equi join on month and 5-degree cells of the neighbourhood."""
-    cell = lambda c: F.floor(F.col(c) / 5).cast("int")
-    q = t.profiles.where(F.col("profile_id").cast("long") % 50 == 0).select(F.col("profile_id").alias("query_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "observation_month", cell("latitude").alias("cy"), cell("longitude").alias("cx"))
-    # 300 km is under 5 degrees of latitude, and under 6 of longitude up to 60 degrees: two cells either way.
-    q = q.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).withColumn("cx", F.explode(F.sequence(F.col("cx") - 2, F.col("cx") + 2)))
-    p = t.profiles.select("longitude", "latitude", "observation_month", cell("latitude").alias("cy"), cell("longitude").alias("cx"))
-    near = q.join(p, ["observation_month", "cy", "cx"]).where(geo_distance(F.col("x"), F.col("y"), F.col("longitude"), F.col("latitude")) <= 300000)
-    return near.groupBy("query_id").agg(F.count("*").alias("n"))
+    """Profiles of the same month within 300 km of each query profile (every id divisible by 50)."""
+    q = t.profiles.where(F.col("profile_id").cast("long") % 50 == 0).select(F.col("profile_id").alias("query_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "observation_month")
+    return near_pairs(q, t.profiles.select("longitude", "latitude", "observation_month"), 300, ("observation_month",)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("j_radius_globe", f"WITH g AS ({GLOBE}) SELECT q.profile_id AS query_id, count(*) AS n FROM g q JOIN g p ON q.observation_month = p.observation_month AND {_NEAR} <= 900000 WHERE CAST(q.profile_id AS BIGINT) % 50 = 0 GROUP BY 1")
+def _(t):
+    """The same over the whole globe, poles and both sides of 180 degrees included."""
+    g = globe(t)
+    q = g.where(F.col("profile_id").cast("long") % 50 == 0).select(F.col("profile_id").alias("query_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "observation_month")
+    return near_pairs(q, g.select("longitude", "latitude", "observation_month"), 900, ("observation_month",)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+_CENTRES = ((179.9, -20.0), (-179.5, 64.0), (12.0, 89.5), (-70.0, -90.0), (0.0, 0.0))
+
+
+@query("f_radius_globe", f"WITH g AS ({GLOBE}) " + " UNION ALL ".join(f"SELECT {i} AS circle, profile_id, round({distance_sql('longitude', 'latitude', f'{x}e0', f'{y}e0')}, 3) AS metres FROM g WHERE {distance_sql('longitude', 'latitude', f'{x}e0', f'{y}e0')} <= 700000" for i, (x, y) in enumerate(_CENTRES)))
+def _(t):
+    """Circles across 180 degrees, around and beside the poles."""
+    g, found = globe(t), []
+    for i, (x, y) in enumerate(_CENTRES):
+        d = geo_distance(F.col("longitude"), F.col("latitude"), F.lit(x), F.lit(y))
+        found.append(g.where(within_km(x, y, 700)).select(F.lit(i).alias("circle"), "profile_id", F.round(d, 3).alias("metres")))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 # Three test polygons, one with a hole, as edges (region, x1, y1, x2, y2).
