@@ -120,3 +120,30 @@ def _(t):
     """Rates by the form of the question."""
     made = rates(_evaluated(t).withColumn("form", F.col("profile_id").cast("long") % 10), ["form"], ["kind", "depth"])
     return made.select("form", "n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("exact", "kind", "depth")])
+
+
+# What users wrote, as it stands: the twins read the same words with the other engine's own functions.
+_TURNS = "SELECT conv_id, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM conversations WHERE role = 'user'"
+_SAYS = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
+_QUOTED = lambda pattern: pattern.replace("'", "''")
+
+
+def _turns(t):
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+
+
+@query("str_classify_turns", f"""SELECT conv_id, turn, CASE WHEN length(text) <= 60 AND regexp_matches(text, '(?i)^\\s*(?:(?:{_QUOTED('|'.join((*phrases.GREETINGS, 'assistant')))})[\\s!.,?]*)+$') THEN 'greeting'
+ WHEN regexp_matches(low, '{_QUOTED(phrases.HELP)}') THEN 'help' ELSE 'query' END AS kind FROM ({_TURNS})""")
+def _(t):
+    return _turns(t).select("conv_id", "turn", phrases.classify(F.col("text")).alias("kind"))
+
+
+@query("str_intent_turns", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(low, '{_QUOTED(phrases.INJECTION)}') THEN 'injection' WHEN {_SAYS(phrases.BGC_WORDS)} THEN 'biogeochemistry' WHEN {_SAYS(phrases.FORECAST_WORDS)} THEN 'forecast'
+ WHEN {_SAYS(phrases.EXPORT_WORDS)} THEN 'export' WHEN NOT ({_SAYS(phrases.DATA_WORDS)}) AND NOT regexp_matches(low, '[0-9]{{4}}') THEN 'off_topic' END AS intent FROM ({_TURNS})""")
+def _(t):
+    return _turns(t).select("conv_id", "turn", phrases.intent(F.col("low")).alias("intent"))
+
+
+@query("str_vars_turns", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(low, '{phrases.BOTH_WORDS}') OR v = '' THEN 'temperature,salinity' ELSE v END AS variables FROM (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(low, '{w}') THEN '{v}' END" for v, w in phrases.VARIABLE_WORDS)}], lambda x: x IS NOT NULL), ',') AS v FROM ({_TURNS}))""")
+def _(t):
+    return _turns(t).select("conv_id", "turn", F.array_join(phrases.variables(F.col("low")), ",").alias("variables"))
