@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,17 @@ def tile_key(lon: Column, lat: Column) -> Column:
     return F.concat_ws("_", west.cast("string"), south.cast("string"))
 
 
+def box_tile_keys(west: float, south: float, east: float, north: float) -> list[str]:
+    """``tile_key`` of every point that a box may hold; one with west > east crosses 180 degrees. Empty for a box that is the whole globe."""
+    if west <= -180 and east >= 180 and south <= -90 and north >= 90:
+        return []
+    spans = [(west, east)] if west <= east else [(west, 180), (-180, east)]
+    # One tile more below an edge, as the envelope's outer edges belong to its last tiles.
+    steps = lambda low, high, first: range(math.ceil((low - first) / TILE) - 1, math.floor((high - first) / TILE) + 1)
+    xs = sorted({x * TILE + ENVELOPE[0] for a, b in spans for x in steps(a, b, ENVELOPE[0])})
+    return [f"{x}_{y * TILE + ENVELOPE[1]}" for x in xs for y in steps(south, north, ENVELOPE[1])]
+
+
 def distance_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """The same distance in SQL."""
     f = repr(FLATTENING)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castline.operators.quantiles import quantiles
+from castline.scratch import stored
 
 METRICS = ("mean", "count", "min", "max", "stddev", "median")
 
@@ -46,12 +47,14 @@ def aggregate(levels: DataFrame, keys: list[Column], names: list[str], values: d
         rows = rows.groupBy("_profile", *names).agg(*[F.avg(n).alias(n) for n in values])
     else:
         raise ValueError(f"unknown unit {unit!r}")
+    if "median" in metrics:
+        rows = stored(rows, "values")  # narrow, and gone over three times
     plain = [m for m in metrics if m != "median"]
     made = rows.groupBy(*names).agg(*[metric(m, F.col(n)).alias(f"{n}_{m}") for n in values for m in plain], F.count("*").alias("_rows"))
     if "median" in metrics:  # exact, without a task that holds a group's values
-        for n in values:
+        for i, n in enumerate(values):
             middle = quantiles(rows, names, n, {f"{n}_median": ("linear", 0.5)})
-            renamed = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], f"{n}_median")
-            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+            renamed = middle.select(*[F.col(k).alias(f"_{i}k{j}") for j, k in enumerate(names)], f"{n}_median")
+            same = [F.col(k).eqNullSafe(F.col(f"_{i}k{j}")) for j, k in enumerate(names)]
             made = made.join(renamed, functools.reduce(Column.__and__, same, F.lit(True)), "left")
     return made.select(*names, *[f"{n}_{m}" for n in values for m in metrics])

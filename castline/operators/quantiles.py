@@ -1,7 +1,9 @@
 """Exact quantiles of groups of any size, in two passes.
 
-The first pass brackets each quantile by an approximate one of known rank error; the second counts what
-lies below the bracket and sorts only the distinct values within it. So no task holds a group's values.
+The first pass brackets each quantile by an approximate one of known rank error. The second meets the values with their
+brackets where they are (brackets of up to BROADCAST_GROUPS groups are broadcast), folds what lies outside to a few counts in
+each task, and sorts only the distinct values within. So no task holds a group's values, and none but those within a
+bracket cross the network.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from castline.scratch import stored
+
 ACCURACY = 10_000
+BROADCAST_GROUPS = 10_000
 
 
 def place(rule: str, fraction: float, n: Column) -> tuple[Column, Column, Column]:
@@ -40,15 +45,14 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, tu
     slack, names = 3 / ACCURACY, list(wanted)
     ends = [F.percentile_approx("_v", F.lit([max(0.0, f - slack), min(1.0, f + slack)]), F.lit(ACCURACY)).alias(f"_e{i}") for i, (_, f) in enumerate(wanted.values())]
     bracket = held.groupBy(*keys).agg(F.count("*").alias("_n"), *ends)
-    same = lambda a, b: functools.reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-    counts = held.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    b = bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", *[f"_e{i}" for i in range(len(names))])
+    bracket = stored(bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", *[f"_e{i}" for i in range(len(names))]), "brackets")
+    b = F.broadcast(bracket) if bracket.count() <= BROADCAST_GROUPS else bracket
     match = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
-    both = counts.join(b, match) if keys else counts.join(b, how="cross")  # without keys the bracket is one row
+    both = held.join(b, match) if keys else held.join(b, how="cross")  # without keys the bracket is one row
     outside = functools.reduce(Column.__and__, [(F.col("_v") < F.col(f"_e{i}")[0]) | (F.col("_v") > F.col(f"_e{i}")[1]) for i in range(len(names))])
     # Values outside every bracket become one row for each stretch between brackets: only their number matters.
     stretch = functools.reduce(Column.__add__, [F.when(F.col("_v") > F.col(f"_e{i}")[1], 1).otherwise(0) for i in range(len(names))])
-    folded = both.groupBy(*keys, "_n", F.when(outside, F.lit(None)).otherwise(F.col("_v")).alias("_x"), F.when(outside, stretch).alias("_s")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.max("_v").alias("_h"))
+    folded = both.groupBy(*keys, "_n", F.when(outside, F.lit(None)).otherwise(F.col("_v")).alias("_x"), F.when(outside, stretch).alias("_s")).agg(F.count("*").alias("_c"), F.min("_v").alias("_v"), F.max("_v").alias("_h"))
     w = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0) if keys else W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     run = folded.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
     out = []

@@ -16,10 +16,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castline.functions.geo import geo_distance, in_bbox, within_km
+from castline.functions.geo import box_tile_keys, geo_distance, in_bbox, within_km
 from castline.functions.qc import qc_value, raw_columns
 from castline.operators import aggregate as agg
 from castline.operators.regions import in_regions
+from castline.sources.store import SLOT
 
 # What a plan may say, and the limits of a request.
 VARIABLES = ("temperature", "salinity", "pressure")
@@ -204,14 +205,42 @@ def _where(profiles: DataFrame, geo: dict, edges: DataFrame | None) -> DataFrame
     return profiles.join(in_regions(profiles, edges.where(F.col("region") == geo["value"])), "profile_id", "left_semi")
 
 
+def _in_months(frame: DataFrame, p: dict) -> DataFrame:
+    """Only the months that a plan touches, where the frame carries them: a scan of stored slots reads no other directory."""
+    if "observation_month" not in frame.columns:
+        return frame
+    first, end = (datetime.fromisoformat(p["time_range"][k]) for k in ("start", "end"))
+    months = [at.strftime("%Y-%m-01") for at in (first, end - timedelta(microseconds=1))]
+    return frame.where(F.col("observation_month").between(*[F.lit(m).cast("date") for m in months]))
+
+
+def _in_tiles(frame: DataFrame, geo: dict) -> DataFrame:
+    """Only the tiles that meet a plan's box, where the frame carries them: row groups of other tiles are not read."""
+    if "tile" not in frame.columns or geo["kind"] != "bbox":
+        return frame
+    keys = box_tile_keys(geo["west"], geo["south"], geo["east"], geo["north"])
+    return frame.where(F.col("tile").isin(keys)) if keys else frame
+
+
 def _in_time(profiles: DataFrame, p: dict) -> DataFrame:
     at = lambda k: F.lit(p["time_range"][k]).cast("timestamp")
-    return profiles.where((F.col("observed_at") >= at("start")) & (F.col("observed_at") < at("end")))
+    return _in_months(profiles, p).where((F.col("observed_at") >= at("start")) & (F.col("observed_at") < at("end")))
+
+
+def _slot(frame: DataFrame) -> list[str]:
+    return [c for c in SLOT if c in frame.columns]
+
+
+def _met(heads: DataFrame, levels: DataFrame, how: str = "inner") -> DataFrame:
+    """Headers with levels, on the slot too where both carry it."""
+    on = ["profile_id", *[c for c in _slot(heads) if c in levels.columns]]
+    return heads.join(levels.select(*on) if how == "left_semi" else levels, on, how)
 
 
 def _banded(levels: DataFrame, p: dict, policy: str) -> DataFrame:
     """Levels with the selected values p, t, s, in the depth band. The depth of a raw plan is the delivered one."""
-    rows = levels.select("profile_id", "level_index", *[qc_value(v, policy).alias(v[0]) for v in ("pressure", "temperature", "salinity")])
+    held = _in_tiles(_in_months(levels, p), p["geography"]) if p["operation"]["kind"] != "nearest" else _in_months(levels, p)
+    rows = held.select("profile_id", *_slot(levels), "level_index", *[qc_value(v, policy).alias(v[0]) for v in ("pressure", "temperature", "salinity")])
     return rows if p["depth_dbar"] is None else rows.where(F.col("p").between(p["depth_dbar"]["min"], p["depth_dbar"]["max"]))
 
 
@@ -228,12 +257,12 @@ def run_plan(plan: dict, profiles: DataFrame, levels: DataFrame, edges: DataFram
         d = geo_distance(F.col("longitude"), F.col("latitude"), F.lit(op["longitude"]), F.lit(op["latitude"]))
         near = heads.where(within_km(op["longitude"], op["latitude"], op["radius_km"])).withColumn("metres", d)
         if p["depth_dbar"] is not None:
-            near = near.join(_banded(levels, p, policy).select("profile_id"), "profile_id", "left_semi")
+            near = _met(near, _banded(levels, p, policy), "left_semi")
         return near.orderBy("metres", "profile_id").limit(op["k"])
     heads = _where(heads, p["geography"], edges)
     if op["kind"] == "profiles":
         if p["depth_dbar"] is not None:
-            heads = heads.join(_banded(levels, p, policy).select("profile_id"), "profile_id", "left_semi")
+            heads = _met(heads, _banded(levels, p, policy), "left_semi")
         if op["cursor"]:
             at, pid = op["cursor"].split("|", 1)
             at = F.lit(at).cast("timestamp")
@@ -242,13 +271,23 @@ def run_plan(plan: dict, profiles: DataFrame, levels: DataFrame, edges: DataFram
     names = list(op["group_by"])
     region = p["geography"].get("value", "Envelope")
     keys = [agg.key(k, op["depth_bin_size"] or 100, region) for k in names]
-    rows = _banded(levels, p, policy).join(heads, "profile_id")
+    rows = _met(heads, _banded(levels, p, policy))
     return agg.aggregate(rows, keys, names, {v: F.col(v[0]) for v in p["variables"]}, tuple(op["metrics"]), op["unit"])
 
 
-def raw_levels(levels: DataFrame, variables: list[str]) -> DataFrame:
-    """The stored columns of a raw profile read."""
-    return levels.select("profile_id", "level_index", *[c for v in variables for c in raw_columns(v, levels.columns)])
+def run_raw(plan: dict, profiles: DataFrame, levels: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """The stored columns of the levels behind a raw plan's profiles, in the page's order: every variant, QC and mode of its variables."""
+    p = canonical(plan)
+    if p["qc_policy"] != "raw":
+        raise PlanError([("qc_policy", "operation_variable_mismatch")])
+    page = run_plan(plan, profiles, levels, edges).limit(p["operation"]["limit"]).select("profile_id", *_slot(profiles), "observed_at")
+    band = p["depth_dbar"]
+    rows = _in_tiles(_in_months(levels, p), p["geography"])
+    if band is not None:
+        rows = rows.where(qc_value("pressure", "mode_selected").between(band["min"], band["max"]))
+    columns = [c for v in ("pressure", *[v for v in p["variables"] if v != "pressure"]) for c in raw_columns(v, levels.columns)]
+    found = _met(rows, page)
+    return found.select("profile_id", "observed_at", "level_index", *columns).orderBy(F.desc("observed_at"), F.desc("profile_id"), "level_index")
 
 
 def provenance(plan: dict, result: DataFrame, profiles: DataFrame) -> DataFrame:

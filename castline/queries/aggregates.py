@@ -18,7 +18,8 @@ _M_SQL = {
 _KEYS = {"month": "strftime(observed_at,'%Y-%m')", "day": "strftime(observed_at,'%Y-%m-%d')", "profile": "profile_id", "float": "platform_number", "depth_bin": "floor(p/100)*100e0", "region": "'Envelope'"}
 
 
-def _aggregate_query(name: str, keys: tuple[str, ...], unit: str, band: tuple[int, int] | None = (0, 2000), metrics: tuple[str, ...] = _METRICS, bin_size: int = 100):
+def _aggregate_query(name: str, keys: tuple[str, ...], unit: str, band: tuple[int, int] | None = (0, 2000), metrics: tuple[str, ...] = _METRICS, bin_size: int = 100, stored: bool = False):
+    """``stored``: over the slot store, which needs headers only for what a level row does not carry."""
     cols = {k: v.replace("100", str(bin_size)) if k == "depth_bin" else v for k, v in _KEYS.items()}
     where = f"WHERE p BETWEEN {band[0]} AND {band[1]}" if band else ""
     sel, names = ", ".join(f"{cols[k]} AS {k}" for k in keys), ", ".join(keys)
@@ -30,8 +31,10 @@ def _aggregate_query(name: str, keys: tuple[str, ...], unit: str, band: tuple[in
 
     @query(name, sql)
     def _(t):
-        rows = t.selected() if not band else t.selected().where(F.col("p").between(*band))
-        made = aggregate(rows, [key(k, bin_size, "Envelope") for k in keys], list(keys), {"temperature": F.col("t")}, metrics, unit)
+        rows = t.store.selected(headers=("platform_number",) if "float" in keys else ()) if stored else t.selected()
+        rows = rows if not band else rows.where(F.col("p").between(*band))
+        month = F.date_format("observation_month", "yyyy-MM").alias("month")
+        made = aggregate(rows, [month if stored and k == "month" else key(k, bin_size, "Envelope") for k in keys], list(keys), {"temperature": F.col("t")}, metrics, unit)
         return made.select(*[r6(F.col(c), c) if kind == "double" else F.col(c) for c, kind in made.dtypes])
 
 
@@ -42,16 +45,16 @@ _aggregate_query("key_month_day", ("month", "day"), "profile", metrics=("mean",
 _aggregate_query("key_profile_float", ("float", "profile"), "measurement", metrics=("mean", "count"))
 _aggregate_query("key_depth_bin", ("depth_bin",), "measurement", None)
 _aggregate_query("key_region", ("region",), "profile")
-# The ten plans of the latency matrix, on the bridge frames.
-_aggregate_query("d01_month_profile", ("month",), "profile", None, ("mean", "count"))
-_aggregate_query("d03_month_measurement", ("month",), "measurement", None, ("mean", "count"))
-_aggregate_query("d04_month_depth100_profile", ("month", "depth_bin"), "profile", (0, 2000), ("mean", "count"))
-_aggregate_query("d05_month_depth100_measurement", ("month", "depth_bin"), "measurement", (0, 2000), ("mean", "count"))
-_aggregate_query("d06_month_depth50_profile", ("month", "depth_bin"), "profile", (0, 1000), ("mean", "count"), 50)
-_aggregate_query("d07_month_depth50_measurement", ("month", "depth_bin"), "measurement", (0, 1000), ("mean", "count"), 50)
-_aggregate_query("d08_month_float_profile", ("month", "float"), "profile", None, ("mean", "count"))
-_aggregate_query("d09_month_float_measurement", ("month", "float"), "measurement", None, ("mean", "count"))
-_aggregate_query("d10_month_depth50_whole", ("month", "depth_bin"), "profile", None, ("mean", "count"), 50)
+# The ten plans of the latency matrix, over the slot store.
+_aggregate_query("d01_month_profile", ("month",), "profile", None, ("mean", "count"), stored=True)
+_aggregate_query("d03_month_measurement", ("month",), "measurement", None, ("mean", "count"), stored=True)
+_aggregate_query("d04_month_depth100_profile", ("month", "depth_bin"), "profile", (0, 2000), ("mean", "count"), stored=True)
+_aggregate_query("d05_month_depth100_measurement", ("month", "depth_bin"), "measurement", (0, 2000), ("mean", "count"), stored=True)
+_aggregate_query("d06_month_depth50_profile", ("month", "depth_bin"), "profile", (0, 1000), ("mean", "count"), 50, stored=True)
+_aggregate_query("d07_month_depth50_measurement", ("month", "depth_bin"), "measurement", (0, 1000), ("mean", "count"), 50, stored=True)
+_aggregate_query("d08_month_float_profile", ("month", "float"), "profile", None, ("mean", "count"), stored=True)
+_aggregate_query("d09_month_float_measurement", ("month", "float"), "measurement", None, ("mean", "count"), stored=True)
+_aggregate_query("d10_month_depth50_whole", ("month", "depth_bin"), "profile", None, ("mean", "count"), 50, stored=True)
 
 
 @query("agg_float_stats", """SELECT platform_number, count(*) AS profiles, min(observed_at) AS first_at, max(observed_at) AS last_at, min(cycle_number) AS first_cycle, max(cycle_number) AS last_cycle,

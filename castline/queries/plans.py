@@ -33,6 +33,24 @@ def _(t):
     return document.run_plan(PAGE, t.profiles, t.levels).select("profile_id", "observed_at")
 
 
+@query("plan_run_stored", _MONTHLY)
+def _(t):
+    """The same plan over stored slots: only its twelve months, and of these only row groups of its tiles."""
+    made = document.run_plan(MONTHLY, t.store.profiles, t.store.levels)
+    return made.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kind == "double" and c != "depth_bin" else F.col(c) for c, kind in made.dtypes])
+
+
+_RAW = ", ".join(f"l.{c.format(v=v)}" for v in ("pressure", "temperature") for c in ("{v}", "{v}_adjusted", "{v}_qc", "{v}_adjusted_qc", "{v}_data_mode"))
+
+
+@query("plan_run_raw", f"""WITH page AS (SELECT profile_id, observed_at FROM b_profiles m WHERE {_IN} AND {_BOX} AND EXISTS (SELECT 1 FROM b_mode l WHERE l.profile_id = m.profile_id AND p BETWEEN 0 AND 1000)
+ AND (observed_at < TIMESTAMP '1996-09-01' OR (observed_at = TIMESTAMP '1996-09-01' AND profile_id < '5')) ORDER BY observed_at DESC, profile_id DESC LIMIT 50)
+ SELECT l.profile_id, page.observed_at, l.level_index, {_RAW} FROM page JOIN b_levels l ON l.profile_id = page.profile_id JOIN b_mode s ON s.profile_id = l.profile_id AND s.level_index = l.level_index WHERE s.p BETWEEN 0 AND 1000""")
+def _(t):
+    """The levels behind a raw page, as stored."""
+    return document.run_raw(PAGE, t.store.profiles, t.store.levels)
+
+
 _D = distance_sql("longitude", "latitude", "72.5e0", "-5e0")
 
 
@@ -100,5 +118,5 @@ def _(t):
         "time_range": {"start": "1996-01-01T00:00:00Z", "end": "1996-04-01T00:00:00Z"}, "geography": {"kind": "bbox", "west": -180, "south": -90, "east": 180, "north": 90}, "variables": ["temperature"],
         "operation": {"kind": "aggregate", "group_by": ["month"], "metrics": ["mean", "count"]},
     }
-    made = document.run_plan(plan, t.profiles, t.levels)
+    made = document.run_plan(plan, t.store.profiles, t.store.levels)
     return made.select("month", F.round(F.col("temperature_mean") + 1e-9, 5).alias("temperature_mean"), "temperature_count")

@@ -64,7 +64,7 @@ def _(t):
 
 @query("f_bbox", "SELECT profile_id, longitude, latitude FROM b_profiles WHERE longitude BETWEEN 60 AND 80 AND latitude BETWEEN -10 AND 20")
 def _(t):
-    return t.profiles.where(in_bbox(60, -10, 80, 20)).select("profile_id", "longitude", "latitude")
+    return t.store.profiles.where(in_bbox(60, -10, 80, 20)).select("profile_id", "longitude", "latitude")
 
 
 @query("f_bbox_antimeridian", "SELECT profile_id, longitude FROM b_profiles WHERE (longitude BETWEEN 110 AND 180 OR longitude BETWEEN -180 AND 30) AND latitude BETWEEN -50 AND 0")
@@ -89,7 +89,7 @@ def _(t):
 @query("top_nearest", f"SELECT profile_id, round({_D}, 3) AS metres FROM b_profiles WHERE {_D} <= 1000000 ORDER BY {_D}, profile_id LIMIT 50")
 def _(t):
     d = geo_distance(F.col("longitude"), F.col("latitude"), F.lit(72.5), F.lit(-5.0))
-    near = t.profiles.where(within_km(72.5, -5.0, 1000)).withColumn("d", d)
+    near = t.store.profiles.where(within_km(72.5, -5.0, 1000)).withColumn("d", d)
     return near.orderBy("d", "profile_id").limit(50).select("profile_id", F.round("d", 3).alias("metres"))
 
 
@@ -113,6 +113,16 @@ def _(t):
     return t.selected("mode_selected").where((F.col("cycle_number") == 7) & F.col("p").between(0, 1500)).select("profile_id", "level_index", "p", "t", "s")
 
 
+_SHOWN = ", ".join(f"{v[0]} AS {v}, CASE WHEN {v}_data_mode = 'R' THEN {v}_qc WHEN {v}_data_mode IN ('A', 'D') THEN {v}_adjusted_qc END AS {v}_qc, {v}_data_mode AS {v}_mode, '{u}' AS {v}_unit" for v, u in (("pressure", "dbar"), ("temperature", "degree_C"), ("salinity", "1")))
+
+
+@query("p_levels_profile", f"SELECT l.profile_id, l.level_index, {_SHOWN.replace('p AS pressure', 's.p AS pressure').replace('t AS temperature', 's.t AS temperature').replace('s AS salinity', 's.s AS salinity')} FROM b_levels l JOIN b_sel s ON s.profile_id = l.profile_id AND s.level_index = l.level_index WHERE l.profile_id = (SELECT max(profile_id) FROM b_profiles WHERE observation_month = DATE '1996-05-01')")
+def _(t):
+    """Levels of one profile (the last of a month) with value, QC, mode and unit, from the slot store."""
+    last = t.store.profiles.where(F.col("observation_month") == F.lit("1996-05-01").cast("date")).agg(F.max("profile_id")).first()[0]
+    return t.store.profile_levels(last)
+
+
 @query("p_sanitize", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 10 > 308 THEN NULL ELSE 1 END AS kept, l_quantity * 10 > 308 AS dropped FROM lineitem")
 def _(t):
     """Numbers that are not finite become null and are counted: here powers of ten beyond the range of a double."""
@@ -138,8 +148,11 @@ def _(t):
 
 @query("j_levels_profiles", "SELECT CAST(m.observation_month AS VARCHAR) AS observation_month, count(*) AS n, count(DISTINCT l.profile_id) AS profiles FROM b_levels l JOIN b_profiles m ON l.profile_id = m.profile_id GROUP BY 1")
 def _(t):
-    return t.levels.select("profile_id").join(t.profiles.select("profile_id", F.col("observation_month").cast("string").alias("observation_month")), "profile_id").groupBy("observation_month").agg(
-        F.count("*").alias("n"), F.countDistinct("profile_id").alias("profiles"))
+    """Stored levels and headers, joined on the profile and its slot."""
+    slot = ["profile_id", "observation_month", "tile"]
+    both = t.store.levels.select(*slot).join(t.store.profiles.select(*slot), slot)
+    each = both.groupBy("observation_month", "profile_id").agg(F.count("*").alias("n"))
+    return each.groupBy(F.col("observation_month").cast("string").alias("observation_month")).agg(F.sum("n").alias("n"), F.count("*").alias("profiles"))
 
 
 @query("j_parts_members", "SELECT m.profile_hash, count(*) AS n FROM b_delivered l JOIN b_profiles m ON l.profile_id = m.profile_id WHERE m.direction = 'A' AND m.cycle_number % 4 <> 0 GROUP BY 1")
@@ -260,13 +273,15 @@ def page(df, limit: int, after: tuple | None = None):
     """Newest first by (observed_at, profile_id); rows strictly after the key, one more than ``limit`` to tell whether more follow."""
     if after:
         at, pid = _ts(after[0]), F.lit(after[1])
-        df = df.where((F.col("observed_at") < at) | ((F.col("observed_at") == at) & (F.col("profile_id") < pid)))
+        df = df.where((F.col("observed_at") <= at) & ((F.col("observed_at") < at) | (F.col("profile_id") < pid)))
+        if "observation_month" in df.columns:  # stored by month
+            df = df.where(F.col("observation_month") <= F.to_date(at))
     return df.orderBy(F.desc("observed_at"), F.desc("profile_id")).limit(limit + 1)
 
 
 @query("top_page_profiles", "SELECT profile_id, observed_at FROM b_profiles WHERE observed_at < TIMESTAMP '1998-01-01' OR (observed_at = TIMESTAMP '1998-01-01' AND profile_id < '5') ORDER BY observed_at DESC, profile_id DESC LIMIT 101")
 def _(t):
-    return page(t.profiles, 100, ("1998-01-01", "5")).select("profile_id", "observed_at")
+    return page(t.store.profiles.select("profile_id", "observed_at", "observation_month"), 100, ("1998-01-01", "5")).select("profile_id", "observed_at")
 
 
 @query("top_page_floats", "SELECT platform_number, count(*) AS n FROM b_profiles WHERE platform_number > '12' GROUP BY 1 ORDER BY platform_number LIMIT 51")

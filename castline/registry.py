@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from castline.bridge import frames, table, with_views
 from castline.functions.qc import qc_value
+from castline.sources.store import Store, landed_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,11 @@ class Tables:
     def delivered(self) -> DataFrame:
         return self.bridge["delivered"]
 
+    @cached_property
+    def store(self) -> Store:
+        """Headers and levels as a slot store, landed once a session."""
+        return landed_store(self.spark, self.sf_dir, self.profiles, self.levels)
+
     def selected(self, policy: str = "science_ready") -> DataFrame:
         """Levels with their profile's header and the values p, t, s that ``policy`` selects."""
         values = self.levels.select("profile_id", "level_index", *[qc_value(v, policy).alias(v[0]) for v in ("pressure", "temperature", "salinity")])
