@@ -94,14 +94,21 @@ def model(docs: DataFrame, gold: DataFrame, count: int = FEATURES, least: int =
 
 
 def memberships(docs: DataFrame, prior: list[float], table: DataFrame) -> DataFrame:
-    """tag, doc_id, n_tokens, p0..: the posterior of each domain, for each (tag, doc_id, text). The model, FEATURES rows at most, is broadcast."""
+    """tag, doc_id, n_tokens, p0..: the posterior of each domain, for each (tag, doc_id, text). The model, FEATURES rows at most, is part of the plan."""
     names = [f"s{d}" for d in range(len(prior))]
     rows = featured(docs, "tag", "doc_id")
-    # Only features of the model leave their row, and a row's come from one task, so one partial sum a row crosses the network.
-    known = F.array(*[F.lit(r["feature"]) for r in table.select("feature").orderBy("feature").collect()]).cast("array<string>")
-    hits = rows.select("tag", "doc_id", "n_tokens", F.explode_outer(F.array_intersect("features", known)).alias("feature")).join(F.broadcast(table), "feature", "left")
-    sums = hits.groupBy("tag", "doc_id", "n_tokens").agg(*[(p + SHARPNESS * F.coalesce(F.sum(f"e{d}"), F.lit(0.0))).alias(s) for d, (p, s) in enumerate(zip(prior, names, strict=True))])
-    sums = stored(sums, "evidence")
+    held = table.orderBy("feature").collect()
+    if held:
+        # A row finds its features among the model's by hash, and only for those few their places: no row is made of a feature.
+        known = F.array(*[F.lit(r["feature"]) for r in held])
+        adds = [F.array(*[F.lit(r[f"e{d}"]) for r in held]) for d in range(len(prior))]
+        none = F.struct(*[F.lit(0.0).alias(s) for s in names])
+        places = F.transform(F.array_intersect("features", known), lambda w: F.array_position(known, w).cast("int"))
+        found = F.aggregate(places, none, lambda acc, i: F.struct(*[(acc[s] + F.element_at(e, i)).alias(s) for s, e in zip(names, adds, strict=True)]))
+        # Written before anything refers to it twice: the plan would otherwise make it anew for each reference.
+        sums = stored(rows.select("tag", "doc_id", "n_tokens", found.alias("_s")), "evidence").select("tag", "doc_id", "n_tokens", *[(p + SHARPNESS * F.col(f"_s.{s}")).alias(s) for p, s in zip(prior, names, strict=True)])
+    else:
+        sums = rows.select("tag", "doc_id", "n_tokens", *[F.lit(p).alias(s) for p, s in zip(prior, names, strict=True)])
     top = F.greatest(*names)
     logs = sums.select("tag", "doc_id", F.col("n_tokens").cast("double").alias("n_tokens"), *[F.exp(F.greatest(F.col(s) - top, F.lit(-700.0))).alias(s) for s in names])
     whole = sum((F.col(s) for s in names[1:]), F.col(names[0]))
