@@ -1,9 +1,7 @@
-"""Monthly series: spine, missing policy, seasonal naive, backtest, and the SARIMA order grid."""
+"""Monthly series: spine, definitions, missing policy, seasonal naive, backtest; fitted models are in ``sarima``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +30,30 @@ def monthly(levels: DataFrame, keys: list[str], least: int) -> DataFrame:
     return months.join(found, [*keys, "m"], "left").select(*keys, "m", F.when(F.col("n") >= least, F.col("y")).alias("y"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Side of the cells by which levels meet depth bands, in dbar.
+BAND_CELL = 100
+
+
+def defined_series(levels: DataFrame, placed: DataFrame, definitions: DataFrame) -> DataFrame:
+    """series, m, y, n of every definition: profile-balanced monthly mean, null under its min_profiles, every month of its period present.
+
+    ``definitions``: series, region, depth_min, depth_max, variable (temperature, salinity or pressure), min_profiles, start,
+    end (month numbers, end exclusive). ``placed``: profile_id, region. ``levels``: profile_id, observed_at, p, t, s. A level meets its
+    definitions by region and depth cell, an equi join, and one shuffle by (series, profile) serves all series.
+    """
+    cell = lambda c: F.floor(F.col(c) / BAND_CELL).cast("long")
+    bands = definitions.select("*", F.explode(F.sequence(cell("depth_min"), cell("depth_max"))).alias("_cell"))
+    rows = levels.where("p IS NOT NULL").select("profile_id", month_number(F.col("observed_at")).alias("m"), "p", "t", "s", cell("p").alias("_cell"))
+    met = rows.join(placed.select("profile_id", "region"), "profile_id").join(bands, ["region", "_cell"])
+    met = met.where(F.col("p").between(F.col("depth_min"), F.col("depth_max")) & (F.col("m") >= F.col("start")) & (F.col("m") < F.col("end")))
+    value = F.when(F.col("variable") == "temperature", F.col("t")).when(F.col("variable") == "salinity", F.col("s")).when(F.col("variable") == "pressure", F.col("p"))
+    each = met.groupBy("series", "profile_id", "m").agg(F.avg(value).alias("v"))
+    found = each.groupBy("series", "m").agg(F.avg("v").alias("y"), F.count("v").alias("n"))
+    months = definitions.select("series", "min_profiles", F.explode(F.sequence("start", F.col("end") - 1)).alias("m"))
+    kept = F.when(F.col("n") >= F.col("min_profiles"), F.col("y")).alias("y")
+    return months.join(found, ["series", "m"], "left").select("series", "m", kept, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def interpolated(series: DataFrame, keys: list[str]) -> DataFrame:
     """Edges cut off, inner gaps filled linearly and flagged."""
     w = W.partitionBy(*keys).orderBy("m")
@@ -83,61 +105,6 @@ def backtest_naive(series: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "h").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e) / F.col("scale")).alias("mase"))
 
 
-def _residuals(y: np.ndarray, p: int, d: int, q: int, sp: int, sd: int, sq: int, theta: np.ndarray) -> np.ndarray:
-    """Conditional residuals of a seasonal ARIMA, zero before the sample."""
-    x = y
-    for _ in range(d):
-        x = np.diff(x)
-    for _ in range(sd):
-        x = x[SEASON:] - x[:-SEASON]
-    x = x - theta[0] * (d + sd == 0)
-    ar = np.convolve(np.r_[1, -theta[1 : 1 + p]], np.r_[1, *[-theta[1 + p + q + k] if j == SEASON - 1 else 0 for k in range(sp) for j in range(SEASON)]])
-    ma = np.convolve(np.r_[1, theta[1 + p : 1 + p + q]], np.r_[1, *[theta[1 + p + q + sp + k] if j == SEASON - 1 else 0 for k in range(sq) for j in range(SEASON)]])
-    e = np.zeros(len(x))
-    for i in range(len(x)):
-        a, m = min(len(ar), i + 1), min(len(ma), i + 1)
-        e[i] = ar[:a] @ x[i - a + 1 : i + 1][::-1] - (ma[1:m] @ e[i - m + 1 : i][::-1] if m > 1 else 0.0)
-    return e
-
-
-def css_fit(y: np.ndarray, order: tuple[int, int, int, int, int, int], steps: int = 6) -> tuple[float, int]:
-    """(AICc, residual count) by Gauss-Newton on the conditional sum of squares."""
-    p, d, q, sp, sd, sq = order
-    k = 1 + p + q + sp + sq
-    theta = np.zeros(k)
-    theta[0] = y.mean()
-    e = _residuals(y, *order, theta)
-    for _ in range(steps):
-        jac = np.stack([(_residuals(y, *order, theta + 1e-4 * np.eye(k)[j]) - e) / 1e-4 for j in range(k)], axis=1)
-        move = np.linalg.lstsq(jac.T @ jac + 1e-6 * np.eye(k), -jac.T @ e, rcond=None)[0]
-        new = theta + move
-        new[1:] = np.clip(new[1:], -0.98, 0.98)
-        fresh = _residuals(y, *order, new)
-        if not np.isfinite(fresh).all() or fresh @ fresh >= e @ e:
-            break
-        theta, e = new, fresh
-    n = len(e)
-    params = k + 1 - (d + sd > 0)
-    if n - params - 1 <= 0:
-        return float("inf"), n
-    return float(n * np.log(max(e @ e, 1e-12) / n) + 2 * params + 2 * params * (params + 1) / (n - params - 1)), n
-
-
-def sarima_grid(series: DataFrame, keys: list[str], orders: list[tuple]) -> DataFrame:
-    """keys, order, aicc, rank: every order fitted to every series, one (series, order) at a time; best three ranked."""
-    packed = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "y"))), lambda x: x["y"]).alias("y"))
-    grid = packed.select(*keys, "y", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in orders])).alias("order"))
-
-    @F.pandas_udf("double")
-    def aicc(ys: pd.Series, picked: pd.Series) -> pd.Series:
-        return pd.Series([css_fit(np.asarray(y, float), tuple(int(v) for v in o))[0] for y, o in zip(ys, picked, strict=True)])
-
-    parallel = max(8, len(orders) // 2)
-    scored = grid.repartition(parallel).select(*keys, F.array_join("order", ",").alias("order"), aicc("y", "order").alias("aicc"))
-    w = W.partitionBy(*keys).orderBy("aicc", "order")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-
-
 def naive_widths(series: DataFrame, keys: list[str]) -> DataFrame:
     """keys, w80, w95, size: linear quantiles of the centred absolute seasonal differences, and the months of the series."""
     e = numbered(series, keys).withColumn("e", F.col("y") - F.lag("y", SEASON).over(W.partitionBy(*keys).orderBy("i"))).where("e IS NOT NULL")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from castline.operators import sarima
 from castline.operators import series as ops
+from castline.operators.regions import in_regions
+from castline.queries.selection import _IN_REGION, EDGES
 from castline.registry import query, r6
 from castline.scratch import stored
 
@@ -77,9 +78,68 @@ def _(t):
 
 @query("fc_sarima_grid")
 def _(t):
-    """All 144 orders on each series; rows only, as the fit is numerical."""
-    orders = [o for o in itertools.product(range(3), range(2), range(3), range(2), range(2), range(2))]
-    return ops.sarima_grid(filled(t), KEYS, orders).select("direction", "order", F.round("aicc", 3).alias("aicc"), "rank")
+    """All 144 orders on each series' first training window; rows only, as the fit is numerical."""
+    return sarima.rank_orders(filled(t), KEYS).select("direction", F.col("candidate").alias("order"), F.round("aicc", 3).alias("aicc"), "rank")
+
+
+def _models(t):
+    """(series, ranked candidates, forecasts by fold), each stored: what follows goes over them several times."""
+    s = filled(t)
+    ranked = stored(sarima.rank_orders(s, KEYS), "ranked")
+    return s, ranked, stored(sarima.fold_forecasts(s, ranked, KEYS), "folds")
+
+
+@query("fc_backtest_models")
+def _(t):
+    """The best three orders of each series, refitted to every fold: errors, scaled error and coverage by horizon."""
+    s, _, folds = _models(t)
+    made = sarima.backtest_models(s, folds, KEYS)
+    return made.select("direction", "candidate", "parameters", "h", "n", "misses", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mase", "coverage80", "coverage95")])
+
+
+@query("fc_select_models")
+def _(t):
+    """The model of each series, chosen from its fitted candidates by error, parameters and residuals."""
+    s, ranked, folds = _models(t)
+    checked = sarima.ljung_box(sarima.history_residuals(s, ranked, KEYS), [*KEYS, "candidate"], "e")
+    made = sarima.select_candidates(sarima.backtest_models(s, folds, KEYS), ops.backtest_naive(s, KEYS), checked, KEYS)
+    return made.select("direction", "chosen", "status", F.round("mase", 4).alias("mase"), F.round("baseline_mase", 4).alias("baseline_mase"))
+
+
+@query("fc_diagnostics_models")
+def _(t):
+    """Residuals of the refitted candidates: Ljung-Box at the season, mean and spread, and whether they pass."""
+    s = filled(t)
+    ranked = stored(sarima.rank_orders(s, KEYS), "ranked")
+    checked = sarima.ljung_box(sarima.history_residuals(s, ranked, KEYS), [*KEYS, "candidate"], "e")
+    return checked.select("direction", "candidate", *[F.round(c, 4).alias(c) for c in ("q", "p", "mean", "spread")], sarima.passes().alias("passes"))
+
+
+# Eight definitions (region, band, variable, least profiles) over the test polygons.
+DEFINITIONS = [
+    ("west upper t", "west", 0.0, 200.0, "temperature", 3), ("west deep t", "west", 500.0, 1500.0, "temperature", 3), ("west s", "west", 0.0, 2000.0, "salinity", 2), ("ring upper t", "ring", 0.0, 100.0, "temperature", 2),
+    ("ring s", "ring", 200.0, 1000.0, "salinity", 4), ("ring all t", "ring", 0.0, 2000.0, "temperature", 1), ("tri t", "tri", 0.0, 1000.0, "temperature", 2), ("tri none", "tri", 11000.0, 12000.0, "pressure", 1),
+]
+_DEFINED = ", ".join(f"('{n}', '{r}', {a}e0, {b}e0, '{v}', {k})" for n, r, a, b, v, k in DEFINITIONS)
+
+
+@query("fc_series_defined", f"""{_IN_REGION}, d AS (SELECT * FROM (VALUES {_DEFINED}) v(series, region, depth_min, depth_max, variable, least)),
+ each AS (SELECT series, profile_id, m, avg(CASE variable WHEN 'temperature' THEN t WHEN 'salinity' THEN s ELSE p END) AS v FROM (SELECT *, CAST(date_part('year', observed_at) * 12 + date_part('month', observed_at) - 1 AS BIGINT) AS m FROM b_sel) l JOIN h USING (profile_id) JOIN d USING (region)
+  WHERE p BETWEEN depth_min AND depth_max AND m BETWEEN {1993 * 12} AND {1997 * 12 - 1} GROUP BY 1, 2, 3), f AS (SELECT series, m, avg(v) AS y, count(v) AS n FROM each GROUP BY 1, 2)
+ SELECT d.series, x.m, round(CASE WHEN n >= least THEN y END + 1e-9, 6) AS y, coalesce(n, 0) AS n FROM d, (SELECT CAST(unnest(range({1993 * 12}, {1997 * 12})) AS BIGINT) AS m) x LEFT JOIN f ON f.series = d.series AND f.m = x.m""")
+def _(t):
+    """Four years of eight series that are rows of a table: one pass over the levels makes all of them."""
+    made = ops.defined_series(t.selected(), placed(t), definitions(t))
+    return made.select("series", "m", r6(F.col("y"), "y"), "n")
+
+
+def definitions(t):
+    rows = [(n, r, a, b, v, k, 1993 * 12, 1997 * 12) for n, r, a, b, v, k in DEFINITIONS]
+    return t.spark.createDataFrame(rows, "series string, region string, depth_min double, depth_max double, variable string, min_profiles int, start long, end long")
+
+
+def placed(t):
+    return in_regions(t.profiles, t.spark.createDataFrame(EDGES, "region string, x1 double, y1 double, x2 double, y2 double"))
 
 
 @query("fc_divergence", f"{_FILLED}, x AS (SELECT direction, max(abs(y)) AS top FROM g GROUP BY 1) SELECT g.direction, m, abs(y * CASE WHEN m % 17 = 0 THEN 1e6 ELSE 1 END) > 1000 * (top + 1) AS diverged FROM g JOIN x ON x.direction = g.direction")
