@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from castline.functions.geo import tile_key
 from castline.functions.qc import canonical_unit, implausible, place_variant
-from castline.operators import matching
+from castline.operators import coverage, matching
 from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
+from castline.scratch import new_path
+from castline.sinks import compaction
 from castline.sinks.writers import digest
 
 
@@ -259,3 +261,82 @@ def _(t):
 @query("ing_owner_tile_counts", "SELECT (CASE WHEN longitude = 120 THEN 110 ELSE CAST(floor((longitude - 20) / 10) * 10 + 20 AS INT) END) || '_' || (CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END) AS tile, count(*) AS n FROM b_profiles GROUP BY 1")
 def _(t):
     return t.profiles.groupBy(tile_key(F.col("longitude"), F.col("latitude")).alias("tile")).agg(F.count("*").alias("n"))
+
+
+# Coverage by receipts --------------------------------------------------------------------------------
+
+# Orders play receipts: the key chooses the tile, the rectangle in it, the interval and what was found. A year of six tiles is asked for.
+_RECEIPT_ROWS = """SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(20 + 10 * (k % 3) AS BIGINT) AS west, CAST(-60 + 10 * (k // 3 % 2) AS BIGINT) AS south, k % 2 AS slot_version,
+ CASE WHEN k % 9 = 0 THEN 'source_absence_over_retained' ELSE 'fetched' END AS fetch_disposition, CASE WHEN k % 31 = 0 THEN 'empty_stored_domain' WHEN k % 5 < 4 THEN 'empty_stored_cell' ELSE 'stored' END AS stored_disposition,
+ date_trunc('month', o_orderdate) - to_days(CAST(k % 4 AS INT)) AS r_start, date_trunc('month', o_orderdate) + to_days(CAST(14 + k % 20 AS INT)) AS r_end,
+ CAST(20 + 10 * (k % 3) + CASE WHEN k % 7 < 4 THEN -2 ELSE 3 END AS BIGINT) AS r_west, CAST(-60 + 10 * (k // 3 % 2) AS BIGINT) AS r_south, CAST(CASE WHEN k % 7 < 2 THEN 14 ELSE 6 END AS BIGINT) AS r_width, CAST(CASE WHEN k % 3 = 2 THEN 4 ELSE 10 END AS BIGINT) AS r_height
+ FROM (SELECT *, o_orderkey // 4 * 2 + o_orderkey % 4 AS k FROM orders)"""
+_ASKED = """SELECT CAST(m AS DATE) AS month, w AS west, s AS south, greatest(m, TIMESTAMP '1996-01-10 06:00:00') AS a, least(m + INTERVAL 1 MONTH, TIMESTAMP '1996-12-20') AS b
+ FROM (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS m), (SELECT CAST(unnest([20, 30, 40]) AS BIGINT) AS w), (SELECT CAST(unnest([-60, -50]) AS BIGINT) AS s)"""
+_CELLS = lambda name, where: f"""{name}_c AS (SELECT q.month, q.west, q.south, a, b, x, y, greatest(r_start, a) AS f, least(r_end, b) AS t FROM q JOIN r USING (month, west, south), (SELECT unnest(range(-60, -40)) AS y), (SELECT unnest(range(20, 50)) AS x)
+  WHERE {where} AND r_start < b AND r_end > a AND x >= q.west AND x < q.west + 10 AND x >= r_west AND x < r_west + r_width AND y >= q.south AND y < q.south + 10 AND y >= r_south AND y < r_south + r_height),
+ {name}_s AS (SELECT *, f > coalesce(max(t) OVER (PARTITION BY month, west, south, x, y ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS hole FROM {name}_c),
+ {name} AS (SELECT month, west, south FROM (SELECT month, west, south, x, y FROM {name}_s GROUP BY ALL HAVING NOT bool_or(hole) AND max(t) >= any_value(b)) GROUP BY ALL HAVING count(*) = 100)"""
+
+
+def _asked(t):
+    request = t.spark.createDataFrame([("1996-01-10 06:00:00", "1996-12-20 00:00:00")], "a string, b string").select(F.col("a").cast("timestamp").alias("request_start"), F.col("b").cast("timestamp").alias("request_end"))
+    tiles = t.spark.createDataFrame([(w, s) for w in (20, 30, 40) for s in (-60, -50)], "west long, south long")
+    return coverage.request_slots(request, tiles)
+
+
+@query("ing_coverage_resolved", f"""WITH r AS ({_RECEIPT_ROWS}), q AS ({_ASKED}), {_CELLS("fetched", "true")}, {_CELLS("proved", "slot_version = 1 AND stored_disposition LIKE 'empty_stored_%'")},
+ l AS (SELECT month, west, south, count(*) AS n FROM q JOIN (SELECT observation_month AS month, observed_at, CAST(floor((longitude - 20) / 10) * 10 + 20 AS BIGINT) AS west, CAST(floor((latitude + 60) / 10) * 10 - 60 AS BIGINT) AS south FROM b_profiles WHERE cycle_number % 7 = 0) p USING (month, west, south) WHERE observed_at >= a AND observed_at < b GROUP BY ALL),
+ d AS (SELECT month, west, south, count(*) FILTER (stored_disposition = 'empty_stored_domain') AS whole, count(*) FILTER (stored_disposition LIKE 'empty_stored_%') AS empties, count(*) FILTER (fetch_disposition LIKE 'source_absence%') AS absent FROM r WHERE slot_version = 1 GROUP BY ALL),
+ p AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(20 + 10 * (o_custkey % 3) AS BIGINT) AS west, CAST(-60 + 10 * (o_custkey // 3 % 2) AS BIGINT) AS south FROM orders WHERE o_custkey % 4 = 0),
+ z AS (SELECT q.*, coalesce(l.n, 0) AS n, fetched.month IS NULL AS gap, p.month IS NULL AS no_part, proved.month IS NOT NULL OR coalesce(d.whole, 0) > 0 AS stands, CASE WHEN coalesce(d.whole, 0) > 0 THEN d.whole ELSE coalesce(d.empties, 0) END AS proofs, coalesce(absent, 0) AS absent
+  FROM q LEFT JOIN l USING (month, west, south) LEFT JOIN fetched USING (month, west, south) LEFT JOIN proved USING (month, west, south) LEFT JOIN d USING (month, west, south) LEFT JOIN p USING (month, west, south))
+ SELECT CAST(month AS VARCHAR) AS month, west, south, n AS n_members, concat_ws(',', CASE WHEN gap THEN 'fetch_coverage' END, CASE WHEN n > 0 AND no_part THEN 'missing_active_generation' END, CASE WHEN n = 0 AND NOT stands THEN 'stored_empty_not_verified' END) AS gaps,
+  CAST(CASE WHEN n = 0 AND stands THEN proofs ELSE 0 END AS INT) AS verified, CAST(CASE WHEN n > 0 THEN absent ELSE 0 END AS INT) AS absences FROM z""")
+def _(t):
+    """Slots of a request against receipts, parts and members: what is missing, and what proves that nothing is there."""
+    at, key = F.trunc("o_orderdate", "month"), F.col("o_orderkey")
+    o = t.orders.withColumn("k", F.floor(key / 4) * 2 + key % 4)
+    k, day = F.col("k"), lambda n: F.make_interval(days=n)
+    west, south, start = (k % 3 * 10 + 20).cast("long"), (F.floor(k / 3) % 2 * 10 - 60).cast("long"), F.date_trunc("month", "o_orderdate")
+    receipts = o.select(
+        key.cast("string").alias("receipt_id"), at.alias("month"), west.alias("west"), south.alias("south"), (k % 2).cast("long").alias("slot_version"), F.when(k % 9 == 0, coverage.ABSENT).otherwise("fetched").alias("fetch_disposition"),
+        F.when(k % 31 == 0, coverage.WHOLE_SLOT_EMPTY).when(k % 5 < 4, "empty_stored_cell").otherwise("stored").alias("stored_disposition"), (start - day((k % 4).cast("int"))).alias("r_start"), (start + day((k % 20 + 14).cast("int"))).alias("r_end"),
+        (west + F.when(k % 7 < 4, -2).otherwise(3)).cast("long").alias("r_west"), south.alias("r_south"), F.when(k % 7 < 2, 14).otherwise(6).cast("long").alias("r_width"), F.when(k % 3 == 2, 4).otherwise(10).cast("long").alias("r_height"),
+    )
+    slots = _asked(t)
+    versions = slots.select(*coverage.SLOT, F.lit(1).cast("long").alias("slot_version"))
+    c = F.col("o_custkey")
+    parts = t.orders.where(c % 4 == 0).select(at.alias("month"), (c % 3 * 10 + 20).cast("long").alias("west"), (F.floor(c / 3) % 2 * 10 - 60).cast("long").alias("south"), c.cast("string").alias("part_id"))
+    members = t.profiles.where("cycle_number % 7 = 0").select(F.col("observation_month").alias("month"), (F.floor((F.col("longitude") - 20) / 10) * 10 + 20).cast("long").alias("west"), (F.floor((F.col("latitude") + 60) / 10) * 10 - 60).cast("long").alias("south"), F.col("observed_at").alias("at"))
+    made = coverage.resolve(slots, receipts, versions, parts, members)
+    return made.select(F.col("month").cast("string").alias("month"), "west", "south", "n_members", F.array_join("gaps", ",").alias("gaps"), F.size("verified").alias("verified"), F.size("absences").alias("absences"))
+
+
+# Compaction ------------------------------------------------------------------------------------------
+
+
+def _compaction_parts(t):
+    """(first part of every profile, part with revisions of every third cycle, members listed)."""
+    slot = F.date_format("observation_month", "yyyy-MM").alias("slot")
+    heads = t.profiles.select("profile_id", slot, "cycle_number")
+    rows = t.delivered.select("profile_id", F.col("level_index").cast("long").alias("level_index"), "p", "t").join(heads, "profile_id")
+    first = rows.select("slot", "profile_id", "level_index", "p", "t")
+    second = rows.where("cycle_number % 3 = 0 AND level_index < 2 AND slot >= '1996-01'").select("slot", "profile_id", "level_index", "p", (F.col("t") + 100).alias("t"))
+    return first, second, heads.where("cycle_number % 11 > 0").select("slot", "profile_id")
+
+
+@query("ing_compact_store", """WITH r AS (SELECT strftime(observation_month, '%Y-%m') AS slot, l.profile_id, cycle_number, level_index, t FROM b_delivered l JOIN b_profiles m ON m.profile_id = l.profile_id),
+ many AS (SELECT DISTINCT slot FROM r WHERE cycle_number % 3 = 0 AND level_index < 2 AND slot >= '1996-01'),
+ n AS (SELECT slot, profile_id, level_index, CASE WHEN cycle_number % 3 = 0 AND slot >= '1996-01' THEN t + 100 ELSE t END AS t FROM r WHERE NOT (cycle_number % 3 = 0 AND slot >= '1996-01' AND level_index >= 2) AND (cycle_number % 11 > 0 OR slot NOT IN (SELECT slot FROM many)))
+ SELECT slot, CAST(1 AS BIGINT) AS parts, count(*) AS n, count(DISTINCT profile_id) AS profiles, round(sum(t) + 1e-9, 4) AS total FROM n GROUP BY 1""")
+def _(t):
+    """Two parts committed, slots of both rewritten as one and swapped in: what a reader sees then."""
+    first, second, members = _compaction_parts(t)
+    path = new_path(t.spark, "compaction")
+    compaction.commit_part(first, path, 0)
+    compaction.commit_part(second, path, 1)
+    compaction.compact(t.spark, path, first.schema, members)
+    rows = compaction.read_current(t.spark, path, first.schema)
+    one = rows.groupBy("slot", "profile_id", "generation").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
+    return one.groupBy("slot").agg(F.count_distinct("generation").alias("parts"), F.sum("n").alias("n"), F.count("*").alias("profiles"), F.round(F.sum("total") + 1e-9, 4).alias("total"))
