@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from castline.functions.qc import VARIABLES, qc_code, qc_value
 from castline.operators.aggregate import aggregate, key
 from castline.operators.quantiles import quantiles
+from castline.operators.reporting import map_clusters, reconcile
 from castline.registry import query, r6
 
 _METRICS = ("mean", "count", "min", "max", "stddev", "median")
@@ -295,3 +296,26 @@ def _(t):
 @query("agg_attachment", "SELECT sha256(source || '|' || lang || '|' || n_chars) AS request, min(doc_id) AS job, count(*) AS attached FROM documents GROUP BY 1")
 def _(t):
     return t.documents.groupBy(F.sha2(F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string")), 256).alias("request")).agg(F.min("doc_id").alias("job"), F.count("*").alias("attached"))
+
+
+_MEMBERS = "SELECT profile_id, CASE WHEN cycle_number % 90 = 3 THEN md5(profile_hash) ELSE profile_hash END AS hash, n AS levels FROM st WHERE observed_at >= TIMESTAMP '1996-01-01' OR cycle_number % 90 <> 4"
+
+
+@query("agg_reconcile_scopes", f"""WITH st AS (SELECT m.profile_id, profile_hash, observed_at, cycle_number, count(*) AS n FROM b_profiles m JOIN b_delivered l ON l.profile_id = m.profile_id GROUP BY ALL), mb AS ({_MEMBERS}),
+ u AS (SELECT 'full_stored' AS scope, profile_id, profile_hash AS hash, n AS levels FROM st UNION ALL SELECT 'full_snapshot', * FROM mb UNION ALL SELECT 'run_eligible_stored', profile_id, profile_hash, n FROM st WHERE observed_at >= TIMESTAMP '1996-01-01' AND observed_at < TIMESTAMP '1996-02-01'
+  UNION ALL SELECT 'run_eligible_snapshot', mb.* FROM mb JOIN st USING (profile_id) WHERE observed_at >= TIMESTAMP '1996-01-01' AND observed_at < TIMESTAMP '1996-02-01'),
+ g AS (SELECT scope, count(*) AS profiles, CAST(sum(levels) AS BIGINT) AS levels, CAST(sum(CAST('0x' || substr(sha256(profile_id || '|' || hash || '|' || levels), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM u GROUP BY scope)
+ SELECT g.*, g.profiles = o.profiles AND g.levels = o.levels AND g.digest = o.digest AS balanced FROM g JOIN g o ON o.scope = CASE WHEN g.scope LIKE '%stored' THEN replace(g.scope, 'stored', 'snapshot') ELSE replace(g.scope, 'snapshot', 'stored') END""")
+def _(t):
+    """Four populations with counts, digest and balance; manifests list some profiles by an older hash, and lack some early ones."""
+    counts = t.delivered.groupBy("profile_id").agg(F.count("*").alias("levels"))
+    stored = counts.join(t.profiles.select("profile_id", F.col("profile_hash").alias("hash"), "observed_at", "cycle_number"), "profile_id")
+    listed = stored.where((F.col("observed_at") >= F.lit("1996-01-01").cast("timestamp")) | (F.col("cycle_number") % 90 != 4)).withColumn("hash", F.when(F.col("cycle_number") % 90 == 3, F.md5("hash")).otherwise(F.col("hash")))
+    return reconcile(stored, listed, "1996-01-01", "1996-02-01")
+
+
+@query("agg_map_pyramid", """SELECT CAST(z AS INT) AS zoom, CAST(floor((longitude + 180) / 360 * 256 * pow(2, z) / 36) AS BIGINT) AS cx, CAST(floor((1 - ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / pi()) / 2 * 256 * pow(2, z) / 36) AS BIGINT) AS cy,
+  count(*) AS n, round(avg(longitude) + 1e-9, 6) AS lon, round(avg(latitude) + 1e-9, 6) AS lat FROM b_profiles, (SELECT unnest(range(8)) AS z) GROUP BY 1, 2, 3""")
+def _(t):
+    """Clusters of zooms 0 to 7 from one scan."""
+    return map_clusters(t.profiles).select("zoom", "cx", "cy", "n", r6(F.col("longitude"), "lon"), r6(F.col("latitude"), "lat"))

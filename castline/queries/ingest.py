@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from castline.functions.geo import tile_key
 from castline.functions.qc import canonical_unit, implausible, place_variant
 from castline.operators import coverage, matching
+from castline.operators.flags import level_flags
 from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
 from castline.scratch import new_path
@@ -263,6 +264,22 @@ def _(t):
     return t.profiles.groupBy(tile_key(F.col("longitude"), F.col("latitude")).alias("tile")).agg(F.count("*").alias("n"))
 
 
+_TEXTS = {"pressure": "p", "temperature": "t", "salinity": "s"}
+
+
+@query("ing_level_flags", """WITH f AS (SELECT d.*, direction, row_number() OVER (PARTITION BY d.profile_id, p ORDER BY level_index) > 1 AS rep, p < lag(p) OVER (PARTITION BY d.profile_id ORDER BY level_index) AS dec FROM b_delivered d JOIN b_profiles m ON m.profile_id = d.profile_id)
+ SELECT profile_id, level_index, concat_ws(',', CASE WHEN CAST(round(p * 100) AS BIGINT) % 25 <> 0 THEN 'rounded' END, CASE WHEN p_qc = '5' THEN 'qc_unknown' END, CASE WHEN p > 12000 OR p < -5 THEN 'outside_plausibility_range' END, CASE WHEN rep THEN 'repeated_pressure' END, CASE WHEN dec THEN 'nonmonotonic_pressure' END) AS pressure_flags,
+  concat_ws(',', 'rounded', CASE WHEN round(t, 3) + 0.0001 > 50 THEN 'outside_plausibility_range' END) AS temperature_flags, CASE WHEN direction = 'U' THEN 'variable_absent' ELSE concat_ws(',', CASE WHEN CAST(round(s * 100) AS BIGINT) % 25 <> 0 THEN 'rounded' END) END AS salinity_flags FROM f""")
+def _(t):
+    """Three variables at once, from the numbers as text; profiles of unknown direction have no salinity, QC 5 is delivered as ``x``."""
+    rows = t.delivered.join(t.profiles.select("profile_id", "direction"), "profile_id")
+    texts = {"pressure": F.format_string("%.2f", "p"), "temperature": F.concat(F.format_string("%.3f", "t"), F.lit("1")), "salinity": F.format_string("%.2f", "s")}
+    code = lambda c: F.when(F.col(c) == "5", "x").otherwise(F.col(c))
+    each = [x for v, c in _TEXTS.items() for x in (texts[v].alias(f"{v}_text"), code(f"{c}_qc").alias(f"{v}_code"), (F.lit(v != "salinity") | (F.col("direction") != "U")).alias(f"{v}_present"))]
+    made = level_flags(rows.select("profile_id", "level_index", *each))
+    return made.select("profile_id", "level_index", *[F.array_join(f"{v}_flags", ",").alias(f"{v}_flags") for v in _TEXTS])
+
+
 # Coverage by receipts --------------------------------------------------------------------------------
 
 # Orders play receipts: the key chooses the tile, the rectangle in it, the interval and what was found. A year of six tiles is asked for.

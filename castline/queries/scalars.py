@@ -139,12 +139,14 @@ def _(t):
     return t.orders.select("o_orderkey", numeric.number(F.coalesce(spelled, F.col("o_totalprice").cast("string"))).alias("value"))
 
 
-@query("num_exact", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS value, l_linenumber % 2 = 0 AS rounded FROM lineitem")
+@query("num_exact", """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS value, l_linenumber % 2 = 0 OR CAST(round(l_extendedprice * 100) AS BIGINT) % 25 <> 0 AS rounded, l_linenumber = 3 AS overflow, l_linenumber = 5 AS underflow FROM lineitem""")
 def _(t):
-    """Decimal text to double; ``rounded`` tells a text with places that the double does not hold."""
+    """Decimal text to double: ``rounded`` tells a text that no double is. Line 3 also has an exponent too large, line 5 one too small."""
     text = F.concat(F.format_string("%.2f", F.col("l_extendedprice")), F.when(F.col("l_linenumber") % 2 == 0, "000000000000001").otherwise(""))
-    value, rounded = numeric.exact(text)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(value, 2).alias("value"), rounded.alias("rounded"))
+    rows = numeric.exact_numbers(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text")), "text")
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round("value", 2).alias("value"), F.array_contains("flags", "rounded").alias("rounded"), F.concat("text", F.when(F.col("l_linenumber") == 3, "e400").when(F.col("l_linenumber") == 5, "e-400").otherwise("")).alias("beyond"))
+    far = numeric.exact_numbers(rows.withColumnRenamed("value", "_kept"), "beyond")
+    return far.select("l_orderkey", "l_linenumber", "l_partkey", F.col("_kept").alias("value"), "rounded", F.coalesce(F.col("reject") == "float64_overflow", F.lit(False)).alias("overflow"), F.coalesce(F.col("reject") == "float64_underflow", F.lit(False)).alias("underflow"))
 
 
 _REACH = "greatest(abs(greatest(latitude - degrees(900 / 6371.0088e0), -90)), abs(least(latitude + degrees(900 / 6371.0088e0), 90)))"

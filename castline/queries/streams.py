@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from castline.operators.revisions import revision_outcome
 from castline.registry import query, r6
 from castline.scratch import new_path
-from castline.streaming.drain import drained, events_stream, into_batches, published_once
+from castline.streaming.drain import drained, events_stream, into_batches
+from castline.streaming.state import appended, capped, latest, publish_new
 
 
 def _events(t):
@@ -18,7 +19,12 @@ def _events(t):
 def _(t):
     """Daily tumbling windows by event time."""
     made = _events(t).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return drained(made, "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6(F.col("total"), "total"))
+    made = made.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return _latest(t, made, ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6(F.col("total"), "total"))
+
+
+def _latest(t, stream, keys):
+    return latest(stream, keys, new_path(t.spark, "stream"), new_path(t.spark, "marks"))
 
 
 @query("st_dedupe", "SELECT count(DISTINCT event_id) AS n FROM events")
@@ -45,27 +51,39 @@ def _(t):
 @query("st_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS state, max(event_id) AS at FROM events GROUP BY 1")
 def _(t):
     made = _events(t).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("at"))
-    return drained(made, "complete")
+    return _latest(t, made, ["user_id"])
 
 
 @query("st_daily_caps", "SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(value) + 1e-9, 6) AS spent, sum(value) > 15000 AS over_cap FROM events GROUP BY 1")
 def _(t):
-    made = _events(t).groupBy(F.window("ts", "1 day")).agg(F.sum("value").alias("spent"))
-    return drained(made, "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), r6(F.col("spent"), "spent"), (F.col("spent") > 15000).alias("over_cap"))
+    made = _events(t).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).agg(F.sum("value").alias("spent")).select(F.col("window.start").alias("start"), "spent")
+    return _latest(t, made, ["start"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), r6(F.col("spent"), "spent"), (F.col("spent") > 15000).alias("over_cap"))
 
 
 @query("st_incremental", "SELECT event_type, count(*) AS n, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY 1")
 def _(t):
-    """Landed rows, each landed twice, published once: a batch takes only contents that no batch before it has."""
+    """Landed rows, each landed twice and the second time after a restart, published once: a batch asks the state for its contents."""
     rows = t.events.select("event_id", "event_type", "value")
-    log = new_path(t.spark, "log")
+    log, published, marks = (new_path(t.spark, n) for n in ("log", "published", "marks"))
     for _ in range(2):
         rows.write.mode("append").parquet(log)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(log)
-    state = published_once(stream, new_path(t.spark, "published"))
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(log)
+        state = publish_new(stream, published, marks)
     return state.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value") + 1e-9, 4).alias("total"))
 
 
+@query("st_caps_by_call", """WITH b AS (SELECT user_id % 20 AS payer, event_id, strftime(ts, '%Y-%m-%d') AS day, value, coalesce(sum(value) OVER (PARTITION BY user_id % 20, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
+ SELECT event_id, CAST(payer AS BIGINT) AS payer, day, before < 120 AS allowed FROM b""")
+def _(t):
+    """Each call held against the day's spending of its payer before it, call by call."""
+    calls = _events(t).select((F.col("user_id") % 20).cast("long").alias("payer"), F.col("event_id").cast("long").alias("call_id"), F.col("ts").alias("at"), F.col("value").cast("double").alias("cost"))
+    out = new_path(t.spark, "stream")
+    judged = capped(calls, ["payer"], 120.0)
+    appended(judged, out, new_path(t.spark, "marks"))
+    read = t.spark.read.schema(judged.schema).parquet(out)
+    return read.select(F.col("call_id").alias("event_id"), "payer", F.date_format("day", "yyyy-MM-dd").alias("day"), "allowed")
+
+
 @query("st_late_corrections", """WITH s AS (SELECT o_custkey AS k, max(o_orderkey) AS r, arg_max(o_orderstatus, o_orderkey) AS h FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
  c AS (SELECT o_orderkey, o_custkey AS k, o_orderkey AS r, o_orderstatus AS h, o_orderdate AS seen FROM orders)
  SELECT o_orderkey, CASE WHEN seen < TIMESTAMP '1996-01-01' THEN 'out_of_window' WHEN s.h IS NULL THEN 'insert' WHEN c.r = s.r THEN 'noop' WHEN c.r > s.r THEN CASE WHEN c.h = s.h THEN 'revision_only' ELSE 'newer' END ELSE 'stale_skip' END AS outcome FROM c LEFT JOIN s ON s.k = c.k""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from castline.scratch import new_path
 
@@ -34,18 +33,3 @@ def into_batches(stream: DataFrame, path: str, marks: str) -> None:
     write = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
     stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
-
-def published_once(stream: DataFrame, path: str) -> DataFrame:
-    """The rows of a stream by content, each once: a batch adds what no batch before it has, so replays add nothing."""
-    spark = stream.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _content string"
-
-    def batch(rows: DataFrame, number: int) -> None:
-        new = rows.withColumn("_content", F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)).dropDuplicates(["_content"])
-        if number > 0:
-            before = spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < number).select("_content")
-            new = new.join(before, "_content", "left_anti")
-        new.select(*rows.columns, "_content").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    stream.writeStream.option("checkpointLocation", new_path(spark, "marks")).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path).select(*stream.columns)
