@@ -131,49 +131,98 @@ def _read(plan: Any) -> tuple[dict, list[tuple[str, str]]]:
     return out, found
 
 
+class _Single:
+    """The tests of the rules on one plan's values; what is not given breaks no comparison."""
+
+    more = staticmethod(lambda a, b: a is not None and b is not None and a > b)
+    least = staticmethod(lambda a, b: a is not None and b is not None and a >= b)
+    same = staticmethod(lambda a, b: a is not None and a == b)
+    given = staticmethod(lambda a: a is not None)
+    is_ = staticmethod(lambda a, *names: a in names)
+    any_of = staticmethod(lambda xs, *names: any(x in names for x in xs or ()))
+    all_of = staticmethod(lambda xs, *names: set(names) <= set(xs or ()))
+    empty = staticmethod(lambda xs: not xs)
+    twice = staticmethod(lambda xs: len(set(xs or ())) < len(xs or ()))
+    no = staticmethod(lambda x: not x)
+
+
+_sure = lambda c: F.coalesce(c, F.lit(False))
+_list = lambda xs: F.coalesce(xs, F.array().cast("array<string>"))
+
+
+class _Batch:
+    """The same tests on columns."""
+
+    more = staticmethod(lambda a, b: _sure(a > b))
+    least = staticmethod(lambda a, b: _sure((a if isinstance(a, Column) else F.lit(a)) >= b))
+    same = staticmethod(lambda a, b: _sure(a == b))
+    given = staticmethod(lambda a: a.isNotNull())
+    is_ = staticmethod(lambda a, *names: _sure(a.isin(*names)))
+    any_of = staticmethod(lambda xs, *names: F.arrays_overlap(_list(xs), F.array(*map(F.lit, names))))
+    all_of = staticmethod(lambda xs, *names: F.size(F.array_except(F.array(*map(F.lit, names)), _list(xs))) == 0)
+    empty = staticmethod(lambda xs: F.size(_list(xs)) == 0)
+    twice = staticmethod(lambda xs: F.size(F.array_distinct(_list(xs))) < F.size(_list(xs)))
+    no = staticmethod(lambda x: ~x)
+
+
+#: What the rules read of a plan: of a table of plans these are the columns.
+RULE_FIELDS = (
+    "span", "depth_min", "depth_max", "south", "north", "west", "east", "geo_km", "qc_policy", "kind", "presentation", "variables", "bins", "limit_", "radius_km", "k", "metrics", "group_by", "depth_bin_size",
+)
+_DAY = 86_400_000_000
+
+
+def _rules(f: dict, t: Any, limit: dict[str, float]) -> list[tuple[Any, str, str]]:
+    """(whether it is broken, path, code) of every rule across fields, for one plan or for columns alike. ``span`` is in microseconds."""
+    kind, shown = (lambda *names: t.is_(f["kind"], *names)), (lambda *names: t.is_(f["presentation"], *names))
+    aggregate, mismatch = kind("aggregate"), "operation_variable_mismatch"
+    timed = t.any_of(f["group_by"], "month", "day")
+    return [
+        (t.least(0, f["span"]), "time_range", "invalid_time_range"),
+        (t.more(f["span"], limit["time_span_days"] * _DAY), "time_range", "unbounded_request"),
+        (t.least(f["depth_min"], f["depth_max"]), "depth_dbar", "invalid_depth_range"),
+        (t.least(f["south"], f["north"]), "geography", "invalid_geography"),
+        (t.same(f["west"], f["east"]), "geography", "invalid_geography"),
+        (t.more(f["geo_km"], limit["nearest_radius_km"]), "geography.radius_km", "invalid_geography"),
+        (t.is_(f["qc_policy"], "raw") & t.no(kind("profiles")), "qc_policy", mismatch),
+        (shown("ts_diagram") & t.no(t.all_of(f["variables"], "temperature", "salinity")), "presentation.kind", mismatch),
+        (shown("profile_plot", "ts_diagram") & t.no(kind("profiles")), "presentation.kind", mismatch),
+        (shown("line_chart", "histogram", "scatter") & t.no(aggregate), "presentation.kind", mismatch),
+        (shown("line_chart") & aggregate & t.no(timed), "presentation.kind", mismatch),
+        (shown("map") & aggregate, "presentation.kind", mismatch),
+        (t.given(f["bins"]) & t.no(shown("histogram")), "presentation.bins", "invalid_value"),
+        (shown("histogram") & t.more(f["bins"], limit["histogram_bins"]), "presentation.bins", "unbounded_request"),
+        (kind("profiles") & (t.no(t.given(f["limit_"])) | t.more(f["limit_"], limit["page_size"])), "operation.limit", "unbounded_request"),
+        (kind("nearest") & t.more(f["radius_km"], limit["nearest_radius_km"]), "operation.radius_km", "invalid_geography"),
+        (kind("nearest") & t.more(f["k"], limit["nearest_k"]), "operation.k", "unbounded_request"),
+        (kind("nearest") & t.no(shown("table", "map")), "presentation.kind", mismatch),
+        (aggregate & t.empty(f["metrics"]), "operation.metrics", "unbounded_request"),
+        (aggregate & t.twice(f["metrics"]), "operation.metrics", "invalid_value"),
+        (aggregate & t.twice(f["group_by"]), "operation.group_by", "invalid_value"),
+        (aggregate & (t.any_of(f["group_by"], "depth_bin") & t.no(t.given(f["depth_bin_size"])) | t.no(t.any_of(f["group_by"], "depth_bin")) & t.given(f["depth_bin_size"])), "operation.depth_bin_size", "invalid_value"),
+        (aggregate & t.no(timed | t.any_of(f["group_by"], "profile")) & t.more(f["span"], 31 * _DAY), "operation.group_by", "unbounded_request"),
+    ]
+
+
+def rule_fields(p: dict) -> dict:
+    """RULE_FIELDS of a plan with its defaults."""
+    op, geo, depth = p["operation"], p["geography"], p["depth_dbar"] or {}
+    span = (datetime.fromisoformat(p["time_range"]["end"]) - datetime.fromisoformat(p["time_range"]["start"])) // timedelta(microseconds=1)
+    found = {
+        "span": span, "depth_min": depth.get("min"), "depth_max": depth.get("max"), "geo_km": geo.get("radius_km"), "qc_policy": p["qc_policy"], "kind": op["kind"],
+        "presentation": p["presentation"]["kind"], "bins": p["presentation"]["bins"], "variables": p["variables"], "limit_": op.get("limit"),
+    }
+    return {k: geo.get(k) for k in ("south", "north", "west", "east")} | {k: op.get(k) for k in ("radius_km", "k", "metrics", "group_by", "depth_bin_size")} | found
+
+
 def violations(plan: Any, limits: dict[str, float] | None = None) -> list[tuple[str, str]]:
     """(path, code) of everything that is wrong with a plan: its form, or else the rules across its fields."""
     p, found = _read(plan)
-    if found:
-        return found
-    limit, op, geo, show = LIMITS | (limits or {}), p["operation"], p["geography"], p["presentation"]
-    kind, keys, shown = op["kind"], set(op.get("group_by") or ()), show["kind"]
-    span = datetime.fromisoformat(p["time_range"]["end"]) - datetime.fromisoformat(p["time_range"]["start"])
-    depth = p["depth_dbar"]
-    twice = lambda xs: len(set(xs)) < len(xs)
-    rules = [
-        (span <= timedelta(0), "time_range", "invalid_time_range"),
-        (span > timedelta(days=limit["time_span_days"]), "time_range", "unbounded_request"),
-        (depth is not None and depth["min"] >= depth["max"], "depth_dbar", "invalid_depth_range"),
-        (geo["kind"] == "bbox" and geo["south"] >= geo["north"], "geography", "invalid_geography"),
-        (geo["kind"] == "bbox" and geo["west"] == geo["east"], "geography", "invalid_geography"),
-        (geo["kind"] == "point_radius" and geo["radius_km"] > limit["nearest_radius_km"], "geography.radius_km", "invalid_geography"),
-        (p["qc_policy"] == "raw" and kind != "profiles", "qc_policy", "operation_variable_mismatch"),
-        (shown == "ts_diagram" and not {"temperature", "salinity"} <= set(p["variables"]), "presentation.kind", "operation_variable_mismatch"),
-        (shown in ("profile_plot", "ts_diagram") and kind != "profiles", "presentation.kind", "operation_variable_mismatch"),
-        (shown in ("line_chart", "histogram", "scatter") and kind != "aggregate", "presentation.kind", "operation_variable_mismatch"),
-        (shown == "line_chart" and kind == "aggregate" and not keys & {"month", "day"}, "presentation.kind", "operation_variable_mismatch"),
-        (shown == "map" and kind == "aggregate", "presentation.kind", "operation_variable_mismatch"),
-        (show["bins"] is not None and shown != "histogram", "presentation.bins", "invalid_value"),
-        (show["bins"] is not None and shown == "histogram" and show["bins"] > limit["histogram_bins"], "presentation.bins", "unbounded_request"),
-    ]
-    if kind == "profiles":
-        rules.append((op["limit"] is None or op["limit"] > limit["page_size"], "operation.limit", "unbounded_request"))
-    elif kind == "nearest":
-        rules += [
-            (op["radius_km"] > limit["nearest_radius_km"], "operation.radius_km", "invalid_geography"),
-            (op["k"] > limit["nearest_k"], "operation.k", "unbounded_request"),
-            (shown not in ("table", "map"), "presentation.kind", "operation_variable_mismatch"),
-        ]
-    else:
-        rules += [
-            (not op["metrics"], "operation.metrics", "unbounded_request"),
-            (twice(op["metrics"]), "operation.metrics", "invalid_value"),
-            (twice(op["group_by"]), "operation.group_by", "invalid_value"),
-            (("depth_bin" in keys) != (op["depth_bin_size"] is not None), "operation.depth_bin_size", "invalid_value"),
-            (not keys & {"month", "day", "profile"} and span > timedelta(days=31), "operation.group_by", "unbounded_request"),
-        ]
-    return [(path, code) for broken, path, code in rules if broken]
+    return found or [(path, code) for broken, path, code in _rules(rule_fields(p), _Single, LIMITS | (limits or {})) if broken]
+
+
+#: Fields that are measures: 40 and 40.0 are the same.
+_MEASURES = ("west", "south", "east", "north", "longitude", "latitude", "radius_km", "min", "max")
 
 
 def canonical(plan: dict) -> dict:
@@ -184,6 +233,8 @@ def canonical(plan: dict) -> dict:
     utc = lambda v: datetime.fromisoformat(v).astimezone(UTC).isoformat().replace("+00:00", "Z")
     p["time_range"] = {k: utc(v) for k, v in p["time_range"].items()}
     p["variables"] = [v for v in VARIABLES if v in p["variables"]]
+    for part in ("geography", "depth_dbar", "operation"):
+        p[part] = p[part] and {k: float(v) if k in _MEASURES else v for k, v in p[part].items()}
     return p | {"plan_schema": PLAN_SCHEMA}
 
 
@@ -311,31 +362,33 @@ def provenance(plan: dict, result: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def codes(limits: dict[str, float] | None = None) -> Column:
-    """Codes of the rules that a row of plan columns breaks, in order.
+    """Codes (path:code) of the rules that a row of plan columns breaks, in order: the columns are RULE_FIELDS, with start and end for the span."""
+    fields = {c: F.col(c) for c in RULE_FIELDS if c != "span"} | {"span": F.unix_micros("end") - F.unix_micros("start")}
+    rules = _rules(fields, _Batch, LIMITS | (limits or {}))
+    return F.array_compact(F.array(*[F.when(broken, F.lit(f"{path}:{code}")) for broken, path, code in rules]))
+
 
-    Columns: start, end (timestamp), depth_min, depth_max, west, south, east, north, kind, limit_, k, radius_km,
-    group_by, metrics (arrays), depth_bin_size, qc_policy, presentation.
+def plan_text() -> Column:
+    """The canonical plan of a row as ``plan_sha256`` reads it, JSON with sorted keys and no blanks.
+
+    Columns: RULE_FIELDS without span, start, end, geography (its kind), region, geo_longitude, geo_latitude, longitude, latitude, cursor, unit.
     """
-    limit = LIMITS | (limits or {})
-    span = F.unix_micros("end") - F.unix_micros("start")
-    day, kind, shown = 86_400_000_000, F.col("kind"), F.col("presentation")
-    timed = F.arrays_overlap("group_by", F.array(*map(F.lit, ("month", "day", "profile"))))
-    aggregate = kind == "aggregate"
-    rules = [
-        (span <= 0, "time_range:invalid_time_range"), (span > limit["time_span_days"] * day, "time_range:unbounded_request"),
-        (F.col("depth_min") >= F.col("depth_max"), "depth_dbar:invalid_depth_range"), (F.col("south") >= F.col("north"), "geography:invalid_geography"), (F.col("west") == F.col("east"), "geography:invalid_geography"),
-        ((F.col("qc_policy") == "raw") & (kind != "profiles"), "qc_policy:operation_variable_mismatch"),
-        (shown.isin("line_chart", "histogram", "scatter") & ~aggregate, "presentation.kind:operation_variable_mismatch"),
-        ((kind == "profiles") & (F.col("limit_").isNull() | (F.col("limit_") > limit["page_size"])), "operation.limit:unbounded_request"),
-        ((kind == "nearest") & (F.col("radius_km") > limit["nearest_radius_km"]), "operation.radius_km:invalid_geography"), ((kind == "nearest") & (F.col("k") > limit["nearest_k"]), "operation.k:unbounded_request"),
-        (aggregate & (F.size("metrics") == 0), "operation.metrics:unbounded_request"), (aggregate & (F.size(F.array_distinct("metrics")) < F.size("metrics")), "operation.metrics:invalid_value"),
-        (aggregate & (F.size(F.array_distinct("group_by")) < F.size("group_by")), "operation.group_by:invalid_value"),
-        (aggregate & (F.array_contains("group_by", "depth_bin") != F.col("depth_bin_size").isNotNull()), "operation.depth_bin_size:invalid_value"),
-        (aggregate & ~timed & (span > 31 * day), "operation.group_by:unbounded_request"),
-    ]
-    return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for broken, code in rules]))
-
-
-def canonical_text(columns: dict[str, Column]) -> Column:
-    """JSON text of the given fields in the order of their names, nulls kept: what a digest of plan rows is taken of."""
-    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
+    text = lambda **fields: F.to_json(F.struct(*[(v if isinstance(v, Column) else F.col(v)).alias(k) for k, v in sorted(fields.items())]), {"ignoreNullFields": "false"})
+    geo, op = F.col("geography"), F.col("kind")
+    place = (
+        F.when(geo == "bbox", text(kind=geo, west="west", south="south", east="east", north="north"))
+        .when(geo == "point_radius", text(kind=geo, longitude="geo_longitude", latitude="geo_latitude", radius_km="geo_km")).otherwise(text(kind=geo, value="region"))
+    )
+    work = (
+        F.when(op == "aggregate", text(kind=op, group_by="group_by", metrics="metrics", unit="unit", depth_bin_size="depth_bin_size"))
+        .when(op == "nearest", text(kind=op, longitude="longitude", latitude="latitude", radius_km="radius_km", k="k")).otherwise(text(kind=op, limit="limit_", cursor="cursor"))
+    )
+    instant = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(c) % 1_000_000 != 0, F.date_format(c, ".SSSSSS")).otherwise(""), F.lit("Z"))
+    named = F.array_intersect(F.array(*map(F.lit, VARIABLES)), F.col("variables"))
+    depth = F.when(F.col("depth_max").isNull(), "null").otherwise(text(min="depth_min", max="depth_max"))
+    parts = {
+        "dataset": F.lit('"core"'), "depth_dbar": depth, "geography": place, "operation": work, "plan_schema": F.lit(f'"{PLAN_SCHEMA}"'), "presentation": text(kind="presentation", bins="bins"),
+        "qc_policy": F.concat(F.lit('"'), F.col("qc_policy"), F.lit('"')), "time_range": text(start=instant(F.col("start")), end=instant(F.col("end"))), "variables": F.to_json(named),
+    }
+    pieces = [x for i, (k, v) in enumerate(sorted(parts.items())) for x in (F.lit(f'{"," if i else ""}"{k}":'), v)]
+    return F.concat(F.lit("{"), *pieces, F.lit("}"))

@@ -70,16 +70,25 @@ def plan_rows(t):
         F.when(F.col("o_orderstatus") == "F", "aggregate").when(F.col("o_orderstatus") == "O", "profiles").otherwise("nearest").alias("kind"),
         F.when(k % 7 > 0, (k % 1500).cast("int")).alias("limit_"), (k % 120).cast("int").alias("k"), (k % 2500).cast("double").alias("radius_km"), keys.alias("group_by"),
         F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("mean"), pick(k, "count", "mean", "max"))).alias("metrics"), F.when(k % 3 == 0, 100).alias("depth_bin_size"),
-        pick(k, "science_ready", "mode_selected", "raw").alias("qc_policy"), pick(F.col("o_custkey"), "table", "line_chart", "map").alias("presentation"),
+        pick(k, "science_ready", "mode_selected", "raw").alias("qc_policy"), pick(F.col("o_custkey"), *document.PRESENTATIONS).alias("presentation"),
+        F.when(k % 13 == 0, (k % 300).cast("int")).alias("bins"), F.when(k % 17 == 0, (k % 3000).cast("double")).alias("geo_km"),
+        F.when(k % 2 == 0, F.array(F.lit("salinity"), F.lit("temperature"))).otherwise(F.array(F.lit("pressure"))).alias("variables"),
+        F.lit("bbox").alias("geography"), F.lit(None).cast("string").alias("region"), *[F.lit(None).cast("double").alias(c) for c in ("geo_longitude", "geo_latitude")],
+        (k % 360 - 180).cast("double").alias("longitude"), (k % 180 - 90).cast("double").alias("latitude"), F.lit(None).cast("string").alias("cursor"), F.lit("profile").alias("unit"),
     )
 
 
-_PLANS = """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderstatus WHEN 'F' THEN 'aggregate' WHEN 'O' THEN 'profiles' ELSE 'nearest' END AS kind, o_orderkey % 400 - 10 AS days FROM orders),
- v AS (SELECT *, k % 3 = 2 AS raw, c % 3 = 1 AS line, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS repeated FROM r)"""
+_SHOWS = "['table','line_chart','scatter','profile_plot','ts_diagram','histogram','map'][1 + c % 7]"
+_PLANS = f"""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS began, CASE o_orderstatus WHEN 'F' THEN 'aggregate' WHEN 'O' THEN 'profiles' ELSE 'nearest' END AS kind, o_orderkey % 400 - 10 AS days FROM orders),
+ v AS (SELECT *, k % 3 = 2 AS raw, {_SHOWS} AS shown, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS repeated, CASE WHEN k % 13 = 0 THEN k % 300 END AS bins FROM r)"""
 _CODES = """concat_ws(',', CASE WHEN days <= 0 THEN 'time_range:invalid_time_range' END, CASE WHEN days > 366 THEN 'time_range:unbounded_request' END, CASE WHEN k % 900 >= c % 1000 THEN 'depth_dbar:invalid_depth_range' END,
- CASE WHEN -30 >= k % 50 - 40 THEN 'geography:invalid_geography' END, CASE WHEN k % 60 = c % 60 THEN 'geography:invalid_geography' END, CASE WHEN raw AND kind <> 'profiles' THEN 'qc_policy:operation_variable_mismatch' END,
- CASE WHEN line AND kind <> 'aggregate' THEN 'presentation.kind:operation_variable_mismatch' END, CASE WHEN kind = 'profiles' AND (k % 7 = 0 OR k % 1500 > 1000) THEN 'operation.limit:unbounded_request' END,
- CASE WHEN kind = 'nearest' AND k % 2500 > 2000 THEN 'operation.radius_km:invalid_geography' END, CASE WHEN kind = 'nearest' AND k % 120 > 100 THEN 'operation.k:unbounded_request' END,
+ CASE WHEN -30 >= k % 50 - 40 THEN 'geography:invalid_geography' END, CASE WHEN k % 60 = c % 60 THEN 'geography:invalid_geography' END, CASE WHEN k % 17 = 0 AND k % 3000 > 2000 THEN 'geography.radius_km:invalid_geography' END,
+ CASE WHEN raw AND kind <> 'profiles' THEN 'qc_policy:operation_variable_mismatch' END, CASE WHEN shown = 'ts_diagram' AND k % 2 = 1 THEN 'presentation.kind:operation_variable_mismatch' END,
+ CASE WHEN shown IN ('profile_plot', 'ts_diagram') AND kind <> 'profiles' THEN 'presentation.kind:operation_variable_mismatch' END, CASE WHEN shown IN ('line_chart', 'histogram', 'scatter') AND kind <> 'aggregate' THEN 'presentation.kind:operation_variable_mismatch' END,
+ CASE WHEN shown = 'line_chart' AND kind = 'aggregate' AND k % 5 IN (1, 3, 4) THEN 'presentation.kind:operation_variable_mismatch' END, CASE WHEN shown = 'map' AND kind = 'aggregate' THEN 'presentation.kind:operation_variable_mismatch' END,
+ CASE WHEN bins IS NOT NULL AND shown <> 'histogram' THEN 'presentation.bins:invalid_value' END, CASE WHEN shown = 'histogram' AND bins > 200 THEN 'presentation.bins:unbounded_request' END,
+ CASE WHEN kind = 'profiles' AND (k % 7 = 0 OR k % 1500 > 1000) THEN 'operation.limit:unbounded_request' END,
+ CASE WHEN kind = 'nearest' AND k % 2500 > 2000 THEN 'operation.radius_km:invalid_geography' END, CASE WHEN kind = 'nearest' AND k % 120 > 100 THEN 'operation.k:unbounded_request' END, CASE WHEN kind = 'nearest' AND shown NOT IN ('table', 'map') THEN 'presentation.kind:operation_variable_mismatch' END,
  CASE WHEN kind = 'aggregate' AND k % 11 = 0 THEN 'operation.metrics:unbounded_request' END, CASE WHEN kind = 'aggregate' AND k % 11 <> 0 AND repeated = 1 THEN 'operation.metrics:invalid_value' END,
  CASE WHEN kind = 'aggregate' AND k % 5 = 2 THEN 'operation.group_by:invalid_value' END, CASE WHEN kind = 'aggregate' AND (k % 5 = 0) <> (k % 3 = 0) THEN 'operation.depth_bin_size:invalid_value' END,
  CASE WHEN kind = 'aggregate' AND k % 5 = 1 AND days > 31 THEN 'operation.group_by:unbounded_request' END)"""
@@ -91,12 +100,19 @@ def _(t):
     return plan_rows(t).select("o_orderkey", F.array_join(document.codes(), ",").alias("codes"))
 
 
-@query("plan_hash", """SELECT o_orderkey, sha256('{"depth_bin_size":' || CASE WHEN o_orderkey % 3 = 0 THEN '100' ELSE 'null' END || ',"kind":"' || CASE o_orderstatus WHEN 'F' THEN 'aggregate' WHEN 'O' THEN 'profiles' ELSE 'nearest' END ||
- '","qc_policy":"' || (['science_ready','mode_selected','raw'])[1 + o_orderkey % 3] || '","start":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '"}') AS plan_sha256 FROM orders""")
+_REAL = lambda x: f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+_OPERATION = f"""CASE kind WHEN 'aggregate' THEN '{{"depth_bin_size":' || CASE WHEN k % 3 = 0 THEN '100' ELSE 'null' END || ',"group_by":' || CASE WHEN k % 5 = 0 THEN '["month","depth_bin"]' WHEN k % 5 = 1 THEN '["float"]' WHEN k % 5 = 2 THEN '["day","day"]' ELSE '["profile"]' END ||
+  ',"kind":"aggregate","metrics":' || CASE WHEN k % 11 = 0 THEN '[]' ELSE '["mean","' || (['count','mean','max'])[1 + k % 3] || '"]' END || ',"unit":"profile"}}'
+ WHEN 'nearest' THEN '{{"k":' || (k % 120) || ',"kind":"nearest","latitude":' || {_REAL('k % 180 - 90')} || ',"longitude":' || {_REAL('k % 360 - 180')} || ',"radius_km":' || {_REAL('k % 2500')} || '}}'
+ ELSE '{{"cursor":null,"kind":"profiles","limit":' || CASE WHEN k % 7 > 0 THEN CAST(k % 1500 AS VARCHAR) ELSE 'null' END || '}}' END"""
+
+
+@query("plan_hash", f"""{_PLANS} SELECT k AS o_orderkey, sha256('{{"dataset":"core","depth_dbar":{{"max":' || {_REAL('c % 1000')} || ',"min":' || {_REAL('k % 900')} || '}},"geography":{{"east":' || {_REAL('c % 60')} || ',"kind":"bbox","north":' || {_REAL('k % 50 - 40')} || ',"south":-30.0,"west":' || {_REAL('k % 60')} || '}},"operation":' || {_OPERATION} ||
+ ',"plan_schema":"stage2-plan-v1","presentation":{{"bins":' || coalesce(CAST(bins AS VARCHAR), 'null') || ',"kind":"' || shown || '"}},"qc_policy":"' || (['science_ready','mode_selected','raw'])[1 + k % 3] || '","time_range":{{"end":"' || strftime(began + to_days(CAST(days AS INT)), '%Y-%m-%dT%H:%M:%SZ') ||
+ '","start":"' || strftime(began, '%Y-%m-%dT%H:%M:%SZ') || '"}},"variables":' || CASE WHEN k % 2 = 0 THEN '["temperature","salinity"]' ELSE '["pressure"]' END || '}}') AS plan_sha256 FROM v""")
 def _(t):
-    """Digests of a table of plans: equal plans have equal digests, however their fields were written."""
-    text = document.canonical_text({c: F.col(c) for c in ("kind", "qc_policy", "start", "depth_bin_size")})
-    return plan_rows(t).select("o_orderkey", F.sha2(text, 256).alias("plan_sha256"))
+    """Digests of a table of plans over all their fields: equal plans have equal digests, however their fields were written."""
+    return plan_rows(t).select("o_orderkey", F.sha2(document.plan_text(), 256).alias("plan_sha256"))
 
 
 @query("plan_provenance", f"""WITH q AS (SELECT profile_id FROM b_profiles WHERE {_IN} AND {_BOX}), h AS (SELECT sum(CAST('0x' || substr(sha256(profile_id), 1, 15) AS BIGINT)) AS s, count(*) AS n FROM q)

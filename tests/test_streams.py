@@ -43,4 +43,5 @@ def test_caps_go_on_after_a_restart_and_days_are_forgotten(spark, tmp_path):
         judged = capped(_land(spark, rows, schema, log), ["who"], 10.0)
         appended(judged, out, marks)
     got = {r.call_id: (r.spent, r.allowed) for r in spark.read.schema(judged.schema).parquet(out).collect()}
-    assert got == {1: (0.0, True), 2: (5.0, True), 3: (0.0, True), 4: (11.0, False), 5: (20.0, False), 6: (0.0, True), 7: (0.0, True), 9: (1.0, True)} or got == {**{1: (0.0, True), 2: (5.0, True), 3: (0.0, True), 4: (11.0, False), 5: (20.0, False), 6: (0.0, True), 7: (0.0, True), 9: (1.0, True)}, 8: got.get(8)}
+    print("GOT", got)
+    assert got == {1: (0.0, True), 2: (5.0, True), 3: (0.0, True), 4: (11.0, False), 5: (20.0, False), 6: (0.0, True), 7: (0.0, True), 9: (1.0, True)}  # 8 is too late
