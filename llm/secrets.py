@@ -1,8 +1,8 @@
 r"""Secrets in texts and in what the texts encode.
 
 Each text is the first layer of a worklist. A layer is scanned for the three base kinds; then every
-encoded run in it (percent escapes, \u, \U and \x escapes, base64, and compressed bytes within base64 or escapes) is
-decoded into a further layer, until no new layer appears. A layer with the content of one that it was
+encoded run in it (percent escapes, with + as a blank too, \u, \U and \x escapes, base64 of UTF-8 or UTF-16, and compressed
+bytes within base64 or escapes: gzip, zlib of any window, raw deflate, bz2, xz, lzma) is decoded into a further layer, until no new layer appears. A layer with the content of one that it was
 decoded from is scanned but not opened, which ends cycles; content that stands at several places is
 reported at each. Every layer carries, for each of its characters, the span of the original text that
 it came from, so a match is reported where its encoded form lies. Percent and backslash escapes are
@@ -10,7 +10,9 @@ mapped to the character, base64 to the group of four, a compressed layer to its
 
 A base64 run is one of either alphabet, since both have the same values. Other characters of the
 alphabet may stand before it, so it is read in all four steps, and each readable part of the bytes is a
-layer (a part without matches or encoded runs is left out). A run wrapped over lines is read as a whole and line by line.
+layer (a part without matches or encoded runs is left out). A run wrapped over lines is read as a whole and line by line; lines
+of under 20 characters count as wrapped if they are equally long. Bytes without a header of their own (raw deflate, zlib of a
+smaller window) are only looked for where a run begins, and count if they end as they should.
 
 A compressed run (of one or more members) is opened MAX_LAYER bytes at a time. A longer one is scanned
 in windows that overlap by OVERLAP bytes, and by more where an encoded run would be cut: a window only
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -48,7 +51,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
-_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}")
+_HINT = re.compile(r"(?:%[0-9A-Fa-f]{2})|\\u\{[0-9A-Fa-f]|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}|(?<![^\n])[A-Za-z0-9+/_-]{4,19}\r?\n[A-Za-z0-9+/_-]{4,19}(?![^\r\n=])")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Lines of a run and its last, shorter one.
@@ -66,7 +69,13 @@ _TEXT = re.compile(
 _INNER_BLANK = re.compile(rb"[^\s][ \t][^\s]")
 _PRINTED = re.compile(r"[!-~]+")
 _BYTE = re.compile(r"(?:%|\\x)[08-9A-Fa-f][0-9A-Fa-f]")
-_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]|\x5d\x00\x00[\x00-\xff]{2}")
+#: Characters of UTF-16 that are ASCII, in either byte order.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){15,}+|(?:\x00[\t\n\r\x20-\x7e]){15,}+")
+_FORM = re.compile(r"[^\s]*%[0-9A-Fa-f]{2}[^\s]*")
+_SHORT_LINE = re.compile(r"[ \t]*([A-Za-z0-9+/_-]{4,19})(={0,2})[ \t]*\r?$")
+#: Lines of one length that make a wrapped run, and least characters of any run.
+LEAST_LINES, LEAST_RUN = 3, 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,8 +139,16 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), np.concatenate([*a, starts[last:]]), np.concatenate([*b, ends[last:]]))
 
 
+def formed(layer: Layer) -> Layer | None:
+    """The layer with + as a blank in words with percent escapes, as forms write it; None if there is none."""
+    text = _FORM.sub(lambda m: m.group().replace("+", " "), layer.text)
+    return None if text == layer.text else Layer(text, *layer.bounds())
+
+
 def _opener(raw: bytes):
     """A decompressor for bytes that begin like a compressed run; None for others."""
+    if raw[:3] == b"\x5d\x00\x00":
+        return lzma.LZMADecompressor(format=lzma.FORMAT_ALONE, memlimit=128 << 20)
     if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
         return zlib.decompressobj(47)
     if raw[:3] == b"BZh":
@@ -181,6 +198,28 @@ def _unpacked(raw: bytes) -> Iterator[str]:
     yield from _texts(held)
 
 
+def _headless(raw: bytes) -> Iterator[str]:
+    """Texts of bytes that are one whole zlib stream of a smaller window, or one whole raw deflate stream; what follows it must be short."""
+    ways = [-15]
+    if len(raw) > 2 and raw[0] & 15 == 8 and raw[0] < 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        ways.insert(0, 15)
+    for bits in ways:
+        opener, held, found, data = zlib.decompressobj(bits), b"", [], raw
+        try:
+            while not opener.eof and data:
+                held += opener.decompress(data, MAX_LAYER)
+                data = opener.unconsumed_tail
+                if len(held) >= MAX_LAYER and not opener.eof:
+                    found += _texts(held)
+                    held = held[_begin(held) :]
+        except zlib.error:
+            continue
+        if opener.eof and len(opener.unused_data) < 3:
+            yield from found
+            yield from _texts(held)
+            return
+
+
 def _escaped_bytes(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, bytes) of each word whose percent or \\x escapes begin a compressed run."""
     for m in _PRINTED.finditer(text):
@@ -203,13 +242,41 @@ def _runs(text: str) -> Iterator[np.ndarray]:
                 yield np.concatenate([np.arange(x.start(), x.end()) for x in _IN_RUN.finditer(text, m.start(), end)])
 
 
+def _short_lines(text: str) -> Iterator[np.ndarray]:
+    """The places of base64 runs wrapped at under 20 characters: LEAST_LINES lines or more of one length, and a shorter last one."""
+    held, width, at = [], 0, 0
+
+    def run() -> Iterator[np.ndarray]:
+        if len(held) >= LEAST_LINES and sum(b - a for a, b in held) >= LEAST_RUN:
+            yield np.concatenate([np.arange(a, b) for a, b in held])
+
+    for line in text.split("\n"):
+        m = _SHORT_LINE.match(line)
+        size = m.end(1) - m.start(1) if m else 0
+        place = (at + m.start(1), at + m.end(2)) if m else None
+        if held and m and size == width and not m.group(2):
+            held.append(place)
+        else:
+            if held and m and size <= width:  # the last line
+                held.append(place)
+                yield from run()
+                held = []
+            else:
+                yield from run()
+                held = [place] if m and not m.group(2) else []
+                width = size
+        at += len(line) + 1
+    yield from run()
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers that base64 runs of ``layer`` hold, compressed or not, and escaped words hold compressed."""
     starts, ends = layer.bounds()
     for a, b, raw in _escaped_bytes(layer.text) if ("%" in layer.text or "\\x" in layer.text) else ():
         for text in _unpacked(raw):
             yield Layer(text, np.full(len(text), starts[a]), np.full(len(text), ends[b - 1]))
-    for at in _runs(layer.text):
+    short = _short_lines(layer.text) if "\n" in layer.text else ()
+    for at in itertools.chain(_runs(layer.text), short):
         whole = layer.text[at[0] : at[-1] + 1]
         if len(whole) > len(at):
             whole = "".join(_IN_RUN.findall(whole))
@@ -229,6 +296,15 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
                 stop = m.start() + np.cumsum(size)
                 first, last = step + (stop - size) // 3 * 4, np.minimum(step + (stop - 1) // 3 * 4 + 4, len(at))
                 yield Layer(text, starts[at[first]], ends[at[last - 1]])
+            for m in _WIDE.finditer(raw):
+                text = m.group()[m.group()[0] == 0 :: 2].decode("ascii")
+                if base_spans(text) or _HINT.search(text):
+                    stop = m.start() + 2 * np.arange(1, len(text) + 1)
+                    first, last = step + (stop - 2) // 3 * 4, np.minimum(step + (stop - 1) // 3 * 4 + 4, len(at))
+                    yield Layer(text, starts[at[first]], ends[at[last - 1]])
+            if not _TEXT.match(raw) or len(_TEXT.match(raw).group()) < LEAST_TEXT:
+                for text in _headless(raw):
+                    yield Layer(text, np.full(len(text), starts[at[step]]), np.full(len(text), ends[at[-1]]))
             for m in _PACKED.finditer(raw):
                 for text in _unpacked(raw[m.start() :]):
                     n = len(text)
@@ -247,6 +323,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     while work:
         layer, above = work.pop()
         further = [unescaped(layer)] if ("%" in layer.text or "\\" in layer.text) else []
+        if "%" in layer.text and "+" in layer.text and (form := formed(layer)):
+            further.append(unescaped(form))
         for found in [*further, *unwrapped(layer)]:
             if found is None:
                 continue

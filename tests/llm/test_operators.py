@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import json
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -56,10 +57,29 @@ def test_query_equals_sql(spark, name):
 SECRET = 'password = "abcdefghijklmnop"'
 
 
+def _deflated(text, bits):
+    packer = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return packer.compress(text.encode()) + packer.flush()
+
+
+@pytest.mark.parametrize("width", [6, 8, 12, 16, 19])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_secret_is_found_in_runs_wrapped_at_short_lines(width, end):
+    run = base64.b64encode(f"lorem {SECRET} ipsum".encode()).decode()
+    form = end.join(run[i : i + width] for i in range(0, len(run), width))
+    text = f"words before\n{form}\nafter it"
+    spans = [(a, b) for a, k, b in secrets.scan(text)[1] if k == 0]
+    assert spans and all(13 <= a < b <= 13 + len(form) for a, b in spans)
+    assert not secrets.scan("apples\nbanana\ncherry\nwords of a list\nbanana\n" * 3)[1]
+
+
 @pytest.mark.parametrize("form", [
     SECRET, urllib.parse.quote(SECRET, safe=""), urllib.parse.quote(urllib.parse.quote(SECRET, safe="")), "".join(f"\\u{ord(c):04x}" for c in SECRET),
     "".join(f"\\x{ord(c):02x}" for c in SECRET), base64.b64encode(SECRET.encode()).decode(), base64.urlsafe_b64encode(SECRET.encode()).decode(),
     base64.b64encode(gzip.compress(SECRET.encode())).decode(), base64.b64encode(zlib.compress(SECRET.encode())).decode(), base64.b64encode(base64.b64encode(base64.b64encode(SECRET.encode()))).decode(),
+    urllib.parse.quote_plus(SECRET), urllib.parse.quote(urllib.parse.quote_plus(SECRET)), base64.b64encode(SECRET.encode("utf-16")).decode(), base64.b64encode(SECRET.encode("utf-16-le")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+    base64.b64encode(_deflated(SECRET, 9)).decode(), base64.b64encode(_deflated(SECRET, 12)).decode(), base64.b64encode(_deflated(SECRET, -15)).decode(), base64.b64encode(_deflated("lorem ipsum " * 500 + SECRET, -15)).decode(),
+    base64.b64encode(lzma.compress(SECRET.encode(), format=lzma.FORMAT_ALONE)).decode(), base64.b64encode(base64.b64encode(_deflated(SECRET, 10))).decode(),
 ])
 def test_secret_is_found_in_every_form_and_within_it(form):
     text = f"é before {form} after"
