@@ -166,7 +166,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (ROWS_TO
         return None, prior
     order = F.xxhash64("doc_id")
     picked = gold.where("y = 1").orderBy(order, "doc_id").limit(rows[0]).unionByName(gold.where("y = 0").orderBy(order, "doc_id").limit(rows[1]))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # Of rows that share a doc_id the text of least hash stands for it, however the rows are dealt.
+    sample = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_least"), F.first("y").alias("y")).select("doc_id", F.col("_least.text").alias("text"), "y")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"doc_id": [], "text": [], "y": []})]).sort_values("doc_id")
