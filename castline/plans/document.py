@@ -341,10 +341,12 @@ def run_raw(plan: dict, profiles: DataFrame, levels: DataFrame, edges: DataFrame
     return found.select("profile_id", "observed_at", "level_index", *columns).orderBy(F.desc("observed_at"), F.desc("profile_id"), "level_index")
 
 
-def provenance(plan: dict, result: DataFrame, profiles: DataFrame) -> DataFrame:
+def provenance(plan: dict, result: DataFrame, profiles: DataFrame, coverage: DataFrame | None = None, attribution: dict[str, str] | None = None, versions: dict[str, str] | None = None) -> DataFrame:
     """One row beside a result: plan digest, rows, digest of the rows, what the plan's slots hold, versions, attribution.
 
     The digest adds up a hash of each row, so it holds for results of any size and order; doubles count to nine places.
+    ``coverage``: rows of ``operators.coverage.resolve`` for the plan's slots (their ``state``); without it the three counts are null.
+    ``attribution`` names the sources to be credited, ``versions`` what else made the result; both come back as maps, with the plan's own versions.
     """
     p = canonical(plan)
     cells = F.concat_ws("\x1f", *[F.coalesce((F.round(c, 9) if t == "double" else F.col(c)).cast("string"), F.lit("\x00")) for c, t in sorted(result.dtypes)])
@@ -352,9 +354,17 @@ def provenance(plan: dict, result: DataFrame, profiles: DataFrame) -> DataFrame:
     folded = each.agg(F.count("*").alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("_sum"))
     covered = _in_time(profiles, p).agg(F.countDistinct("observation_month").alias("months_covered"), F.count("*").alias("profiles_in_time"))
     made = folded.join(covered, how="cross")  # one row each
+    held = ("covered", "empty_verified")
+    if coverage is not None:
+        slots = coverage.agg(F.count("*").alias("slots_total"), F.count_if(F.col("state").isin(*held)).alias("slots_covered"))
+        made = made.join(slots.withColumn("slots_missing", F.col("slots_total") - F.col("slots_covered")), how="cross")
+    else:
+        made = made.withColumns({c: F.lit(None).cast("long") for c in ("slots_total", "slots_covered", "slots_missing")})
+    mapped = lambda d: F.create_map(*[F.lit(x) for pair in sorted(d.items()) for x in pair]) if d else F.create_map().cast("map<string,string>")
     return made.select(
         F.lit(plan_sha256(plan)).alias("plan_sha256"), "row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), "_sum"), 256).alias("result_sha256"),
-        "months_covered", "profiles_in_time", F.lit(p["qc_policy"]).alias("qc_policy"), F.lit(PLAN_SCHEMA).alias("plan_schema"),
+        "months_covered", "profiles_in_time", "slots_total", "slots_covered", "slots_missing", F.lit(p["qc_policy"]).alias("qc_policy"), F.lit(PLAN_SCHEMA).alias("plan_schema"),
+        F.lit(json.dumps(p["geography"], sort_keys=True)).alias("geography"), mapped({"plan_schema": PLAN_SCHEMA, "qc_policy": p["qc_policy"]} | (versions or {})).alias("versions"), mapped(attribution or {}).alias("attribution"),
     )
 
 

@@ -124,7 +124,30 @@ def _(t):
 
     p = document.canonical(MONTHLY)["time_range"]
     ids = t.profiles.where((F.col("observed_at") >= F.lit(p["start"]).cast("timestamp")) & (F.col("observed_at") < F.lit(p["end"]).cast("timestamp")) & in_bbox(40, -30, 90, 25)).select("profile_id")
-    return document.provenance(MONTHLY, ids, t.profiles)
+    made = document.provenance(MONTHLY, ids, t.profiles)
+    return made.select("plan_sha256", "row_count", "result_sha256", "months_covered", "profiles_in_time", "qc_policy", "plan_schema")
+
+
+COUNTED = MONTHLY | {"operation": {"kind": "aggregate", "group_by": ["month", "profile"], "metrics": ["count"], "unit": "measurement"}, "variables": ["temperature"]}
+
+
+@query("plan_provenance_result", f"""WITH q AS (SELECT strftime(observed_at, '%Y-%m') AS month, profile_id AS profile, count(t) AS n FROM b_sel WHERE {_IN} AND {_BOX} AND p BETWEEN 0 AND 1000 GROUP BY ALL),
+ h AS (SELECT count(*) AS n, sum(CAST('0x' || substr(sha256(month || chr(31) || profile || chr(31) || n), 1, 15) AS HUGEINT)) AS s FROM q),
+ g AS (SELECT m.m, x, y FROM (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS m) m, (SELECT unnest([40, 50, 60, 70, 80]) AS x), (SELECT unnest([-30, -20, -10, 0, 10]) AS y)),
+ c AS (SELECT count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM b_profiles p WHERE p.observation_month = CAST(g.m AS DATE) AND floor((longitude - 20) / 10) * 10 + 20 = x AND floor((latitude + 60) / 10) * 10 - 60 = y)) AS covered FROM g)
+ SELECT '{document.plan_sha256(COUNTED)}' AS plan_sha256, n AS row_count, sha256(n || ':' || coalesce(s, 0)) AS result_sha256, total AS slots_total, covered AS slots_covered, total - covered AS slots_missing, 'profiles and levels of the bridge' AS credit FROM h, c""")
+def _(t):
+    """The row beside a plan's own result, with the coverage of its slots and whom to credit."""
+    from castline.operators.coverage import SLOT, request_slots
+
+    time = t.spark.createDataFrame([("1996-01-01", "1997-01-01")], "a string, b string").select(F.col("a").cast("timestamp").alias("request_start"), F.col("b").cast("timestamp").alias("request_end"))
+    slots = request_slots(time, t.spark.createDataFrame([(x, y) for x in (40, 50, 60, 70, 80) for y in (-30, -20, -10, 0, 10)], "west long, south long"))
+    corner = lambda c, first: (F.floor((F.col(c) - first) / 10) * 10 + first).cast("long")
+    held = t.profiles.select(F.col("observation_month").alias("month"), corner("longitude", 20).alias("west"), corner("latitude", -60).alias("south")).distinct().withColumn("held", F.lit(True))
+    states = slots.join(held, list(SLOT), "left").select(F.when(F.col("held"), "covered").otherwise("fetch_coverage").alias("state"))
+    result = document.run_plan(COUNTED, t.store.profiles, t.store.levels)
+    made = document.provenance(COUNTED, result, t.profiles, states, {"bridge": "profiles and levels of the bridge"})
+    return made.select("plan_sha256", "row_count", "result_sha256", "slots_total", "slots_covered", "slots_missing", F.col("attribution")["bridge"].alias("credit"))
 
 
 @query("d02_quarter_profile", "SELECT month, round(avg(t) + 1e-9, 5) AS temperature_mean, count(t) AS temperature_count FROM (SELECT profile_id, strftime(observed_at, '%Y-%m') AS month, avg(t) AS t FROM b_sel WHERE observed_at >= TIMESTAMP '1996-01-01' AND observed_at < TIMESTAMP '1996-04-01' GROUP BY ALL) GROUP BY month")
