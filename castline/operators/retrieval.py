@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.functions.text import tokens
 
-DIMENSIONS, TRIGRAM_WEIGHT, QUERY_BLOCK = 768, 0.35, 64
+DIMENSIONS, TRIGRAM_WEIGHT, QUERY_BLOCK, DOCUMENT_BLOCK = 768, 0.35, 512, 4096
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,29 +25,78 @@ def valid_now(df: DataFrame, now: Column) -> DataFrame:
     return df.where((F.col("scope") == "public") & (F.col("valid_from") <= now) & (F.col("valid_until").isNull() | (F.col("valid_until") > now)))
 
 
-def scored(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_type, key, score of every query (query_id, q) with every document (doc_type, key, embedding).
+def _blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """Rows packed ``size`` at a time where they are: their other columns as lists, and their unit vectors as one matrix.
 
-    Documents stay where they are. The queries, a stated set, are packed in blocks of QUERY_BLOCK, and a block
-    meets a document once.
+    A vector that is null, of another length than the first of its block, or without length has no direction and is left out.
+    """
+    rest = [f for f in rows.schema if f.name != vector]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def block() -> pd.DataFrame:
+            all_ = pd.concat(held)
+            sound = all_[vector].notna()
+            all_ = all_[sound]
+            width = len(all_[vector].iloc[0]) if len(all_) else 0
+            all_ = all_[all_[vector].map(len) == width]
+            m = np.array(all_[vector].tolist(), np.float64).reshape(len(all_), width)
+            length = np.sqrt((m * m).sum(axis=1))
+            good = length > 0
+            m = m[good] / length[good, None]
+            return pd.DataFrame({**{f.name: [all_[f.name][good].tolist()] for f in rest}, "_m": [m.tobytes()], "_width": [width]})
+
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                held.append(batch.iloc[at : at + size])
+                if sum(map(len, held)) >= size:
+                    yield block()
+                    held.clear()
+        if held:
+            yield block()
+
+    schema = ", ".join([*[f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rest], "_m binary, _width int"])
+    return rows.mapInPandas(run, schema)
+
+
+def scored(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_type, key, stage, score: of every query (query_id, q) with documents (doc_type, key, embedding, stage) the pairs
+    that may be among the k best of a stage.
+
+    The queries, a stated set, and the documents are packed in blocks; a block of queries meets a block of documents in one
+    matrix product, and only the k best of each query and stage (and what ties with them) leave it. A document is no match of itself.
     """
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(1 << 40)).alias("_h"), "query_id").agg(F.first("q").alias("q"))
-    blocks = blocks.withColumn("_b", F.floor(F.row_number().over(W.partitionBy(F.col("_h") % 64).orderBy("_h", "query_id")) / QUERY_BLOCK) * 64 + F.col("_h") % 64)
-    blocks = blocks.groupBy("_b").agg(F.collect_list(F.struct("query_id", "q")).alias("_qs")).select("_qs")
-    rows = docs.select("doc_type", "key", "embedding").join(blocks, how="cross")
-    each = rows.select("doc_type", "key", "embedding", F.explode("_qs").alias("_q"))
-    return each.where(F.col("_q.query_id") != F.col("key")).select(F.col("_q.query_id").alias("query_id"), "doc_type", "key", F.round(cosine(F.col("_q.q"), F.col("embedding")), 9).alias("score"))
+    left = _blocks(docs.select("doc_type", "key", "stage", "embedding"), "embedding", DOCUMENT_BLOCK)
+    right = _blocks(queries.select("query_id", F.col("q").alias("q")), "q", QUERY_BLOCK).withColumnsRenamed({"_m": "_q", "_width": "_qw"})
+    kinds = {f.name: f.dataType.simpleString() for f in (*docs.schema, *queries.schema)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if row["_width"] != row["_qw"] or not row["_width"]:
+                    continue
+                d = np.frombuffer(row["_m"]).reshape(-1, row["_width"])
+                q = np.frombuffer(row["_q"]).reshape(-1, row["_qw"])
+                if not len(d) or not len(q):
+                    continue
+                score = np.round(q @ d.T, 9)
+                ids, keys, types, stages = (np.array(list(row[c]), object) for c in ("query_id", "key", "doc_type", "stage"))
+                score[ids[:, None] == keys[None, :]] = -np.inf
+                for stage in dict.fromkeys(stages.tolist()):
+                    at = np.flatnonzero(stages == stage)
+                    own = score[:, at]
+                    least = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] > k else np.full(len(own), -np.inf)
+                    i, j = np.nonzero((own >= least[:, None]) & (own > -np.inf))
+                    yield pd.DataFrame({"query_id": ids[i], "doc_type": types[at[j]], "key": keys[at[j]], "stage": stage, "score": own[i, j]})
+
+    return left.join(right, how="cross").mapInPandas(run, f"query_id {kinds['query_id']}, doc_type {kinds['doc_type']}, key {kinds['key']}, stage string, score double")
 
 
 def best(rows: DataFrame, k: int, groups: list[str]) -> DataFrame:
-    """The k best of each group with their rank, by score to nine places, then type and key.
-
-    Each task keeps k rows for a group before the shuffle.
-    """
-    order = lambda w: w.orderBy(F.desc("score"), "doc_type", "key")
-    local = rows.withColumn("_p", F.spark_partition_id())
-    local = local.withColumn("_r", F.row_number().over(order(W.partitionBy(*groups, "_p")))).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(order(W.partitionBy(*groups)))).where(F.col("rank") <= k).drop("_p", "_r")
+    """The k best of each group with their rank, by score to nine places, then type and key."""
+    order = W.partitionBy(*groups).orderBy(F.desc("score"), "doc_type", "key")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, types: list[str] | None = None, model: str | None = None, now: Column | None = None) -> DataFrame:
@@ -52,7 +105,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int, types: list[str] | None
         docs = docs.where(F.col("doc_type").isin(*types))
     if model:
         docs = docs.where(F.col("model") == model)
-    return best(scored(queries, docs if now is None else valid_now(docs, now)), k, ["query_id"])
+    held = (docs if now is None else valid_now(docs, now)).withColumn("stage", F.lit(""))
+    return best(scored(queries, held, k), k, ["query_id"]).drop("stage")
 
 
 def two_stage(queries: DataFrame, docs: DataFrame, stages: dict[str, tuple[list[str], int]]) -> DataFrame:
@@ -62,8 +116,9 @@ def two_stage(queries: DataFrame, docs: DataFrame, stages: dict[str, tuple[list[
         stage = F.when(F.col("doc_type").isin(*types), name).otherwise(stage)
         most = F.when(F.col("stage") == name, k).otherwise(most)
     listed = [x for types, _ in stages.values() for x in types]
-    rows = scored(queries, docs.where(F.col("doc_type").isin(*listed))).withColumn("stage", stage)
-    return best(rows, max(k for _, k in stages.values()), ["query_id", "stage"]).where(F.col("rank") <= most)
+    deepest = max(k for _, k in stages.values())
+    rows = scored(queries, docs.where(F.col("doc_type").isin(*listed)).withColumn("stage", stage), deepest)
+    return best(rows, deepest, ["query_id", "stage"]).where(F.col("rank") <= most)
 
 
 def features(text: Column) -> Column:

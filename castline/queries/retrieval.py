@@ -32,7 +32,7 @@ def _(t):
 
 @query("top_cosine", f"SELECT query_id, doc_type, key, rank FROM ({_RANKED.format(by='query_id', pairs=_PAIRS)}) WHERE rank <= 10")
 def _(t):
-    return retrieval.best(retrieval.scored(_queries(t), _docs(t)), 10, ["query_id"]).select("query_id", "doc_type", "key", "rank")
+    return retrieval.search(_queries(t), _docs(t), 10).select("query_id", "doc_type", "key", "rank")
 
 
 @query("rt_search", f"SELECT query_id, doc_type, key, rank, round(score, 5) AS score FROM ({_RANKED.format(by='query_id', pairs=_PAIRS + ' AND e.label % 4 <> 3 AND e.label < 8')}) WHERE rank <= 5")
