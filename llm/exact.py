@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from llm.common import documents, stored
 
-CAPACITY, STEP = 1 << 16, 14
+#: Keys of a bucket at most: what one owner task sorts with its bucket's neighbours, well under a megabyte of entries.
+CAPACITY, STEP = 1 << 12, 14
 BROADCAST_BUCKETS = 1 << 20
 
 
