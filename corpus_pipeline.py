@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and
 reread as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined results, for every stage: a null text is empty, and no stage fails on it (the quality rules reject it, as it has too few
+words); a null or shared doc_id is kept, since rows are followed by numbers of their own and not by doc_id; repeated rows are alike,
+so near-dedup leaves one of them and mixing may write a row several times; an empty table gives an empty table with the same
+columns; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
