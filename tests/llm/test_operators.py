@@ -748,10 +748,11 @@ def test_pipeline_stage_by_stage(spark, tmp_path, codec):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert got.columns == columns, name
         if name == "quality_rules":
-            for d, r in rows.items():
-                n, _, symbols, _, repeated = _figures(r.text)
-                if n < 20 or 100 * repeated > 30 * n or symbols > 0.1 * n:
-                    assert d not in after
+            def rejected(text):
+                n, chars, symbols, dup, repeated = _figures(text)
+                return n < 20 or 100 * repeated > 30 * n or symbols > 0.1 * n or text.count("!!") > 0.1 * n or chars > 15 * n or chars < 2 * n or dup > 0.5 * len(text.split("\n"))
+
+            assert set(after) == {d for d, r in rows.items() if not rejected(r.text or "")}
             assert len(after) > 0.5 * len(rows)
         elif name == "line_dedup":
             kept = _kept_lines([(d, r.text) for d, r in rows.items()], lines.EDITS)
@@ -762,7 +763,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path, codec):
             firsts = _components({d: r.text for d, r in rows.items()}, 5, 80)
             assert set(after) == {d for d, (_, c) in firsts.items() if c == d}
         elif name == "source_mixing":
-            assert set(after) == set(rows)
+            times, labelled = Counter(r.doc_id for r in got.collect()), spark.read.parquet(f"{SF}/labels.parquet")
+            rate = {r.doc_id: r.rate for r in mixing.mixed(docs, labelled, budget="repeat").collect()}
+            assert set(times) == set(rows) and all(max(1, int(rate[d] - 1e-6)) <= n <= int(rate[d] + 1e-6) + 1 for d, n in times.items())
         else:
             assert got.count() == docs.count()
             assert all(np.asarray(r.ids, "<u4").tobytes() == _library(codec, rows[d].text)[0] for d, r in after.items())
