@@ -22,12 +22,6 @@ def filled(value: Column, fills: tuple[float, ...] = (FILL,)) -> tuple[Column, C
     return F.when(~fill, value), F.when(fill, "fill")
 
 
-def exact(text: Column) -> tuple[Column, Column]:
-    """(double, whether the double differs from the decimal text where 18 places suffice)."""
-    value = number(text)
-    return value, text.try_cast("decimal(38,18)") != value.try_cast("decimal(38,18)")
-
-
 def finite(value: Column) -> Column:
     """Null for NaN and the infinities."""
     return F.when(~(F.isnan(value) | (F.abs(value) == float("inf"))), value)
