@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from castline import registry
 from castline.plans import slice as monthly
-from castline.queries import aggregates, ingest, matching, phrases, plans, retrieval, scalars, selection, series, sets, sources, streams, windows  # noqa: F401  they register themselves
+from castline.queries import accounting, aggregates, batch, ingest, matching, phrases, plans, retrieval, scalars, selection, series, sets, sources, streams, windows  # noqa: F401  they register themselves
 
 
 def queries():

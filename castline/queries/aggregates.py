@@ -89,49 +89,11 @@ def _(t):
     return stored.select(F.explode(scopes).alias("scope"), "n").groupBy("scope").agg(F.count("*").alias("profiles"), F.sum("n").alias("levels"))
 
 
-@query("agg_availability", " UNION ALL ".join(f"SELECT '{v}' AS variable, count({v}) AS original, count({v}_adjusted) AS adjusted, count(*) FILTER ({v}_qc IN ('1','2')) AS good FROM b_levels" for v in VARIABLES))
-def _(t):
-    parts = [[F.count(v), F.count(f"{v}_adjusted"), F.count_if(F.col(f"{v}_qc").isin("1", "2"))] for v in VARIABLES]
-    one = t.levels.agg(*[F.struct(*[c.alias(n) for c, n in zip(p, ("original", "adjusted", "good"), strict=True)]).alias(v) for v, p in zip(VARIABLES, parts, strict=True)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("x")) for v in VARIABLES])).alias("r")).select("r.variable", "r.x.*")
-
-
-@query("agg_outcomes", "SELECT o_orderpriority AS leaf, o_orderstatus AS outcome, count(*) AS occurrences, CAST(sum(n) AS BIGINT) AS levels, count(*) FILTER (n IS NULL) AS unknown FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2")
-def _(t):
-    levels = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return t.orders.join(levels, "o_orderkey", "left").groupBy(F.col("o_orderpriority").alias("leaf"), F.col("o_orderstatus").alias("outcome")).agg(
-        F.count("*").alias("occurrences"), F.sum("n").alias("levels"), F.count_if(F.col("n").isNull()).alias("unknown"))
-
-
-@query("agg_payloads", "SELECT event_type, user_id % 4 AS disposition, count(*) AS attempts, round(sum(value) + 1e-9, 6) AS bytes FROM events GROUP BY 1, 2")
-def _(t):
-    return t.events.groupBy("event_type", (F.col("user_id") % 4).alias("disposition")).agg(F.count("*").alias("attempts"), r6(F.sum("value"), "bytes"))
-
-
-@query("agg_attempt_timing", "SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS micros FROM events GROUP BY user_id")
-def _(t):
-    micros = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    return t.events.groupBy("user_id").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), micros.alias("micros"))
-
-
-@query("agg_reasons", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-def _(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query("agg_retries", "SELECT user_id, CAST(sum(n - 1) AS BIGINT) AS retries FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("retries"))
 
 
-@query("agg_level_delta", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN n ELSE 0 END) AS BIGINT) AS inserted, CAST(sum(CASE WHEN o_orderstatus NOT IN ('F','O') THEN n ELSE 0 END) AS BIGINT) AS unchanged FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
-def _(t):
-    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    part = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    s = F.col("o_orderstatus")
-    return t.orders.join(n, "o_orderkey").groupBy("o_orderpriority").agg(part(s == "F").alias("removed"), part(s == "O").alias("inserted"), part(~s.isin("F", "O")).alias("unchanged"))
-
-
 @query("agg_ledger_balance", "SELECT a.k AS month, a.n AS reported, coalesce(b.n, 0) AS ledger, a.n = coalesce(b.n, 0) AS balanced FROM (SELECT strftime(o_orderdate, '%Y-%m') AS k, count(*) AS n FROM orders GROUP BY 1) a LEFT JOIN (SELECT strftime(l_shipdate, '%Y-%m') AS k, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def _(t):
     a = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("reported"))
@@ -153,30 +115,6 @@ def _(t):
     return most.crossJoin(shared)  # one row each
 
 
-@query("agg_coverage_summary", "SELECT count(*) FILTER (n > 20) AS covered, count(*) FILTER (n BETWEEN 1 AND 20) AS sparse, CAST(sum(n) AS BIGINT) AS profiles, count(DISTINCT observation_month) AS months, bool_or(n < 3) AS partial FROM (SELECT observation_month, floor(longitude / 10) AS x, count(*) AS n FROM b_profiles GROUP BY 1, 2)")
-def _(t):
-    slots = t.profiles.groupBy("observation_month", F.floor(F.col("longitude") / 10).alias("x")).agg(F.count("*").alias("n"))
-    return slots.agg(F.count_if(F.col("n") > 20).alias("covered"), F.count_if(F.col("n").between(1, 20)).alias("sparse"), F.sum("n").alias("profiles"), F.countDistinct("observation_month").alias("months"), F.bool_or(F.col("n") < 3).alias("partial"))
-
-
-@query("agg_cost_estimate", "SELECT CAST(observation_month AS VARCHAR) AS observation_month, count(*) AS levels, count(*) * 240 AS bytes FROM b_delivered l JOIN b_profiles m ON l.profile_id = m.profile_id WHERE longitude BETWEEN 40 AND 90 GROUP BY 1")
-def _(t):
-    heads = t.profiles.where(F.col("longitude").between(40, 90)).select("profile_id", F.col("observation_month").cast("string").alias("observation_month"))
-    return t.delivered.select("profile_id").join(heads, "profile_id").groupBy("observation_month").agg(F.count("*").alias("levels"), (F.count("*") * 240).alias("bytes"))
-
-
-@query("agg_progress", "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS rest, round(avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0 END) + 1e-9, 6) AS ratio FROM events GROUP BY 1")
-def _(t):
-    click = F.col("event_type") == "click"
-    return t.events.groupBy("user_id").agg(F.count_if(click).alias("clicks"), F.count_if(~click).alias("rest"), r6(F.avg(F.when(click, 1.0).otherwise(0.0)), "ratio"))
-
-
-@query("agg_run_status", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
-def _(t):
-    made = t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count()
-    return made.select("o_orderpriority", *[F.coalesce(x, F.lit(0)).alias(x.lower()) for x in ("F", "O", "P")])
-
-
 @query("agg_compactable", "SELECT l_orderkey, count(*) AS parts FROM lineitem GROUP BY 1 HAVING count(*) >= 6")
 def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("parts")).where("parts >= 6")
@@ -248,12 +186,6 @@ def _(t):
     return values.join(F.broadcast(newest), "profile_id", "left_semi").where("t IS NOT NULL AND s IS NOT NULL")
 
 
-@query("agg_llm_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, CAST(CAST(sum(CAST(value AS DECIMAL(12,6))) AS DECIMAL(22,6)) AS VARCHAR) AS cost, sum(CAST(value AS DECIMAL(12,6))) > 5000 AS over_cap FROM events GROUP BY 1")
-def _(t):
-    cost = F.sum(F.col("value").cast("decimal(12,6)")).cast("decimal(22,6)")
-    return t.events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("calls"), cost.cast("string").alias("cost"), (cost > 5000).alias("over_cap"))
-
-
 @query("agg_llm_cost", "SELECT event_id, round(value * CASE event_type WHEN 'click' THEN 0.002e0 WHEN 'view' THEN 0.001e0 ELSE 0.01e0 END, 9) AS cost, event_type NOT IN ('click', 'view') AS by_default FROM events")
 def _(t):
     prices = t.spark.createDataFrame([("click", 0.002), ("view", 0.001)], "event_type string, price double")
@@ -272,13 +204,6 @@ def _(t):
     return quantiles(t.events, ["event_type"], "value", {"p90": ("index", 0.9)})
 
 
-@query("agg_latency_table", "SELECT event_type, max(value) FILTER (event_id % 10 = 0) AS cold, quantile_disc(value, 0.5) FILTER (event_id % 10 <> 0) AS warm_p50, quantile_disc(value, 0.95) FILTER (event_id % 10 <> 0) AS warm_p95, CASE WHEN quantile_disc(value, 0.95) FILTER (event_id % 10 <> 0) <= 100 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events GROUP BY 1")
-def _(t):
-    cold = t.events.groupBy("event_type").agg(F.max(F.when(F.col("event_id") % 10 == 0, F.col("value"))).alias("cold"))
-    warm = quantiles(t.events.where("event_id % 10 <> 0"), ["event_type"], "value", {"warm_p50": ("nearest", 0.5), "warm_p95": ("nearest", 0.95)})
-    return cold.join(warm, "event_type", "left").withColumn("verdict", F.when(F.col("warm_p95") <= 100, "PASS").otherwise("FAIL"))
-
-
 @query("agg_witness", "SELECT bool_or(direction = 'A') AS ascending, bool_or(direction = 'D') AS descending, bool_or(direction = 'U') AS unknown, bool_or(cycle_number = 399) AS last_cycle, bool_or(longitude = 120) AS outer_edge FROM b_profiles")
 def _(t):
     d = F.col("direction")
