@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from castline.sources.readers import manifest_members
+
 
 def semi_manifest(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows whose (profile_id, profile_hash) a manifest (column ``members``) lists."""
-    listed = manifest.select(F.explode("members").alias("_m")).select("_m.profile_id", "_m.profile_hash")
-    return rows.join(listed, ["profile_id", "profile_hash"], "left_semi")
+    """Rows whose (profile_id, profile_hash) a manifest lists."""
+    return rows.join(manifest_members(manifest), ["profile_id", "profile_hash"], "left_semi")
 
 
 def interval_overlap(receipts: DataFrame, requests: DataFrame, slot: str = "slot") -> DataFrame:

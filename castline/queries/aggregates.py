@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from castline.functions.qc import VARIABLES, qc_code, qc_value
 from castline.operators.aggregate import aggregate, key
+from castline.operators.publication import group_requests
 from castline.operators.quantiles import quantiles
 from castline.operators.reporting import map_clusters, reconcile
 from castline.registry import query, r6
@@ -217,9 +218,11 @@ def _(t):
     return made.withColumn("added", F.col("after") - F.col("before"))
 
 
-@query("agg_attachment", "SELECT sha256(source || '|' || lang || '|' || n_chars) AS request, min(doc_id) AS job, count(*) AS attached FROM documents GROUP BY 1")
+@query("agg_attachment", """SELECT sha256('{"format":"csv","lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(n_chars % 50 || '', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS request, arg_min(doc_id, (n_chars // 100, doc_id)) AS job, count(*) AS attached FROM documents GROUP BY 1""")
 def _(t):
-    return t.documents.groupBy(F.sha2(F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string")), 256).alias("request")).agg(F.min("doc_id").alias("job"), F.count("*").alias("attached"))
+    """Requests whose canonical form is the same share the job that came first."""
+    requests = t.documents.select(F.col("doc_id").alias("job_id"), F.floor(F.col("n_chars") / 100).alias("created_at"), "source", "lang", (F.col("n_chars") % 50).alias("n_chars"), F.lit("csv").alias("format"))
+    return group_requests(requests, "source", "n_chars", "lang", "format")
 
 
 _MEMBERS = "SELECT profile_id, CASE WHEN cycle_number % 90 = 3 THEN md5(profile_hash) ELSE profile_hash END AS hash, n AS levels FROM st WHERE observed_at >= TIMESTAMP '1996-01-01' OR cycle_number % 90 <> 4"

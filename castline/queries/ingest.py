@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from castline.functions.geo import tile_key
 from castline.functions.qc import canonical_unit, implausible, place_variant
-from castline.operators import coverage, matching
+from castline.operators import coverage, matching, publication
 from castline.operators.flags import level_flags
 from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
@@ -16,14 +16,13 @@ from castline.sinks import compaction
 from castline.sinks.writers import digest
 
 
-@query("ing_dedupe", """WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT (l_partkey, l_suppkey, l_extendedprice)) AS forms FROM lineitem GROUP BY 1, 2)
- SELECT l_orderkey, l_linenumber, n, CASE WHEN forms > 1 THEN 'conflict' WHEN n > 1 THEN 'identical_duplicate' ELSE 'single' END AS outcome FROM g""")
+@query("ing_dedupe", """WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey * 1000 + l_suppkey) AS first, count(DISTINCT (l_partkey % 3, l_shipdate > TIMESTAMP '1994-01-01', CASE WHEN l_suppkey % 4 > 0 THEN 1 ELSE 0 END)) AS forms FROM lineitem GROUP BY 1, 2)
+ SELECT l_orderkey, l_linenumber, n, first, CASE WHEN forms > 1 THEN 'conflict' WHEN n > 1 THEN 'identical_duplicate' ELSE 'single' END AS outcome FROM g""")
 def _(t):
-    """Same identity and content is a duplicate, differing content a conflict."""
-    content = F.struct("l_partkey", "l_suppkey", "l_extendedprice")
-    g = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min(content).alias("lo"), F.max(content).alias("hi"))
-    outcome = F.when(F.col("lo") != F.col("hi"), "conflict").when(F.col("n") > 1, "identical_duplicate").otherwise("single")
-    return g.select("l_orderkey", "l_linenumber", "n", outcome.alias("outcome"))
+    """Same identity, content and revision is a duplicate; where either differs, a conflict. A part's key by 3 plays content, date and supplier (null for one in four) the revision."""
+    revision = F.struct((F.col("l_shipdate") > F.lit("1994-01-01").cast("timestamp")).alias("late"), F.when(F.col("l_suppkey") % 4 > 0, 1).alias("known"))
+    rows = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("identity"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ordinal"), (F.col("l_partkey") % 3).alias("hash"), revision.alias("revision"))
+    return publication.dedupe(rows).select("identity.*", "n", "first", "outcome")
 
 
 _IDENTITY = """WITH cand AS (SELECT o_orderkey AS cand, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS stable, o_custkey * 1000 + o_orderkey % 7 AS natural FROM orders),
@@ -125,15 +124,17 @@ def _(t):
     return t.profiles.join(bad, ["observation_month", "direction"], "left").select("profile_id", F.coalesce("bad", F.lit(False)).alias("quarantined"))
 
 
-@query("ing_manifest", f"""SELECT CAST(observation_month AS VARCHAR) || '/' || w || '_' || s AS slot, count(*) AS n, CAST(sum(levels) AS BIGINT) AS levels, string_agg(profile_id || ':' || profile_hash || ':' || levels, ',' ORDER BY profile_id) AS members
+@query("ing_manifest", """WITH m AS (SELECT CAST(observation_month AS VARCHAR) || '/' || w || '_' || s AS slot, profile_id, profile_hash, levels, row_number() OVER (PARTITION BY observation_month, w, s ORDER BY profile_id) - 1 AS k
  FROM (SELECT m.*, CASE WHEN longitude = 120 THEN 110 ELSE CAST(floor((longitude - 20) / 10) * 10 + 20 AS INT) END AS w, CASE WHEN latitude = 30 THEN 20 ELSE CAST(floor((latitude + 60) / 10) * 10 - 60 AS INT) END AS s, levels
-  FROM b_profiles m JOIN (SELECT profile_id, count(*) AS levels FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id) GROUP BY 1""")
+  FROM b_profiles m JOIN (SELECT profile_id, count(*) AS levels FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id))
+ SELECT slot, CAST(k // 2 AS BIGINT) AS part, count(*) AS n, CAST(sum(levels) AS BIGINT) AS levels, string_agg(profile_id || ':' || profile_hash || ':' || levels, ',' ORDER BY profile_id) AS members FROM m GROUP BY 1, 2""")
 def _(t):
-    """Members of each slot (a month of a tile) with their levels, sorted by id. A slot is bounded by nature."""
+    """Members of each slot (a month of a tile) with their levels, sorted by id, written in parts of two."""
     levels = t.delivered.groupBy("profile_id").agg(F.count("*").alias("levels"))
     slot = F.concat_ws("/", F.col("observation_month").cast("string"), tile_key(F.col("longitude"), F.col("latitude")))
-    made = t.profiles.join(levels, "profile_id").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.sum("levels").alias("levels"), F.array_sort(F.collect_list(F.struct("profile_id", "profile_hash", "levels"))).alias("m"))
-    return made.select("slot", "n", "levels", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["profile_id"], x["profile_hash"], x["levels"].cast("string"))), ",").alias("members"))
+    members = t.profiles.join(levels, "profile_id").select(slot.alias("slot"), "profile_id", "profile_hash", "levels")
+    made = publication.manifest_parts(members, most=2)
+    return made.select("slot", "part", "n", "levels", F.array_join(F.transform("members", lambda x: F.concat_ws(":", x["profile_id"], x["profile_hash"], x["levels"].cast("string"))), ",").alias("members"))
 
 
 @query("ing_compact", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC) AS r FROM lineitem) WHERE r = 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 4)")

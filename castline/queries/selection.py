@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from castline.operators import publication
 from castline.bridge import GLOBE, globe
 from castline.functions.geo import distance_sql, geo_distance, in_bbox, tile_key, within_km
 from castline.functions.numeric import finite
@@ -193,10 +194,15 @@ def _(t):
     return t.customer.join(done, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count("*").alias("customers"), F.count("o_orderkey").alias("orders"))
 
 
-@query("j_latest_run", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'F') WHERE r = 1")
+@query("j_latest_run", """WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS e, o_orderdate AS ref, o_orderdate + to_days(CAST(o_orderkey % 5 AS INT)) AS made FROM orders WHERE o_orderkey % 6 < 4 AND o_orderstatus <> 'P'),
+ d AS (SELECT e, count(*) AS n, arg_max(run_id, (ref, made, run_id)) FILTER (run_id % 7 <> 0) AS run_id, arg_max(ref, (ref, made, run_id)) FILTER (run_id % 7 <> 0) AS ref, arg_max(made, (ref, made, run_id)) FILTER (run_id % 7 <> 0) AS made FROM r GROUP BY 1)
+ SELECT c_custkey AS environment_id, coalesce(n, 0) AS completed_runs, run_id AS latest_run_id, ref AS reference_time, made AS ingested_at, a AS retrieved_from, b AS retrieved_to FROM customer LEFT JOIN d ON e = c_custkey LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) ON l_orderkey = run_id""")
 def _(t):
-    newest = t.orders.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    return newest.select("o_custkey", "m.o_orderkey", "m.o_totalprice")
+    """Customers play environments, orders runs (one in seven historical, some open or failed), lines their raw payloads."""
+    k = F.col("o_orderkey")
+    runs = t.orders.select(k.alias("run_id"), F.col("o_custkey").alias("environment_id"), (k % 6 < 4).alias("closed"), F.when(F.col("o_orderstatus") == "P", "failed").when(k % 2 == 0, "partial").otherwise("complete").alias("state"),
+                           F.when(k % 7 == 0, "historical").otherwise("normal").alias("mode"), F.col("o_orderdate").cast("timestamp_ntz").alias("reference_time"), (F.col("o_orderdate") + F.make_dt_interval((k % 5).cast("int"))).cast("timestamp_ntz").alias("created_at"))
+    return publication.latest_runs(t.customer.select(F.col("c_custkey").alias("environment_id")), runs, t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("retrieved_at")))
 
 
 @query("j_inventory", "SELECT sum(CASE WHEN a.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_after, sum(CASE WHEN b.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_before, sum(CASE WHEN a.k = b.k THEN 1 ELSE 0 END)::BIGINT AS in_both FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) a FULL JOIN (SELECT o_orderkey AS k FROM orders) b ON a.k = b.k")

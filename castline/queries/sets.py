@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from castline.operators import publication
 from castline.registry import query
 
 
@@ -17,12 +18,15 @@ def _(t):
     return part("early", F.col("observed_at") < _day("1996-01-01")).unionByName(part("late", F.col("observed_at") >= _day("2001-01-01")))
 
 
-@query("set_manifest_edit", "SELECT profile_id, 'old' AS origin FROM b_profiles WHERE direction = 'A' AND profile_id NOT IN (SELECT profile_id FROM b_profiles WHERE cycle_number < 50) UNION ALL SELECT profile_id, 'new' FROM b_profiles WHERE cycle_number < 50")
+@query("set_manifest_edit", """WITH p AS (SELECT profile_id, profile_hash, cycle_number AS c, direction AS d, CAST(observation_month AS VARCHAR) AS m FROM b_profiles), l AS (SELECT m AS slot, profile_id, profile_hash, 1 AS levels FROM p WHERE d = 'A'),
+ a AS (SELECT CASE WHEN c % 2 = 0 THEN m ELSE '1995-01-01' END AS slot, profile_id, md5(profile_hash) AS profile_hash, c AS levels FROM p WHERE c < 9), x AS (SELECT slot FROM a UNION SELECT slot FROM l WHERE profile_id IN (SELECT profile_id FROM a))
+ SELECT *, 'kept' AS origin FROM l WHERE profile_id NOT IN (SELECT profile_id FROM a) AND slot IN (SELECT slot FROM x) UNION ALL SELECT *, 'added' FROM a""")
 def _(t):
-    """(old minus replaced) plus new."""
-    new = t.profiles.where("cycle_number < 50").select("profile_id")
-    old = t.profiles.where("direction = 'A'").select("profile_id").join(new, "profile_id", "left_anti")
-    return old.withColumn("origin", F.lit("old")).unionByName(new.withColumn("origin", F.lit("new")))
+    """(old minus replaced) plus new, of changed slots: early cycles are corrected, every second one moves to another slot."""
+    p, c, month = t.profiles, F.col("cycle_number"), F.col("observation_month").cast("string")
+    listed = p.where("direction = 'A'").select(month.alias("slot"), "profile_id", "profile_hash", F.lit(1).cast("long").alias("levels"))
+    accepted = p.where("cycle_number < 9").select(F.when(c % 2 == 0, month).otherwise("1995-01-01").alias("slot"), "profile_id", F.md5("profile_hash").alias("profile_hash"), c.alias("levels"))
+    return publication.edited_manifest(listed, accepted)
 
 
 @query("set_manifest_audit", "SELECT count(*) FILTER (a.k IS NULL) AS missing, count(*) FILTER (b.k IS NULL) AS extra FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F') b ON a.k = b.k")
@@ -34,11 +38,16 @@ def _(t):
     return both.agg(F.count_if(F.col("side") == "missing").alias("missing"), F.count_if(F.col("side") == "extra").alias("extra"))
 
 
-@query("set_inventory_equal", "SELECT NOT EXISTS (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) AS within_customers, NOT EXISTS (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) AS all_customers")
+@query("set_inventory_equal", """WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), c AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 1000 <> 7),
+ u AS (SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM c) SELECT 'all' AS part, (SELECT count(*) FROM a) AS n_before, (SELECT count(*) FROM b) AS n_data, (SELECT count(*) FROM c) AS n_after, (SELECT count(*) FROM a JOIN b USING (k) JOIN c USING (k)) AS n_common, (SELECT count(*) FROM u) = (SELECT count(*) FROM a JOIN b USING (k) JOIN c USING (k)) AS equal
+ UNION ALL SELECT 'held', n, n, n, n, true FROM (SELECT count(*) AS n FROM b)""")
 def _(t):
-    a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.select(F.col("c_custkey").alias("k")).distinct()
-    one = lambda df, name: df.agg((F.count("*") == 0).alias(name))
-    return one(a.exceptAll(b), "within_customers").crossJoin(one(b.exceptAll(a), "all_customers"))  # one row each
+    """Inventory before a fetch, data, inventory after it: keys with levels agree, of all keys the inventory has lost some and some have no levels."""
+    key = t.orders.select(F.col("o_orderkey").alias("k"))
+    data = t.lineitem.select(F.col("l_orderkey").alias("k"))
+    held = key.join(data, "k", "left_semi")
+    named = lambda name, df: df.select(F.lit(name).alias("part"), "*")
+    return named("all", publication.sets_equal(key, data, key.where("k % 1000 <> 7"))).unionByName(named("held", publication.sets_equal(held, data, held)))
 
 
 @query("set_missing_slots", "SELECT DISTINCT CAST(observation_month AS VARCHAR) AS month, direction FROM b_profiles EXCEPT SELECT CAST(observation_month AS VARCHAR), direction FROM b_profiles WHERE latitude > 0")

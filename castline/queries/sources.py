@@ -32,10 +32,9 @@ def _(t):
 
 
 def manifest_rows(t):
-    """Slots with their members; profiles of cycles that leave 1 by 3 are listed with the hash of an older content."""
+    """Members of slots as rows; profiles of cycles that leave 1 by 3 are listed with the hash of an older content."""
     listed = t.profiles.where("cycle_number % 3 < 2").withColumn("profile_hash", F.when(F.col("cycle_number") % 3 == 0, F.col("profile_hash")).otherwise(F.md5("profile_hash")))
-    slot = [F.col("observation_month"), tile_key(F.col("longitude"), F.col("latitude")).alias("tile")]
-    return listed.groupBy(*slot).agg(F.array_sort(F.collect_list(F.struct("profile_id", "profile_hash"))).alias("members"))
+    return listed.select("observation_month", tile_key(F.col("longitude"), F.col("latitude")).alias("tile"), "profile_id", "profile_hash")
 
 
 @query("src_members", "SELECT profile_id, profile_hash, platform_number, observed_at FROM b_profiles WHERE observed_at >= TIMESTAMP '1996-01-01' AND observed_at < TIMESTAMP '1996-07-01' AND cycle_number % 3 = 0")

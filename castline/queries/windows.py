@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from castline.operators import publication
 from castline.registry import query, r6
 
 
@@ -33,17 +34,24 @@ def _(t):
     return rows.select("event_type", (F.coalesce(following, end) - F.col("at")).alias("d")).groupBy("event_type").agg(F.sum("d").alias("micros"), F.count("*").alias("n"))
 
 
-@query("win_last_accepted", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1 AND o_orderstatus = 'F'")
+@query("win_last_accepted", """SELECT o_orderstatus AS chunk, o_custkey AS profile_id, max(o_orderkey) AS ordinal, arg_max(strftime(o_orderdate, '%Y-%m'), o_orderkey) AS slot, count(*) AS n FROM orders WHERE o_orderkey % 4 IN (0, 1) GROUP BY 1, 2""")
 def _(t):
-    done = t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    return done.select("o_custkey", "m.o_orderkey")
+    """Orders play occurrences of a customer in a chunk; every second one is accepted."""
+    k = F.col("o_orderkey")
+    outcome = F.when(k % 4 == 0, "insert").when(k % 4 == 1, "newer").when(k % 4 == 2, "noop").otherwise("stale_skip")
+    return publication.last_accepted(t.orders.select(F.col("o_orderstatus").alias("chunk"), F.col("o_custkey").alias("profile_id"), k.alias("ordinal"), outcome.alias("outcome"), F.date_format("o_orderdate", "yyyy-MM").alias("slot")))
 
 
-@query("win_part_precedence", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC) AS r FROM lineitem) WHERE r = 1")
+@query("win_part_precedence", """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, o_custkey, n = o_orderkey % 4 + 1 AS complete FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM (SELECT l.*, o_custkey, o_orderkey, rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC) AS r FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P') WHERE r = 1)""")
 def _(t):
-    """Of parts that hold the same key the newest wins; ties stay."""
-    newest = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("l_shipdate"))
-    return t.lineitem.join(newest, ["l_orderkey", "l_linenumber", "l_shipdate"], "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    """Of parts that hold the same key the newest wins, ties stay; the manifest lists orders that are not pending, with levels that may not be as many."""
+    keys = ("l_orderkey", "l_linenumber")
+    rows = t.lineitem.select(*keys, "l_partkey", "l_extendedprice", F.col("l_shipdate").alias("generation"))
+    orders = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderkey") % 4 + 1).alias("levels"))
+    manifest = rows.select(*keys).distinct().join(orders, "l_orderkey").withColumn("slot", F.struct(*keys))
+    won = publication.newest_part(rows, manifest, *keys)
+    checked = publication.merge_check(won, manifest, *keys).select("slot.*", "complete")
+    return won.join(checked, list(keys)).join(orders.drop("levels"), "l_orderkey").select(*keys, "l_partkey", "l_extendedprice", "o_custkey", "complete")
 
 
 _MONTHS = "b_months AS (SELECT platform_number, CAST(date_part('year', observed_at) * 12 + date_part('month', observed_at) - 1 AS BIGINT) AS m, avg(latitude) AS y, count(*) AS n FROM b_profiles GROUP BY 1, 2)"

@@ -37,8 +37,10 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_members(manifest: DataFrame) -> DataFrame:
-    """profile_id, profile_hash of every member of the slots' manifests (column ``members``)."""
-    return manifest.select(F.explode("members").alias("m")).select("m.profile_id", "m.profile_hash")
+    """profile_id, profile_hash of every member: of manifests as rows, or as written lists (column ``members``)."""
+    if "members" in manifest.columns:
+        manifest = manifest.select(F.explode("members").alias("m")).select("m.*")
+    return manifest.select("profile_id", "profile_hash")
 
 
 def members(profiles: DataFrame, manifest: DataFrame) -> DataFrame:
