@@ -31,3 +31,15 @@ def url_clean(url: Column) -> Column:
     host = F.lower(F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1), "^[^@]*@", ""))
     scheme, path = F.lower(F.regexp_extract(url, "^([a-zA-Z]+)://", 1)), F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
     return F.concat(scheme, F.lit("://"), host, path)
+
+
+# The name of a profile's file, and what stands before an identity made from it.
+PROFILE_FILE, FILE_SOURCE = r"^(?:.*/)?[A-Z]{1,2}([0-9A-Za-z]+)_([0-9]{3,})(D?)\.nc$", "gdac"
+
+
+def file_parts(name: Column) -> Column:
+    """Struct platform, cycle, direction (A or D), identity of a profile file's name or path; null for other names."""
+    part = lambda k: F.regexp_extract(name, PROFILE_FILE, k)
+    cycle, direction = part(2).try_cast("long"), F.when(part(3) == "D", "D").otherwise("A")
+    identity = F.concat(F.lit(f"{FILE_SOURCE}:"), part(1), F.lit("_"), cycle.cast("string"), direction)
+    return F.when(name.rlike(PROFILE_FILE), F.struct(part(1).alias("platform"), cycle.alias("cycle"), direction.alias("direction"), identity.alias("identity")))

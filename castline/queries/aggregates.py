@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from castline.functions.qc import VARIABLES, qc_code, qc_value
+from castline.functions.qc import VARIABLES, qc_value
+from castline.operators import results
 from castline.operators.aggregate import aggregate, key
 from castline.operators.publication import group_requests
 from castline.operators.quantiles import quantiles
@@ -121,16 +122,20 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("parts")).where("parts >= 6")
 
 
-@query("agg_level_depth", "SELECT direction, count(*) AS profiles, CAST(sum(n) AS BIGINT) AS levels, round(avg(n) + 1e-9, 6) AS mean, min(n) AS least, max(n) AS most FROM (SELECT m.profile_id, direction, count(*) AS n FROM b_profiles m JOIN b_delivered l ON l.profile_id = m.profile_id GROUP BY ALL) GROUP BY 1")
+@query("agg_level_depth", """WITH c AS (SELECT direction, CASE WHEN cycle_number <> 13 THEN n END AS n FROM b_profiles m LEFT JOIN (SELECT profile_id, count(*) AS n FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id)
+ SELECT direction, grouping(direction) = 1 AS overall, count(*) AS profiles, count(*) FILTER (n IS NULL) AS unknown, CAST(coalesce(sum(n), 0) AS BIGINT) AS levels, round(avg(n) + 1e-9, 6) AS mean, min(n) AS least, max(n) AS most FROM c GROUP BY GROUPING SETS ((direction), ())""")
 def _(t):
-    n = t.delivered.groupBy("profile_id").agg(F.count("*").alias("n")).join(t.profiles.select("profile_id", "direction"), "profile_id")
-    return n.groupBy("direction").agg(F.count("*").alias("profiles"), F.sum("n").alias("levels"), r6(F.avg("n"), "mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    """Levels a profile by direction and overall; of cycle 13, and of profiles without levels, they are unknown."""
+    n = t.delivered.groupBy("profile_id").agg(F.count("*").alias("n"))
+    counts = t.profiles.join(n, "profile_id", "left").select("direction", F.when(F.col("cycle_number") != 13, F.col("n")).alias("levels"))
+    return results.level_depth_stats(counts, "direction").withColumn("mean", F.round(F.col("mean") + 1e-9, 6))
 
 
-@query("agg_qc_tally", " UNION ALL ".join(f"SELECT '{v}' AS variable, {v}_data_mode AS mode, CASE WHEN {v}_data_mode='R' THEN {v}_qc WHEN {v}_data_mode IN ('A','D') THEN {v}_adjusted_qc END AS qc, count(*) AS n FROM b_levels GROUP BY ALL" for v in VARIABLES))
+@query("agg_qc_tally", "WITH x AS (" + " UNION ALL ".join(f"""SELECT '{v}' AS variable, CASE WHEN {v}_data_mode = 'R' AND {v}_qc IN ('1','2') THEN {v} WHEN {v}_data_mode IN ('A','D') AND {v}_adjusted_qc IN ('1','2') THEN {v}_adjusted END AS x,
+ {v}_data_mode AS mode, CASE WHEN {v}_data_mode = 'R' THEN {v}_qc WHEN {v}_data_mode IN ('A','D') THEN {v}_adjusted_qc END AS qc FROM b_levels""" for v in VARIABLES) + """)
+ SELECT variable, 'kept' AS kind, NULL AS code, count(*) AS n FROM x WHERE x IS NOT NULL GROUP BY 1 UNION ALL SELECT variable, 'mode', mode, count(*) FROM x WHERE mode IS NOT NULL GROUP BY 1, 3 UNION ALL SELECT variable, 'qc', qc, count(*) FROM x WHERE qc IS NOT NULL GROUP BY 1, 3""")
 def _(t):
-    each = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"{v}_data_mode").alias("mode"), qc_code(v).alias("qc")) for v in VARIABLES])
-    return t.levels.select(F.explode(each).alias("r")).groupBy("r.variable", "r.mode", "r.qc").agg(F.count("*").alias("n"))
+    return results.qc_mode_tally(t.levels, "science_ready")
 
 
 @query("agg_empty_reason", """SELECT reason, count(*) AS n FROM (SELECT profile_id, CASE WHEN count(t) > 0 AND count(p) > 0 THEN 'usable' WHEN count(t) = 0 AND count(p) = 0 THEN 'no_good_values' WHEN count(t) = 0 THEN 'no_good_temperature' ELSE 'no_good_pressure' END AS reason
@@ -143,10 +148,17 @@ def _(t):
     return each.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("agg_summary_stats", " UNION ALL ".join(f"SELECT '{c}' AS col, round(min({c}) + 1e-9, 6) AS lo, round(max({c}) + 1e-9, 6) AS hi, round(avg({c}) + 1e-9, 6) AS mean, count({c}) AS n FROM b_sel" for c in "pts"))
+@query("agg_summary_stats", " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(min({c}) + 1e-9, 6) AS lo, round(max({c}) + 1e-9, 6) AS hi, round(avg({c}) + 1e-9, 6) AS mean, count({c}) AS n FROM b_sel""" for c in ("level_index", "p", "t", "s", "cycle_number", "longitude", "latitude")))
 def _(t):
-    long = t.selected().select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("x")) for c in "pts"])).alias("r")).select("r.*")
-    return long.groupBy("col").agg(r6(F.min("x"), "lo"), r6(F.max("x"), "hi"), r6(F.avg("x"), "mean"), F.count("x").alias("n"))
+    """Every numeric column of a result, whatever it holds."""
+    return results.summarize(t.selected()).select("column", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), r6(F.col("mean"), "mean"), "n")
+
+
+@query("agg_summary_rows", "SELECT profile_id, level_index, p, t, s FROM b_sel ORDER BY t DESC NULLS LAST, profile_id, level_index LIMIT 12")
+def _(t):
+    """The first rows beside a summary: warmest first."""
+    rows = t.selected().select("profile_id", "level_index", "p", "t", "s")
+    return results.first_rows(rows, F.desc_nulls_last("t"), "profile_id", "level_index")
 
 
 @query("agg_histogram", """WITH m AS (SELECT profile_id, avg(t) AS t FROM b_sel GROUP BY 1 HAVING count(t) > 0), r AS (SELECT min(t) AS lo, max(t) AS hi FROM m),
@@ -174,10 +186,13 @@ def _(t):
     return t.profiles.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("n"), r6(F.avg("longitude"), "lon"), r6(F.avg("latitude"), "lat"))
 
 
-@query("agg_series_chart", "SELECT direction AS series, strftime(observed_at, '%Y-%m') AS x, 'temperature' AS metric, round(avg(t) + 1e-9, 6) AS y FROM b_sel GROUP BY 1, 2 UNION ALL SELECT direction, strftime(observed_at, '%Y-%m'), 'salinity', round(avg(s) + 1e-9, 6) FROM b_sel GROUP BY 1, 2")
+@query("agg_series_chart", """WITH g AS (SELECT direction AS series, strftime(observed_at, '%Y-%m') AS x, avg(t) AS temperature, avg(s) AS salinity FROM b_sel GROUP BY 1, 2), p AS (SELECT 'temperature' AS metric, series, x, temperature AS y FROM g UNION ALL SELECT 'salinity', series, x, salinity FROM g),
+ b AS (SELECT count(*) AS n_series, max(n) AS longest, CASE WHEN max(n) > 60 OR count(*) > 10 THEN 'result_too_large' END AS verdict FROM (SELECT count(*) AS n FROM p GROUP BY metric, series)) SELECT metric, series, x, round(y + 1e-9, 6) AS y, n_series, longest, verdict FROM p, b""")
 def _(t):
-    long = t.selected().select(F.col("direction").alias("series"), F.date_format("observed_at", "yyyy-MM").alias("x"), F.explode(F.array(F.struct(F.lit("temperature").alias("metric"), F.col("t").alias("v")), F.struct(F.lit("salinity").alias("metric"), F.col("s").alias("v")))).alias("r"))
-    return long.groupBy("series", "x", "r.metric").agg(r6(F.avg("r.v"), "y"))
+    """Points of each (metric, direction) by month beside the check of the chart's bounds."""
+    means = t.selected().groupBy(F.date_format("observed_at", "yyyy-MM").alias("x"), F.col("direction").alias("series")).agg(F.avg("t").alias("temperature"), F.avg("s").alias("salinity"))
+    points = results.series_points(means, "x", "series", ("temperature", "salinity"))
+    return points.crossJoin(F.broadcast(results.series_bounds(points, 60, 10))).select("metric", "series", "x", r6(F.col("y"), "y"), "n_series", "longest", "verdict")  # one row of bounds
 
 
 @query("agg_ts_points", "SELECT profile_id, level_index, t, s FROM b_mode WHERE profile_id IN (SELECT profile_id FROM b_profiles ORDER BY observed_at DESC, profile_id DESC LIMIT 20) AND t IS NOT NULL AND s IS NOT NULL")
@@ -205,10 +220,13 @@ def _(t):
     return quantiles(t.events, ["event_type"], "value", {"p90": ("index", 0.9)})
 
 
-@query("agg_witness", "SELECT bool_or(direction = 'A') AS ascending, bool_or(direction = 'D') AS descending, bool_or(direction = 'U') AS unknown, bool_or(cycle_number = 399) AS last_cycle, bool_or(longitude = 120) AS outer_edge FROM b_profiles")
+_TRAITS = {"ascending": "direction = 'A'", "descending": "direction = 'D'", "unknown": "direction = 'U'", "sideways": "direction = 'S'", "last_cycle": "cycle_number = 399", "outer_edge": "longitude = 120", "southernmost": "latitude = -60", "beyond": "latitude > 30"}
+
+
+@query("agg_witness", " UNION ALL ".join(f"SELECT '{n}' AS trait, count(*) FILTER ({c}) AS witnesses, min(profile_id) FILTER ({c}) AS first, count(*) FILTER ({c}) = 0 AS gap FROM b_profiles" for n, c in _TRAITS.items()))
 def _(t):
-    d = F.col("direction")
-    return t.profiles.agg(*[F.bool_or(c).alias(n) for c, n in ((d == "A", "ascending"), (d == "D", "descending"), (d == "U", "unknown"), (F.col("cycle_number") == 399, "last_cycle"), (F.col("longitude") == 120, "outer_edge"))])
+    """Which traits some profile shows, and which none does."""
+    return results.witness_matrix(t.profiles, "profile_id", {n: F.expr(c) for n, c in _TRAITS.items()})
 
 
 @query("agg_store_growth", "SELECT o_orderpriority, a AS before, b AS after, b - a AS added FROM (SELECT o_orderpriority, count(*) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS a, count(*) AS b FROM orders GROUP BY 1)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from castline.functions.geo import tile_key
 from castline.functions.qc import canonical_unit, implausible, place_variant
+from castline.functions.text import file_parts
 from castline.operators import coverage, matching, publication
 from castline.operators.flags import level_flags
 from castline.operators.revisions import merge_batch, revision_outcome
@@ -182,9 +183,8 @@ def _(t):
 def _(t):
     """Identities in the file names of an index against the stored ones: platform and cycle."""
     name = F.concat(F.lit("R"), F.col("o_custkey").cast("string"), F.lit("_"), F.lpad((F.col("o_orderkey") % 400).cast("string"), 3, "0"), F.lit("D.nc"))
-    index = t.orders.where("o_orderdate < TIMESTAMP '1999-01-01'").select(name.alias("file"))
-    part = lambda k: F.regexp_extract("file", r"^[A-Z]?(\d+)_(\d+)([A-Z]?)\.nc$", k)
-    a = index.select(F.concat_ws("_", part(1), part(2).cast("int").cast("string")).alias("k")).distinct().withColumn("a", F.lit(1))
+    index = t.orders.where("o_orderdate < TIMESTAMP '1999-01-01'").select(file_parts(name).alias("f")).where("f IS NOT NULL")
+    a = index.select(F.concat_ws("_", "f.platform", F.col("f.cycle").cast("string")).alias("k")).distinct().withColumn("a", F.lit(1))
     b = t.orders.where("o_orderstatus <> 'P'").select(F.concat_ws("_", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 400).cast("string")).alias("k")).distinct().withColumn("b", F.lit(1))
     x, y = F.col("a").isNotNull(), F.col("b").isNotNull()
     return a.join(b, "k", "full").agg(F.count_if(x & y).alias("matched"), F.count_if(~y).alias("index_only"), F.count_if(~x).alias("stored_only"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from castline.functions import phrases
-from castline.operators.evaluation import rates, score
+from castline.operators.evaluation import failure_counts, rates, score, score_outcomes, summary
 from castline.registry import query
 
 # A profile's id chooses the form of its question and the numbers in it.
@@ -147,3 +147,48 @@ def _(t):
 @query("str_vars_turns", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(low, '{phrases.BOTH_WORDS}') OR v = '' THEN 'temperature,salinity' ELSE v END AS variables FROM (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(low, '{w}') THEN '{v}' END" for v, w in phrases.VARIABLE_WORDS)}], lambda x: x IS NOT NULL), ',') AS v FROM ({_TURNS}))""")
 def _(t):
     return _turns(t).select("conv_id", "turn", F.array_join(phrases.variables(F.col("low")), ",").alias("variables"))
+
+
+# Outcomes of a planner against gold items: orders play items, their keys say what was asked and answered.
+_ITEMS = """SELECT o_orderkey AS id, o_orderpriority AS category, k % 3 = 0 AS ambiguous, CASE WHEN k % 3 = 0 THEN 'clarify' WHEN k % 7 = 0 THEN 'unsupported' ELSE 'plan' END AS gold, k % 11 AS r, k, o_orderstatus AS place,
+ CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 'clarify' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'clarify' ELSE CASE WHEN k % 3 = 0 THEN 'clarify' WHEN k % 7 = 0 THEN 'unsupported' ELSE 'plan' END END AS kind FROM (SELECT *, o_orderkey AS k FROM orders)"""
+_OUTCOME_SCORES = f"""WITH i AS ({_ITEMS}), f AS (SELECT *, r = 0 AS failed, coalesce(kind = gold, false) AS same, coalesce(kind = 'clarify', false) AS asked, coalesce(kind = 'plan', false) AS planned, gold = 'plan' AS plan FROM i),
+ s AS (SELECT id, category, gold AS gold_kind, CASE WHEN failed THEN 'error' ELSE kind END AS predicted_kind, same AS kind_match, CASE WHEN failed THEN NOT ambiguous ELSE asked = ambiguous END AS clarification_appropriate, CASE WHEN NOT failed AND gold = 'clarify' THEN asked AND r <> 6 END AS missing_match,
+  CASE WHEN plan THEN planned AND r <> 4 END AS kind_ok, CASE WHEN plan THEN planned AND r NOT IN (4, 5) END AS place_ok, CASE WHEN plan THEN planned AND r NOT IN (4, 5) END AS exact,
+  CASE WHEN failed THEN 'provider_error' WHEN gold = 'clarify' AND NOT asked THEN 'missing_clarification' WHEN gold = 'unsupported' AND NOT same THEN CASE WHEN asked THEN 'unnecessary_clarification' ELSE 'unsupported_mismatch' END
+   WHEN plan AND NOT planned THEN CASE WHEN asked AND r = 3 THEN 'invalid_plan' WHEN asked THEN 'unnecessary_clarification' ELSE 'unsupported_mismatch' END WHEN plan AND r = 4 THEN 'wrong_kind' WHEN plan AND r = 5 THEN 'wrong_place' END AS failure,
+  CAST(CASE WHEN failed THEN 0 ELSE k % 500 END AS BIGINT) AS tokens FROM f)"""
+
+
+def _planner(t):
+    k, r = F.col("o_orderkey"), F.col("o_orderkey") % 11
+    gold = F.when(k % 3 == 0, "clarify").when(k % 7 == 0, "unsupported").otherwise("plan")
+    asked = F.array(F.lit("time"), F.lit("place"))
+    items = t.orders.select(k.alias("id"), F.col("o_orderpriority").alias("category"), gold.alias("kind"), (k % 3 == 0).alias("ambiguous"), F.when(k % 3 == 0, asked).alias("missing"), F.lit("mean").alias("op"), F.col("o_orderstatus").alias("place"))
+    answered = F.when(r.isin(1, 3), "clarify").when(r == 2, "unsupported").otherwise(gold)
+    place = F.when(r.isin(4, 5), "elsewhere").otherwise(F.col("o_orderstatus"))
+    outcomes = t.orders.where(r != 0).select(
+        k.alias("id"), answered.alias("kind"), F.when(r == 6, F.array(F.lit("time"))).otherwise(F.array(F.lit("place"), F.lit("time"), F.lit("time"))).alias("missing"), (r == 3).alias("invalid"),
+        F.when(r != 4, "mean").alias("op"), place.alias("place"), (k % 500).alias("tokens"),
+    )
+    return score_outcomes(items, outcomes, ["op", "place"]).withColumnRenamed("op_ok", "kind_ok").replace("wrong_op", "wrong_kind", ["failure"])
+
+
+@query("agg_eval_outcomes", f"{_OUTCOME_SCORES} SELECT * FROM s")
+def _(t):
+    """Each item's outcome by the rules for plans, clarifications and what is not supported."""
+    return _planner(t)
+
+
+@query("agg_eval_summary", f"""{_OUTCOME_SCORES} SELECT category, grouping(category) = 1 AS overall, count(*) AS items, count(*) FILTER (gold_kind = 'plan') AS plan_items, round(avg(kind_match::INT) + 1e-9, 6) AS kind_accuracy, round(avg(exact::INT) + 1e-9, 6) AS plan_exact_match,
+ round(avg(clarification_appropriate::INT) + 1e-9, 6) AS clarification_appropriateness, round(avg(kind_ok::INT) + 1e-9, 6) AS kind, round(avg(place_ok::INT) + 1e-9, 6) AS place, round(avg(tokens) + 1e-9, 6) AS tokens_per_query FROM s GROUP BY GROUPING SETS ((category), ())""")
+def _(t):
+    """Accuracy by category and overall, with mean tokens."""
+    made = summary(_planner(t), ["kind", "place"])
+    rounded = ("kind_accuracy", "plan_exact_match", "clarification_appropriateness", "kind", "place", "tokens_per_query")
+    return made.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in rounded})
+
+
+@query("agg_eval_failures", f"{_OUTCOME_SCORES} SELECT failure, count(*) AS n FROM s WHERE failure IS NOT NULL GROUP BY 1")
+def _(t):
+    return failure_counts(_planner(t))

@@ -11,7 +11,7 @@ from castline.functions.dates import instant, shift_months
 from castline.functions.geo import circle_boxes, tiles_of_boxes
 from castline.operators import payload
 from castline.operators.revisions import order_verdict
-from castline.functions.text import STOP_WORDS, TOKEN, label, numbers, tokens, url_clean
+from castline.functions.text import STOP_WORDS, TOKEN, file_parts, label, numbers, tokens, url_clean
 from castline.registry import query, r6
 
 
@@ -75,9 +75,14 @@ def _(t):
     return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id:"), F.col("doc_id").cast("string"))).otherwise(natural).alias("k"))
 
 
-@query("str_platform_regex", "SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS number, regexp_extract(c_name, '^([A-Za-z]+)', 1) AS kind FROM customer")
+@query("str_platform_regex", """SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 4 THEN CAST(o_custkey AS VARCHAR) END AS platform, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 400 END AS cycle, CASE WHEN o_orderkey % 9 <> 4 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'A' END END AS direction,
+ CASE WHEN o_orderkey % 9 <> 4 THEN 'gdac:' || o_custkey || '_' || o_orderkey % 400 || CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'A' END END AS identity FROM orders""")
 def _(t):
-    return t.customer.select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).alias("number"), F.regexp_extract("c_name", "^([A-Za-z]+)", 1).alias("kind"))
+    """Platform, cycle and direction from file names and paths; one name in nine is none of a profile."""
+    k = F.col("o_orderkey")
+    stem = F.concat(F.when(k % 2 == 0, "dac/x/R").otherwise("SD"), F.col("o_custkey").cast("string"), F.lit("_"), F.lpad((k % 400).cast("string"), 3, "0"), F.when(k % 3 == 0, "D").otherwise(""))
+    name = F.concat(stem, F.when(k % 9 == 4, "_traj.nc").otherwise(".nc"))
+    return t.orders.select("o_orderkey", file_parts(name).alias("f")).select("o_orderkey", "f.*")
 
 
 @query("str_url_clean", "SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), '^[^@]*@', '')) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS url FROM pages")

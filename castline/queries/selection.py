@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from castline.operators import publication
+from castline.operators import publication, results
 from castline.bridge import GLOBE, globe
 from castline.functions.geo import distance_sql, geo_distance, in_bbox, tile_key, within_km
 from castline.functions.numeric import finite
@@ -124,11 +124,20 @@ def _(t):
     return t.store.profile_levels(last)
 
 
-@query("p_sanitize", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 10 > 308 THEN NULL ELSE 1 END AS kept, l_quantity * 10 > 308 AS dropped FROM lineitem")
+@query("p_sanitize", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 10 <= 308 THEN 1 END AS kept, l_returnflag AS note FROM lineitem)
+ SELECT r.*, a.* FROM r, (SELECT count(*) AS rows, count(*) FILTER (kept IS NULL) AS non_finite, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS internal, CASE WHEN count(*) > 50000 THEN 'result_too_large' END AS verdict FROM r) a""")
 def _(t):
-    """Numbers that are not finite become null and are counted: here powers of ten beyond the range of a double."""
-    value = finite(F.pow(F.lit(10.0), F.col("l_quantity") * 10))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(value.isNotNull(), 1).alias("kept"), value.isNull().alias("dropped"))
+    """Numbers that are not finite become null and are counted: here powers of ten beyond the range of a double. The audit stands beside each row."""
+    shown = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.pow(F.lit(10.0), F.col("l_quantity") * 10).alias("value"), F.col("l_returnflag").alias("note"))
+    clean, audit = results.sanitize(shown, {"l_orderkey": "integer", "l_linenumber": "integer", "l_partkey": "integer", "value": "number", "note": "string"}, most_rows=50_000)
+    return clean.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("value").isNotNull(), 1).alias("kept"), "note").crossJoin(F.broadcast(audit))  # one row
+
+
+@query("p_sanitize_texts", """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS non_finite, count(*) FILTER (length(text) > 512) AS too_long, count(*) FILTER (regexp_matches(text, '(?i)(normalised/|raw/sha256|s3://|postgres(ql)?://|minio|traceback|\bselect\b|\binsert\b|password|secret)')) AS internal,
+ CASE WHEN count(*) > 1000000000 THEN 'result_too_large' WHEN count(*) FILTER (length(text) > 512 OR regexp_matches(text, '(?i)(normalised/|raw/sha256|s3://|postgres(ql)?://|minio|traceback|\bselect\b|\binsert\b|password|secret)')) > 0 THEN 'internal_error' END AS verdict FROM documents""")
+def _(t):
+    """The audit of texts: too long, or telling of internals."""
+    return results.sanitize(t.documents.select("doc_id", "text"), {"doc_id": "integer", "text": "string"}, most_rows=1_000_000_000)[1]
 
 
 @query("p_units", "SELECT v AS variable, CASE v WHEN 'pressure' THEN 'dbar' WHEN 'temperature' THEN 'degree_C' ELSE '1' END AS unit, count(*) AS n FROM b_levels, (SELECT unnest(['pressure','temperature','salinity']) AS v) GROUP BY 1, 2")
