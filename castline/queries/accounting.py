@@ -42,19 +42,37 @@ def _outcomes(t):
     )
 
 
-SLOTS = """SELECT month, west, south, CASE (CAST(date_part('month', month) AS BIGINT) + west // 10 + (south + 60) // 10) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty_verified' ELSE 'covered' END AS state, count(*) AS profiles, CAST(sum(n) AS BIGINT) AS levels, CAST(sum(n) * 240 AS BIGINT) AS bytes
- FROM (SELECT observation_month AS month, CAST(CASE WHEN longitude = 120 THEN 110 ELSE floor((longitude - 20) / 10) * 10 + 20 END AS BIGINT) AS west, CAST(CASE WHEN latitude = 30 THEN 20 ELSE floor((latitude + 60) / 10) * 10 - 60 END AS BIGINT) AS south, 1 + CAST(profile_id AS BIGINT) % 7 AS n FROM b_profiles) GROUP BY 1, 2, 3"""
+_TILE = "CAST(CASE WHEN longitude = 120 THEN 110 ELSE floor((longitude - 20) / 10) * 10 + 20 END AS BIGINT) AS west, CAST(CASE WHEN latitude = 30 THEN 20 ELSE floor((latitude + 60) / 10) * 10 - 60 END AS BIGINT) AS south"
 
+SLOTS = f"""SELECT month, west, south, CASE (CAST(date_part('month', month) AS BIGINT) + west // 10 + (south + 60) // 10) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty_verified' ELSE 'covered' END AS state, count(*) AS profiles, CAST(sum(n) AS BIGINT) AS levels, CAST(sum(n) * 240 AS BIGINT) AS bytes
+ FROM (SELECT observation_month AS month, {_TILE}, 1 + CAST(profile_id AS BIGINT) % 7 AS n FROM b_profiles) GROUP BY 1, 2, 3"""
 
-def slots(t):
-    """Slots with their counts, as a manifest writes them: a header stands for 1 + key % 7 levels, and month and tile say which slots are missing."""
+
+def _tile():
     west = F.when(F.col("longitude") == 120, 110).otherwise(F.floor((F.col("longitude") - 20) / 10) * 10 + 20).cast("long")
     south = F.when(F.col("latitude") == 30, 20).otherwise(F.floor((F.col("latitude") + 60) / 10) * 10 - 60).cast("long")
-    made = t.profiles.groupBy(F.col("observation_month").alias("month"), west.alias("west"), south.alias("south")).agg(F.count("*").alias("profiles"), F.sum(F.col("profile_id").cast("long") % 7 + 1).alias("levels"))
+    return west.alias("west"), south.alias("south")
+
+
+def slots(t):
+    """Slots with their counts, as a manifest writes them: a header stands for 1 + key % 7 levels, and month and tile say which slots are missing."""
+    made = t.profiles.groupBy(F.col("observation_month").alias("month"), *_tile()).agg(F.count("*").alias("profiles"), F.sum(F.col("profile_id").cast("long") % 7 + 1).alias("levels"))
     k = (F.month("month") + F.col("west") / 10 + (F.col("south") + 60) / 10) % 5
     return made.withColumns({"state": F.when(k == 0, "missing").when(k == 1, "empty_verified").otherwise("covered"), "bytes": F.col("levels") * 240})
 
 
+_DELIVERED_SLOTS = f"""SELECT observation_month AS month, {_TILE}, CAST(sum(n) AS BIGINT) AS levels, CAST(sum(n) * 240 AS BIGINT) AS bytes
+ FROM b_profiles m JOIN (SELECT profile_id, count(*) AS n FROM b_delivered GROUP BY 1) l ON l.profile_id = m.profile_id WHERE longitude BETWEEN 40 AND 90 GROUP BY 1, 2, 3"""
+
+
+def _delivered_slots(t):
+    """Slots between 40 and 90 degrees with the counts of their delivered levels; a slot that has levels is covered."""
+    counts = t.delivered.groupBy("profile_id").agg(F.count("*").alias("n"))
+    asked = t.profiles.where(F.col("longitude").between(40, 90)).select("profile_id", F.col("observation_month").alias("month"), *_tile())
+    made = asked.join(counts, "profile_id").groupBy("month", "west", "south").agg(F.sum("n").alias("levels"))
+    return made.withColumns({"state": F.lit("covered"), "bytes": F.col("levels") * 240})
+
+
 # Queries --------------------------------------------------------------------------------------------
 
 _SUFFIXES = {"original": "", "adjusted": "_adjusted", "qc": "_qc", "adjusted_qc": "_adjusted_qc"}
@@ -120,11 +138,10 @@ def _(t):
     return acc.coverage_summary(slots(t))
 
 
-@query("agg_cost_estimate", f"SELECT CAST(month AS VARCHAR) AS observation_month, count(*) AS slots, CAST(sum(levels) AS BIGINT) AS levels, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({SLOTS}) WHERE state = 'covered' AND west BETWEEN 40 AND 80 GROUP BY 1")
+@query("agg_cost_estimate", f"SELECT CAST(month AS VARCHAR) AS observation_month, count(*) AS slots, CAST(sum(levels) AS BIGINT) AS levels, CAST(sum(bytes) AS BIGINT) AS bytes FROM ({_DELIVERED_SLOTS}) GROUP BY 1")
 def _(t):
-    """From slot counts: the levels that the plan would read are not touched."""
-    asked = slots(t).where(F.col("west").between(40, 80)).withColumn("observation_month", F.col("month").cast("string"))
-    return acc.estimate_levels(asked, "observation_month")
+    """Levels and bytes of every slot asked for, from the counts of all its delivered levels."""
+    return acc.estimate_levels(_delivered_slots(t).withColumn("observation_month", F.col("month").cast("string")), "observation_month")
 
 
 @query("agg_progress", """WITH c AS (SELECT o_custkey AS job_id, o_orderkey AS ordinal, CASE WHEN o_orderkey % 10 = 0 THEN 'export' ELSE 'fetch' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'failed' END AS state FROM orders),

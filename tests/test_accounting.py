@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from castline import catalogue
 from castline.operators import accounting as acc
 from castline.operators import ingestion as ing
 
@@ -130,3 +132,12 @@ def test_months_to_fetch_break_at_the_year_and_at_holes(spark, now, last):
     assert rows(ing.reuse(slots), "slots_total", "slots_reused", "reuse_ratio") == [(7, 1, 0.1429)]
     span = ing.narrow(slots.where("state = 'missing'")).first()
     assert (span.start, span.end, [tuple(x) for x in span.tiles]) == (month(2023, 9), month(2024, 3), [(20, 0), (20, 10), (30, 0)])
+
+
+def test_cost_estimate_counts_every_level_asked_for(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.queries()["agg_cost_estimate"](spark, sf)
+    orders, lines = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("orders", "lineitem"))
+    asked = orders.where("20 + ((o_orderkey * 7919) % 10001) / 100e0 BETWEEN 40 AND 90")
+    read = lines.join(asked, lines.l_orderkey == asked.o_orderkey).groupBy(F.date_format("o_orderdate", "yyyy-MM-01").alias("m"))
+    assert rows(got, "observation_month", "levels", "bytes") == rows(read.count().withColumn("bytes", F.col("count") * 240), "m", "count", "bytes")
