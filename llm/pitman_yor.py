@@ -1,9 +1,7 @@
 r"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
 
-Every word with ``share`` of the training tokens or more (so at most 1/share of them) and the start of a
-text have a restaurant of the words that follow; all share one parent, the restaurant of single words,
-over a uniform base of the V known words and one unknown. Words after rarer ones are customers of the
-parent itself. Tables are seated by the Chinese-restaurant process, dish by dish: a Gibbs sweep takes all
+Every word and the start of a text have a restaurant of the words that follow; all share one parent, the
+restaurant of single words, over a uniform base of the V known words and one unknown. Tables are seated by the Chinese-restaurant process, dish by dish: a Gibbs sweep takes all
 customers and tables of a dish out of a restaurant and seats them anew, given the other dishes' tables. Dishes
 are swept side by side, each given the others as the sweep before left them. A text's score is the log of
 the predictive probability, averaged over the kept sweeps.
@@ -19,7 +17,12 @@ How it runs:
    a group instead of once a token.
 2. A bucket has all pairs of its words, so parent and children of a word are seated in one task. What
    buckets share is one number of tables for each restaurant; these are summed after each sweep.
-   Sweeps keep no state: a bucket replays earlier sweeps from the totals.
+   Sweeps keep no state: a bucket replays earlier sweeps from the totals. Restaurants of words with
+   ``share`` of the training tokens or more (at most 1/share of them) go by number, and their totals are
+   broadcast. The others go by the hash of their word: a bucket sends its sums of these to owners, by
+   ranges of the hash, and each owner sends it their totals back, so no task sees the totals of all. Where
+   every customer sat at a table alone from the start, the first totals are the last. ``share`` only says
+   which way totals go: scores are the same at any.
 3. Buckets send each group the log probabilities of its pairs, in the order of its list, and the
    group's texts are summed up from its stream.
 
@@ -52,7 +55,9 @@ SWEEPS, BURN_IN = 3, 1
 STRENGTH, ROOT_STRENGTH = 2.0, 10.0
 ALONE = 128
 END = 0x9D39247E33776D41  # hash of the end of a text, no word's own
-NONE, START = 0, 1  # contexts: the parent itself, the start of a text
+NONE, START = 0, 1  # contexts: one that goes by its hash, the start of a text
+FAR = 1 << 31  # from here on, a bucket's contexts that go by hash
+CHUNK = 1 << 16  # broadcast totals that one task sums
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,15 +74,21 @@ def _hash(word: bytes) -> int:
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x, dtype=kind).tobytes(), 1)
+    """Numbers byte by byte, all first bytes before all second ones, which compress better so."""
+    x = np.ascontiguousarray(x, dtype=kind).ravel()
+    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _unpack(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    return _numbers(zlib.decompress(raw), kind)
 
 
 def contexts(docs: DataFrame, share: float = SHARE) -> np.ndarray:
-    """Hashes of the words that are ``share`` of the training tokens or more, sorted; at most 1/share."""
+    """Hashes of the words that are ``share`` of the training tokens or more, sorted; at most 1/share. Only their totals are broadcast."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = Counter()
@@ -130,7 +141,12 @@ class Group:
         at = np.searchsorted(self.frequent, hashes)
         known = at < len(self.frequent)
         known[known] = self.frequent[at[known]] == hashes[known]
-        context_of = np.where(known, at + 2, NONE).astype(np.int64)
+        width = len(self.frequent) + 2
+        by_hash = np.argsort(hashes)  # the other contexts by their place in this order
+        place_of = np.empty(n_words, np.int64)
+        place_of[by_hash] = np.arange(n_words)
+        names = hashes[by_hash]
+        context_of = np.where(known, at + 2, width + place_of).astype(np.int64)
         hashes = np.append(hashes, np.uint64(END))  # the end is word n_words
         lens = np.fromiter((len(t) + 1 for t in self.tokens), np.int64, len(self.tokens))
         word = np.concatenate([np.append(np.asarray(t, np.int64), n_words) for t in self.tokens])
@@ -141,17 +157,21 @@ class Group:
         order = np.lexsort((hashes, hashes % np.uint64(self.buckets)))  # by bucket, then hash
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        width = len(self.frequent) + 2
-        pairs, place = np.unique(rank[word] * width + before, return_inverse=True)
+        span = width + n_words
+        pairs, place = np.unique(rank[word] * span + before, return_inverse=True)
         count = np.bincount(place, weights=train, minlength=len(pairs)).astype(np.int64)
         ids, held = [d for d, _ in self.docs], [bool(h) for _, h in self.docs]
         yield ("s", g, -1, _pack(place, "<i4"), None, None, ids, lens.tolist(), held)
-        pair_hash, context = hashes[order][pairs // width], pairs % width
+        pair_hash, context = hashes[order][pairs // span], pairs % span
+        far = context >= width
+        upto = np.append(0, np.cumsum(far))
+        named, context = names[context[far] - width], np.where(far, NONE, context)
         bucket = (pair_hash % np.uint64(self.buckets)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
             own, times = np.unique(pair_hash[a:b], return_counts=True)
-            yield ("l", g, int(bucket[a]), own.tobytes(), _pack(times, "<u4"), _pack(context[a:b], "<u4") + b"|" + _pack(count[a:b], "<u4"), None, None, None)
+            z = _pack(context[a:b], "<u4") + b"|" + _pack(count[a:b], "<u4") + b"|" + named[upto[a] : upto[b]].tobytes()
+            yield ("l", g, int(bucket[a]), own.tobytes(), _pack(times, "<u4"), z, None, None, None)
 
 
 _COLUMNS = ["kind", "g", "b", "x", "y", "z", "ids", "lens", "held"]
@@ -177,30 +197,35 @@ def grouped(docs: DataFrame, frequent: np.ndarray, buckets: int, tokens: int = T
     return stored(rows.mapInPandas(run, schema), "groups", partition_by="kind")
 
 
-def _list(x: bytes, y: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, context, count) of each pair of a list."""
-    opener = zlib.decompressobj()
-    context = np.frombuffer(opener.decompress(z), "<u4")
-    count = _unpack(opener.unused_data[1:], "<u4")
-    return np.repeat(np.frombuffer(x, np.uint64), _unpack(y, "<u4")), context, count
+def _list(x: bytes, y: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, context, count) of each pair of a list, and the hashes of the contexts that are NONE."""
+    opener, second = zlib.decompressobj(), zlib.decompressobj()
+    context = _numbers(opener.decompress(z), "<u4")
+    count = _numbers(second.decompress(opener.unused_data[1:]), "<u4")
+    return np.repeat(np.frombuffer(x, np.uint64), _unpack(y, "<u4")), context, count, np.frombuffer(second.unused_data[1:], np.uint64)
 
 
 def merged(lists: DataFrame) -> DataFrame:
-    """A row for each bucket: its pairs by word, and where the pairs of each group are among them."""
+    """A row for each bucket: its pairs by word, the hashes of contexts that go by them, and where the pairs of each group are among its pairs."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         got = [_list(*r) for r in zip(rows["x"], rows["y"], rows["z"], strict=True)]
-        h, c, n = (np.concatenate([x[k] for x in got]) for k in range(3))
+        h, c, n, named = (np.concatenate([x[k] for x in got]) for k in range(4))
+        ends = np.cumsum([len(x[1]) for x in got])
+        del got
         own, word = np.unique(h, return_inverse=True)
-        width = np.int64(1 << 20)
+        rare, at = np.unique(named, return_inverse=True)
+        c = c.astype(np.int64)
+        c[c == NONE] = FAR + at
+        width = np.int64(1 << 32)
         pairs, place = np.unique(word.astype(np.int64) * width + c, return_inverse=True)
         count = np.bincount(place, weights=n, minlength=len(pairs)).astype(np.int64)
-        ends = np.cumsum([len(x[1]) for x in got])
         each = [_pack(np.diff(p, prepend=0), "<u4") for p in np.split(place, ends[:-1])]
-        return pd.DataFrame([(key[0], len(own), own.tobytes(), _pack(pairs // width, "<u4"), _pack(pairs % width, "<u4"), _pack(count, "<i8"), rows["g"].tolist(), each)],
-                            columns=["b", "n_words", "own", "word", "context", "count", "gs", "places"])
+        return pd.DataFrame([(key[0], len(own), own.tobytes(), _pack(pairs // width, "<u4"), _pack(pairs % width, "<u4"), _pack(count, "<i8"), rare.tobytes(), rows["g"].tolist(), each)],
+                            columns=["b", "n_words", "own", "word", "context", "count", "rare", "gs", "places"])
 
-    return stored(lists.groupBy("b").applyInPandas(run, "b int, n_words int, own binary, word binary, context binary, count binary, gs array<long>, places array<binary>"), "buckets")
+    schema = "b int, n_words int, own binary, word binary, context binary, count binary, rare binary, gs array<long>, places array<binary>"
+    return stored(lists.groupBy("b").applyInPandas(run, schema), "buckets")
 
 
 def uniform(key: np.ndarray, i: int) -> np.ndarray:
@@ -236,21 +261,46 @@ def seated(count: np.ndarray, strength: np.ndarray, parent: np.ndarray, discount
 
 
 class Bucket:
-    """Pairs of some words; replays sweeps from the totals that all buckets share."""
+    """Pairs of some words; replays sweeps from the totals that all buckets share.
 
-    def __init__(self, own: bytes, word: bytes, context: bytes, count: bytes):
+    Contexts are numbered: below ``width`` as everywhere, from there on by the place of their hash in ``rare``.
+    """
+
+    def __init__(self, own: bytes, word: bytes, context: bytes, count: bytes, rare: bytes = b"", width: int = 0):
         self.hash = np.frombuffer(own, np.uint64)
         self.n_words = len(self.hash)
         self.word, self.context, self.count = _unpack(word, "<u4"), _unpack(context, "<u4").astype(np.int64), _unpack(count, "<i8")
+        self.context[self.context >= FAR] += width - FAR
+        self.rare, self.width = np.frombuffer(rare, np.uint64), width
         self.words = np.bincount(self.word, weights=self.count, minlength=self.n_words).astype(np.int64)
-        self.pair = mix(self.hash[self.word] + mix(self.context.astype(np.uint64)))
+
+    def summed(self, weights: np.ndarray) -> np.ndarray:
+        """Sums by context."""
+        return np.bincount(self.context, weights=weights, minlength=self.width + len(self.rare)).astype(np.int64)
+
+    def keyed(self, shape: dict) -> None:
+        name = np.append(shape["names"], self.rare)[self.context] if shape.get("names") is not None else self.context.astype(np.uint64)
+        self.pair = mix(self.hash[self.word] + mix(name))
+
+    def told(self, answers: pd.DataFrame, history: list[dict], shape: dict) -> tuple[list[dict], dict]:
+        """``history`` and ``shape`` with what the owners said of the contexts in ``rare``; sets which of these change from sweep to sweep."""
+        answers = answers.sort_values(["k", "o"])
+        said = [[_unpack(y, "<i8") for y in answers["y"][answers["k"] == k]] for k in range(len(history))]
+        customers, tables = np.concatenate([y.reshape(2, -1) for y in said[0]], axis=1) if said[0] else np.zeros((2, 0), np.int64)
+        self.open = customers != tables
+        each = [tables]
+        for y in said[1:]:
+            tables = tables.copy()
+            tables[self.open] = np.concatenate(y) if y else 0
+            each.append(tables)
+        full = [h | {"tables": np.append(h["tables"], t)} for h, t in zip(history, each, strict=True)]
+        return full, shape | {"customers": np.append(shape["customers"], customers)}
 
     def sweep(self, k: int, parent: np.ndarray, tables: np.ndarray, root: np.ndarray, totals: dict, shape: dict):
         """(tables of each pair, customers and tables of each word in the parent), given those of the sweep before."""
         d, d0, seed = shape["discount"], shape["root_discount"], np.array([shape["seed"] + k], np.uint64)
         others = np.maximum(totals["tables"][self.context] - tables, 0)
         tables = seated(self.count, STRENGTH + d * others, parent[self.word], d, mix(self.pair ^ mix(seed)))
-        tables = np.where(self.context == NONE, self.count, tables)  # the parent's own customers
         customers = np.bincount(self.word, weights=tables, minlength=self.n_words).astype(np.int64)
         base, rest = np.full(self.n_words, 1 / (shape["types"] + 1)), np.maximum(totals["root_tables"] - root, 0)
         return tables, customers, seated(customers, ROOT_STRENGTH + d0 * rest, base, d0, mix(self.hash ^ mix(seed)))
@@ -264,7 +314,7 @@ class Bucket:
         """Yields (tables, parent's customers, parent's tables) of each sweep that ``history`` has the start of."""
         parent = (self.words + 0.5) / (shape["tokens"] + 0.5 * (shape["types"] + 1))
         tables, root = np.minimum(self.count, 1), np.minimum(self.words, 1)  # the start: a table for each dish
-        tables = np.where(self.context == NONE, self.count, tables)
+        self.keyed(shape)
         for k, totals in enumerate(history):
             tables, customers, root = self.sweep(k, parent, tables, root, totals, shape)
             yield tables, customers, root
@@ -272,94 +322,128 @@ class Bucket:
                 parent = self.parent(customers, root, history[k + 1], shape)
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            yield r, Bucket(r.own, r.word, r.context, r.count)
-
-
-_FIGURES = "context long, n long"
 #: Figures that are not a restaurant's.
 TOKENS_, TYPES_, ONES_, TWOS_, ROOT_CUSTOMERS_, ROOT_TABLES_, ROOT_ONES_, ROOT_TWOS_ = range(-8, 0)
+_SUMS = "b int, o int, x binary, y binary"
 
 
-def _summed(rows: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Sums by restaurant (and, from ``width`` on, of a second figure), at most 2/share of them; and the other figures."""
-    got = rows.groupBy("context").agg(F.sum("n").alias("n")).toPandas()
-    at, n = got["context"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    by = np.zeros(2 * width, np.int64)
-    by[at[at >= 0]] = n[at >= 0]
-    return by, dict(zip(at[at < 0].tolist(), n[at < 0].tolist(), strict=True))
+def _sums(b: int, k: Bucket, by: list[np.ndarray], extra: dict[int, int], owners: int, open_: np.ndarray) -> pd.DataFrame:
+    """What bucket ``b`` has to say: sums by context, to the driver's restaurants (o < -1) and to owners (those in ``open_``), and other figures (o = -1)."""
+    figures = np.zeros(8, np.int64)
+    figures[list(extra)] = list(extra.values())
+    out = [(b, -1, None, _pack(figures, "<i8"))]
+    for n, at in enumerate(range(0, k.width, CHUNK)):
+        out.append((b, -2 - n, None, _pack(np.concatenate([x[at : min(at + CHUNK, k.width)] for x in by]), "<i8")))
+    names, mine = k.rare[open_], np.stack([x[k.width :][open_] for x in by])
+    owner = ((names >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)  # ranges of the hash
+    cut = np.searchsorted(owner, np.arange(owners + 1))
+    for o in np.unique(owner).tolist():
+        part = slice(cut[o], cut[o + 1])
+        out.append((b, o, names[part].tobytes(), _pack(mine[:, part], "<i8")))
+    return pd.DataFrame(out, columns=["b", "o", "x", "y"])
 
 
-def _figures(by: np.ndarray, extra: Counter) -> pd.DataFrame:
-    at = np.flatnonzero(by)
-    return pd.DataFrame({"context": np.append(at, list(extra)), "n": np.append(by[at], list(extra.values()))}).astype("int64")
+def _answers(sums: DataFrame, sweep: int) -> DataFrame:
+    """(k, b, o, y): the totals of what each bucket asked for, in its order; those for the driver have b = -1."""
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        got = [_unpack(y, "<i8") for y in rows["y"]]
+        if key[0] < 0:
+            return pd.DataFrame([(sweep, -1, key[0], _pack(np.sum(got, axis=0), "<i8"))], columns=["k", "b", "o", "y"])
+        names = [np.frombuffer(x, np.uint64) for x in rows["x"]]
+        sizes = [len(x) for x in names]
+        found, place = np.unique(np.concatenate(names), return_inverse=True)
+        each = np.concatenate([y.reshape(-1, n) for y, n in zip(got, sizes, strict=True)], axis=1)
+        total = np.stack([np.bincount(place, weights=x, minlength=len(found)) for x in each]).astype(np.int64)
+        parts = np.split(place, np.cumsum(sizes)[:-1])
+        return pd.DataFrame([(sweep, b, key[0], _pack(total[:, p], "<i8")) for b, p in zip(rows["b"], parts, strict=True)], columns=["k", "b", "o", "y"])
 
-def fitted(buckets: DataFrame, width: int, sweeps: int = SWEEPS, seed: int = 5) -> tuple[list[dict], dict]:
-    """(totals at the start of each sweep and after the last, shape of the model)."""
+    return stored(sums.groupBy("o").applyInPandas(run, "k int, b int, o int, y binary"), "totals")
+
+
+def _driver(answers: DataFrame, width: int, figures: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the restaurants that are broadcast, at most 1/share of them, one row for each figure; and the other figures."""
+    rows = sorted(answers.where("b = -1").select("o", "y").collect(), reverse=True)
+    if not rows:
+        return np.zeros((figures, width), np.int64), np.zeros(8, np.int64)
+    extra, *chunks = [_unpack(r.y, "<i8") for r in rows]
+    return np.concatenate([c.reshape(figures, -1) for c in chunks], axis=1), extra
+
+
+def owners_of(buckets: int) -> int:
+    return max(16, buckets // 8)
+
+
+def swept(buckets: DataFrame, width: int, sweeps: int = SWEEPS, seed: int = 5, names: np.ndarray | None = None, owners: int = 16) -> tuple[list[dict], dict, DataFrame]:
+    """(totals at the start of each sweep and after the last, shape of the model, answers of the owners to each bucket)."""
     spark = buckets.sparkSession
-    small = buckets.select("own", "word", "context", "count")
+    small = buckets.select("b", "own", "word", "context", "count", "rare")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by, extra = np.zeros(2 * width, np.int64), Counter()
-        for _, k in _buckets(batches):
-            by[:width] += np.bincount(k.context, weights=k.count, minlength=width).astype(np.int64)
-            by[width:] += np.bincount(k.context, weights=k.count > 0, minlength=width).astype(np.int64)
-            own = k.context != NONE
-            extra.update({TOKENS_: int(k.words.sum()), TYPES_: int((k.words > 0).sum()), ONES_: int((k.count[own] == 1).sum()), TWOS_: int((k.count[own] == 2).sum()),
-                          ROOT_ONES_: int((k.words == 1).sum()), ROOT_TWOS_: int((k.words == 2).sum())})
-        yield _figures(by, extra)
-
-    by, got = _summed(small.mapInPandas(first, _FIGURES), width)
-    ratio = lambda a, b: min(0.95, max(0.05, got.get(a, 0) / max(1, got.get(a, 0) + 2 * got.get(b, 0))))
-    shape = {"tokens": got.get(TOKENS_, 0), "types": got.get(TYPES_, 0), "discount": ratio(ONES_, TWOS_), "root_discount": ratio(ROOT_ONES_, ROOT_TWOS_), "seed": seed,
-             "customers": by[:width].astype(np.float64)}
-    tables = by[width:].astype(np.float64)
-    history = [{"tables": tables, "root_tables": float(shape["types"]), "root_customers": float(tables[1:].sum() + shape["customers"][NONE])}]
-    for _ in range(sweeps):
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                k = Bucket(r.own, r.word, r.context, r.count, r.rare, width)
+                extra = {TOKENS_: k.words.sum(), TYPES_: (k.words > 0).sum(), ONES_: (k.count == 1).sum(), TWOS_: (k.count == 2).sum(), ROOT_CUSTOMERS_: (k.count > 0).sum(),
+                         ROOT_ONES_: (k.words == 1).sum(), ROOT_TWOS_: (k.words == 2).sum()}
+                yield _sums(r.b, k, [k.summed(k.count), k.summed(k.count > 0)], extra, owners, np.ones(len(k.rare), bool))
+
+    told = _answers(small.mapInPandas(first, _SUMS), 0)
+    by, got = _driver(told, width, 2)
+    ratio = lambda a, b: min(0.95, max(0.05, got[a] / max(1, got[a] + 2 * got[b])))
+    shape = {"tokens": int(got[TOKENS_]), "types": int(got[TYPES_]), "discount": ratio(ONES_, TWOS_), "root_discount": ratio(ROOT_ONES_, ROOT_TWOS_), "seed": seed,
+             "customers": by[0].astype(np.float64), "names": names}
+    history = [{"tables": by[1].astype(np.float64), "root_tables": float(shape["types"]), "root_customers": float(got[ROOT_CUSTOMERS_])}]
+    told = told.where("b >= 0")
+    for n in range(sweeps):
+        released(spark)
         sent = spark.sparkContext.broadcast((history, shape))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            past, model = sent.value
-            by, extra = np.zeros(width, np.int64), Counter()
-            for _, k in _buckets(batches):
-                *_, (t, customers, root) = k.replay(past, model)
-                by += np.bincount(k.context, weights=t, minlength=width).astype(np.int64)
-                extra.update({ROOT_CUSTOMERS_: int(customers.sum()), ROOT_TABLES_: int(root.sum())})
-            yield _figures(by, extra)
+        def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            r = next(rows.itertuples(index=False))
+            k = Bucket(r.own, r.word, r.context, r.count, r.rare, width)
+            *_, (t, customers, root) = k.replay(*k.told(answers, *sent.value))
+            return _sums(r.b, k, [k.summed(t)], {ROOT_CUSTOMERS_: customers.sum(), ROOT_TABLES_: root.sum()}, owners, k.open)
 
-        by, got = _summed(small.mapInPandas(run, _FIGURES), width)
-        history.append({"tables": by[:width].astype(np.float64), "root_tables": float(got.get(ROOT_TABLES_, 0)), "root_customers": float(got.get(ROOT_CUSTOMERS_, 0))})
-    return history, shape
+        sums = small.groupBy("b").cogroup(told.groupBy("b")).applyInPandas(run, _SUMS)
+        answers = _answers(sums, n + 1)
+        by, got = _driver(answers, width, 1)
+        history.append({"tables": by[0].astype(np.float64), "root_tables": float(got[ROOT_TABLES_]), "root_customers": float(got[ROOT_CUSTOMERS_])})
+        told = told.unionByName(answers.where("b >= 0"))
+    return history, shape, told
 
 
-def looked_up(buckets: DataFrame, history: list[dict], shape: dict, burn_in: int = BURN_IN) -> DataFrame:
+def fitted(buckets: DataFrame, width: int, sweeps: int = SWEEPS, seed: int = 5) -> tuple[list[dict], dict]:
+    """``swept`` without the owners' answers, for a model whose contexts are all below ``width``."""
+    return swept(buckets, width, sweeps, seed)[:2]
+
+
+def looked_up(buckets: DataFrame, history: list[dict], shape: dict, told: DataFrame, burn_in: int = BURN_IN) -> DataFrame:
     """(g, b, logs, counts): log10 probability and the word's training count for each pair of a group's list."""
     sent = buckets.sparkSession.sparkContext.broadcast((history, shape))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        past, model = sent.value
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        r = next(rows.itertuples(index=False))
+        k = Bucket(r.own, r.word, r.context, r.count, r.rare, len(sent.value[1]["customers"]))
+        past, model = k.told(answers, *sent.value)
         d = model["discount"]
-        for r, k in _buckets(batches):
-            mean, kept = np.zeros(len(k.count)), 0
-            for n, (tables, customers, root) in enumerate(k.replay(past[:-1], model)):
-                if n < burn_in:
-                    continue
-                after = past[n + 1]
-                parent = k.parent(customers, root, after, model)[k.word]
-                own = np.maximum(k.count - d * tables, 0) + (STRENGTH + d * after["tables"][k.context]) * parent
-                mean += np.where(k.context == NONE, parent, own / (STRENGTH + model["customers"][k.context]))
-                kept += 1
-            logs, seen = np.log10(mean / kept), k.words[k.word]
-            out = []
-            for g, place in zip(r.gs, r.places, strict=True):
-                at = np.cumsum(_unpack(place, "<u4"), dtype=np.int64)
-                out.append((g, r.b, _pack(logs[at], "<f4"), _pack(seen[at], "<i8")))
-            yield pd.DataFrame(out, columns=["g", "b", "logs", "counts"])
-
-    return buckets.mapInPandas(run, "g long, b int, logs binary, counts binary")
+        mean, kept = np.zeros(len(k.count)), 0
+        for n, (tables, customers, root) in enumerate(k.replay(past[:-1], model)):
+            if n < burn_in:
+                continue
+            after = past[n + 1]
+            parent = k.parent(customers, root, after, model)[k.word]
+            own = np.maximum(k.count - d * tables, 0) + (STRENGTH + d * after["tables"][k.context]) * parent
+            mean += own / (STRENGTH + model["customers"][k.context])
+            kept += 1
+        logs, seen = np.log10(mean / kept), k.words[k.word]
+        out = []
+        for g, place in zip(r.gs, r.places, strict=True):
+            at = np.cumsum(_unpack(place, "<u4"), dtype=np.int64)
+            out.append((g, r.b, _pack(logs[at], "<f4"), _pack(seen[at], "<i8")))
+        return pd.DataFrame(out, columns=["g", "b", "logs", "counts"])
+
+    rows = buckets.select("b", "own", "word", "context", "count", "rare", "gs", "places")
+    return rows.groupBy("b").cogroup(told.groupBy("b")).applyInPandas(run, "g long, b int, logs binary, counts binary")
 
 
 def scored(docs: DataFrame, share: float = SHARE, sweeps: int = SWEEPS, burn_in: int = BURN_IN, tokens: int = TOKENS) -> DataFrame:
@@ -368,8 +452,14 @@ def scored(docs: DataFrame, share: float = SHARE, sweeps: int = SWEEPS, burn_in:
     frequent = contexts(docs, share)
     n_buckets = max(16, min(1 << 16, 2 * docs.rdd.getNumPartitions()))
     rows = grouped(docs, frequent, n_buckets, tokens)
+    released(docs.sparkSession)
     buckets = merged(rows.where("kind = 'l'").select("g", "b", "x", "y", "z"))
-    history, shape = fitted(buckets, len(frequent) + 2, sweeps)
+    lists = [f for f in rows.inputFiles() if "/kind=l/" in f]
+    if lists:  # nothing reads the lists any more
+        emptied(docs.sparkSession.read.parquet(lists[0].rsplit("/", 1)[0]))
+    names = np.append(np.array([NONE, START], np.uint64), frequent)
+    history, shape, told = swept(buckets, len(frequent) + 2, sweeps, names=names, owners=owners_of(n_buckets))
+    released(docs.sparkSession)
     n, v = shape["tokens"], shape["types"]
 
     def run(key: tuple, streams: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -387,10 +477,13 @@ def scored(docs: DataFrame, share: float = SHARE, sweeps: int = SWEEPS, burn_in:
             }))
         return pd.concat(out)
 
+    found = stored(looked_up(buckets, history, shape, told, burn_in), "looked_up")
+    emptied(buckets)
+    released(docs.sparkSession)
     streams = rows.where("kind = 's'").select("g", "x", "ids", "lens", "held")
     result = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    found = streams.groupBy("g").cogroup(looked_up(buckets, history, shape, burn_in).groupBy("g")).applyInPandas(run, result)
-    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
+    scores = streams.groupBy("g").cogroup(found.groupBy("g")).applyInPandas(run, result)
+    return scores.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op6_lm_score(spark, sf_dir):

@@ -383,6 +383,13 @@ def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark):
     assert a == pytest.approx(b, rel=1e-12)
 
 
+def test_every_word_has_a_restaurant_whichever_way_its_totals_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b, c = ({r.doc_id: r.score for r in pitman_yor.scored(docs, share=share, tokens=20_000).collect()} for share in (1e-9, 1e-3, 2.0))
+    assert len(pitman_yor.contexts(docs, 2.0)) == 0 < len(pitman_yor.contexts(docs, 1e-3)) < len(pitman_yor.contexts(docs, 1e-9))
+    assert a == b == c
+
+
 def test_seating_against_one_customer_at_a_time():
     rng = np.random.default_rng(0)
     count = np.append(rng.integers(0, 120, 200), [0, 1, 100_000])
