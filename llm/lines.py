@@ -11,8 +11,9 @@ position) stays.
    Two lines within that many edits share a segment, at a place that the lengths bound: each line is
    indexed by (length, segment number, segment) and probes the indexes of its own and the next shorter
    lengths, only with the substrings that the multi-match-aware window allows.
-3. Keys with several lines are found by aggregation (least and largest line, least indexed line), so a
-   key that many lines share is folded before the shuffle. Its least indexed line is the star's centre.
+3. Lines are dealt out by key once. Keys with several lines are found by aggregation (least and largest
+   line, least indexed line), row by row, and joined back to the same shuffle, so no key's lines are
+   gathered. A key's least indexed line is the star's centre.
 4. Pairs whose letter counts allow it (an exact bound) are verified by banded bit-parallel edit
    distance, after what both begin and end with is cut off. Keys whose lines are not all connected
    after that are finished pair by pair across components.
@@ -152,6 +153,18 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     return at.select("lid", key.alias("key"), ((F.col("less") == 0) & (F.col("off") == 0)).alias("indexed"))
 
 
+def starred(keyed: DataFrame) -> DataFrame:
+    """lid, key, indexed of ``keyed`` and the centre of each key with several lines, at least one of them indexed.
+
+    Finding the stars and joining them back read one shuffle, so the keys are made once.
+    """
+    keyed = keyed.repartition("key")
+    stars = keyed.groupBy("key").agg(
+        F.min(F.when(F.col("indexed"), F.col("lid"))).alias("centre"), F.min("lid").alias("lo"), F.max("lid").alias("hi")
+    )
+    return keyed.join(stars.where("centre IS NOT NULL AND lo <> hi").select("key", "centre").hint("merge"), "key")
+
+
 def occurrences(texts: DataFrame) -> DataFrame:
     """The other columns of ``texts``, pos, line: every line that is not blank, without the blanks around it."""
     rest = [c for c in texts.columns if c != "text"]
@@ -173,13 +186,7 @@ def alike(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(lid, component) of the distinct lines that are alike to another; other lines are left out."""
     # The small sides below grow with the corpus, so they are merged and not broadcast at any size.
     spark = lines.sparkSession
-    keyed = segment_keys(lines, edits)
-    stars = keyed.groupBy("key").agg(
-        F.min(F.when(F.col("indexed"), F.col("lid"))).alias("centre"), F.min("lid").alias("lo"), F.max("lid").alias("hi")
-    )
-    stars = stored(stars.where("centre IS NOT NULL AND lo <> hi").select("key", "centre"), "stars").hint("merge")
-    released(spark)
-    members = stored(keyed.join(stars, "key"), "members")
+    members = stored(starred(segment_keys(lines, edits)), "members")
     released(spark)
     wanted = members.select("lid").distinct().hint("merge")
     texts = stored(lines.join(wanted, "lid", "left_semi").select("lid", "line", "n", *letter_counts(F.col("line"))), "texts")
@@ -209,7 +216,7 @@ def alike(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     more = stored(confirmed(once(x.join(y, ["key"]).where((F.col("cu") != F.col("cv")) & close("x", "y", edits)).select(*pair("u", "v")))), "links")
     if not more.isEmpty():
         label = stored(components(links.unionByName(more)), "label")
-    for done in (stars, members, texts, rest):
+    for done in (members, texts, rest):
         emptied(done)
     return label.select(F.col("u").alias("lid"), "component")
 

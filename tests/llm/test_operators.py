@@ -480,6 +480,17 @@ def test_line_classes_against_brute_force(spark):
     assert {(r.doc_id, r.pos) for r in got if r.kept} == _kept_lines(texts, lines.EDITS)
 
 
+def test_segment_keys_are_made_once_for_stars_and_members(spark):
+    texts = _docs(spark, [(k, f"a line of some length, {k % 7} and {k % 5}") for k in range(40)]).select("text")
+    got = lines.starred(lines.segment_keys(lines.distinct_lines(texts), 2))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.key, []).append(r)
+    assert by and all(len({r.lid for r in x}) > 1 and {r.centre for r in x} == {min(r.lid for r in x if r.indexed)} for x in by.values())
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate explode") == 1 and "ReusedExchange" in final
+
+
 def test_line_dedup_on_edges(edge, empty):
     got = lines.dedup_lines(edge)
     assert got.columns == edge.columns and lines.dedup_lines(empty).count() == 0
