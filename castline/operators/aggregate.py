@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castline.operators.quantiles import quantiles
@@ -58,3 +59,14 @@ def aggregate(levels: DataFrame, keys: list[Column], names: list[str], values: d
             same = [F.col(k).eqNullSafe(F.col(f"_{i}k{j}")) for j, k in enumerate(names)]
             made = made.join(renamed, functools.reduce(Column.__and__, same, F.lit(True)), "left")
     return made.select(*names, *[f"{n}_{m}" for n in values for m in metrics])
+
+
+def ordered_totals(df: DataFrame, key: str, value: str, order: str, *more: Column) -> DataFrame:
+    """key, n, total, more: rows of each key and the sum of their doubles, added one after the other by ``order`` (then by value).
+
+    A sum of doubles hangs on the order of adding, which partial sums leave open; a total near a half rounds either way then.
+    Rows of one key are sorted in one task, on disk where they are many.
+    """
+    w = W.partitionBy(key).orderBy(order, value)
+    run = F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumns({"_at": F.row_number().over(w), "_run": run}).groupBy(key).agg(F.count("*").alias("n"), F.max_by("_run", "_at").alias("total"), *more)

@@ -9,6 +9,7 @@ from castline.functions.geo import tile_key
 from castline.functions.qc import canonical_unit, implausible, place_variant
 from castline.functions.text import file_parts
 from castline.operators import coverage, matching, publication
+from castline.operators.aggregate import ordered_totals
 from castline.operators.flags import level_flags
 from castline.operators.revisions import merge_batch, revision_outcome
 from castline.registry import query
@@ -66,8 +67,8 @@ _NEXT = """WITH s AS (SELECT o_custkey AS k, count(*) AS n, CAST(max(o_orderkey)
 def _(t):
     """Next state of the store: a row's content follows its revision, its levels are replaced whole or not at all."""
     def side(df):
-        made = df.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("r"), F.round(F.sum("o_totalprice")).cast("long").alias("content"))
-        return made.select("k", F.col("n").cast("string").alias("hash"), F.create_map(F.lit("core"), F.col("r")).alias("revision"), "content")
+        made = ordered_totals(df.withColumnRenamed("o_custkey", "k"), "k", "o_totalprice", "o_orderkey", F.max("o_orderkey").alias("r"))
+        return made.select("k", F.col("n").cast("string").alias("hash"), F.create_map(F.lit("core"), F.col("r")).alias("revision"), F.round("total").cast("long").alias("content"))
 
     stored = side(t.orders.where("o_orderdate < TIMESTAMP '1998-01-01' AND o_custkey % 5 <> 0"))
     new = side(t.orders.where("o_orderdate >= TIMESTAMP '1997-06-01' AND o_custkey % 7 <> 0"))

@@ -2,7 +2,13 @@
 
 import datetime as dt
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from castline.catalogue import oracle_sql, queries
 from castline.operators import publication as pub
+from castline.operators.aggregate import ordered_totals
 
 
 def rows(df, *columns):
@@ -72,3 +78,28 @@ def test_three_sets(spark):
     assert rows(pub.sets_equal(of(1, 2, 2, None), of(2, 1, None), of(None, 1, 2)), "n_before", "n_data", "n_common", "equal") == [(3, 3, 3, True)]
     assert rows(pub.sets_equal(of(1, 2), of(2), of(1, 2)), "n_common", "equal") == [(1, False)]
     assert rows(pub.sets_equal(of(), of(), of()), "n_common", "equal") == [(0, True)]
+
+
+# Added one after the other these end below a half; as two sums of three, or from the last on, at a half.
+PRICES = [328396.97, 20025.57, 262598.17, 291426.97, 408646.64, 2416.18]
+
+
+def test_merged_totals_equal_sql_over_several_parts(spark, tmp_path):
+    (tmp_path / "orders.parquet").mkdir()
+    for part in range(2):
+        ids = range(3 * part, 3 * part + 3)
+        made = {"o_orderkey": list(ids), "o_custkey": [1] * 3, "o_orderstatus": ["F"] * 3, "o_totalprice": [PRICES[i] for i in ids], "o_orderdate": [dt.datetime(1996, 1, 1)] * 3, "o_orderpriority": ["x"] * 3}
+        pq.write_table(pa.table(made), tmp_path / "orders.parquet" / f"part-{part}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # rows are added as they stand
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    got = queries()["ing_merge"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(oracle_sql()["ing_merge"]).fetchall() == [(1, "keep", 5, 1313510)]
+
+
+def test_totals_follow_the_order_given(spark):
+    rows_ = [(1, i, p) for i, p in enumerate(PRICES)] + [(1, 9, None), (2, 0, None), (None, 2, 0.25), (None, 2, 0.25)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows_[::-1], "k int, at int, x double").repartition(parts)
+        got = {r.k: (r.n, r.total) for r in ordered_totals(df, "k", "x", "at").collect()}
+        assert got == {1: (7, 1313510.4999999998), 2: (1, None), None: (2, 0.5)}
