@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from castline.catalogue import queries as registered
 from castline.functions.geo import ENVELOPE, circle_boxes, geo_distance, tiles_of_boxes, within_km
-from castline.operators.regions import near_pairs
+from castline.operators.regions import counts_within, near_counts, near_pairs
 
 
 def _globe(spark, n=4000):
@@ -56,3 +59,31 @@ def test_boxes_and_tiles(spark):
                     if x and y:
                         want.add((w, s))
         assert {(c.west, c.south) for c in r.t} == want
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    points = _globe(spark, 1500).withColumn("month", F.when(F.col("id") % 7 > 0, F.col("id") % 2))
+    points = points.unionByName(spark.createDataFrame([(-1, None, 1.0, 0), (-3, 1.0, None, 0)], "id long, longitude double, latitude double, month long"))
+    queries = points.where("id % 25 IN (0, 1)").select(F.col("id").alias("q"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), "month")
+    for km in (40, 600, 3000):
+        want = {r.q: r.n for r in near_pairs(queries, points, km, ("month",)).groupBy("q").agg(F.count("*").alias("n")).collect()}
+        for most in (200_000, 20):  # and strips in many groups
+            assert {r.q: r.n for r in near_counts(queries, points, "q", km, ("month",), most).collect()} == want, (km, most)
+
+
+@pytest.mark.parametrize("km", [0.001, 50.0, 900.0, 6000.0, 12000.0, 25000.0])
+def test_counts_in_arrays_against_brute_force(spark, km):
+    rng = np.random.default_rng(3)
+    lat = np.concatenate([rng.uniform(-90, 90, 400), rng.uniform(84, 90, 200), np.round(rng.uniform(-90, 90, 200)), [90, -90, 90, 0]])
+    lon = np.concatenate([rng.uniform(-180, 180, 600), np.round(rng.uniform(-180, 180, 200)), [0, 180, -180, 180]])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lon, lat)], "longitude double, latitude double").cache()
+    at = list(range(0, 804, 80)) + [800, 801, 802, 803]
+    want = [df.where(geo_distance(F.col("longitude"), F.col("latitude"), F.lit(float(lon[i])), F.lit(float(lat[i]))) <= km * 1000).count() for i in at]
+    assert counts_within(lon[at], lat[at], lon, lat, km).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["j_radius_globe"])
+def test_radius_queries_make_no_pairs(spark, name, capsys):
+    registered()[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "CoGroupsInArrow" in plan and "SortMergeJoin" not in plan and " Inner" not in plan
