@@ -82,7 +82,7 @@ def test_counts_in_arrays_against_brute_force(spark, km):
     assert counts_within(lon[at], lat[at], lon, lat, km).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["j_radius_globe"])
+@pytest.mark.parametrize("name", ["j_radius", "j_radius_globe"])
 def test_radius_queries_make_no_pairs(spark, name, capsys):
     registered()[name](spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
